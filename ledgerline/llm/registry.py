@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, quality_rules, secret_scan
+from . import chat_format, decontaminate, mixing, quality_rules, secret_scan, token_counts, token_output
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +35,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output.read(spark, token_output.write(docs, tokenizer_path()))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -70,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op3_quality_rules": op3_quality_rules,
+        "op4_token_output": op4_token_output,
+        "op7_token_counts": op7_token_counts,
         "op6_chat_format": op6_chat_format,
         "op9_secret_scan": op9_secret_scan,
         "op10_mixing": op10_mixing,
