@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, quality_rules, secret_scan, token_counts, token_output
+from . import chat_format, decontaminate, mixing, quality_rules, secret_scan, token_counts, token_output, toxicity
 
 
 def tokenizer_path() -> str:
@@ -40,6 +40,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, token_output.write(docs, tokenizer_path()))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count(docs, tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -87,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_output": op4_token_output,
+        "op5_toxicity": op5_toxicity,
         "op7_token_counts": op7_token_counts,
         "op6_chat_format": op6_chat_format,
         "op9_secret_scan": op9_secret_scan,
