@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, quality_rules, secret_scan, token_counts, token_output, toxicity
+from . import chat_format, decontaminate, mixing, near_dup, quality_rules, secret_scan, token_counts, token_output, toxicity
 
 
 def tokenizer_path() -> str:
@@ -28,6 +28,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.measure(docs).select(
@@ -92,6 +96,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_near_dup": op2_near_dup,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_output": op4_token_output,
         "op5_toxicity": op5_toxicity,
