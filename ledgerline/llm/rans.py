@@ -68,8 +68,9 @@ def encode(ids: np.ndarray, table: Table) -> bytes:
     n = len(ids)
     lanes = max(1, min(LANES, n // 64))
     rounds = -(-n // lanes)
-    at = np.searchsorted(table.symbols, ids)
-    freq, begin = table.scaled.astype(np.uint64)[at], table.begins.astype(np.uint64)[at]
+    by_id = np.zeros((2, int(table.symbols[-1]) + 1 if len(table.symbols) else 1), np.uint64)
+    by_id[:, table.symbols] = table.scaled, table.begins
+    freq, begin = by_id[0][ids], by_id[1][ids]
     bits, limit = U(table.bits), U(63 - table.bits)
     state = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []

@@ -40,8 +40,9 @@ SEGMENT_SCHEMA = "shard int, segment int, n_docs long, n_tokens long, data binar
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment: head, table, index, blocks."""
-    symbols, counts = np.unique(ids, return_counts=True)
-    table = Table.of(symbols.astype(np.int64), counts)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    table = Table.of(symbols, counts[symbols])
     index = zlib.compress(
         np.array([x is None for x in doc_ids], np.uint8).tobytes()
         + np.array([x or 0 for x in doc_ids], "<i8").tobytes()
@@ -99,7 +100,8 @@ def _write(path: str, end_id: int, segment: int):
             for i, j, *_ in slices(text_of):
                 texts = [t or "" for t in text_of.slice(i, j - i).to_pylist()]
                 cut = [enc.pretokens(t) for t in texts]
-                enc.learn(set().union(*[c for c in cut if c]))
+                if some := [c for c in cut if c]:
+                    enc.learn(set().union(*some))
                 whole = iter(enc.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
                 known = enc.cache.__getitem__
                 for doc_id, c in zip(ids_of.slice(i, j - i).to_pylist(), cut, strict=True):

@@ -17,13 +17,16 @@ import re
 from collections.abc import Callable
 from functools import cache
 
-#: Fixed value: the byte-level pattern of public GPT-2 style vocabularies, in the
-#: terms of the standard library (letters, digits, others, white space).
-PRETOKEN = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Fixed value: the byte-level pattern of public GPT-2 style vocabularies (letters,
+#: digits, others, white space), for texts without unsure characters.
+LETTERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\t-\r "
+PRETOKEN = re.compile(
+    rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}{LETTERS}0-9]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+)
 #: Characters that send a text to the library as a whole.
 UNSURE = r"[^\x00-\x1b\x20-\x7f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-‾€]"
 #: A cache of pre-tokens is emptied at this size.
-MOST = 400_000
+MOST = 1_000_000
 
 
 class Encoder:
@@ -54,6 +57,7 @@ class Encoder:
         if plain:
             special = [re.escape(x["content"]) for x in said.get("added_tokens") or ()]
             self.cut = re.compile("|".join([*special, UNSURE]))
+            self.model = tokenizer.model
 
     def pretokens(self, text: str) -> list[str] | None:
         """None: the text must be encoded whole."""
@@ -65,9 +69,19 @@ class Encoder:
         """Encodes those that aren't known yet, each once."""
         if len(self.cache) > MOST:
             self.cache.clear()
-        new = list(pretokens.difference(self.cache))
-        for word, ids in zip(new, self.whole(new), strict=True):
-            self.cache[word] = self.piece(ids)
+        letters, tokenize, piece = _byte_letters(), self.model.tokenize, self.piece
+        for word in pretokens.difference(self.cache):
+            said = word.encode().decode("latin-1").translate(letters)
+            self.cache[word] = piece([x.id for x in tokenize(said)])
+
+
+@cache
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: visible Latin-1 characters stand for
+    themselves, the other bytes, in order, for characters from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
 
 
 @cache
