@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, near_dup, quality_rules, secret_scan, token_counts, token_output, toxicity
+from . import chat_format, decontaminate, mixing, near_dup, quality_rules, secret_scan, suffix_dedup, token_counts, token_output, toxicity
 
 
 def tokenizer_path() -> str:
@@ -75,6 +75,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs)
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op7_token_counts": op7_token_counts,
         "op6_chat_format": op6_chat_format,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_mixing": op10_mixing,
     }
