@@ -41,6 +41,8 @@ from .textscan import LOWER, SPACED, grams, mix, rolling, slices, span_hashes, w
 RATIO, FAN = 1.5, 16
 #: Documents and characters of a chunk, about.
 CHUNK, CHARS = 4096, 16 << 20
+#: Keys of a batch.
+KEYS = 400_000
 U = np.uint64
 
 
@@ -104,33 +106,38 @@ def keys_of(members: np.ndarray, percent: int) -> np.ndarray:
 def _keys(n: int, percent: int):
     """Rows (key, a, b): b is null for a document's key, else a and b share a key in this batch."""
 
+    def told(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        key = np.concatenate(keys).view(np.int64)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        leader = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        inside = sorted({p for p in zip(leader[~first].tolist(), owner[~first].tolist(), strict=True) if p[0] != p[1]})
+        a, b = [p[0] for p in inside], [p[1] for p in inside]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(key[first]), pa.array(b, pa.int64())]),
+                pa.concat_arrays([pa.array(owner[first]), pa.array(a, pa.int64())]),
+                pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(b, pa.int64())]),
+            ],
+            names=["key", "a", "b"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            keys, owners = [], []
             for row, members in shingle_sets(batch.column(1), n):
                 if len(members) and ids[row] is not None:
-                    own = keys_of(members, percent)
-                    keys.append(own)
-                    owners.append(np.full(len(own), ids[row], np.int64))
-            if not keys:
-                continue
-            key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            leader = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            inside = np.unique(np.stack([leader[~first], owner[~first]]), axis=1)
-            inside = inside[:, inside[0] != inside[1]]
-            k, m = int(first.sum()), inside.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[first], inside[1]])),
-                    pa.array(np.concatenate([owner[first], inside[0]])),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(inside[1])]),
-                ],
-                names=["key", "a", "b"],
-            )
+                    keys.append(keys_of(members, percent))
+                    owners.append(ids[row])
+                    held += len(keys[-1])
+                    if held >= KEYS:
+                        yield told(keys, owners)
+                        keys, owners, held = [], [], 0
+        if keys:
+            yield told(keys, owners)
 
     return run
 
