@@ -74,7 +74,7 @@ def weighted_mean(values: list[Column], weights: list[Column], geometric: bool =
     """Mean over the values that are there, weights scaled to them; missing if none is."""
     total, mass = F.lit(0.0), F.lit(0.0)
     for x, w in zip(values, weights, strict=True):
-        term = F.log(F.greatest(x, F.lit(floor))) if geometric else x
+        term = F.when(x.isNotNull(), F.log(F.greatest(x, F.lit(floor)))) if geometric else x
         total = total + F.coalesce(w * term, F.lit(0.0))
         mass = mass + F.when(x.isNotNull(), w).otherwise(0.0)
     mean = F.try_divide(total, mass)

@@ -138,14 +138,12 @@ def q14(t: Tables) -> DataFrame:
 
 FIXED = {"bal": 0.5, "spend": 0.3, "orders": 0.2}
 ARITH = "(" + " + ".join(f"coalesce({w} * {m}, 0)" for m, w in FIXED.items()) + ") / nullif(" + " + ".join(f"case when {m} is not null then {w} else 0 end" for m, w in FIXED.items()) + ", 0)"
-GEO = "exp((" + " + ".join(f"coalesce({w} * ln(greatest({m}, 1e-6)), 0)" for m, w in FIXED.items()) + ") / nullif(" + " + ".join(f"case when {m} is not null then {w} else 0 end" for m, w in FIXED.items()) + ", 0))"
+GEO = "exp((" + " + ".join(f"coalesce(case when {m} is not null then {w} * ln(greatest({m}, 1e-6)) end, 0)" for m, w in FIXED.items()) + ") / nullif(" + " + ".join(f"case when {m} is not null then {w} else 0 end" for m, w in FIXED.items()) + ", 0))"
 
 
 @query("q15_geometric_aggregate", f"with {SCORED} select key, round(case when bal is null and spend is null and orders is null then null else {GEO} end, 6) score from scored")
 def q15(t: Tables) -> DataFrame:
-    values = [F.col(m) for m in FIXED]
-    logs = weighted_mean([F.when(v.isNotNull(), F.log(F.greatest(v, F.lit(1e-6)))) for v in values], [F.lit(w) for w in FIXED.values()])
-    return scored(t).select("key", r(F.exp(logs)).alias("score"))
+    return scored(t).select("key", r(weighted_mean([F.col(m) for m in FIXED], [F.lit(w) for w in FIXED.values()], geometric=True)).alias("score"))
 
 
 @query("q16_arithmetic_aggregate", f"with {SCORED} select key, round({ARITH}, 6) score from scored")
