@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,10 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+def _from_messages(messages: Column, role: str, text: str) -> Column:
+    return F.transform(messages, lambda m: _turn(_role(m[role]), m[text]))
+
+
 def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """conv_id and turns of every conversation of a table in any known layout."""
     mapping = select_mapping(df.schema, [conv_id])
@@ -112,8 +116,7 @@ def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
         return grouped.select(conv_id, F.transform("turns", lambda t: _turn(t["role"], t["text"])).alias("turns"))
     if mapping.messages:
         array, role, text = mapping.messages
-        turns = F.transform(F.coalesce(F.col(array), F.array()), lambda m: _turn(_role(m[role]), m[text]))
-        return df.select(conv_id, turns.alias("turns"))
+        return df.select(conv_id, F.coalesce(_from_messages(F.col(array), role, text), F.array().cast(TURNS)).alias("turns"))
     turns = F.array(*[_turn(F.lit(role), F.col(path)) for role, path in mapping.turns])
     return df.select(conv_id, turns.alias("turns"))
 
@@ -132,7 +135,7 @@ def canonical_json(df: DataFrame, column: str, conv_id: str = "conv_id") -> Data
             array, role, text = m.messages
             seen = f"OBJECT<{array}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>"
             items = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            got = F.transform(items, lambda x, role=role, text=text: _turn(_role(x[role]), x[text]))
+            got = _from_messages(items, role, text)
         else:
             seen = f"OBJECT<{', '.join(sorted(p for _, p in m.turns))}>"
             got = F.array(*[_turn(F.lit(r), F.try_variant_get(v, f"$.{p}", "string")) for r, p in m.turns])
