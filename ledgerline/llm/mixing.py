@@ -37,7 +37,7 @@ from .common import stored, words
 
 OWN = ["size", "source_size", "target", "copies", "taken"]
 #: Documents of a chunk, about; residuals that meet in one node of the tree.
-CHUNK, FAN = 10_000, 64
+CHUNK, FAN = 2_000, 64
 
 
 def targets(
@@ -172,7 +172,8 @@ def mix(
     done, level, todo = [], 0, rated
     key = ["_node", "source"]
     while True:
-        dealt = todo.repartition(*key).sortWithinPartitions(*key, F.desc("size"), "doc_id")
+        # By chunk alone: all sources of a chunk share a task, so a hot source weighs on none.
+        dealt = todo.repartition("_node").sortWithinPartitions(*key, F.desc("size"), "doc_id")
         last = n_chunks <= 1
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in dealt.schema])
         after = dealt.mapInArrow(_round(level, last, key), schema)
