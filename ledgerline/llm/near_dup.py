@@ -3,11 +3,12 @@
 Exact: documents whose sets of word n-grams (64-bit hashes) have a Jaccard
 similarity of at least `percent` / 100 are linked, and none of these links is lost.
 
-1. Blocks.  Of two such sets with sizes in one class (from l to 1.5 l for the smaller)
-   at most d members differ, so if each set is dealt by hash to d + 1 parts, one part
-   is equal in both.  The sums of the parts' members are the keys under which a
-   document is known (a document is in the class of its own size and in those of the
-   smaller partners it may have).  A key that several documents of one batch share
+1. Blocks.  Of two such sets with sizes in one class (the smaller between l and a fixed
+   multiple of l) at most d members differ, so if each set is dealt by hash to more than
+   d parts, one part is equal in both.  The sums of the parts' members are the keys under
+   which a document is known (a document is in the class of its own size and in those of
+   the smaller partners it may have; keys_of() says how empty parts and members that are
+   common in the corpus are kept out of the keys).  A key that several documents of one batch share
    leaves the task once; edges to the least document of each key follow from a window,
    and their components are clusters outside of which no link exists.
 2. Signature trees.  A cluster's members that two sets share get one bit each.  Sets
@@ -28,6 +29,7 @@ document whose sets are all compared; columns other than doc_id and text don't m
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ from .common import stored
 from .components import components
 from .textscan import LOWER, SPACED, grams, mix, rolling, slices, span_hashes, word_spans
 
-RATIO, FAN = 1.5, 16
+FAN, DEALS = 16, 12
+#: Members counted at once; documents of these that hold a frequent one; frequent ones kept (8 bytes each).
+MEMBERS, OFTEN, COMMON = 1 << 20, 4, 100_000
 #: Documents and characters of a chunk, about.
 CHUNK, CHARS = 4096, 16 << 20
 #: Keys of a batch.
@@ -64,46 +68,107 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + r, whole[:0]
 
 
-def size_classes(size: int, percent: int) -> list[int]:
-    """Numbers of the classes that a set of this size is known in."""
-    least = -(-size * percent // 100)  # the smallest partner
-    first = int(np.floor(np.log(least) / np.log(RATIO) + 1e-9))
-    last = int(np.floor(np.log(size) / np.log(RATIO) + 1e-9))
-    return list(range(first, last + 1))
+def _class(size: int, ratio: float) -> int:
+    return int(np.floor(np.log(size) / np.log(ratio) + 1e-9))
 
 
+def ratio_of(percent: int) -> float:
+    return 1.5 if percent >= 90 else 1.25
+
+
+def size_classes(size: int, percent: int) -> range:
+    """Numbers of the classes that a set of this size is known in: its own and its smaller partners'."""
+    ratio = ratio_of(percent)
+    return range(_class(-(-size * percent // 100), ratio), _class(size, ratio) + 1)
+
+
+@cache
 def parts_of(klass: int, percent: int) -> tuple[int, int]:
-    """(parts, empty parts that a set may leave out), for pairs whose smaller set is in the class.
+    """(parts, empty parts that are provided for), for pairs whose smaller set is in the class.
 
     With J >= p/100 the symmetric difference is at most d = (1 - J) / (1 + J) * (a + b),
-    and b <= a * 100 / p.  Of d + 1 + e parts, e + 1 are equal in both sets, so a set with
-    at most e empty parts needn't be known by these (empty parts are equal in sets that
-    have nothing in common); a set with more is known by all of its parts."""
-    largest = np.ceil(RATIO ** (klass + 1)) + 1
-    j = percent / 100
+    and b <= a * 100 / p.  Of d + 1 + e parts, e + 1 are equal in both sets."""
+    ratio, j = ratio_of(percent), percent / 100
+    least, largest = ratio**klass, np.ceil(ratio ** (klass + 1)) + 1
     d = int(largest * (1 + 1 / j) * (1 - j) / (1 + j) + 1e-9)
-    spare = 1 + d // 25 if d else 0
-    return d + 1 + spare, spare
-
-
-def keys_of(members: np.ndarray, percent: int) -> np.ndarray:
-    """The sums of the members of every part, for all classes of a set."""
-    scattered = np.sort(mix(members ^ U(0xA5A5A5A5A5A5A5A5)))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(scattered))])
+    e = 0
+    while e < (d + 2 if d else 0):  # up to what a small set of the class usually has
+        p = d + 1 + e
+        mean = p * np.exp(-least / p)
+        if e >= mean + 1.5 * np.sqrt(mean):
+            break
+        e += 1
+    return d + 1 + e, e
+
+
+def keys_of(members: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The sums of the members of every part that has any, for all classes of a set.
+
+    A part that is empty in both sets says nothing, so such parts give no key.  If one of
+    two linked sets has at most e empty parts, one of the e + 1 equal parts isn't empty.  A
+    set with more is dealt again by another hash, and so on until it has not: whichever of
+    two sets is done first, both have keys in that dealing.  The first dealing leaves out
+    the members that are common in the corpus (any fixed choice keeps the bound), lest
+    passages that many documents share join them all."""
+    todo = list(size_classes(len(members), percent))
     out = []
-    for klass in size_classes(len(members), percent):
-        parts, spare = parts_of(klass, percent)
-        edges = (np.arange(parts + 1, dtype=np.float64) * (2.0**64 / parts))
-        inner = np.searchsorted(scattered, edges[1:-1].astype(np.uint64))
-        bounds = np.concatenate([[0], inner, [len(scattered)]])
-        own = sums[bounds[1:]] - sums[bounds[:-1]]
-        key = mix(own + U(klass + 1) * U(0x9E3779B9) + mix(np.arange(parts, dtype=np.uint64)))
-        full = bounds[1:] > bounds[:-1]
-        out.append(key[full] if parts - int(full.sum()) <= spare else key)
+    for deal in range(DEALS):
+        base = members
+        if deal == 0 and len(common):
+            at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+            base = members[common[at] != members]
+        scattered = np.sort(mix(base ^ U(0xA5A5A5A5A5A5A5A5 + deal)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(scattered))])
+        for klass in list(todo):
+            parts, spare = parts_of(klass, percent)
+            edges = np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)
+            bounds = np.concatenate([[0], np.searchsorted(scattered, edges.astype(np.uint64)), [len(scattered)]])
+            own = sums[bounds[1:]] - sums[bounds[:-1]]
+            key = mix(own + U(1000 * deal + klass + 1) * U(0x9E3779B9) + mix(np.arange(parts, dtype=np.uint64)))
+            full = bounds[1:] > bounds[:-1]
+            done = parts - int(full.sum()) <= spare
+            out.append(key if deal == DEALS - 1 and not done else key[full])
+            if done:
+                todo.remove(klass)
+        if not todo:
+            break
     return np.concatenate(out)
 
 
-def _keys(n: int, percent: int):
+def _frequent(n: int):
+    """Rows (member, n) of the members that several documents of a batch hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def tell() -> pa.RecordBatch:
+            members, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            often = counts >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(members[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["member", "n"])
+
+        for batch in batches:
+            size = 0
+            for _, members in shingle_sets(batch.column(0), n):
+                held.append(members)
+                size += len(members)
+                if size >= MEMBERS:
+                    yield tell()
+                    size = 0
+            if held:
+                yield tell()
+
+    return run
+
+
+def common_members(rows: DataFrame, n: int) -> np.ndarray:
+    """The (at most COMMON) members that most documents hold, sorted; a hint that no result depends on."""
+    found = rows.select("text").mapInArrow(_frequent(n), "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
+    top = found.where(F.col("n") >= 4 * OFTEN).orderBy(F.desc("n"), "member").limit(COMMON)
+    return np.sort(np.array([r["member"] for r in top.select("member").collect()], np.int64).view(np.uint64))
+
+
+def _keys(n: int, percent: int, common):
     """Rows (key, a, b): b is null for a document's key, else a and b share a key in this batch."""
 
     def told(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
@@ -130,7 +195,7 @@ def _keys(n: int, percent: int):
             ids = batch.column(0).to_pylist()
             for row, members in shingle_sets(batch.column(1), n):
                 if len(members) and ids[row] is not None:
-                    keys.append(keys_of(members, percent))
+                    keys.append(keys_of(members, percent, common.value))
                     owners.append(ids[row])
                     held += len(keys[-1])
                     if held >= KEYS:
@@ -333,7 +398,8 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK)
     """doc_id, component_id and n_links of the documents that are linked with another."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    keyed = rows.mapInArrow(_keys(n, percent), "key long, a long, b long")
+    common = spark.sparkContext.broadcast(common_members(rows, n))
+    keyed = rows.mapInArrow(_keys(n, percent, common), "key long, a long, b long")
     least = F.expr("case when b is null then min(case when b is null then a end) over (partition by key, b is null) else a end")
     edges = keyed.select("a", "b", least.alias("least"), F.coalesce("b", "a").alias("other"))
     edges = edges.where("least <> other").select(F.col("least").alias("a"), F.col("other").alias("b")).distinct()
