@@ -361,7 +361,8 @@ def _blocks(n: int, percent: int):
         now, sets, owners, sides = None, [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(sets) > 1:
+            # A pair of chunks of which one is empty is no block: its rows meet in their own chunk.
+            if len(sets) > 1 and (now[1] == now[2] or 0 < sum(sides) < len(sides)):
                 for found in join_block(sets, owners, np.array(sides, np.uint8), percent):
                     yield pa.RecordBatch.from_arrays([pa.array(found[k]) for k in ("id", "root", "links")], names=["id", "root", "links"])
             sets.clear()
