@@ -114,14 +114,14 @@ def measure(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         100 * F.col("n_repeat_words") > rules.most_repeated_percent * F.col("n_words")
     )
     lost = 100 * (F.length("_text") - F.length("cleaned")) > rules.most_removed_percent * F.length("_text")
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost).drop("_text")
+    # A filter on these would be pushed down with all that they are made of, and that evaluated
+    # for every word again; no filter passes a row number, so the rules stay one projection.
+    here = F.monotonically_increasing_id() >= 0
+    return df.withColumns({"base_failed": failed & here, "kept": ~failed & ~lost & here}).drop("_text")
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that are kept, with their cleaned texts, in the columns of docs."""
-    # A filter would be pushed down with all that kept is made of, and that evaluated for every
-    # word again; the row number, which no filter passes, keeps the rules in one projection.
-    found = measure(docs, rules).withColumn("_row", F.monotonically_increasing_id())
-    found = found.where(F.col("kept") & (F.col("_row") >= 0))
+    found = measure(docs, rules).where("kept")
     back = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
     return found.select(*[back[c].alias(c) if c in back else F.col(f"`{c}`") for c in docs.columns])
