@@ -47,7 +47,7 @@ class LineRules:
         r"licensed under the|copyright (?:\(c\)|©))"
     )
     #: Shouting and symbol noise: words that end in runs of marks, three in a line.
-    noise: str = r"[!?#*$%&<>~^=]{2}(?=\s|$).*?[!?#*$%&<>~^=]{2}(?=\s|$).*?[!?#*$%&<>~^=]{2}(?=\s|$)"
+    noise: str = r"[!?#*$%&<>~^=]{2}\s.*?[!?#*$%&<>~^=]{2}\s.*?[!?#*$%&<>~^=]{2}(?:\s|$)"
     #: Document-wide: least words, and the share of words in repeated windows (percent).
     least_words: int = 50
     most_repeated_percent: int = 50

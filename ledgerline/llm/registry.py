@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import oracle_sql  # noqa: F401  (the entry reads it here)
 from . import chat_format, decontaminate, mixing, near_dup, quality_rules, secret_scan, suffix_dedup, token_counts, token_output, toxicity
 
 
@@ -110,7 +111,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": op9_secret_scan,
         "op10_mixing": op10_mixing,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
