@@ -322,3 +322,15 @@ def q64(t: Tables) -> DataFrame:
     counts = t.customer.groupBy(F.floor(F.col("c_acctbal") / 1000).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     bins = t.spark.range(-2, 12).withColumnRenamed("id", "b")
     return bins.join(counts, "b", "left").select((F.col("b") * 1000).alias("bin_lo"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    "q91_draw_matrix_long",
+    f"""with {DRAWS}, f as (select draw, case when draw % 2 = 0 then 'even' else 'odd' end parity, 'rank' as normaliser from (select distinct draw from pct))
+ select draw, key, round(pct, 4) percentile, parity, normaliser from pct join f using (draw) where key <= 50""",
+)
+def q91(t: Tables) -> DataFrame:
+    factors = t.spark.range(40).select(
+        F.col("id").alias("draw"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("parity"), F.lit("rank").alias("normaliser")
+    )
+    return draws(t).join(F.broadcast(factors), "draw").where("key <= 50").select("draw", "key", r("pct", 4).alias("percentile"), "parity", "normaliser")
