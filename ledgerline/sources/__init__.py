@@ -1 +1,3 @@
+"""Sources: importing this package registers all connectors."""
 
+from . import connectors, tables  # noqa: F401
