@@ -409,7 +409,10 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK)
     lengths = rows.select(F.col("doc_id").alias("vertex"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
     sized = clusters.join(lengths, "vertex").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("chars") / CHARS)).cast("int")
-    placed = clusters.join(sized, "component").select("vertex", "component", chunks.alias("chunks"))
+    # Only clusters of several chunks are joined: small ones, however many, need no look-up.
+    large = stored(sized.where((F.col("n") > chunk) | (F.col("chars") > CHARS)).select("component", chunks.alias("chunks")), "near-large")
+    large = F.broadcast(large) if large.count() <= 100_000 else large
+    placed = clusters.join(large, "component", "left").select("vertex", "component", F.coalesce("chunks", F.lit(1)).alias("chunks"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
     text = rows.join(placed, rows["doc_id"] == placed["vertex"]).select("doc_id", "text", "component", "chunks", "own")
     tasks = F.expr(
