@@ -80,11 +80,13 @@ REGISTRY = {fingerprint(list(m.field_paths)): m for m in MAPPINGS}
 
 
 def select_mapping(schema: T.StructType, ids: list[str]) -> Mapping:
+    """The mapping of a schema's fingerprint; where columns that no mapping knows stand beside
+    a layout, that of the fingerprint without them (of several, the one with the most fields)."""
     found = paths(T.StructType([f for f in schema.fields if f.name not in ids]))
-    mapping = REGISTRY.get(fingerprint(found))
-    if mapping is None:
-        raise ValueError(f"no mapping for a layout with the fields {found}")
-    return mapping
+    for known in ({p for p in found if any(p in m.field_paths for m in MAPPINGS)}, *sorted((set(m.field_paths) for m in MAPPINGS), key=len, reverse=True)):
+        if known <= set(found) and (mapping := REGISTRY.get(fingerprint(list(known)))):
+            return mapping
+    raise ValueError(f"no mapping for a layout with the fields {found}")
 
 
 def _role(role: Column) -> Column:

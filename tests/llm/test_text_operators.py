@@ -97,6 +97,7 @@ def test_layouts_are_told_by_their_fingerprints(spark):
     want = [("user", "hi"), ("assistant", "there")]
     for df in (a, b):
         assert [tuple(t) for t in chat_format.canonical(df).first()["turns"]] == want
+        assert [tuple(t) for t in chat_format.canonical(df.withColumns({"score": F.lit(1), "text": F.lit("x")})).first()["turns"]] == want
     with pytest.raises(ValueError, match="no mapping"):
         chat_format.canonical(a.withColumnRenamed("prompt", "odd"))
     lines = [json.dumps({"prompt": "hi", "completion": "there"}), json.dumps({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "there"}]}), "not json", json.dumps({"x": 1})]
