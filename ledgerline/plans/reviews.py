@@ -141,7 +141,13 @@ def q42(t: Tables) -> DataFrame:
  select 'extreme' rule, 'review' severity, event_id::varchar as key, round(value, 4) as value from d where abs(l - m) / (1.4826 * greatest(mad, 1e-9)) > 3.5
  union all select 'duplicate line', 'error', l_orderkey || '/' || l_linenumber, count(*)::double from lineitem group by l_orderkey, l_linenumber having count(*) > 2
  union all select 'ship before order', 'error', l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey, round(l_quantity, 4) from lineitem join orders on o_orderkey = l_orderkey where l_shipdate < o_orderdate - interval 2000 day
- union all select 'zero balance', 'review', c_custkey::varchar, round(c_acctbal, 4) from customer where c_acctbal <= 0""",
+ union all select 'zero balance', 'review', c_custkey::varchar, round(c_acctbal, 4) from customer where c_acctbal <= 0
+ union all select 'contradicting flags', 'review', doc_id::varchar, 1.0 from labels where quality = 1 and toxic = 1
+ union all select 'impossible count', 'error', l_orderkey::varchar, count(*)::double from lineitem group by l_orderkey having count(*) > 7 * count(distinct l_suppkey)
+ union all select 'outside window', 'review', event_id::varchar, round(value, 4) from events where event_type = 'signup' and ts >= timestamp '2024-01-28'
+ union all select 'implausible rate', 'review', o_custkey::varchar, round(median(o_totalprice), 4) from orders group by o_custkey having median(o_totalprice) < 100000 or median(o_totalprice) > 400000 or avg((o_totalprice not between 20000 and 480000)::double) > 0.3
+ union all select 'one-sided cases', 'review', l_suppkey::varchar, round(avg((l_returnflag = 'R')::double), 4) from lineitem group by l_suppkey having count(*) >= 5 and avg((l_returnflag = 'R')::double) >= 0.4
+ union all select 'large on few', 'review', l_suppkey::varchar, round(sum(l_quantity), 4) from lineitem group by l_suppkey having count(distinct l_partkey) <= 100 and sum(l_quantity) >= 1000""",
 )
 def q45(t: Tables) -> DataFrame:
     rule = lambda df, name, severity, key, value: df.select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), key.alias("key"), value.alias("value"))
@@ -152,7 +158,25 @@ def q45(t: Tables) -> DataFrame:
     extreme = z.where(F.col("dev") / (1.4826 * F.greatest(F.col("mad"), F.lit(1e-9))) > 3.5)
     lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("n")).where("n > 2")
     early = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).where("l_shipdate < o_orderdate - interval 2000 days")
-    return (
+    one = F.lit(1.0)
+    flags = t.labels.where("quality = 1 and toxic = 1")
+    counts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("k")).where("n > 7 * k")
+    late = t.events.where((F.col("event_type") == "signup") & (F.col("ts") >= F.lit("2024-01-28").cast("timestamp")))
+    outside = F.avg((~F.col("o_totalprice").between(20000, 480000)).cast("double"))
+    rates = t.orders.groupBy("o_custkey").agg(F.median("o_totalprice").alias("m"), outside.alias("out")).where("m < 100000 or m > 400000 or out > 0.3")
+    by_owner = t.lineitem.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"), F.countDistinct("l_partkey").alias("parts"), F.sum("l_quantity").alias("q")
+    )
+    key = lambda c: F.col(c).cast("string")
+    more = (
+        rule(flags, "contradicting flags", "review", key("doc_id"), one)
+        .unionByName(rule(counts, "impossible count", "error", key("l_orderkey"), F.col("n").cast("double")))
+        .unionByName(rule(late, "outside window", "review", key("event_id"), r("value", 4)))
+        .unionByName(rule(rates, "implausible rate", "review", key("o_custkey"), r("m", 4)))
+        .unionByName(rule(by_owner.where("n >= 5 and returned >= 0.4"), "one-sided cases", "review", key("l_suppkey"), r("returned", 4)))
+        .unionByName(rule(by_owner.where("parts <= 100 and q >= 1000"), "large on few", "review", key("l_suppkey"), r("q", 4)))
+    )
+    return more.unionByName(
         rule(extreme, "extreme", "review", F.col("event_id").cast("string"), r("value", 4))
         .unionByName(rule(lines, "duplicate line", "error", F.concat_ws("/", "l_orderkey", "l_linenumber"), F.col("n")))
         .unionByName(rule(early, "ship before order", "error", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), r("l_quantity", 4)))
@@ -363,3 +387,29 @@ def q90(t: Tables) -> DataFrame:
         .unionByName(tell(t.documents.select("doc_id"), "one row a document", n == F.countDistinct("doc_id")))
         .unionByName(tell(t.lineitem, "line keys unique", n == F.countDistinct("l_orderkey", "l_linenumber")))
     )
+
+
+@query(
+    "q92_levers_credibility",
+    """with b as (select c_custkey k, c_mktsegment sector, case when c_acctbal > 0 then c_acctbal end v from customer), q as (select *, quantile_cont(v, 0.333) over (partition by sector) lo, quantile_cont(v, 0.667) over (partition by sector) hi, count(v) over (partition by sector) n from b),
+ g as (select user_id k, count(distinct event_type) kinds, max(value) top, min(value) bottom from events group by 1)
+ select q.k as key, case when n < 5 or v is null then 'no peers' when v >= hi then 'already' else printf('%+.1f%%', round(100 * (hi / v - 1), 1)) end lever, case when v >= hi then 'top' when v >= lo then 'middle' when v is not null then 'bottom' end tercile,
+ coalesce(concat_ws('; ', case when kinds < 3 then 'few kinds' end, case when top > 150 then 'high peak' end, case when bottom < 0.5 then 'near zero' end), '') flags,
+ case when kinds is null then 'none' when (kinds < 3)::int + (top > 150)::int + (bottom < 0.5)::int = 0 then 'credible' when (kinds < 3)::int + (top > 150)::int + (bottom < 0.5)::int <= 2 then 'some doubt' else 'doubtful' end credibility from q left join g using (k)""",
+)
+def q92(t: Tables) -> DataFrame:
+    """What a tercile of the peers asks for, and which flags speak against a series."""
+    w = Window.partitionBy("sector")
+    v = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
+    b = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("sector"), v.alias("v"))
+    b = b.select("key", "v", F.percentile("v", F.lit(0.333)).over(w).alias("lo"), F.percentile("v", F.lit(0.667)).over(w).alias("hi"), F.count("v").over(w).alias("n"))
+    g = t.events.groupBy(F.col("user_id").alias("key")).agg(F.countDistinct("event_type").alias("kinds"), F.max("value").alias("top"), F.min("value").alias("bottom"))
+    change = F.format_string("%+.1f%%", F.round(100 * (F.col("hi") / F.col("v") - 1), 1))
+    flags = F.array_compact(F.array(F.when(F.col("kinds") < 3, "few kinds"), F.when(F.col("top") > 150, "high peak"), F.when(F.col("bottom") < 0.5, "near zero")))
+    said = F.size(flags)
+    return b.join(g, "key", "left").select(
+        "key", F.when((F.col("n") < 5) | F.col("v").isNull(), "no peers").when(F.col("v") >= F.col("hi"), "already").otherwise(change).alias("lever"),
+        F.when(F.col("v") >= F.col("hi"), "top").when(F.col("v") >= F.col("lo"), "middle").when(F.col("v").isNotNull(), "bottom").alias("tercile"),
+        F.array_join(flags, "; ").alias("flags"),
+        F.when(F.col("kinds").isNull(), "none").when(said == 0, "credible").when(said <= 2, "some doubt").otherwise("doubtful").alias("credibility"),
+    )

@@ -334,3 +334,26 @@ def q91(t: Tables) -> DataFrame:
         F.col("id").alias("draw"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("parity"), F.lit("rank").alias("normaliser")
     )
     return draws(t).join(F.broadcast(factors), "draw").where("key <= 50").select("draw", "key", r("pct", 4).alias("percentile"), "parity", "normaliser")
+
+
+def _without(m: str) -> dict[str, float]:
+    return {k: w for k, w in FIXED.items() if k != m}
+
+
+def mean_sql(weights: dict[str, float]) -> str:
+    return "round((" + " + ".join(f"coalesce({w} * {k}, 0)" for k, w in weights.items()) + ") / nullif(" + " + ".join(f"case when {k} is not null then {w} else 0 end" for k, w in weights.items()) + ", 0), 9)"
+
+
+@query(
+    "q93_leave_one_out",
+    f"with {SCORED}, s as (select {mean_sql(FIXED)} whole, {', '.join(f'{mean_sql(_without(m))} no_{m}' for m in METRICS)} from scored), f as (select * from s where whole is not null and {' and '.join(f'no_{m} is not null' for m in METRICS)}),"
+    f" k as (select {', '.join(f'rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 {c}' for c in ['whole', *[f'no_{m}' for m in METRICS]])} from f) "
+    + " union all ".join(f"select '{m}' left_out, round(corr(whole, no_{m}), 6) rho from k" for m in METRICS),
+)
+def q93(t: Tables) -> DataFrame:
+    """Rank correlation of the score with the score that leaves one metric out."""
+    mean = lambda ws: F.round(weighted_mean([F.col(k) for k in ws], [F.lit(w) for w in ws.values()]), 9)
+    names = ["whole", *[f"no_{m}" for m in METRICS]]
+    df = scored(t).select(mean(FIXED).alias("whole"), *[mean(_without(m)).alias(f"no_{m}") for m in METRICS]).dropna()
+    row = df.select(*[percentile_rank(F.col(c), []).alias(c) for c in names]).agg(*[F.corr("whole", f"no_{m}").alias(m) for m in METRICS])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("left_out"), r(m).alias("rho")) for m in METRICS])))
