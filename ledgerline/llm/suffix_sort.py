@@ -88,6 +88,15 @@ class Suffixes:
         order = np.argsort(chars, kind="stable")
         at, before, chars = at[order], before[order], chars[order]
         cuts = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]])) if len(chars) else np.zeros(0, np.int64)
+        if not self.carry:
+            same = (source[:0], value)
+            for i, a in enumerate(cuts.tolist()):
+                run = (before[a : int(cuts[i + 1]) if i + 1 < len(cuts) else len(chars)], value)
+                if chars[a] == char:
+                    same = run
+                else:
+                    queue.push(int(chars[a]), *run)
+            return same
         total = value.min()
         same = (source[:0], value[:0])
         fresh = {}
@@ -118,15 +127,17 @@ class Suffixes:
     def _bucket(self, queue: Queue, low: np.ndarray, char: int, small: bool) -> tuple[np.ndarray, np.ndarray]:
         """All entries that the queue holds for a character, with those that they induce themselves."""
         done, todo = [], self._join(queue.pop(char))
-        if len(todo[0]):
+        if len(todo[1]):
             todo[1][0] = 0
         while len(todo[0]):
             done.append(todo)
             todo = self._send(queue, low, *todo, small)
         return self._join(done)
 
-    def induce(self, lms: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array and its common-prefix values, from sorted leftmost-smaller suffixes."""
+    def induce(self, lms: np.ndarray, values: np.ndarray, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array and its common-prefix values (empty unless carried), from sorted
+        leftmost-smaller suffixes."""
+        self.carry = carry
         bounds = np.searchsorted(self.t[lms], np.arange(CHARS + 1)) if len(lms) else np.zeros(CHARS + 1, np.int64)
         queue, low = Queue(self.folder, self.most), np.zeros(CHARS, np.int64)
         large: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -135,7 +146,9 @@ class Suffixes:
             run = self._bucket(queue, low, c, False)
             large[c] = run
             own, value = lms[bounds[c] : bounds[c + 1]], values[bounds[c] : bounds[c + 1]].copy()
-            if len(own):
+            if len(own) and not carry:
+                self._send(queue, low, own, values, False)
+            elif len(own):
                 value[0] = self.common(int(run[0][-1]), int(own[0])) if len(run[0]) else 0
                 self._send(queue, low, own, value, False)
         queue, low = Queue(self.folder, self.most), np.zeros(CHARS, np.int64)
@@ -145,9 +158,16 @@ class Suffixes:
             down = self._bucket(queue, low, c, True)
             if c == 0:  # the very last end has no suffix after it that could induce it
                 last = len(self.t) - 1
-                value = self.common(int(down[0][-1]), last) if len(down[0]) else 0
-                down = (np.append(down[0], last), np.append(down[1], np.int16(value)))
+                if not carry:
+                    down = (np.append(down[0], last), down[1])
+                else:
+                    value = self.common(int(down[0][-1]), last) if len(down[0]) else 0
+                    down = (np.append(down[0], last), np.append(down[1], np.int16(value)))
             up = large[c]
+            if not carry:
+                self._send(queue, low, up[0][::-1], values, True)
+                out.append((np.concatenate([down[0], up[0][::-1]])[::-1], values))
+                continue
             back = (up[0][::-1], np.concatenate([np.zeros(min(1, len(up[0])), np.int16), up[1][:0:-1]]))
             if len(back[0]):
                 if len(down[0]):
@@ -173,7 +193,7 @@ class Suffixes:
         prefix = lambda a, m: mix((sums[a + m] - sums[a]) * inverse[a])
         # names: one sweep from unsorted suffixes sorts the substrings between them
         first = lms[np.argsort(t[lms], kind="stable")]
-        rough, _ = self.induce(first, np.zeros(len(first), np.int16))
+        rough, _ = self.induce(first, np.zeros(0, np.int16), carry=False)
         number = np.full(len(t), -1, np.int64)
         number[lms] = np.arange(len(lms))
         order = number[rough]
@@ -185,26 +205,29 @@ class Suffixes:
         rank = np.empty(len(lms), np.int64)
         rank[order] = np.cumsum(new)
         step = 1
-        while step < self.depth and rank.max() < len(rank):
+        while 2 * step < self.depth and rank.max() < len(rank):  # a name is two characters or more
             after = np.zeros(len(rank), np.int64)
             after[:-step] = rank[step:]
             both = rank * (len(rank) + 1) + after
-            order = np.argsort(both, kind="stable")
+            order = np.argsort(both)
+            both = both[order]
             new = np.ones(len(order), bool)
-            new[1:] = both[order][1:] != both[order][:-1]
+            new[1:] = both[1:] != both[:-1]
             rank[order] = np.cumsum(new)
             step *= 2
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         lms = lms[order]
-        low, high = np.zeros(len(lms), np.int64), np.full(len(lms), self.depth)
-        a, b = np.concatenate([lms[:1], lms[:-1]]), lms
-        high = np.minimum(high, len(t) - np.maximum(a, b))
+        values = np.zeros(len(lms), np.int64)
+        values[1:] = np.minimum(self.depth, len(t) - np.maximum(lms[1:], lms[:-1]))
+        # Equal ranks share all of the depth; the others are searched.
+        at = np.flatnonzero(rank[order][1:] != rank[order][:-1]) + 1
+        a, b, low, high = lms[at - 1], lms[at], np.zeros(len(at), np.int64), values[at]
         while (low < high).any():
             middle = (low + high + 1) >> 1
             equal = prefix(a, middle) == prefix(b, middle)
             low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
-        low[0] = 0
-        return self.induce(lms, low.astype(np.int16))
+        values[at] = low
+        return self.induce(lms, values.astype(np.int16))
 
 
 def suffix_array(texts: list[bytes], depth: int, spill_over: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
