@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import stored, words
 
-OWN = ["size", "source_size", "target", "copies", "taken"]
+OWN = ["size", "source_size", "target", "copies", "taken", "_p", "_node", "_source", "_copy"]
 #: Documents of a chunk, about; residuals that meet in one node of the tree.
 CHUNK, FAN = 2_000, 64
 
@@ -82,22 +82,22 @@ class _Pair:
 
     def meet(self, doc: dict, level: int) -> list[dict]:
         """The documents that this meeting settles."""
-        if doc["p"] <= 1e-12 or doc["p"] >= 1 - 1e-12:
-            doc["p"] = float(doc["p"] > 0.5)
+        if doc["_p"] <= 1e-12 or doc["_p"] >= 1 - 1e-12:
+            doc["_p"] = float(doc["_p"] > 0.5)
             return [doc]
         a, b = self.open, doc
         if a is None:
             self.open = b
             return []
-        up = min((1 - a["p"]) * a["size"], b["p"] * b["size"])  # words from b to a
-        down = min(a["p"] * a["size"], (1 - b["p"]) * b["size"])
+        up = min((1 - a["_p"]) * a["size"], b["_p"] * b["size"])  # words from b to a
+        down = min(a["_p"] * a["size"], (1 - b["_p"]) * b["size"])
         move = up if _draw(a["doc_id"], b["doc_id"], a["size"], b["size"], level) * (up + down) < down else -down
-        a["p"] = min(1.0, max(0.0, a["p"] + move / a["size"]))
-        b["p"] = min(1.0, max(0.0, b["p"] - move / b["size"]))
+        a["_p"] = min(1.0, max(0.0, a["_p"] + move / a["size"]))
+        b["_p"] = min(1.0, max(0.0, b["_p"] - move / b["size"]))
         settled, self.open = [], None
         for x in (a, b):
-            if x["p"] <= 1e-9 or x["p"] >= 1 - 1e-9:
-                x["p"] = float(x["p"] > 0.5)
+            if x["_p"] <= 1e-9 or x["_p"] >= 1 - 1e-9:
+                x["_p"] = float(x["_p"] > 0.5)
                 settled.append(x)
             else:
                 self.open = x
@@ -105,7 +105,7 @@ class _Pair:
 
 
 def _round(level: int, last: bool, key: list[str]):
-    """Streams rows sorted by key.  Settled rows get p = 0 or 1; of every group one row
+    """Streams rows sorted by key.  Settled rows get _p = 0 or 1; of every group one row
     at most stays open (on the last level none does)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +115,13 @@ def _round(level: int, last: bool, key: list[str]):
             x, pair.open = pair.open, None
             if x is not None:
                 if last:
-                    x["p"] = float(x["p"] >= 0.5)
+                    x["_p"] = float(x["_p"] >= 0.5)
                 settled.append(x)
 
         def rows(table: pa.Table, docs: list[dict]) -> Iterator[pa.RecordBatch]:
             out = table.take(pa.array([d["at"] for d in docs], pa.int64()))
-            where = out.schema.get_field_index("p")
-            out = out.set_column(where, out.schema.field("p"), pa.array([d["p"] for d in docs], pa.float64()))
+            where = out.schema.get_field_index("_p")
+            out = out.set_column(where, out.schema.field("_p"), pa.array([d["_p"] for d in docs], pa.float64()))
             yield from out.to_batches()
 
         for batch in batches:
@@ -131,7 +131,7 @@ def _round(level: int, last: bool, key: list[str]):
                 pair.open["at"] = 0
             settled: list[dict] = []
             begin = 0 if held is None else 1
-            own = table.select(list(dict.fromkeys([*key, "doc_id", "size", "p"]))).slice(begin).to_pylist()
+            own = table.select(list(dict.fromkeys([*key, "doc_id", "size", "_p"]))).slice(begin).to_pylist()
             for at, doc in enumerate(own, begin):
                 doc["at"] = at
                 if (now := tuple(doc[k] for k in key)) != group:
@@ -166,7 +166,7 @@ def mix(
     rate = F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(F.lit(0.0))
     n_chunks = max(1, math.ceil((n or 0) / chunk))
     rated = joined.select(
-        *rest, "size", "source_size", "target", F.floor(rate).alias("copies"), (rate - F.floor(rate)).alias("p"),
+        *rest, "size", "source_size", "target", F.floor(rate).alias("copies"), (rate - F.floor(rate)).alias("_p"),
         F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_chunks)).alias("_node"),
     )
     done, level, todo = [], 0, rated
@@ -181,14 +181,14 @@ def mix(
             done.append(after)
             break
         after = stored(after, f"mix-level{level}")
-        settled = (F.col("p") == 0) | (F.col("p") == 1)
+        settled = (F.col("_p") == 0) | (F.col("_p") == 1)
         done.append(after.where(settled))
         n_chunks, level = math.ceil(n_chunks / fan), level + 1
         todo = after.where(~settled).withColumn("_node", F.expr(f"_node div {fan}"))
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    copies = (F.col("copies") + F.col("p")).cast("long")
+    copies = (F.col("copies") + F.col("_p")).cast("long")
     return out.select(*rest, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

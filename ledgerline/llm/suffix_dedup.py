@@ -269,8 +269,8 @@ def digests(docs: DataFrame, window: int = 200) -> DataFrame:
 def cut(docs: DataFrame, window: int = 200) -> DataFrame:
     """docs without the repeated bytes, in the columns of docs; what a cut leaves of a
     character is replaced by U+FFFD."""
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    hits = _hits(rows.select("row", F.coalesce("text", F.lit("")).alias("text")), window).select(F.col("row").alias("_row"), "kept")
-    text = F.when(F.col("kept").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
-    joined = rows.join(hits, F.col("row") == F.col("_row"), "left")
+    rows = docs.withColumn("_number", F.monotonically_increasing_id())
+    hits = _hits(rows.select(F.col("_number").alias("row"), F.coalesce("text", F.lit("")).alias("text")), window).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
+    text = F.when(F.col("_kept").isNotNull(), F.make_valid_utf8(F.col("_kept").cast("string"))).otherwise(F.col("text"))
+    joined = rows.join(hits, F.col("_number") == F.col("_row"), "left")
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

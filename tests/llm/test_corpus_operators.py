@@ -139,8 +139,9 @@ def test_suffix_dedup(spark, docs, empty, prose, window):
     got = sorted(((-1 if r[0] is None else r[0]), *r[1:]) for r in map(tuple, suffix_dedup.digests(df, window).collect()))
     want = sorted((-1 if i is None else i, *w) for (i, _), w in zip(texts, removed([t for _, t in texts], window), strict=True))
     assert got == want
-    cut = {r["doc_id"]: r["text"] for r in suffix_dedup.cut(df, window).collect()}
-    assert cut[1001] == "" and suffix_dedup.cut(df, window).columns == df.columns
+    odd = df.withColumns({"row": F.lit(5), "kept": F.lit("k")})
+    cut = {r["doc_id"]: r for r in suffix_dedup.cut(odd, window).collect()}
+    assert cut[1001]["text"] == "" and (cut[1001]["row"], cut[1001]["kept"]) == (5, "k") and suffix_dedup.cut(df, window).columns == df.columns
     assert suffix_dedup.digests(empty, window).count() == 0
 
 
@@ -226,6 +227,8 @@ def test_mixing(spark, docs, empty, chunk, fan):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
     key = lambda rs: sorted((str(r["doc_id"]), r["taken"]) for r in rs)
     assert key(rows) == key(mixing.mix(df.repartition(7), chunk=chunk, fan=fan).collect())
+    odd = df.withColumns({"p": F.lit(5), "docs": F.lit("k"), "target": F.lit(1)})
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mix(odd).where("p = 5 and docs = 'k'").count() == df.count()
     assert mixing.mixed(df).columns == df.columns
     assert mixing.mixed(df).count() == sum(r["copies"] for r in mixing.mix(df).collect())
     assert mixing.mix(empty).count() == 0
