@@ -37,10 +37,8 @@ def _count(path: str):
                 texts = [t or "" for t in batch.column(text).slice(i, j - i).to_pylist()]
                 cut = [enc.pretokens(t) for t in texts]
                 frequencies = [None if c is None else Counter(c) for c in cut]
-                if known := [f for f in frequencies if f]:
-                    enc.learn(set().union(*known))
                 whole = iter(enc.whole([t for t, f in zip(texts, frequencies, strict=True) if f is None]))
-                pieces = enc.cache
+                pieces = enc.pieces()
                 for f in frequencies:
                     counts.append(len(next(whole)) if f is None else sum(n * pieces[w] for w, n in f.items()))
             yield pa.RecordBatch.from_arrays(

@@ -100,10 +100,8 @@ def _write(path: str, end_id: int, segment: int):
             for i, j, *_ in slices(text_of):
                 texts = [t or "" for t in text_of.slice(i, j - i).to_pylist()]
                 cut = [enc.pretokens(t) for t in texts]
-                if some := [c for c in cut if c]:
-                    enc.learn(set().union(*some))
                 whole = iter(enc.whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-                known = enc.cache.__getitem__
+                known = enc.pieces().__getitem__
                 for doc_id, c in zip(ids_of.slice(i, j - i).to_pylist(), cut, strict=True):
                     own = np.array(next(whole), "<u4").tobytes() if c is None else b"".join(map(known, c))
                     doc_ids.append(doc_id)

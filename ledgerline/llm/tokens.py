@@ -29,12 +29,24 @@ UNSURE = r"[^\x00-\x1b\x20-\x7f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-‾
 MOST = 1_000_000
 
 
+class Pieces(dict):
+    """What is kept of every pre-token's ids; a new one is encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[str], object]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> object:
+        value = self[word] = self.encode(word)
+        return value
+
+
 class Encoder:
     """piece: what is kept of a pre-token's ids (their number, their bytes, ...)."""
 
     def __init__(self, path: str, piece: Callable[[list[int]], object]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.piece, self.cache, self.cut = piece, {}, None
+        self.cut, self.known = None, Pieces(piece)
         if path.endswith(".model"):
             import sentencepiece
 
@@ -57,7 +69,8 @@ class Encoder:
         if plain:
             special = [re.escape(x["content"]) for x in said.get("added_tokens") or ()]
             self.cut = re.compile("|".join([*special, UNSURE]))
-            self.model = tokenizer.model
+            letters, tokenize = _byte_letters(), tokenizer.model.tokenize
+            self.known = Pieces(lambda word: piece([x.id for x in tokenize(word.encode().decode("latin-1").translate(letters))]))
 
     def pretokens(self, text: str) -> list[str] | None:
         """None: the text must be encoded whole."""
@@ -65,14 +78,11 @@ class Encoder:
             return None
         return PRETOKEN.findall(text)
 
-    def learn(self, pretokens: set[str]) -> None:
-        """Encodes those that aren't known yet, each once."""
-        if len(self.cache) > MOST:
-            self.cache.clear()
-        letters, tokenize, piece = _byte_letters(), self.model.tokenize, self.piece
-        for word in pretokens.difference(self.cache):
-            said = word.encode().decode("latin-1").translate(letters)
-            self.cache[word] = piece([x.id for x in tokenize(said)])
+    def pieces(self) -> Pieces:
+        """The pieces of pre-tokens, emptied when there are too many."""
+        if len(self.known) > MOST:
+            self.known.clear()
+        return self.known
 
 
 @cache
