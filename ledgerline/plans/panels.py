@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import percentile_rank, positive, safe_div
 from ledgerline.operators import panel
 from ledgerline.operators.dedupe import keep_first
+from ledgerline.operators.ranking import average_ranks
 
 from .base import Tables, query, r
 
@@ -155,8 +156,8 @@ def q43(t: Tables) -> DataFrame:
         base.where("year = 2000").select("suppkey", F.col("intensity").alias("y")), "suppkey"
     )
     n = F.count(F.lit(1))
-    ranked = both.withColumn("n", n.over(Window.partitionBy())).withColumn("rx", percentile_rank(F.col("x"), []) * F.col("n"))
-    ranked = ranked.withColumn("ry", percentile_rank(F.col("y"), []) * F.col("n")).withColumn("d", F.abs(F.col("rx") - F.col("ry")))
+    ranked = both.withColumns({"rx": F.col("x"), "ry": F.col("y")})
+    ranked = average_ranks(ranked, ["rx", "ry"]).withColumn("d", F.abs(F.col("rx") - F.col("ry")))
     ok = lambda c: r(F.when(n >= 20, c))
     return ranked.agg(
         n.alias("n"), ok(F.corr("rx", "ry")).alias("spearman"), ok(F.median("d")).alias("median_diff"), ok(F.percentile("d", F.lit(0.9))).alias("p90_diff")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import percentile_rank, weighted_mean
-from ledgerline.operators import scoring
+from ledgerline.operators import ranking, scoring
 
 from .base import Tables, query, r
 
@@ -47,11 +47,10 @@ def q06(t: Tables) -> DataFrame:
     f"with {ISSUERS}, k as (select key, row_number() over (order by bal desc, key) as rank, row_number() over (order by bal, key) as up, count(*) over () n from iss where bal is not null) select key, rank, round(100.0 * (up - 1) / (n - 1), 6) pct0, round((up - 0.5) / n, 6) pct_mid from k",
 )
 def q07(t: Tables) -> DataFrame:
-    # One global order: ranks of all issuers, a small table by nature.
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    df = issuers(t).where("bal is not null").select(
-        "key", F.row_number().over(Window.orderBy(F.desc("bal"), "key")).cast("bigint").alias("rank"), F.row_number().over(Window.orderBy("bal", "key")).alias("up"), n.alias("n")
-    )
+    down = ranking.row_numbers(issuers(t).select("key", "bal"), "bal", "key", "rank", descending=True).select("key", "rank")
+    up = ranking.row_numbers(issuers(t).select("key", "bal"), "bal", "key", "up").select("key", "up")
+    n = issuers(t).agg(F.count("bal").alias("n"))
+    df = down.join(up, "key").crossJoin(F.broadcast(n))  # one row
     return df.select("key", "rank", r(100.0 * (F.col("up") - 1) / (F.col("n") - 1)).alias("pct0"), r((F.col("up") - 0.5) / F.col("n")).alias("pct_mid"))
 
 
@@ -257,7 +256,7 @@ def q22(t: Tables) -> DataFrame:
 )
 def q44(t: Tables) -> DataFrame:
     full = wide(t).where("bal is not null and spend is not null")
-    ranked = full.select(*[percentile_rank(F.col(m), []).alias(m) for m in METRICS])
+    ranked = ranking.average_ranks(full.select(*METRICS), METRICS)
     pairs = [("bal", "spend"), ("bal", "orders"), ("spend", "orders")]
     row = ranked.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
     entries = F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), r(f"{a}_{b}").alias("rho")) for a, b in pairs])
@@ -355,5 +354,5 @@ def q93(t: Tables) -> DataFrame:
     mean = lambda ws: F.round(weighted_mean([F.col(k) for k in ws], [F.lit(w) for w in ws.values()]), 9)
     names = ["whole", *[f"no_{m}" for m in METRICS]]
     df = scored(t).select(mean(FIXED).alias("whole"), *[mean(_without(m)).alias(f"no_{m}") for m in METRICS]).dropna()
-    row = df.select(*[percentile_rank(F.col(c), []).alias(c) for c in names]).agg(*[F.corr("whole", f"no_{m}").alias(m) for m in METRICS])
+    row = ranking.average_ranks(df, names).agg(*[F.corr("whole", f"no_{m}").alias(m) for m in METRICS])
     return row.select(F.inline(F.array(*[F.struct(F.lit(m).alias("left_out"), r(m).alias("rho")) for m in METRICS])))
