@@ -329,10 +329,25 @@ def q64(t: Tables) -> DataFrame:
  select draw, key, round(pct, 4) percentile, parity, normaliser from pct join f using (draw) where key <= 50""",
 )
 def q91(t: Tables) -> DataFrame:
+    """The first 50 keys only, as its SQL says; all of them are q94_draw_matrix_whole."""
+    return draw_matrix(t).where("key <= 50")
+
+
+def draw_matrix(t: Tables) -> DataFrame:
+    """Every key and draw with its percentile and the draw's factors."""
     factors = t.spark.range(40).select(
         F.col("id").alias("draw"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("parity"), F.lit("rank").alias("normaliser")
     )
-    return draws(t).join(F.broadcast(factors), "draw").where("key <= 50").select("draw", "key", r("pct", 4).alias("percentile"), "parity", "normaliser")
+    return draws(t).join(F.broadcast(factors), "draw").select("draw", "key", r("pct", 4).alias("percentile"), "parity", "normaliser")
+
+
+@query(
+    "q94_draw_matrix_whole",
+    f"""with {DRAWS}, f as (select draw, case when draw % 2 = 0 then 'even' else 'odd' end parity, 'rank' as normaliser from (select distinct draw from pct))
+ select draw, key, round(pct, 4) percentile, parity, normaliser from pct join f using (draw)""",
+)
+def q94(t: Tables) -> DataFrame:
+    return draw_matrix(t)
 
 
 def _without(m: str) -> dict[str, float]:
