@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,18 +48,47 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+def could_reach(a: str, b: str, cutoff: float) -> bool:
+    """False if the letters that both have are too few for the cutoff."""
+    both = sum((Counter(a) & Counter(b)).values())
+    return not a and not b or 200.0 * both >= cutoff * (len(a) + len(b))
+
+
+#: Choices of one length are dealt to so many tasks.
+SALTS = 16
+
+
+def _sorted_tokens(name: Column) -> Column:
+    """Tokens in order, joined by single blanks: blank as Python's split() has it."""
+    tokens = F.split(name, r"(?U)[\s\x1c-\x1f]+")
+    return F.array_join(F.array_sort(F.filter(tokens, lambda x: x != "")), " ")
+
+
 def best_matches(names: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
     """name, match, score: the most similar choice with at least the cutoff, the first of equals.
 
-    Blocked by the first token's first letter, so each name meets only the choices of its block."""
-    blocked = lambda df, c: df.select(F.col("name").alias(c), F.substring("name", 1, 1).alias("block")).distinct()
-    pairs = blocked(names, "name").join(blocked(choices, "choice"), "block")
+    Names and choices meet as sorted tokens, each distinct form once.  Blocks are lengths: the common
+    part is at most the shorter form, so the cutoff bounds the lengths that a match can have."""
+    named = names.select("name", _sorted_tokens(F.col("name")).alias("form")).where("form is not null").distinct()
+    left = named.select("form").distinct()
+    right = choices.select("name", _sorted_tokens(F.col("name")).alias("other")).where("other is not null").groupBy("other").agg(F.min("name").alias("choice"))
+    n, k = F.length("form"), F.length("other")
+    if cutoff > 0:
+        least = cutoff / (200.0 - cutoff)  # of the shorter length over the longer, for scores of the cutoff
+        low, high = F.greatest(F.lit(0), F.floor(n * least) - 1), F.ceil(n / least) + 1
+        left, right = left.withColumn("size", F.explode(F.sequence(low.cast("int"), high.cast("int")))), right.withColumn("size", k)
+    else:
+        left, right = left.withColumn("size", F.lit(0)), right.withColumn("size", F.lit(0))
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = right.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int"))
+    pairs = left.join(right, ["size", "salt"]).select("form", "other", "choice")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["score"] = [token_sort_ratio(a, b) for a, b in zip(batch["name"], batch["choice"], strict=True)]
-            yield batch[batch["score"] >= cutoff][["name", "choice", "score"]]
+            found = [token_sort_ratio(a, b) if could_reach(a, b, cutoff) else -1.0 for a, b in zip(batch["form"], batch["other"], strict=True)]
+            batch["score"] = pd.Series(found, index=batch.index, dtype="float64")
+            yield batch[(batch["score"] >= cutoff) & (batch["score"] >= 0)][["form", "choice", "score"]]
 
-    scored = pairs.mapInPandas(score, "name string, choice string, score double")
-    best = F.max_by("choice", F.struct("score", F.expr("transform(split(choice, ''), c -> -ascii(c))"))).alias("match")
-    return scored.groupBy("name").agg(best, F.max("score").alias("score"))
+    scored = pairs.mapInPandas(score, "form string, choice string, score double")
+    best = scored.groupBy("form").agg(F.min_by("choice", F.struct(-F.col("score"), F.col("choice"))).alias("match"), F.max("score").alias("score"))
+    return named.join(best, "form").select("name", "match", "score")

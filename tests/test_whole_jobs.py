@@ -1,5 +1,8 @@
 """Queries that must give every row of their job, not a part of it."""
 
+import random
+
+from ledgerline.operators import identity
 from ledgerline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +17,25 @@ def test_draw_matrix_has_all_keys_and_draws(spark):
     found = run(spark, "q94_draw_matrix_whole")
     assert keys.where("c_custkey > 50").count() > 0
     assert found.count() == found.select("key", "draw").distinct().count() == 40 * keys.count()
+
+
+def test_best_matches_meet_in_any_order_of_tokens(spark):
+    rng = random.Random(5)
+    words = "steel north ring large iron a bb valley works of de la süd works".split()
+    choices = sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)})
+    names = sorted({" ".join(rng.sample(c.split(), len(c.split()))) for c in choices} | {"large ringe", "ab", "  north   stel", "valey", "\xa0ring\x1flarge", "zzz", ""})
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs] + [(None,)], "name string")
+    for cutoff in (0.0, 40.0, 70.0, 92.0, 100.0):
+        want = {}
+        for n in names:
+            score, choice = min((-identity.token_sort_ratio(n, c), c) for c in choices)
+            if -score >= cutoff:
+                want[n] = (choice, -score)
+        got = {n: (m, s) for n, m, s in identity.best_matches(frame(names), frame(choices), cutoff).select("name", "match", "score").collect()}
+        assert got == want
+
+
+def test_fuzzy_query_finds_every_reversed_name(spark):
+    names = spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct()
+    found = run(spark, "q51_fuzzy_token_sort").where("score = 100")
+    assert found.count() == names.count()
