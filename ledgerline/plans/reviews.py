@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ramp
-from ledgerline.operators import identity, stats
+from ledgerline.operators import identity, ranking, stats
 from ledgerline.operators.dedupe import keep_first
 
 from .base import Tables, query, r
@@ -332,16 +332,17 @@ def q61(t: Tables) -> DataFrame:
 
 @query("q62_portfolio_qp")
 def q62(t: Tables) -> DataFrame:
-    """Weights of the 500 largest issuers at most: a portfolio, bounded by definition."""
-    import numpy as np
-
+    """Weights of all issuers with revenue."""
     rows = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("cap"), (F.sum("l_quantity") / F.sum("l_extendedprice")).alias("carbon"))
     named = rows.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey"))
-    pdf = named.orderBy(F.desc("cap"), "l_suppkey").limit(500).select("l_suppkey", "cap", "carbon", "n_regionkey").toPandas()
-    base = pdf["cap"].to_numpy() / pdf["cap"].sum()
-    carbon = np.maximum(0, pdf["carbon"].rank(pct=True).to_numpy() - 0.2) ** 2
-    w = stats.low_carbon_weights(base, carbon, pdf["n_regionkey"].to_numpy(), np.zeros(len(base)), max(0.06, 5 * base.max()))
-    return t.spark.createDataFrame([(int(k), round(float(a), 8), round(float(b), 8)) for k, a, b in zip(pdf["l_suppkey"], base, w, strict=True)], "key bigint, benchmark double, weight double")
+    whole = named.agg(F.sum("cap"), F.max("cap"), F.count("carbon")).first()
+    if not whole[2]:
+        return t.spark.createDataFrame([], "key bigint, benchmark double, weight double")
+    ranked = ranking.average_ranks(named.select("l_suppkey", "cap", "carbon", F.col("n_regionkey").alias("group")), ["carbon"])
+    carbon = F.pow(F.greatest(F.lit(0.0), F.col("carbon") / F.lit(float(whole[2])) - 0.2), 2)
+    issuers = ranked.select("l_suppkey", (F.col("cap") / F.lit(float(whole[0]))).alias("benchmark"), carbon.alias("carbon"), "group")
+    df = stats.low_carbon_portfolio(issuers, max(0.06, 5 * float(whole[1]) / float(whole[0])))
+    return df.select(F.col("l_suppkey").cast("bigint").alias("key"), r("benchmark", 12).alias("benchmark"), r("weight", 12).alias("weight"))
 
 
 @query(

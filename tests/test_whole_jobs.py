@@ -2,7 +2,10 @@
 
 import random
 
-from ledgerline.operators import identity
+import numpy as np
+import pytest
+
+from ledgerline.operators import identity, stats
 from ledgerline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +42,29 @@ def test_fuzzy_query_finds_every_reversed_name(spark):
     names = spark.read.parquet(f"{SF}/part.parquet").select("p_name").distinct()
     found = run(spark, "q51_fuzzy_token_sort").where("score = 100")
     assert found.count() == names.count()
+
+
+@pytest.mark.parametrize("cap", [0.06, 0.03])
+def test_portfolio_of_a_table_is_that_of_the_projections(spark, cap):
+    rng = np.random.default_rng(3)
+    base, carbon, group = rng.dirichlet(np.ones(60) * 5), rng.gamma(0.5, 1, 60), rng.integers(0, 4, 60)
+    want = stats.low_carbon_weights(base, carbon, group, np.zeros(60), cap)
+    rows = [(i, float(b), float(c), int(g)) for i, (b, c, g) in enumerate(zip(base, carbon, group))]
+    df = stats.low_carbon_portfolio(spark.createDataFrame(rows, "id int, benchmark double, carbon double, group int"), cap)
+    got = np.array([w for _, w in sorted((x["id"], x["weight"]) for x in df.collect())])
+    assert np.abs(got - want).max() < 1e-6
+    assert got @ carbon <= 0.5 * (base @ carbon) + 1e-9
+    assert all(got[group == g].sum() == pytest.approx(base[group == g].sum(), abs=1e-9) for g in range(4))
+
+
+def test_portfolio_without_a_solution_fails(spark):
+    df = spark.createDataFrame([(0.5, 1.0, 0), (0.5, 1.0, 0)], "benchmark double, carbon double, group int")
+    with pytest.raises(ValueError):
+        stats.low_carbon_portfolio(df, 1.0)
+
+
+def test_portfolio_query_weighs_every_supplier(spark):
+    sf = "/root/testdata/sf0.1"
+    found = catalogue.queries()["q62_portfolio_qp"](spark, sf).toPandas()
+    assert len(found) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count() > 500
+    assert found["weight"].sum() == pytest.approx(1, abs=1e-8) and found["benchmark"].sum() == pytest.approx(1, abs=1e-8)
