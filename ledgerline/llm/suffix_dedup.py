@@ -10,7 +10,9 @@ place, in the same document or another one.
    every other anchor one small row is counted.
 2. The surroundings of repeated anchors (the bytes of all windows that have this anchor)
    are dealt by anchor.  Equal surroundings become one with many places, first in the
-   batch, then in the task.  Suffixes of the different surroundings are sorted by induced
+   batch, then in the task.  An anchor that more than HOT rows hold is split by further
+   bytes: its windows fall in CLASSES by where the anchor stands in them, all windows of a
+   class share bytes beside the anchor, and these name the part, so equal windows meet.  Suffixes of the different surroundings are sorted by induced
    sorting with common-prefix values (suffix_sort.py), a few MB of anchors at a time;
    a single anchor with more than that spills its queue to files.  Runs of suffixes that
    share `window` bytes are repeated windows.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,18 +45,20 @@ from .textscan import _power_tables, mix, raw, rolling, slices, window_min
 GRAM = 32
 #: Bytes of surroundings that are sorted at once; above SPILL bytes a queue goes to files.
 SHARD, SPILL = 4 << 20, 1 << 28
+#: Anchors in more rows than HOT are split, their windows in so many classes.
+HOT, CLASSES = 4096, 8
 U = np.uint64
 HIGH, LOW = U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(key, row, first window, last window) of every anchor, windows by their start in data."""
+    """(key, row, first window, last window, place) of every anchor, windows by their start in data."""
     span = window - GRAM + 1
     n = len(data) - window + 1
     none = np.zeros(0, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= window)
     if n <= 0 or not len(long):
-        return none.view(np.uint64), none, none, none
+        return none.view(np.uint64), none, none, none, none
     sums = rolling(data)
     inverse = _power_tables(len(sums))[1]
     g = mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: len(sums) - GRAM])
@@ -67,8 +72,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndar
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    key = g[(least[first] & LOW).astype(np.int64)]
-    return key, np.searchsorted(offsets, at[first], "right") - 1, at[first], at[last]
+    place = (least[first] & LOW).astype(np.int64)
+    return g[place], np.searchsorted(offsets, at[first], "right") - 1, at[first], at[last], place
+
+
+def parts(data: np.ndarray, first: int, last: int, place: int, window: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, last window) of the parts of one anchor's windows: the key tells the
+    bytes that all windows of the class have, by which equal windows are in equal parts."""
+    span = window - GRAM + 1  # places of an anchor in a window
+    for c in range(CLASSES):
+        low, high = c * span // CLASSES, (c + 1) * span // CLASSES - 1  # windows start so far before the anchor
+        a, b = max(first, place - high), min(last, place - low)
+        if a <= b:
+            shared = data[place - low : place - high + window].tobytes()
+            yield int.from_bytes(hashlib.blake2b(bytes([c]) + shared, digest_size=8).digest(), "little", signed=True), a, b
 
 
 def _keys(window: int):
@@ -104,23 +121,25 @@ def _keys(window: int):
     return run
 
 
-def _surroundings(window: int):
+def _surroundings(window: int, hot: Broadcast):
     """Rows (key, bytes, rows, starts): the bytes of a repeated anchor's windows, and all their places in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = hot.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             wanted = batch.column(2)
             found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
             for i, _, data, offsets in slices(batch.column(1)):
-                key, row, first, last = anchors(data, offsets, window)
+                key, row, first, last, place = anchors(data, offsets, window)
                 bounds = np.searchsorted(row, np.arange(len(offsets)))
                 for r in range(len(offsets) - 1):
                     a, b = int(bounds[r]), int(bounds[r + 1])
                     own = key[a:b].view(np.int64)
                     for k in (np.flatnonzero(np.isin(own, wanted[i + r].values.to_numpy())) + a).tolist():
-                        piece = data[first[k] : last[k] + window].tobytes()
-                        found.setdefault((int(key[k].view(np.int64)), piece), []).append((int(ids[i + r]), int(first[k] - offsets[r])))
+                        name, begin, end = int(key[k].view(np.int64)), int(first[k]), int(last[k])
+                        for own_key, x, y in parts(data, begin, end, int(place[k]), window) if name in split else [(name, begin, end)]:
+                            found.setdefault((own_key, data[x : y + window].tobytes()), []).append((int(ids[i + r]), int(x - offsets[r])))
             entries = list(found.items())
             for a in range(0, len(entries), 20_000):
                 part = entries[a : a + 20_000]
@@ -248,7 +267,9 @@ def _hits(docs: DataFrame, window: int) -> DataFrame:
     again = keyed.withColumn("times", times).where("row >= 0 and (known or times > 1)")
     wanted = again.groupBy("row").agg(F.collect_set("key").alias("keys"))
     near = stored(docs.join(wanted, "row").select("row", "text", "keys"), "suffix-documents")
-    pieces = near.mapInArrow(_surroundings(window), "key long, piece binary, rows array<long>, starts array<long>")
+    common = near.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > HOT)
+    hot = docs.sparkSession.sparkContext.broadcast({key for key, _ in common.collect()})  # one in HOT of the places at most
+    pieces = near.mapInArrow(_surroundings(window, hot), "key long, piece binary, rows array<long>, starts array<long>")
     dealt = pieces.repartition("key").sortWithinPartitions("key")
     spans = dealt.mapInArrow(_sort(window), "row long, begin long, end long")
     grouped = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
