@@ -118,3 +118,20 @@ def main_effects(draws: DataFrame, factors: list[str], value: str) -> DataFrame:
     return within.groupBy("factor").agg(
         F.try_divide(F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2) / F.first("all"), F.first("total")).alias("first_order")
     )
+
+
+def factorial_effects(draws: DataFrame, key: str, factors: list[str], value: str) -> DataFrame:
+    """factor, first_order, total, share over a full factorial, each key about its own mean:
+    Var(E[value | factor]) / Var and 1 - Var(E[value | all other factors]) / Var, variances summed over keys."""
+    own = Window.partitionBy(key)
+    y, part = F.col(value) - F.avg(value).over(own), F.lit(1.0) / F.count(value).over(own)
+    level = lambda names: F.array(*[F.col(x).cast("string") for x in names]).cast("array<string>")
+    sets = F.array(*[
+        F.struct(F.lit(f).alias("factor"), F.lit(alone).alias("alone"), level([x for x in factors if (x == f) == alone]).alias("level"))
+        for f in factors for alone in (True, False)
+    ])
+    rows = draws.where(F.col(value).isNotNull()).select(key, *factors, y.alias("y"), part.alias("part")).select(F.col(key).alias("_key"), "y", "part", F.explode(sets).alias("s"))
+    cells = rows.groupBy("_key", "s.factor", "s.alone", "s.level").agg((F.sum("y") ** 2 / F.count(F.lit(1)) * F.first("part")).alias("between"), F.sum(F.col("y") ** 2 * F.col("part")).alias("whole"))
+    explained = lambda alone: F.try_divide(F.sum(F.when(F.col("alone") == alone, F.col("between"))), F.sum(F.when(F.col("alone") == alone, F.col("whole"))))
+    found = cells.groupBy("factor").agg(clip(explained(True), 0.0, 1.0).alias("first_order"), clip(1.0 - explained(False), 0.0, 1.0).alias("total"))
+    return found.withColumn("share", F.try_divide(F.col("first_order"), F.sum("first_order").over(Window.partitionBy())))  # one row a factor

@@ -350,6 +350,53 @@ def q94(t: Tables) -> DataFrame:
     return draw_matrix(t)
 
 
+GRID = ["normaliser", "aggregation", "peers", "draw"]
+GRID_SQL = f"""{WIDE}, long as (select key, sector, sub, unnest(['bal', 'spend', 'orders']) metric, unnest([bal, spend, orders]) x from wide), dev as (select metric, stddev_pop(x) sd from long group by 1),
+ noised as (select key, sector, sub, metric, draw, round(x + sd * (0.05 + 0.35 * 0.5) * sqrt(-2 * ln({uniform_sql('20260912', 'draw', 'key', 'metric', "'a'")})) * cos(2 * pi() * {uniform_sql('20260912', 'draw', 'key', 'metric', "'b'")}), 6) x
+ from long join dev using (metric) cross join range(4) g(draw) where x is not null),
+ levels as (select *, case when peers = 'sector' then sector else sub end peer from noised cross join (select unnest(['sector', 'sub']) peers)),
+ valued as (select *, {pct_sql('x', 'metric, draw, peers, peer')} ranked, {scaled_sql('x')} scaled from levels window w as (partition by metric, draw, peers, peer)),
+ normed as (select key, draw, peers, metric, case metric when 'bal' then 0.5 when 'spend' then 0.3 else 0.2 end::double wt, unnest(['rank', 'minmax']) normaliser, unnest([ranked, scaled]) v from valued),
+ means as (select key, draw, peers, normaliser, sum(wt * v) / sum(wt) a, exp(sum(wt * ln(greatest(v, 1e-6))) / sum(wt)) g from normed group by 1, 2, 3, 4),
+ scores as (select key, draw, peers, normaliser, unnest(['arith', 'geo']) aggregation, unnest([round(a, 9), round(g, 9)]) score from means), grid as (select *, 100 * {pct_sql('score', 'draw, peers, normaliser, aggregation')} pct from scores)"""
+
+
+def grid(t: Tables, n: int = 4) -> DataFrame:
+    """key, GRID and pct: the percentile of every customer under a full factorial of methods and noise draws."""
+    long = wide(t).unpivot(["key", "sector", "sub"], METRICS, "metric", "x")
+    dev = long.groupBy("metric").agg(F.stddev_pop("x").alias("sd"))
+    df = long.where("x is not null").join(F.broadcast(dev), "metric").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    df = df.withColumn("x", F.round(scoring.noisy(df, F.col("x"), F.col("sd"), F.lit(0.5), F.lit(20260912), F.col("draw"), F.col("key"), F.col("metric")), 6))
+    df = df.withColumn("peers", F.explode(F.array(F.lit("sector"), F.lit("sub")))).withColumn("peer", F.when(F.col("peers") == "sector", F.col("sector")).otherwise(F.col("sub")))
+    group = [F.col(c) for c in ("metric", "draw", "peers", "peer")]
+    w = Window.partitionBy(*group)
+    df = df.withColumn("ranked", percentile_rank(F.col("x"), group)).withColumn("low", F.min("x").over(w)).withColumn("high", F.max("x").over(w))
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)
+    pair = lambda a, b, x, y, name: F.inline(F.array(F.struct(F.lit(a).alias(name), x.alias("v")), F.struct(F.lit(b).alias(name), y.alias("v"))))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIXED.items() for x in kv]), F.col("metric"))
+    normed = df.select("key", "draw", "peers", weight.alias("wt"), pair("rank", "minmax", F.col("ranked"), scaled, "normaliser"))
+    means = normed.groupBy("key", "draw", "peers", "normaliser").agg(
+        (F.sum(F.col("wt") * F.col("v")) / F.sum("wt")).alias("a"), F.exp(F.sum(F.col("wt") * F.log(F.greatest("v", F.lit(1e-6)))) / F.sum("wt")).alias("g")
+    )
+    scores = means.select("key", "draw", "peers", "normaliser", pair("arith", "geo", F.round("a", 9), F.round("g", 9), "aggregation"))
+    return scores.select("key", *GRID, (100 * percentile_rank(F.col("v"), [F.col(c) for c in GRID])).alias("pct"))
+
+
+@query(
+    "q95_factorial_effects",
+    f"with {GRID_SQL}, c as (select *, pct - avg(pct) over (partition by key) y, count(*) over (partition by key) n from grid), "
+    + ", ".join(
+        f"{name}_{f} as (select sum(s) e from (select sum(y) * sum(y) / count(*) / max(n) s from c group by {', '.join(['key', *by])}))"
+        for f in GRID for name, by in (("one", [f]), ("rest", [x for x in GRID if x != f]))
+    )
+    + ", tot as (select sum(y * y / n) v from c), e as (" + " union all ".join(f"select '{f}' factor, greatest(0, least(1, one_{f}.e / v)) f1, greatest(0, least(1, 1 - rest_{f}.e / v)) total from one_{f}, rest_{f}, tot" for f in GRID)
+    + ") select factor, round(f1, 8) first_order, round(total, 8) total, round(f1 / sum(f1) over (), 8) share from e",
+)
+def q95(t: Tables) -> DataFrame:
+    found = scoring.factorial_effects(grid(t), "key", GRID, "pct")
+    return found.select("factor", *[r(c, 8).alias(c) for c in ("first_order", "total", "share")])
+
+
 def _without(m: str) -> dict[str, float]:
     return {k: w for k, w in FIXED.items() if k != m}
 

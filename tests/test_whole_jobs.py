@@ -1,11 +1,12 @@
 """Queries that must give every row of their job, not a part of it."""
 
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from ledgerline.operators import identity, stats
+from ledgerline.operators import identity, scoring, stats
 from ledgerline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,18 @@ def test_portfolio_query_weighs_every_supplier(spark):
     found = catalogue.queries()["q62_portfolio_qp"](spark, sf).toPandas()
     assert len(found) == spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count() > 500
     assert found["weight"].sum() == pytest.approx(1, abs=1e-8) and found["benchmark"].sum() == pytest.approx(1, abs=1e-8)
+
+
+def test_factorial_effects_are_those_of_the_definition(spark):
+    rng = np.random.default_rng(4)
+    shape = (2, 3, 4)
+    cube = rng.normal(size=(*shape, 5)) + 3 * np.arange(2)[:, None, None, None] + np.arange(3)[None, :, None, None] * np.arange(4)[None, None, :, None]
+    rows = [(k, a, b, c, float(cube[a, b, c, k])) for a, b, c, k in itertools.product(*map(range, (*shape, 5)))]
+    df = spark.createDataFrame(rows, "key int, a int, b int, c int, y double")
+    whole = cube.var(axis=(0, 1, 2)).sum()
+    got = {x["factor"]: x for x in scoring.factorial_effects(df, "key", ["a", "b", "c"], "y").collect()}
+    first = {f: cube.mean(axis=tuple(j for j in range(3) if j != i)).var(axis=0).sum() / whole for i, f in enumerate("abc")}
+    total = {f: 1 - cube.mean(axis=i).var(axis=(0, 1)).sum() / whole for i, f in enumerate("abc")}
+    for f in "abc":
+        assert got[f]["first_order"] == pytest.approx(first[f]) and got[f]["total"] == pytest.approx(total[f])
+        assert got[f]["share"] == pytest.approx(first[f] / sum(first.values()))
