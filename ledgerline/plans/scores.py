@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import percentile_rank, weighted_mean
-from ledgerline.operators import ranking, scoring
+from ledgerline.operators import methods, ranking, scoring
 
 from .base import Tables, query, r
 
@@ -397,6 +397,15 @@ def q95(t: Tables) -> DataFrame:
     return found.select("factor", *[r(c, 8).alias(c) for c in ("first_order", "total", "share")])
 
 
+@query("q96_method_bands")
+def q96(t: Tables) -> DataFrame:
+    """Bands of drawn methods with noise, of methods alone and of noise alone."""
+    drawn = methods.sample_draws(t.spark, 40, 20260912, METRICS)
+    pct = methods.percentiles(wide(t).select("key", "sector", "sub", *METRICS), METRICS, drawn, 20260912).where("pct is not null")
+    b = scoring.bands(pct, ["kind", "key"], "pct")
+    return b.select("kind", "key", *[r(c, 4).alias(c) for c in ("p10", "p50", "p90", "width")], r("top_share").alias("top_share"), r("bottom_share").alias("bottom_share"))
+
+
 def _without(m: str) -> dict[str, float]:
     return {k: w for k, w in FIXED.items() if k != m}
 

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from ledgerline.operators import identity, scoring, stats
+from ledgerline.operators import identity, methods, scoring, stats
 from ledgerline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +85,60 @@ def test_factorial_effects_are_those_of_the_definition(spark):
     for f in "abc":
         assert got[f]["first_order"] == pytest.approx(first[f]) and got[f]["total"] == pytest.approx(total[f])
         assert got[f]["share"] == pytest.approx(first[f] / sum(first.values()))
+
+
+def by_hand(wide, metrics, d):
+    """Percentiles of one draw without noise, after the definitions."""
+    used = [m for m in metrics if m != d["dropped"]]
+    own = wide["sub"].map(wide["sub"].value_counts())
+    peer = "s:" + wide["sector"] if d["peers"] == "sector" else ("u:" + wide["sub"]).where(own >= 6, "s:" + wide["sector"])
+
+    def rescale(s):
+        return pd.Series(0.5, s.index) if not np.isfinite(s.max()) or s.max() - s.min() < 1e-12 else 0.01 + 0.99 * (s - s.min()) / (s.max() - s.min())
+
+    def norm(s):
+        p = d["winsor"]
+        v = s.clip(s.quantile(p), s.quantile(1 - p)) if p > 0 and s.count() >= 5 else s
+        if d["normaliser"] == "rank":
+            return 0.01 + 0.99 * s.rank(pct=True)
+        if d["normaliser"] == "min-max":
+            return rescale(v)
+        if d["normaliser"] == "winsor-z":
+            return rescale(((v - v.mean()) / v.std(ddof=0)).clip(-3, 3) if v.std(ddof=0) > 1e-12 else v * 0)
+        mad = (s - s.median()).abs().median()
+        return rescale(((s - s.median()) / (1.4826 * mad)).clip(-3, 3) if mad > 1e-12 else s * 0)
+
+    x = pd.DataFrame({m: wide[m].groupby(peer, group_keys=False).apply(norm).reindex(wide.index) for m in used})
+    full = x.fillna(x.mean())
+    if d["weighting"] == "entropy":
+        p = full / full.sum()
+        w = 1 + (p * np.log(p)).sum() / np.log(len(full))
+    elif d["weighting"] == "critic":
+        w = full.std(ddof=0) * (1 - full.corr().fillna(0)).sum()
+    else:
+        w = pd.Series(1.0, used)
+    w = w / w.sum()
+    mass = (x.notna() * w).sum(axis=1).replace(0, np.nan)
+    score = np.exp((np.log(x) * w).sum(axis=1) / mass) if d["aggregation"] == "geometric" else (x * w).sum(axis=1) / mass
+    return score.round(9).groupby(peer).rank(pct=True) * 100
+
+
+def test_drawn_methods_are_those_of_the_definitions(spark):
+    rng = np.random.default_rng(6)
+    n, metrics = 90, ["a", "b", "c"]
+    wide = pd.DataFrame({"key": range(n), "sector": [f"S{i % 3}" for i in range(n)], "sub": [f"U{i % 3}{0 if i % 7 else 1}" for i in range(n)]})
+    for m in metrics:
+        wide[m] = np.where(rng.random(n) < 0.15, np.nan, rng.gamma(2, 3, n).round(2))
+    rows = [tuple(None if isinstance(x, float) and np.isnan(x) else x for x in row) for row in wide.itertuples(index=False, name=None)]
+    df = spark.createDataFrame(rows, "key int, sector string, sub string, a double, b double, c double")
+    drawn = methods.sample_draws(spark, 30, 5, metrics)
+    found = methods.percentiles(df, metrics, drawn, 5).toPandas()
+    sampled = [d for d in drawn.collect() if d["kind"] == "method"]
+    for name, levels in methods.CHOICES.items():
+        assert {d[name] for d in sampled} == set(levels)
+    assert {d["dropped"] for d in sampled} == {None, *metrics}
+    for d in sampled:
+        got = found[(found["kind"] == "method") & (found["draw"] == d["draw"])].set_index("key")["pct"].reindex(range(n))
+        assert np.allclose(got, by_hand(wide, metrics, d), equal_nan=True, atol=1e-6), d
+    assert found[found["kind"] == "noise"].groupby("key")["pct"].nunique().max() > 1
+    assert set(found["kind"]) == {"combined", "method", "noise"}
