@@ -441,9 +441,12 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) ->
 
 
 def distinct(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """docs with one document of each class (the least doc_id), in the columns of docs."""
-    found = classes(docs, n, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null"))
+    """docs with one row of each class (the least doc_id, a missing one first), in the columns of docs.
+
+    Rows are told apart by numbers as in suffix_dedup, so rows that share an id or have none are documents of their own."""
+    rows = docs.withColumn("_number", F.monotonically_increasing_id())
+    found = classes(rows.select(F.col("_number").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_class"))
+    linked = rows.select("doc_id", "_number").join(found, F.col("_number") == F.col("_member"))
+    first = linked.groupBy("_class").agg(F.min(F.struct("doc_id", "_number")).alias("first"))
+    gone = found.join(first.select(F.col("first._number").alias("_kept")), F.col("_member") == F.col("_kept"), "left_anti").select("_member")
+    return rows.join(gone, F.col("_number") == F.col("_member"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

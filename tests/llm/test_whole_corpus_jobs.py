@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from ledgerline.llm import suffix_dedup
+from ledgerline.llm import near_dup, suffix_dedup
 
 from .test_corpus_operators import removed
 
@@ -56,3 +56,13 @@ def test_sorting_with_queues_in_files_finds_the_same():
     pieces = sorted({t.encode() for t in licence_rows() if len(t) >= 200})
     one, two = (suffix_dedup.repeated(pieces, [1] * len(pieces), 200, spill) for spill in (None, 50))
     assert all((a == b).all() for a, b in zip(one, two, strict=True)) and any(a.any() for a in one)
+
+
+def test_distinct_keeps_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(7, one), (7, two), (None, three), (None, three), (None, four), (9, four), (3, one), (5, five), (5, five)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in near_dup.distinct(df).collect()))
+    assert kept == sorted([(False, 3, one), (False, 7, two), (True, 0, three), (True, 0, four), (False, 5, five)])
