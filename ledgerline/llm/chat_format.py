@@ -17,6 +17,9 @@ escaped as entities (& as &amp;, < as &lt;, [ as &#91;, in roles also \\n as
 back.  The loss mask is an array of [start, end) spans in code points of the
 formatted string which cover the escaped assistant texts.
 
+Roles are kept as they are written; only a layout whose mapping names its own roles
+(senders human and gpt) has them translated.
+
 Edge cases: null texts count as empty, null roles as the empty role; turns that
 tie are ordered by role and text; repeated rows are turns each; rows whose
 conversation id is null form one conversation; a layout without a mapping is
@@ -32,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sums_before
+
 TURNS = "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>\n"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
@@ -54,12 +59,18 @@ def fingerprint(field_paths: list[str]) -> str:
 @dataclass(frozen=True)
 class Mapping:
     """One layout.  turns: (role, path) pairs for prompt and answer fields; or
-    messages: (array, role field, text field); or rows: (order, role, text)."""
+    messages: (array, role field, text field); or rows: (order, role, text).
+    roles: what the layout calls roles, where these are other names."""
 
     field_paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
     messages: tuple[str, str, str] | None = None
     rows: tuple[str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
+
+
+#: Names of roles in layouts of senders (from) and values.
+SENDERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 #: Layouts that public instruction sets use.
@@ -71,11 +82,9 @@ MAPPINGS = (
     Mapping(("instruction", "input", "output"), turns=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping(("system", "prompt", "response"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping(("messages[].role", "messages[].content"), messages=("messages", "role", "content")),
-    Mapping(("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
+    Mapping(("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value"), roles=SENDERS),
     Mapping(("turn", "role", "text"), rows=("turn", "role", "text")),
 )
-#: Other names of roles.
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 REGISTRY = {fingerprint(list(m.field_paths)): m for m in MAPPINGS}
 
 
@@ -89,12 +98,10 @@ def select_mapping(schema: T.StructType, ids: list[str]) -> Mapping:
     raise ValueError(f"no mapping for a layout with the fields {found}")
 
 
-def _role(role: Column) -> Column:
-    role = F.coalesce(role, F.lit(""))
-    named = F.lower(F.trim(role))
-    out = role
-    for old, new in ROLE_NAMES.items():
-        out = F.when(named == old, new).otherwise(out)
+def _role(role: Column, names: tuple[tuple[str, str], ...] = ()) -> Column:
+    role = out = F.coalesce(role, F.lit(""))
+    for old, new in names:
+        out = F.when(role == old, new).otherwise(out)
     return out
 
 
@@ -102,8 +109,9 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _from_messages(messages: Column, role: str, text: str) -> Column:
-    return F.transform(messages, lambda m: _turn(_role(m[role]), m[text]))
+def _from_messages(messages: Column, mapping: Mapping) -> Column:
+    _, role, text = mapping.messages
+    return F.transform(messages, lambda m: _turn(_role(m[role], mapping.roles), m[text]))
 
 
 def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
@@ -112,13 +120,12 @@ def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     if mapping.rows:
         order, role, text = mapping.rows
         entry = F.struct(
-            F.col(order).alias("o"), _role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+            F.col(order).alias("o"), _role(F.col(role), mapping.roles).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
         )
         grouped = df.groupBy(conv_id).agg(F.sort_array(F.collect_list(entry)).alias("turns"))
         return grouped.select(conv_id, F.transform("turns", lambda t: _turn(t["role"], t["text"])).alias("turns"))
     if mapping.messages:
-        array, role, text = mapping.messages
-        return df.select(conv_id, F.coalesce(_from_messages(F.col(array), role, text), F.array().cast(TURNS)).alias("turns"))
+        return df.select(conv_id, F.coalesce(_from_messages(F.col(mapping.messages[0]), mapping), F.array().cast(TURNS)).alias("turns"))
     turns = F.array(*[_turn(F.lit(role), F.col(path)) for role, path in mapping.turns])
     return df.select(conv_id, turns.alias("turns"))
 
@@ -137,7 +144,7 @@ def canonical_json(df: DataFrame, column: str, conv_id: str = "conv_id") -> Data
             array, role, text = m.messages
             seen = f"OBJECT<{array}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>"
             items = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            got = _from_messages(items, role, text)
+            got = _from_messages(items, m)
         else:
             seen = f"OBJECT<{', '.join(sorted(p for _, p in m.turns))}>"
             got = F.array(*[_turn(F.lit(r), F.try_variant_get(v, f"$.{p}", "string")) for r, p in m.turns])
@@ -168,20 +175,18 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id") -> DataFrame:
         ),
     )
     df = turns.select(conv_id, pieces.alias("_pieces"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(
-            (end + len(END)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")
-        )
+    size = lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(END)).cast("long")
+    df = df.select(conv_id, "_pieces", F.transform("_pieces", size).alias("_sizes"))
+    df = df.select(conv_id, "_pieces", sums_before(F.col("_sizes")).alias("_at"))
+
+    def span(p, at):
+        start = (at + F.length(p["head"])).cast("int")
+        return F.when(p["loss"], F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end")))
 
     return df.select(
         conv_id,
         F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("_pieces", begin, step, lambda a: a["spans"]).alias("loss_spans"),
+        F.filter(F.zip_with("_pieces", "_at", span), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 

@@ -18,8 +18,8 @@ not from the cluster: reruns agree.
 Edge cases: null sources are a source of their own, last in order; null and empty
 texts have size 0, are never taken and disturb nothing; a source without words
 has target 0; repeated rows are rounded each on its own; rows with equal ids and
-sizes are interchangeable; an empty table gives an empty result; other columns
-pass through, and names that clash with the added ones are replaced.
+sizes are interchangeable; an empty table gives an empty result.  mixed() keeps all
+columns of a row, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,45 +29,45 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, words
+from .common import free, numbered, partitions, stored, words
 
-OWN = ["size", "source_size", "target", "copies", "taken", "_p", "_node", "_source", "_copy"]
 #: Documents of a chunk, about; residuals that meet in one node of the tree.
 CHUNK, FAN = 2_000, 64
 
 
-def targets(
-    by_source: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0
-) -> DataFrame:
-    """source, source_size, target from a table with one row (source, source_size) for each source.
+def ordered(by_source: DataFrame) -> DataFrame:
+    """by_source, written in ranges of names in order (range: their numbers)."""
+    ranges = by_source.repartitionByRange(partitions(by_source.sparkSession), F.col("source").asc_nulls_last())
+    return stored(ranges.withColumn("range", F.spark_partition_id()), "mix-sources")
+
+
+def targets(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """source, source_size, target from ordered(a table with one row (source, source_size) for each source).
 
     Targets share `share` times all words by weight, none above `most` times its
     source's size, the excess shared again.  That is min(most * size, level * weight)
-    for one level, found from sums over the sources sorted by most * size / weight.
+    for one level, which rises from sum to sum until no further source is above its cap.
+    Sources get their places in order from ranges of names, not from one task.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    k = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    df = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (k + 1).cast("int")).cast("double"))
-    df = df.withColumn("cap", most * F.col("source_size"))
-    rise = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    df = df.select(
-        "*",
-        (share * F.sum("source_size").over(everything)).alias("total"),
-        F.coalesce(F.sum("cap").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("capped"),
-        F.sum("weight").over(rise.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("open_weight"),
-    )
-    # The level if exactly the sources before this one stay at their caps; the largest that holds is it.
-    level = (F.col("total") - F.col("capped")) / F.col("open_weight")
-    holds = F.when(level <= F.col("cap") / F.col("weight"), level)
-    df = df.withColumn("level", F.max(holds).over(everything))
-    return df.select(
-        "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target")
-    )
+    before = df.groupBy("range").count()  # one row a range
+    before = before.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))
+    k = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(k, F.lit(len(weights))) + 1).cast("int")).cast("double")
+    df = df.join(F.broadcast(before), "range").select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap"))
+    level, n_open = 0.0, -1
+    while True:
+        above = F.col("cap") <= F.lit(level) * F.col("weight")
+        sums = df.agg(F.sum("source_size"), F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight"))), F.sum((~above).cast("int")))
+        size, capped, weighed, now = sums.first()
+        if not now or now == n_open:
+            break
+        n_open, level = now, (share * size - (capped or 0.0)) / weighed
+    target = F.col("cap") if not now else F.least("cap", F.lit(level) * F.col("weight"))
+    return df.select("source", "source_size", target.alias("target"))
 
 
 def _draw(*key: object) -> float:
@@ -150,30 +150,30 @@ def _round(level: int, last: bool, key: list[str]):
     return run
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+def rounded(
+    sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
     chunk: int = CHUNK, fan: int = FAN,
 ) -> DataFrame:
-    """docs with size, source_size, target (its source's), copies and taken (words)."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in OWN]
-    sized = docs.select(*rest, F.size(words(F.col("text"))).cast("long").alias("size"))
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    by_source = stored(by_source, "mix-sources")
+    """sizes (doc_id, source, size and any other narrow columns) with source_size, target, copies and taken."""
+    names = sizes.columns
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    by_source = ordered(by_source)
     n_sources, n = by_source.agg(F.count(F.lit(1)), F.sum("docs")).first()
-    goal = stored(targets(by_source, weights, share, most), "mix-targets").withColumnRenamed("source", "_source")
-    joined = sized.join(F.broadcast(goal) if n_sources <= 100_000 else goal, F.col("source").eqNullSafe(F.col("_source")))
+    goal = targets(by_source, weights, share, most).withColumnRenamed("source", "_source")
+    joined = sizes.join(F.broadcast(goal) if n_sources <= 100_000 else goal, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size")))
     rate = F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(F.lit(0.0))
     n_chunks = max(1, math.ceil((n or 0) / chunk))
     rated = joined.select(
-        *rest, "size", "source_size", "target", F.floor(rate).alias("copies"), (rate - F.floor(rate)).alias("_p"),
+        *names, "source_size", "target", F.floor(rate).alias("copies"), (rate - F.floor(rate)).alias("_p"),
         F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_chunks)).alias("_node"),
     )
     done, level, todo = [], 0, rated
+    rest = [c for c in names if c not in ("doc_id", "source", "size")]
     key = ["_node", "source"]
     while True:
         # By chunk alone: all sources of a chunk share a task, so a hot source weighs on none.
-        dealt = todo.repartition("_node").sortWithinPartitions(*key, F.desc("size"), "doc_id")
+        dealt = todo.repartition("_node").sortWithinPartitions(*key, F.desc("size"), "doc_id", *rest)
         last = n_chunks <= 1
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in dealt.schema])
         after = dealt.mapInArrow(_round(level, last, key), schema)
@@ -189,11 +189,28 @@ def mix(
     for df in done[1:]:
         out = out.unionByName(df)
     copies = (F.col("copies") + F.col("_p")).cast("long")
-    return out.select(*rest, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(*names, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _size() -> Column:
+    return F.size(words(F.col("text"))).cast("long").alias("size")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target (its source's), copies and taken (words) of every row."""
+    return rounded(docs.select("doc_id", "source", _size()), **options)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """Every document as often as the mix takes it, in the columns of docs."""
-    taken = mix(docs, **options)
-    copies = F.explode(F.expr("array_repeat(0, cast(copies as int))"))
-    return taken.withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every row as often as the mix takes it, in the columns of docs: only ids, sources and sizes are
+    rounded, and the rows meet their copies by their numbers."""
+    own = docs.columns
+    number, member, copies = (free(c, own) for c in ("_number", "_member", "_copies"))
+    rows = numbered(docs, number, "mix-rows")
+    sizes = rows.select(F.col(number).alias("row"), "doc_id", "source", _size())
+    taken = rounded(sizes, **options).where("copies > 0").select(F.col("row").alias(member), F.col("copies").cast("int").alias(copies))
+    return (
+        rows.join(taken, F.col(number) == F.col(member))
+        .withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
+        .select(*[F.col(f"`{c}`") for c in own])
+    )

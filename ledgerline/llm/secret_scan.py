@@ -1,20 +1,24 @@
-r"""Secret scans: a trigram index in front of regular expressions (native).
-
-From each rule's expression a Boolean query over trigrams is derived: literal
-runs of three characters or more give an AND of trigrams, alternatives give an
-OR, classes, optional parts and short literals give nothing.  The postings of
-the trigrams that some query needs are kept by document, as bits of one
-integer for each row (bit j: the row is in the posting list of trigram j), so
-that intersecting postings is bit arithmetic inside the row and nothing is
-shuffled.  Only rows that satisfy a rule's query are verified by its
-expression; a rule whose query is empty scans every row.
+r"""Secret scans: a trigram inverted index in front of regular expressions (native).
+
+1. From each rule's expression a Boolean query over trigrams is derived: literal
+   runs of three characters or more give an AND of trigrams, alternatives give an
+   OR, classes, optional parts and short literals give nothing.
+2. index() builds posting lists: for every trigram that some query needs, the
+   sorted keys (hashes) of the different texts that hold it.  Lists are cut into
+   blocks of about BLOCK texts, so that no list is one task's load and a list's size
+   doesn't grow with the corpus; copies of a text are one entry.
+3. candidates() intersects and unites the lists of a block as the queries say.
+4. Texts that a rule's query leaves are verified by its expression; a rule whose query
+   is empty (it has no mandatory trigram) scans every text.  Up to SMALL candidate
+   keys are broadcast (16 bytes each), more are joined by a shuffle.  Texts whose hashes
+   are equal share an entry, which costs a verification and can lose nothing.
 
 Matches and their places come from two native calls: the matches, and the text
 split by them; places are running sums of both lengths in code points.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each
-on its own; other columns pass through, and names that clash with the added
-ones are replaced by them.
+on its own; other columns pass through, whatever their names, and a column that is
+named spans is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, sums_before
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -96,69 +102,90 @@ def _trigrams(query: Query) -> list[str]:
     return [query[1]] if query[0] == "tri" else [t for q in query[1:] for t in _trigrams(q)]
 
 
+SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
+
+
+def _steps(k: int) -> Column:
+    """How far every match of rule k takes its reader: the gap before it and its own length."""
+    gaps = F.slice(F.col(f"_g{k}"), F.lit(1), F.size(f"_m{k}"))
+    return F.when(F.size(f"_m{k}") > 0, F.zip_with(gaps, F.col(f"_m{k}"), lambda gap, m: (gap + F.length(m)).cast("long")))
+
+
 def _spans(k: int, rule: Rule) -> Column:
-    """The spans of rule k from its matches _mk, the gaps before them _gk and the lengths of its group _vk."""
-    matches, gaps, kind = F.col(f"_m{k}"), F.col(f"_g{k}"), rule.kind
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>").alias("spans")
-    )
+    """The spans of rule k from its matches _mk, their steps _sk, the sums before these _bk and the lengths of its group _vk."""
+    matches = F.col(f"_m{k}")
+    ends = F.zip_with(F.col(f"_b{k}"), F.col(f"_s{k}"), lambda before, step: (before + step).cast("int"))
+
+    def span(m, end):
+        return F.struct((end - F.length(m)).alias("start"), F.lit(k).alias("kind_no"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+
+    found = F.zip_with(matches, ends, span)
+    if rule.least:
+        long_enough = F.zip_with(found, F.col(f"_v{k}"), lambda s, v: F.when(v >= rule.least, s))
+        found = F.filter(long_enough, lambda s: s.isNotNull())
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPANS))
+
+
+#: Texts of a block of posting lists, about; keys of candidates that are broadcast.
+BLOCK, SMALL = 1_000, 500_000
 
-    def item(x, i):
-        value = F.get(F.col(f"_v{k}"), i) if rule.least else F.length(x)
-        return F.struct(F.get(gaps, i).alias("gap"), F.length(x).alias("n"), value.alias("value"))
 
-    def step(acc, x):
-        at = acc["at"] + x["gap"]
-        end = at + x["n"]
-        span = F.struct(at.alias("start"), F.lit(k).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"))
-        more = F.when(x["value"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), more.alias("spans"))
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    found = F.aggregate(F.transform(matches, item), start, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, found).otherwise(start["spans"])
 
+def index(docs: DataFrame, trigrams: list[str], block: int = BLOCK) -> DataFrame:
+    """The inverted index: block, trigram (its number in the list) and texts (sorted keys) of all posting lists."""
+    blocks = max(1, -(-docs.count() // block))
+    low = docs.select(_key(F.col("text")).alias("key"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), j) for j, t in enumerate(trigrams)]))
+    found = low.select("key", F.explode(held).alias("trigram"))
+    return found.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "trigram").agg(F.sort_array(F.collect_set("key")).alias("texts"))
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
+
+def candidates(postings: DataFrame, trigrams: list[str], queries: dict[int, Query]) -> DataFrame:
+    """key and mask (bit r: the text satisfies the query of rule r) of the texts that satisfy any query."""
+    lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "texts"))).alias("lists"))
+    number = {t: j for j, t in enumerate(trigrams)}
+    none = F.array().cast("array<bigint>")
+
+    def texts(q: Query) -> Column:
+        if q[0] == "tri":
+            return F.coalesce(F.try_element_at("lists", F.lit(number[q[1]])), none)
+        return reduce(F.array_intersect if q[0] == "all" else F.array_union, [texts(x) for x in q[1:]])
+
+    def marked(r: int, q: Query) -> Column:
+        return F.transform(texts(q), lambda key: F.struct(key.alias("key"), F.lit(1 << r).cast("long").alias("bit")))
+
+    found = [marked(r, q) for r, q in queries.items()]
+    each = lists.select(F.explode(F.concat(*found)).alias("c"))
+    return each.groupBy(F.col("c.key").alias("key")).agg(F.bit_or("c.bit").alias("mask"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, block: int = BLOCK, small: int = SMALL) -> DataFrame:
     """docs with spans array<struct<start, kind_no, end, kind>>, sorted; end is exclusive."""
-    query = {r: trigram_query(r.pattern) for r in rules}
-    needed = list(dict.fromkeys(t for r in rules for t in _trigrams(query[r])))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.col("_low")
-    words_of_bits = [needed[i : i + 62] for i in range(0, len(needed), 62)]
-    df = docs.select(*rest, text.alias("_text"), F.lower(text).alias("_low"))
-    bits = [
-        reduce(
-            lambda a, b: a.bitwiseOR(b),
-            [F.when(low.contains(t), F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, t in enumerate(group)],
-        ).alias(f"_bits{k}")
-        for k, group in enumerate(words_of_bits)
-    ]
-    df = df.select(*rest, "_text", *bits)
-
-    def candidate(rule: Rule) -> Column:
-        if len(query[rule]) == 1:
-            return F.lit(True)
-        home = {t: k for k, group in enumerate(words_of_bits) for t in group}
-
-        def holds(q: Query) -> Column:
-            if q[0] == "tri":
-                k = home[q[1]]
-                return F.col(f"_bits{k}").bitwiseAND(F.lit(1 << words_of_bits[k].index(q[1]))) != 0
-            return reduce(lambda a, b: a & b if q[0] == "all" else a | b, [holds(x) for x in q[1:]])
-
-        return holds(query[rule])
-
-    t = F.col("_text")
+    query = [trigram_query(r.pattern) for r in rules]
+    selective = {r: q for r, q in enumerate(query) if len(q) > 1}
+    trigrams = list(dict.fromkeys(t for q in query for t in _trigrams(q)))
+    rest = [c for c in docs.columns if c != "spans"]
+    # All columns of docs go in one, lest their names clash with those in between.
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col("text")).alias("key"))
+    if selective:
+        found = stored(candidates(index(docs, trigrams, block), trigrams, selective), "secret-candidates")
+        df = df.join(F.broadcast(found) if found.count() <= small else found, "key", "left")
+    else:
+        df = df.withColumn("mask", F.lit(0).cast("long"))
+    t = F.coalesce(F.col("row.text"), F.lit(""))
     empty = F.array().cast("array<string>")
-    df = df.select(
-        *rest,
-        "_text",
-        *[F.when(candidate(r), F.regexp_extract_all(t, F.lit(r.pattern), F.lit(0))).otherwise(empty).alias(f"_m{k}") for k, r in enumerate(rules)],
-    )
+
+    def matches(r: int, rule: Rule) -> Column:
+        every = F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(0))
+        return F.when(F.getbit(F.coalesce("mask", F.lit(0).cast("long")), F.lit(r)) == 1, every).otherwise(empty) if r in selective else every
+
+    df = df.select("row", *[matches(r, rule).alias(f"_m{r}") for r, rule in enumerate(rules)])
     # The few rows with matches are taken apart; for all others these are constants.
     df = df.select(
-        *rest,
+        "row",
         *[f"_m{k}" for k in range(len(rules))],
         *[F.when(F.size(f"_m{k}") > 0, F.transform(F.split(t, r.pattern), lambda x: F.length(x))).alias(f"_g{k}") for k, r in enumerate(rules)],
         *[
@@ -167,8 +194,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
             if r.least
         ],
     )
-    kinds = [_spans(k, r) for k, r in enumerate(rules)]
-    return df.select(*rest, F.sort_array(F.concat(*kinds)).alias("spans"))
+    numbers = range(len(rules))
+    kept = ["row", *[f"_m{k}" for k in numbers], *[f"_v{k}" for k in numbers if rules[k].least]]
+    df = df.select(*kept, *[_steps(k).alias(f"_s{k}") for k in numbers])
+    df = df.select(*kept, *[f"_s{k}" for k in numbers], *[F.when(F.size(f"_m{k}") > 0, sums_before(F.col(f"_s{k}"))).alias(f"_b{k}") for k in numbers])
+    df = df.select("row", F.sort_array(F.concat(*[_spans(k, r) for k, r in enumerate(rules)])).alias("_spans"))
+    return df.select(*[F.col("row").getField(c).alias(c) for c in rest], F.col("_spans").alias("spans"))
 
 
 def joined(spans: Column) -> Column:

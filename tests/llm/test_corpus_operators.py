@@ -206,7 +206,7 @@ def filled(sizes, weights, share, most):
     return target
 
 
-@pytest.mark.parametrize("chunk, fan", [(2000, 64), (5, 2)])
+@pytest.mark.parametrize("chunk, fan", [(2000, 64), (5, 4)])
 def test_mixing(spark, docs, empty, chunk, fan):
     rng = random.Random(8)
     more = [(2000 + i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["s0", "s0", "s1", "tiny", None])) for i in range(400)]
@@ -227,10 +227,12 @@ def test_mixing(spark, docs, empty, chunk, fan):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
     key = lambda rs: sorted((str(r["doc_id"]), r["taken"]) for r in rs)
     assert key(rows) == key(mixing.mix(df.repartition(7), chunk=chunk, fan=fan).collect())
-    odd = df.withColumns({"p": F.lit(5), "docs": F.lit("k"), "target": F.lit(1)})
-    assert mixing.mixed(odd).columns == odd.columns and mixing.mix(odd).where("p = 5 and docs = 'k'").count() == df.count()
+    odd = df.withColumns({"p": F.lit(5), "_number": F.lit("k"), "target": F.lit(1), "copies": F.lit(9), "_path": F.lit("x")})
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).where("p = 5 and _number = 'k' and copies = 9").count() == sum(r["copies"] for r in mixing.mix(df).collect())
     assert mixing.mixed(df).columns == df.columns
-    assert mixing.mixed(df).count() == sum(r["copies"] for r in mixing.mix(df).collect())
+    again = Counter(tuple(r)[:2] for r in mixing.mixed(df).collect())
+    assert sum(again.values()) == sum(r["copies"] for r in mixing.mix(df).collect()) and again == Counter(tuple(r)[:2] for r in mixing.mixed(df.repartition(5)).collect())
+    assert mixing.mixed(empty).count() == 0
     assert mixing.mix(empty).count() == 0
 
 
