@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .textscan import LOWER, SPACED, grams, mix, rolling, slices, span_hashes, word_spans
+from .textscan import LOWER, SPACED, grams, mix, slices, word_hashes, word_spans
 
 FAN, DEALS = 16, 12
 #: Members counted at once; documents of these that hold a frequent one; frequent ones kept (8 bytes each).
@@ -55,7 +55,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     for i, j, data, offsets in slices(column):
         data = LOWER[data]
         starts, ends, row = word_spans(data, offsets, SPACED)
-        hashes = span_hashes(rolling(data), starts, ends)
+        hashes = word_hashes(data, starts, ends)
         whole = grams(hashes, n)
         bounds = np.searchsorted(row, np.arange(j - i + 1))
         for r in range(j - i):

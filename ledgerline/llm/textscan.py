@@ -7,6 +7,7 @@ words are told by ASCII bytes alone; bytes from 80 on always belong to words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -113,6 +114,19 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Spans of more bytes are hashed by blake2b: sums of powers modulo 2**64 can be equal for
+#: different texts of some hundred bytes that are built for it (Thue-Morse sequences).
+SHORT = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of any length."""
+    hashes = span_hashes(rolling(data), starts, ends)
+    for k in np.flatnonzero(ends - starts > SHORT).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words (also those across rows, for the caller to leave out)."""
     n = max(0, len(hashes) - k + 1)
@@ -123,15 +137,6 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U(k))
 
 
-def grams_at(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """As grams(hashes, k)[at]."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(k):
-        out *= _BASE
-        out += hashes[at + i]
-    return mix(out + U(k))
-
-
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w neighbours."""
     have, out = 1, x

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .textscan import SPACED, grams, rolling, slices, span_hashes, word_spans
+from .textscan import SPACED, grams, slices, word_hashes, word_spans
 
 WORD = re.compile(r"\w+")
 #: The bounds of the sample and of the lexicon.
@@ -284,7 +284,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = [], []
         for i, j, data, offsets in slices(batch.column(0)):
             starts, ends, row = word_spans(data, offsets, SPACED)
-            hashes = span_hashes(rolling(data), starts, ends)
+            hashes = word_hashes(data, starts, ends)
             bounds = np.searchsorted(row, np.arange(j - i + 1))
             for r in range(j - i):
                 own = hashes[bounds[r] : bounds[r + 1]]

@@ -153,19 +153,34 @@ def contamination(texts, items):
         yield len(w), len(hit), sorted(str(x) for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_decontamination(spark, docs, empty, prose, block):
+def thue_morse(n, a, b):
+    """A word and its complement, whose sums of powers modulo 2**64 are equal for 1024 letters or more."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+@pytest.mark.parametrize("small", [decontaminate.SMALL, 0])
+def test_decontamination(spark, docs, empty, prose, small):
     rng = random.Random(2)
     items = [(k, " ".join(prose[k].split(" ")[:30]).upper()) for k in range(12)]
     items += [(50, "one"), (51, None), (52, "--"), (None, prose[20]), (7, prose[21]), (53, "two WORDS"), (54, " ".join(rng.choice("xyz") for _ in range(40)))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    rows = decontaminate.contamination(docs, bench, block=block).collect()
+    one, other = thue_morse(2048, "a", "b")
+    assert one != other
+    items.append((60, one))
+    bench = bench.unionByName(spark.createDataFrame([(60, one)], bench.schema))
+    docs = docs.unionByName(spark.createDataFrame([(900, other), (901, "x " + one + "\n"), (902, "word, " * 50_000 + " ".join(prose[3].split(" ")[4:20]) + "-" * 3_000_000)], "doc_id bigint, text string"), allowMissingColumns=True)
+    rows = decontaminate.contamination(docs, bench, small=small).collect()
     assert len(rows) == docs.count()
+    assert {r["doc_id"]: r["items"] for r in rows if r["doc_id"] in (900, 901)} == {900: [], 901: ["60"]}
     for r, want in zip(rows, contamination([r["text"] for r in rows], items), strict=True):
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == want
-    assert decontaminate.contamination(empty, bench).count() == 0
-    assert decontaminate.contamination(docs, bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
-    assert decontaminate.clean(docs, bench).columns == docs.columns
+    assert decontaminate.contamination(empty, bench, small=small).count() == 0
+    assert decontaminate.contamination(docs, bench.where("false"), small=small).agg(F.sum("n_hit")).first()[0] == 0
+    odd = docs.withColumns({"items": F.lit("k"), "_items": F.lit(1), "row": F.lit(2), "_number": F.lit(3)})
+    assert decontaminate.clean(odd, bench, small=small).columns == odd.columns
+    kept = {r["doc_id"]: r["text"] for r in rows if not r["contaminated"]}
+    assert {r["doc_id"]: r["text"] for r in decontaminate.clean(odd, bench, small=small).where("items = 'k' and n_words is not distinct from n_words").collect()} == kept
 
 
 def test_token_counts_are_the_library_s(docs, empty):
