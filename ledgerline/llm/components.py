@@ -1,9 +1,12 @@
 """Connected components of a table of edges, by large-star and small-star rounds.
 
-Each round is two joins-free aggregations over edges; the edges stay a distributed
-table, written to the shared folder after every round, and only their number and
-a change flag reach the driver.  Hubs are split: the neighbours of a vertex are
-first reduced to their minimum by partial aggregation.
+The edges stay a distributed table, written to the shared folder after every step, and
+only their number and a change flag reach the driver.  Every vertex's least neighbour comes
+from an aggregation with partial minima and is stored; edges are joined to that table,
+which has one row a vertex, so that the edges of a hub are split over tasks (Spark's
+skewed joins need both sides straight from a shuffle or a table).  Edges should lead to the
+least vertex of their group where the caller can choose: a hub is least then, and the second
+step has few rows for any vertex.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # Large star: every larger neighbour of x is linked to the least of x and its neighbours.
         both = labels.union(labels.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m"))
-        least = least.select("v", F.least("v", "m").alias("m"))
+        least = stored(least.select("v", F.least("v", "m").alias("m")), f"{name}-least")
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         # Small star: x and its smaller neighbours are linked to the least of them.
         least = large.groupBy("v").agg(F.min("u").alias("m"))

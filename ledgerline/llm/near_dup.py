@@ -18,8 +18,10 @@ similarity of at least `percent` / 100 are linked, and none of these links is lo
    that the smaller sizes need.  At the leaves the bits are the members themselves and
    the overlap is exact.  A cluster of more than 4096 documents is cut into chunks, and
    every pair of chunks is a task of its own, so that no cluster is one task's load.
+   Of sets that are equal (by 128-bit digests) one stands for all: a cluster's copies
+   are collapsed, map-side first, before its texts are dealt to tasks.
 3. Each task reports a spanning forest and numbers of links, not pairs; components of
-   all forests are the classes.
+   all forests are the classes, and documents follow the set that stands for theirs.
 
 Edge cases: null and empty texts have empty sets and no links; texts with fewer than n
 words are one gram; rows without an id have no links; rows that repeat an id are one
@@ -28,6 +30,7 @@ document whose sets are all compared; columns other than doc_id and text don't m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, numbered, stored
 from .components import components
-from .textscan import LOWER, SPACED, grams, mix, slices, word_hashes, word_spans
+from .textscan import LOWER, SPACED, grams, mix, raw, slices, word_hashes, word_spans
 
 FAN, DEALS = 16, 12
 #: Members counted at once; documents of these that hold a frequent one; frequent ones kept (8 bytes each).
@@ -68,6 +71,31 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + r, whole[:0]
 
 
+def digest(members: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set, as two signed numbers."""
+    said = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+    return int.from_bytes(said[:8], "little", signed=True), int.from_bytes(said[8:], "little", signed=True)
+
+
+def _digests(n: int):
+    """Rows (doc_id, n_shingles, low, high, bytes) of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lows, highs = [], [], []
+            for _, members in shingle_sets(batch.column(1), n):
+                low, high = digest(members)
+                sizes.append(len(members))
+                lows.append(low)
+                highs.append(high)
+            columns = [pa.array(x, pa.int64()) for x in (sizes, lows, highs)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, pa.array(np.diff(raw(batch.column(1))[1]))], names=["doc_id", "n_shingles", "low", "high", "bytes"]
+            )
+
+    return run
+
+
 def _class(size: int, ratio: float) -> int:
     return int(np.floor(np.log(size) / np.log(ratio) + 1e-9))
 
@@ -285,157 +313,157 @@ def _forest(n_leaves: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weigh
 BITMAPS = 128 << 20
 
 
-def join_block(sets: list[np.ndarray], owners: list[int], side: np.ndarray, percent: int) -> Iterator[dict[str, np.ndarray]]:
-    """Links among sets (side 0 alone), or between sets of sides 0 and 1: id, root (least id
-    of its tree in the forest) and links; an id may come several times."""
-    together: dict[bytes, list[int]] = {}
-    for k, members in enumerate(sets):
-        together.setdefault(members.tobytes() + bytes([side[k]]), []).append(k)
+def join_block(sets: list[np.ndarray], owners: list[int], copies: list[int], side: np.ndarray, percent: int) -> Iterator[dict[str, np.ndarray]]:
+    """Links among sets (side 0 alone), or between sets of sides 0 and 1: id, root (least id of its
+    tree in the forest) and links (to all copies of other sets); sets of a block all differ."""
     # neighbours in the tree: by least member (near copies often share it), then by size
-    groups = sorted(together.values(), key=lambda g: (side[g[0]], int(sets[g[0]][0]), len(sets[g[0]])))
-    heads = [g[0] for g in groups]
-    sides = side[heads]
-    split = int((sides == 0).sum())
-    two = split < len(heads)
-    # one bit for every member that two different sets hold
-    flat = np.concatenate([sets[h] for h in heads])
-    owner = np.repeat(np.arange(len(heads)), [len(sets[h]) for h in heads])
+    order = sorted(range(len(sets)), key=lambda k: (side[k], int(sets[k][0]), len(sets[k])))
+    sets, owners, copies, side = [sets[k] for k in order], [owners[k] for k in order], [copies[k] for k in order], side[order]
+    split = int((side == 0).sum())
+    two = split < len(sets)
+    # one bit for every member that two sets hold
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     inverse, shared = inverse.ravel(), count > 1
     width = max(8, -(-int(shared.sum()) // 64) * 8)
-    if width * len(heads) > BITMAPS and len(heads) > 2:
-        yield from _halves(sets, owners, groups, sides, two, split, percent)
+    if width * len(sets) > BITMAPS and len(sets) > 2:
+        yield from _halves(sets, owners, copies, two, split, percent)
         return
-    bits = np.zeros((len(heads), width), np.uint8)
+    bits = np.zeros((len(sets), width), np.uint8)
     ok = shared[inverse]
     at = (np.cumsum(shared) - 1)[inverse[ok]]
     np.bitwise_or.at(bits, (owner[ok], at >> 3), (1 << (at & 7)).astype(np.uint8))
-    words, sizes = bits.view(np.uint64), np.array([len(sets[h]) for h in heads], np.int64)
+    words, sizes = bits.view(np.uint64), np.array([len(x) for x in sets], np.int64)
     if two:
         x, y = Tree(words[:split], sizes[:split]), Tree(words[split:], sizes[split:])
         pairs = ((a, b + split) for a, b in linked(x, y, percent, False))
     else:
         tree = Tree(words, sizes)
         pairs = linked(tree, tree, percent, True)
-    roots, links = _forest(len(heads), pairs, np.array([len(g) for g in groups], np.int64))
-    ids, tops, counts, least = [], [], [], {}
-    for leaf, g in enumerate(groups):
-        r = int(roots[leaf])
-        least[r] = min(least.get(r, 1 << 63), *(owners[k] for k in g))
-    for leaf, g in enumerate(groups):
-        if two and not links[leaf]:
-            continue
-        for k in g:
-            ids.append(owners[k])
-            tops.append(least[int(roots[leaf])])
-            counts.append(int(links[leaf]) + (0 if two else len(g) - 1))  # equal sets of one side are linked too
-    yield {"id": np.array(ids, np.int64), "root": np.array(tops, np.int64), "links": np.array(counts, np.int64)}
+    roots, links = _forest(len(sets), pairs, np.array(copies, np.int64))
+    ids = np.array(owners, np.int64)
+    least = np.full(len(sets), np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, ids)
+    told = np.flatnonzero(links)
+    yield {"id": ids[told], "root": least[roots[told]], "links": links[told]}
 
 
-def _halves(sets, owners, groups, sides, two, split, percent) -> Iterator[dict[str, np.ndarray]]:
+def _halves(sets, owners, copies, two, split, percent) -> Iterator[dict[str, np.ndarray]]:
     """The same block in smaller ones, whose bitmaps are shorter."""
 
-    def part(first: list[list[int]], second: list[list[int]]) -> Iterator[dict[str, np.ndarray]]:
-        a, b = [k for g in first for k in g], [k for g in second for k in g]
-        if a and (b or len(a) > 1):
-            yield from join_block([sets[k] for k in a + b], [owners[k] for k in a + b], np.array([0] * len(a) + [1] * len(b), np.uint8), percent)
+    def part(first: range, second: range) -> Iterator[dict[str, np.ndarray]]:
+        both = [*first, *second]
+        if first and (second or len(first) > 1):
+            yield from join_block([sets[k] for k in both], [owners[k] for k in both], [copies[k] for k in both], np.array([0] * len(first) + [1] * len(second), np.uint8), percent)
 
     if two:
-        left, right = groups[:split], groups[split:]
-        cut, at = -(-len(left) // 2), -(-len(right) // 2)
-        for x in (left[:cut], left[cut:]):
-            for y in (right[:at], right[at:]):
+        cut, at = -(-split // 2), split + -(-(len(sets) - split) // 2)
+        for x in (range(cut), range(cut, split)):
+            for y in (range(split, at), range(at, len(sets))):
                 if x and y:
                     yield from part(x, y)
     else:
-        cut = len(groups) // 2
-        yield from part(groups[:cut], [])
-        yield from part(groups[cut:], [])
-        yield from part(groups[:cut], groups[cut:])
+        cut = len(sets) // 2
+        yield from part(range(cut), range(0))
+        yield from part(range(cut, len(sets)), range(0))
+        yield from part(range(cut), range(cut, len(sets)))
 
 
 def _blocks(n: int, percent: int):
-    """Rows arrive sorted by task; each task is one block or a pair of chunks."""
+    """Rows (component, i, j, doc_id, side, text, low, high, copies) arrive sorted by task; each task is
+    one block or a pair of chunks.  Rows that share their id with a set that stands for others, but are another
+    text or the same again, pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, owners, sides = None, [], [], []
+        now, sets, owners, copies, sides, seen = None, [], [], [], [], set()
 
         def close() -> Iterator[pa.RecordBatch]:
             # A pair of chunks of which one is empty is no block: its rows meet in their own chunk.
             if len(sets) > 1 and (now[1] == now[2] or 0 < sum(sides) < len(sides)):
-                for found in join_block(sets, owners, np.array(sides, np.uint8), percent):
+                for found in join_block(sets, owners, copies, np.array(sides, np.uint8), percent):
                     yield pa.RecordBatch.from_arrays([pa.array(found[k]) for k in ("id", "root", "links")], names=["id", "root", "links"])
-            sets.clear()
-            owners.clear()
-            sides.clear()
+            for held in (sets, owners, copies, sides, seen):
+                held.clear()
 
         for batch in batches:
             tasks = list(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2)], strict=True))
-            ids, side = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            ids, side, low, high, times = (batch.column(k).to_pylist() for k in (3, 4, 6, 7, 8))
             for row, members in shingle_sets(batch.column(5), n):
                 if tasks[row] != now:
                     yield from close()
                     now = tasks[row]
-                if not len(members):
+                if (own := (low[row], high[row])) in seen or digest(members) != own:
                     continue
+                seen.add(own)
                 sets.append(members)
                 owners.append(ids[row])
+                copies.append(times[row])
                 sides.append(side[row])
         yield from close()
 
     return run
 
 
-def _sizes(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [len(members) for _, members in shingle_sets(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_shingles"])
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    return run
+
+def measured(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, low and high (the set's digest) and bytes (of the text) of every row."""
+    return stored(_rows(docs).mapInArrow(_digests(n), "doc_id long, n_shingles long, low long, high long, bytes long"), "near-sets")
 
 
-def classes(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, component_id and n_links of the documents that are linked with another."""
+def classes(docs: DataFrame, sets: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, component_id and n_links of the documents that are linked with another; sets are those of measured()."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = _rows(docs).where("doc_id is not null")
     common = spark.sparkContext.broadcast(common_members(rows, n))
     keyed = rows.mapInArrow(_keys(n, percent, common), "key long, a long, b long")
     least = F.expr("case when b is null then min(case when b is null then a end) over (partition by key, b is null) else a end")
     edges = keyed.select("a", "b", least.alias("least"), F.coalesce("b", "a").alias("other"))
     edges = edges.where("least <> other").select(F.col("least").alias("a"), F.col("other").alias("b")).distinct()
-    clusters = components(edges, "near-clusters")
+    clusters = components(edges, "near-clusters").withColumnRenamed("component", "cluster")
+    # Of equal sets the one with the least id stands for all.
+    members = stored(clusters.join(sets, F.col("vertex") == F.col("doc_id")).select("cluster", "low", "high", "doc_id", "bytes"), "near-members")
+    group = ["cluster", "low", "high"]
+    reps = members.groupBy(*group).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"))
+    reps = stored(reps, "near-heads")
     # Chunks of large clusters: every pair of chunks (i <= j) is a task.
-    lengths = rows.select(F.col("doc_id").alias("vertex"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    sized = clusters.join(lengths, "vertex").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("chars") / CHARS)).cast("int")
-    # Only clusters of several chunks are joined: small ones, however many, need no look-up.
-    large = stored(sized.where((F.col("n") > chunk) | (F.col("chars") > CHARS)).select("component", chunks.alias("chunks")), "near-large")
-    large = F.broadcast(large) if large.count() <= 100_000 else large
-    placed = clusters.join(large, "component", "left").select("vertex", "component", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
-    text = rows.join(placed, rows["doc_id"] == placed["vertex"]).select("doc_id", "text", "component", "chunks", "own")
+    sized = reps.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHARS)).cast("int")
+    sized = stored(sized.select("cluster", chunks.alias("chunks")), "near-sizes")
+    placed = reps.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("low"), F.col("chunks")).cast("int")).drop("bytes")
+    text = rows.join(placed, rows["doc_id"] == placed["rep"])
     tasks = F.expr(
         "transform(sequence(0, chunks - 1), k -> struct(least(own, k) as i, greatest(own, k) as j, cast(own > k as int) as side))"
     )
-    dealt = text.select("doc_id", "text", "component", F.explode(tasks).alias("t")).select(
-        "component", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "doc_id", F.col("t.side").alias("side"), "text"
+    dealt = text.select("doc_id", "text", *group, "copies", F.explode(tasks).alias("t")).select(
+        "cluster", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "doc_id", F.col("t.side").alias("side"), "text", "low", "high", "copies"
     )
-    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "doc_id")
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "doc_id")
     found = stored(dealt.mapInArrow(_blocks(n, percent), "id long, root long, links long"), "near-links")
-    joined = components(found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")), "near-classes")
-    counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    return counts.join(joined, counts["id"] == joined["vertex"]).select(
-        F.col("id").alias("doc_id"), F.col("component").alias("component_id"), "n_links"
+    # An id with several sets ties the ids that stand for these together.
+    several = members.groupBy("doc_id").agg(F.collect_set(F.struct(*group)).alias("sets")).where(F.size("sets") > 1)
+    several = several.select("doc_id", F.explode("sets").alias("s")).select("doc_id", "s.*").join(reps, group)
+    tied = several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
+    tied = tied.select("a", F.explode("reps").alias("b")).where("a <> b")
+    joined = components(found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).union(tied), "near-classes")
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    heads = reps.join(joined, F.col("rep") == F.col("vertex"), "left").join(counts, F.col("rep") == F.col("id"), "left").select(
+        *group, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    heads = stored(heads.where("n_links > 0"), "near-verdicts")
+    # Documents follow the set that stands for theirs.
+    return members.join(heads, group).groupBy("doc_id").agg(F.min("component").alias("component_id"), F.max("n_links").alias("n_links"))
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = classes(docs, n, percent, chunk).withColumnRenamed("doc_id", "_id")
-    sizes = rows.mapInArrow(_sizes(n), "doc_id long, n_shingles long")
-    return sizes.join(found, sizes["doc_id"] == found["_id"], "left").select(
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and n_links of every row
+    (of an id with several texts: the most that one has)."""
+    sets = measured(docs, n)
+    found = classes(docs, sets, n, percent, chunk).withColumnRenamed("doc_id", "_id")
+    return sets.join(found, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
@@ -443,10 +471,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) ->
 def distinct(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """docs with one row of each class (the least doc_id, a missing one first), in the columns of docs.
 
-    Rows are told apart by numbers as in suffix_dedup, so rows that share an id or have none are documents of their own."""
-    rows = docs.withColumn("_number", F.monotonically_increasing_id())
-    found = classes(rows.select(F.col("_number").alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("_member"), F.col("component_id").alias("_class"))
-    linked = rows.select("doc_id", "_number").join(found, F.col("_number") == F.col("_member"))
-    first = linked.groupBy("_class").agg(F.min(F.struct("doc_id", "_number")).alias("first"))
-    gone = found.join(first.select(F.col("first._number").alias("_kept")), F.col("_member") == F.col("_kept"), "left_anti").select("_member")
-    return rows.join(gone, F.col("_number") == F.col("_member"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    Rows are told apart by numbers, so rows that share an id or have none are documents of their own."""
+    own = docs.columns
+    number, member, group = (free(c, own) for c in ("_number", "_member", "_class"))
+    rows = numbered(docs, number, "near-rows")
+    texts = rows.select(F.col(number).alias("doc_id"), "text")
+    found = classes(texts, measured(texts, n), n, percent).select(F.col("doc_id").alias(member), F.col("component_id").alias(group))
+    found = stored(found, "near-found")
+    linked = rows.select("doc_id", number).join(found, F.col(number) == F.col(member))
+    first = linked.groupBy(group).agg(F.min(F.struct("doc_id", number)).alias("first"))
+    kept = first.select(F.col(f"first.{number}").alias("_kept"))
+    gone = found.join(kept, F.col(member) == F.col("_kept"), "left_anti").select(member)
+    return rows.join(gone, F.col(number) == F.col(member), "left_anti").select(*[F.col(f"`{c}`") for c in own])

@@ -73,15 +73,35 @@ def test_near_duplicates_of_odd_rows(docs, empty):
     assert near_dup.join(empty).count() == near_dup.distinct(empty).count() == 0
 
 
+def test_near_duplicates_of_long_texts_copies_and_built_words(spark):
+    rng = random.Random(4)
+    bits = ["ab"[bin(i).count("1") % 2] for i in range(2048)]
+    one, other = "".join(bits), "".join("b" if x == "a" else "a" for x in bits)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(450_000))  # 2.7 MB, over a slice
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = [" ".join([*base[:60], f"x{k}", *base[61:]]) for k in range(40)]
+    rows = [(1, one), (2, other), (3, long), (4, long + " end"), (5, "short " + long[:1000])]
+    rows += [(100 + i, near[i % 40]) for i in range(400)] + [(9, near[0]), (9, "quite another text of six words"), (8, "Quite another text OF six words")]
+    rng.shuffle(rows)
+    small = [r for r in rows if r[0] not in (3, 4, 5)]
+    classes = {i: c for (i, _), (_, c, _) in zip(small, near_classes(small, 3, 90), strict=True)}
+    for chunk in (4096, 7):
+        found = near_dup.join(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=chunk).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] not in (3, 4, 5)} == classes
+        assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] in (1, 2, 3, 4, 5)} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+        assert {r["n_links"] for r in found if 100 <= r["doc_id"]} == {400}
+    assert near_dup.distinct(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 6
+
+
 def test_bitmaps_are_halved_when_they_are_large(monkeypatch):
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 4000, 300).astype(np.uint64)) for _ in range(12)]
-    sets = base + [np.unique(np.append(s[rng.random(len(s)) > 0.03], rng.integers(0, 4000, 4).astype(np.uint64))) for s in base] + base[:3]
+    sets = base + [np.unique(np.append(s[rng.random(len(s)) > 0.03], rng.integers(0, 4000, 4).astype(np.uint64))) for s in base]
 
     def told(limit, side):
         monkeypatch.setattr(near_dup, "BITMAPS", limit)
         links, edges = Counter(), set()
-        for part in near_dup.join_block(sets, list(range(len(sets))), side, 90):
+        for part in near_dup.join_block(sets, list(range(len(sets))), [1] * len(sets), side, 90):
             for i, r, n in zip(part["id"].tolist(), part["root"].tolist(), part["links"].tolist(), strict=True):
                 links[i] += n
                 edges.add((i, r))
@@ -96,9 +116,9 @@ def test_bitmaps_are_halved_when_they_are_large(monkeypatch):
 
 
 def test_components(spark):
-    edges = [(1, 2), (2, 3), (9, 3), (20, 10), (5, 5), (30, 31), (31, 32), (32, 33), (33, 34), (34, 30)] + [(100, k) for k in range(101, 160)]
+    edges = [(1, 2), (2, 3), (9, 3), (20, 10), (5, 5), (30, 31), (31, 32), (32, 33), (33, 34), (34, 30)] + [(100, k) for k in range(101, 160)] + [(1000, k) for k in range(1001, 9000)]
     got = {r["vertex"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    want = dict.fromkeys((1, 2, 3, 9), 1) | dict.fromkeys((10, 20), 10) | dict.fromkeys(range(30, 35), 30) | dict.fromkeys(range(100, 160), 100)
+    want = dict.fromkeys((1, 2, 3, 9), 1) | dict.fromkeys((10, 20), 10) | dict.fromkeys(range(30, 35), 30) | dict.fromkeys(range(100, 160), 100) | dict.fromkeys(range(1000, 9000), 1000)
     assert got == want
 
 
