@@ -4,9 +4,10 @@ A byte-level BPE never merges across pre-tokens, so a text's ids are the ids of
 its pre-tokens in a row.  Pre-tokens are cut by the standard library's regular
 expressions where a text has only characters on whose classes all libraries
 agree (ASCII without the separators 1C-1F, Latin letters up to U+024F, common
-punctuation) and no special string; any other text is encoded whole.  Both ways
-give the tokenizers library's own result.  Files of other kinds (sentencepiece,
-other pre-tokenizers or normalizers) are always encoded whole.
+punctuation) and no special string.  For counts, any other text is parted at special
+strings and cut by the library's own pre-tokenizer; for ids it is encoded whole.  All
+ways give the tokenizers library's own result.  Files of other kinds (sentencepiece,
+other pre-tokenizers or normalizers) know no pre-tokens: there a whole text is one.
 """
 
 from __future__ import annotations
@@ -66,9 +67,12 @@ class Encoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and said.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
         )
-        if plain:
-            special = [re.escape(x["content"]) for x in said.get("added_tokens") or ()]
+        added = said.get("added_tokens") or ()
+        if plain and not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
+            special = [re.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"]))]
             self.cut = re.compile("|".join([*special, UNSURE]))
+            self.special = re.compile("|".join(special) or r"(?!)")
+            self.library = tokenizer.pre_tokenizer.pre_tokenize_str
             letters, tokenize = _byte_letters(), tokenizer.model.tokenize
             self.known = Pieces(lambda word: piece([x.id for x in tokenize(word.encode().decode("latin-1").translate(letters))]))
 
@@ -78,6 +82,19 @@ class Encoder:
             return None
         return PRETOKEN.findall(text)
 
+    def parted(self, text: str) -> tuple[list[str], int]:
+        """Pre-tokens of any text, and the number of special strings (one id each)."""
+        if self.cut is None:
+            return ([text] if text else []), 0
+        if not self.cut.search(text):
+            return PRETOKEN.findall(text), 0
+        parts = self.special.split(text)
+        return [part[a:b] for part in parts for _, (a, b) in self.library(part)], len(parts) - 1
+
+    def count(self, pretoken: str) -> int:
+        """The number of a pre-token's ids."""
+        return len(self.whole([pretoken])[0]) if self.cut is None else self.known[pretoken]
+
     def pieces(self) -> Pieces:
         """The pieces of pre-tokens, emptied when there are too many."""
         if len(self.known) > MOST:

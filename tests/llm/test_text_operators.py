@@ -183,12 +183,22 @@ def test_decontamination(spark, docs, empty, prose, small):
     assert {r["doc_id"]: r["text"] for r in decontaminate.clean(odd, bench, small=small).where("items = 'k' and n_words is not distinct from n_words").collect()} == kept
 
 
-def test_token_counts_are_the_library_s(docs, empty):
+@pytest.mark.parametrize("frequent", [token_counts.FREQUENT, 5])
+def test_token_counts_are_the_library_s(docs, empty, frequent):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(registry.tokenizer_path())
+    more = [(700, "a <|endoftext|><|endoftext|> b"), (701, "日本語 " * 300_000 + "привет мир"), (702, "x" * 2_500_000), (703, " \u00a0\u2003x\x1e1 ٣٤ Ⅷ")]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(more, "doc_id bigint, text string"), allowMissingColumns=True)
+    docs = docs.withColumns({"row": F.lit(1), "n_tokens": F.lit("x"), "_number": F.lit("k"), "pieces": F.lit(2)})
     texts = docs.select("doc_id", "text").collect()
-    got = {r["doc_id"]: r for r in token_counts.count(docs, registry.tokenizer_path(), 20).collect()}
+    path = registry.tokenizer_path()
+    kept = token_counts.count(docs, path, 20, frequent)
+    assert kept.columns == [c for c in docs.columns if c not in ("text", "n_tokens")] + ["n_bytes", "n_tokens", "over_limit"]
+    got = {r["doc_id"]: r for r in kept.collect()}
+    told = token_counts.vocabulary(docs, path).collect()
+    assert len(told) == len({r["pretoken"] for r in told}) and all(r["pieces"] == len(library.encode(r["pretoken"], add_special_tokens=False).ids) for r in told if len(r["pretoken"]) < 1000)
+    assert kept.count() == len(texts)
     for doc_id, text in texts:
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         assert (got[doc_id]["n_bytes"], got[doc_id]["n_tokens"], got[doc_id]["over_limit"]) == (len((text or "").encode()), n, n > 20)
