@@ -18,8 +18,9 @@ place, in the same document or another one.
    share `window` bytes are repeated windows.
 3. Their places are joined to the documents that have any, and cut out.
 
-Rows are told apart by numbers (monotonically_increasing_id over the input, which must be
-a table or file scan), so rows that repeat, ids included, are documents of their own.
+Rows are told apart by numbers (file and place in it for scans, else those of a stored
+table), so rows that repeat, ids included, are documents of their own, and a lost executor
+or another split of the input changes no number.
 
 Edge cases: null and empty texts, and texts shorter than the window, keep all bytes;
 repeated rows of that length lose all; other columns pass through in cut(), and an empty
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import free, numbered, stored
 from .suffix_sort import suffix_array
 from .textscan import _power_tables, mix, raw, rolling, slices, window_min
 
@@ -278,7 +279,7 @@ def _hits(docs: DataFrame, window: int) -> DataFrame:
 
 def digests(docs: DataFrame, window: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = numbered(docs.select("doc_id", "text"), "row", "suffix-rows").withColumn("text", F.coalesce("text", F.lit("")))
     hits = _hits(rows.select("row", "text"), window).select("row", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
     whole = rows.select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("all_sha"))
     return whole.join(hits, "row", "left").select(
@@ -290,8 +291,9 @@ def digests(docs: DataFrame, window: int = 200) -> DataFrame:
 def cut(docs: DataFrame, window: int = 200) -> DataFrame:
     """docs without the repeated bytes, in the columns of docs; what a cut leaves of a
     character is replaced by U+FFFD."""
-    rows = docs.withColumn("_number", F.monotonically_increasing_id())
-    hits = _hits(rows.select(F.col("_number").alias("row"), F.coalesce("text", F.lit("")).alias("text")), window).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    text = F.when(F.col("_kept").isNotNull(), F.make_valid_utf8(F.col("_kept").cast("string"))).otherwise(F.col("text"))
-    joined = rows.join(hits, F.col("_number") == F.col("_row"), "left")
+    number, row, kept = (free(c, docs.columns) for c in ("_number", "_row", "_kept"))
+    rows = numbered(docs, number, "suffix-rows")
+    hits = _hits(rows.select(F.col(number).alias("row"), F.coalesce("text", F.lit("")).alias("text")), window).select(F.col("row").alias(row), F.col("kept").alias(kept))
+    text = F.when(F.col(kept).isNotNull(), F.make_valid_utf8(F.col(kept).cast("string"))).otherwise(F.col("text"))
+    joined = rows.join(hits, F.col(number) == F.col(row), "left")
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

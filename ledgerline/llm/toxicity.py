@@ -2,20 +2,21 @@
 
 Fitting.  A bounded sample of labelled rows (at most `rows`, those with the
 smallest hash of their id) is read once for the lexicon: of every word start and
-whole word the toxic and other rows that hold it are counted, those that
-toxic rows hold beyond chance (binomial tail under 1e-6, four in five rows toxic)
-are kept, and of a chain of word starts that the same rows hold the longest
-stands for all.  A second reading of the sample counts how often exact hits,
+whole word (of words over 64 letters: the whole only) the toxic and other rows that
+hold it are counted, those that toxic rows hold beyond chance (binomial tail under
+1e-6, four in five rows toxic) are kept, all of them, and of a chain of word starts
+that the same rows hold the longest stands for all.  A second reading of the sample counts how often exact hits,
 misspelled hits and quoted hits of each term stand in toxic and other rows; from
 these counts follow the terms' weights.  Nothing but texts and their labels is
 used.
 
-Scoring.  The trie of the lexicon and the Levenshtein automaton of one edit (whole
-words of five letters or more) are run together as one automaton whose
-subsets are built when they are first needed; most words leave it after a few
-letters.  A hit between quotation marks, with a word of reporting within six words,
+Scoring.  The trie of the lexicon and the Levenshtein automaton of one edit (in whole
+words of five letters or more and word starts of six or more; two swapped neighbours
+are one edit) are run together as one automaton whose
+subsets are built when they are first needed, and anew when there are too many; most
+words leave it after a few letters.  A hit between quotation marks, with a word of reporting within six words,
 counts as quotation and weighs less.  A document's score is the chance that one of
-its hits (three of a kind at most) is abuse: 1 - product of (1 - weight).
+its hits is abuse: 1 - product of (1 - weight) ** (1 + log2(n)) for n hits of a kind.
 
 Edge cases: null and empty texts have no hits and get the base rate of rows without
 hits; labels without a value or a document are left out, the larger of several labels
@@ -41,12 +42,15 @@ from .common import stored
 from .textscan import SPACED, grams, slices, word_hashes, word_spans
 
 WORD = re.compile(r"\w+")
-#: The bounds of the sample and of the lexicon.
-ROWS, TERMS = 12_000, 5_000
-LONGEST, WINDOW, REPEATS = 14, 6, 3
+#: The bound of the sample.
+ROWS = 12_000
+#: Letters of words that have starts; words around a hit; letters of whole words and of word starts that may be misspelled.
+STARTS, WINDOW, WHOLE, START = 64, 6, 5, 6
 CHANCE, PURITY = 1e-6, 0.8
-#: Weights before anything is counted (as toxic and other rows): exact, misspelled, quoted.
-PRIOR = {"exact": (1.0, 0.25), "near": (1.8, 0.2), "quoted": (1.0, 3.0)}
+#: Subsets of the automaton that a worker holds.
+SUBSETS = 200_000
+#: Weights before anything is counted (as toxic and other rows): exact, misspelled, misspelled word start, quoted.
+PRIOR = {"exact": (1.0, 0.25), "near": (1.8, 0.2), "near_start": (1.0, 0.6), "quoted": (1.0, 3.0)}
 #: Words of reporting, and quotation marks.
 REPORTING = frozenset(
     "said says say saying called calls calling quote quoted quotes wrote writes word words term insult insulted slur "
@@ -60,7 +64,8 @@ def _word_starts(text: str) -> set[str]:
     found = set()
     for w in set(WORD.findall(text.lower())):
         found.add("=" + w)
-        found.update(w[:k] for k in range(3, min(len(w), LONGEST)))
+        if len(w) <= STARTS:
+            found.update(w[:k] for k in range(3, len(w)))
     return found
 
 
@@ -92,14 +97,20 @@ def _log_tail(k: int, n: int, p: float) -> float:
     return top + math.log(sum(math.exp(x - top) for x in logs))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int) -> list[str]:
-    """Terms ("=word" or a word start) from (feature, toxic rows, other rows)."""
-    if not toxic:
-        return []
-    rate = min(0.999, toxic / (toxic + other))
-    good = {
-        w: (t, o) for w, t, o in counts if t >= PURITY * (t + o) and _log_tail(t, t + o, rate) < math.log(CHANCE)
-    }
+def _beyond_chance(rate: float):
+    """The rows (term, toxic, other) whose toxic rows are more than chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield batch.filter(pa.array([_log_tail(t, t + o, rate) < math.log(CHANCE) for t, o in counts], pa.bool_()))
+
+    return run
+
+
+def choose_terms(counts: list[tuple[str, int, int]]) -> list[str]:
+    """Terms ("=word" or a word start) from the features (feature, toxic rows, other rows) beyond chance."""
+    good = {w: (t, o) for w, t, o in counts}
     children: dict[str, list[str]] = {}
     for w in good:
         parent = w.lstrip("=")[:-1]
@@ -111,31 +122,30 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int) ->
         if any(s in good for s in starts):
             continue  # a shorter start stands for it
         while True:  # down the chain, while one child has nearly all of its rows
-            heir = max(children.get(w, []) if w[0] != "=" else [], key=lambda x: good[x][0], default=None)
+            heir = max(children.get(w, []) if w[0] != "=" else [], key=lambda x: (good[x][0], x), default=None)
             if heir is None or good[heir][0] < 0.97 * good[w][0]:
                 break
             w = heir
         terms.append(w)
-    return terms[:TERMS]
+    return list(dict.fromkeys(terms))
 
 
 class Automaton:
     """The lexicon's trie and the Levenshtein automaton of one edit, run together.
 
-    A state is a set of (trie node, edits); subsets get numbers when first met."""
+    A state is a set of (trie node, edits, letter that must come next, of a swap); subsets get numbers when first met."""
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.words: list[int | None] = [None]  # the term that ends here as a whole word
         self.starts: list[int | None] = [None]  # ... as a word start
         self.may_err: list[bool] = [False]  # some term through this node allows an edit
+        self.errs = [len(t) > WHOLE if t[0] == "=" else len(t) >= START for t in terms]
+        self.is_start = [t[0] != "=" for t in terms]
         for number, term in enumerate(terms):
-            letters = term.lstrip("=")
-            whole = term[0] == "="
-            err = whole and len(letters) >= 5
             node = 0
-            self.may_err[0] |= err
-            for c in letters:
+            self.may_err[0] |= self.errs[number]
+            for c in term.lstrip("="):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
@@ -143,33 +153,30 @@ class Automaton:
                     self.starts.append(None)
                     self.may_err.append(False)
                 node = self.children[node][c]
-                self.may_err[node] |= err
-            (self.words if whole else self.starts)[node] = number
-        self.lengths = [len(t.lstrip("=")) for t in terms]
-        self.is_start = [t[0] != "=" for t in terms]
+                self.may_err[node] |= self.errs[number]
+            (self.starts if self.is_start[number] else self.words)[node] = number
+        self._begin()
+
+    def _begin(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.ends: list[tuple[int, int] | None] = []
         self.at_once: list[tuple[int, int] | None] = []
         self.dead = self._number(frozenset())
-        self.first = self._number(self._closed({(0, 0)}))
+        self.first = self._number(self._closed({(0, 0, "")}))
 
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
+    def _closed(self, states: set[tuple[int, int, str]]) -> frozenset:
         """With all that skipping a letter of the term reaches."""
         out = set(states)
-        for node, edits in states:
+        for node, edits, _ in states:
             if edits == 0:
-                out.update((child, 1) for child in self.children[node].values() if self.may_err[child])
+                out.update((child, 1, "") for child in self.children[node].values() if self.may_err[child])
         return frozenset(out)
 
     def _best(self, states: frozenset, at: list[int | None]) -> tuple[int, int] | None:
         """(edits, term) of the nearest term that ends in one of the states."""
-        found = [
-            (edits, at[node])
-            for node, edits in states
-            if at[node] is not None and (edits == 0 or self.lengths[at[node]] >= 5 and not self.is_start[at[node]])
-        ]
+        found = [(edits, at[node]) for node, edits, wait in states if not wait and at[node] is not None and (edits == 0 or self.errs[at[node]])]
         return min(found, default=None)
 
     def _number(self, states: frozenset) -> int:
@@ -182,20 +189,28 @@ class Automaton:
         return self.numbers[states]
 
     def _move(self, state: int, c: str) -> int:
-        if len(self.sets) > 200_000:
-            raise MemoryError("the automaton of this lexicon has too many subsets")
         out = set()
-        for node, edits in self.sets[state]:
+        for node, edits, wait in self.sets[state]:
+            if wait:
+                if c == wait:
+                    out.add((node, 1, ""))
+                continue
             if (child := self.children[node].get(c)) is not None:
-                out.add((child, edits))
+                out.add((child, edits, ""))
             if edits == 0 and self.may_err[node]:
-                out.add((node, 1))
-                out.update((child, 1) for child in self.children[node].values() if self.may_err[child])
+                out.add((node, 1, ""))
+                for letter, child in self.children[node].items():
+                    if self.may_err[child]:
+                        out.add((child, 1, ""))
+                        if (after := self.children[child].get(c)) is not None and letter != c:
+                            out.add((after, 1, letter))
         self.moves[state][c] = to = self._number(self._closed(out))
         return to
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) or None."""
+        if len(self.sets) > SUBSETS:
+            self._begin()
         state, begun = self.first, None
         for c in word:
             state = self.moves[state].get(c, -1) if c in self.moves[state] else self._move(state, c)
@@ -236,7 +251,8 @@ class Model:
             for i, w in enumerate(words):
                 if w in wanted:
                     edits, term = known[w]
-                    kind = "quoted" if self._quoted(low, words, spans, i) else "near" if edits else "exact"
+                    misspelled = "near_start" if self.automaton.is_start[term] else "near"
+                    kind = "quoted" if self._quoted(low, words, spans, i) else misspelled if edits else "exact"
                     found[term, kind] += 1
         return found
 
@@ -251,7 +267,7 @@ class Model:
         clean = 1.0 - self.base
         for key, n in self.hits(text).items():
             weight = self.weights.get(key, _weight(key[1], 0, 0))
-            clean *= (1.0 - max(0.0, 2.0 * weight - 1.0)) ** min(n, REPEATS)  # even odds say nothing
+            clean *= (1.0 - max(0.0, 2.0 * weight - 1.0)) ** (1.0 + math.log2(n))  # even odds say nothing
         return 1.0 - clean
 
 
@@ -301,12 +317,15 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded: 12 bytes a row
     rows_of = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    # Of copies and near copies one stays: else their common words would look like terms.
+    # Of copies and near copies one stays (the least text): else their common words would look like terms.
     told = rows_of.mapInArrow(_ends, "text string, label int, low long, high long")
-    return told.dropDuplicates(["label", "low"]).dropDuplicates(["label", "high"]).select("text", "label")
+    for end in ("low", "high"):
+        told = told.groupBy("label", end).agg(F.min(F.struct("text", "low", "high")).alias("least")).select("label", "least.*")
+    return told.select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+    """The lexicon and its weights; what reaches the driver is bounded by the sample."""
     spark = docs.sparkSession
     chosen = stored(sample(docs, labels, rows), "toxicity-sample").repartition(max(4, spark.sparkContext.defaultParallelism))
     size = {bool(r["label"]): r["count"] for r in chosen.groupBy("label").count().collect()}
@@ -314,8 +333,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     features = chosen.mapInArrow(_count_features, "term string, toxic long, other long")
     features = features.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     likely = features.where((F.col("toxic") >= 3) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("other"))))
-    best = likely.orderBy(F.desc("toxic"), "other", "term").limit(20 * TERMS)
-    model = Model(choose_terms([tuple(r) for r in best.collect()], toxic, other))
+    rate = min(0.999, toxic / max(1, toxic + other))
+    best = likely.mapInArrow(_beyond_chance(rate), likely.schema).collect() if toxic else []
+    model = Model(choose_terms(sorted(tuple(r) for r in best)))
     counted = chosen.mapInArrow(_count_hits(spark.sparkContext.broadcast(model)), "term long, kind string, toxic long, other long")
     for r in counted.groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect():
         if r["term"] < 0:

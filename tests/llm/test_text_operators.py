@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -215,31 +216,80 @@ def test_token_counts_of_piece_models(docs):
     assert sorted(r["n_tokens"] for r in token_counts.count(docs, path).collect()) == want
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def one_edit(a, b):
+    """Whether one letter more, less or other, or two swapped neighbours, or nothing tells a from b."""
+    if a == b:
+        return True
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    swapped = a[: k] + a[k + 1 : k + 2] + a[k : k + 1] + a[k + 2 :]
+    return b in (swapped, a[:k] + a[k + 1 :]) or a == b[:k] + b[k + 1 :] or a[k + 1 :] == b[k + 1 :]
 
 
-def test_automaton_finds_what_edit_distance_says():
+@pytest.mark.parametrize("subsets", [toxicity.SUBSETS, 3])
+def test_automaton_finds_what_edit_distance_says(monkeypatch, subsets):
+    monkeypatch.setattr(toxicity, "SUBSETS", subsets)
     rng = random.Random(9)
-    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
-    terms = sorted({"=" + word(rng.randint(2, 7)) for _ in range(12)} | {word(rng.randint(3, 6)) for _ in range(4)})
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    terms = sorted({"=" + word(rng.randint(2, 7)) for _ in range(12)} | {word(rng.randint(3, 8)) for _ in range(8)})
     automaton = toxicity.Automaton(terms)
-    for _ in range(3000):
-        w = word(rng.randint(1, 9))
+    met = set()
+    for k in range(6000):
+        w = word(rng.randint(1, 10)) if k % 2 else rng.choice(terms).lstrip("=") + word(rng.randint(0, 2))
+        if k % 4 == 0 and len(w) > 3:
+            i = rng.randrange(len(w) - 1)
+            w = rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :]])
         want = []
         for t in terms:
             whole, t = t[0] == "=", t.lstrip("=")
-            if whole and (w == t or len(t) >= 5 and edits(w, t) <= 1):
+            if whole and (w == t or len(t) >= 5 and one_edit(w, t)):
                 want.append(int(w != t))
             elif not whole and w.startswith(t):
                 want.append(0)
+            elif not whole and len(t) >= 6 and any(one_edit(w[:n], t) for n in range(len(t) - 1, len(t) + 2)):
+                want.append(1)
         found = automaton.match(w)
         assert (found[0] if found else None) == min(want, default=None), (w, terms)
+        met.add(found and (found[0], automaton.is_start[found[1]]))
+    assert met >= {None, (0, True), (0, False), (1, True), (1, False)}
+
+
+def test_lexicon_weights_and_scores_are_those_of_counts(spark, docs):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rng = random.Random(3)
+    bad = ["fleabag", "nitwit", "fleabitten"]
+    texts = {r["doc_id"]: " ".join([r["text"] or "", *([rng.choice(bad)] * 2 if r["doc_id"] % 3 == 0 else [])]) for r in rows}
+    labels = {i: int(i % 3 == 0) for i in texts}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    model = toxicity.fit(df, spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int"))
+    again = toxicity.fit(df.repartition(5), spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int"))
+    assert (model.terms, model.weights, model.base) == (again.terms, again.weights, again.base)
+    sample = [tuple(r) for r in toxicity.sample(df, spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int")).collect()]
+    held = Counter()
+    for text, label in sample:
+        words = set(re.findall(r"\w+", text.lower()))
+        held.update((f, label) for f in {"=" + w for w in words} | {w[:k] for w in words for k in range(3, len(w))})
+    toxic = sum(x for _, x in sample)
+    rate = toxic / len(sample)
+    tail = lambda k, n: sum(math.comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k, n + 1))
+    good = {f for f, x in held if x == 1 and held[f, 1] >= 3 and held[f, 1] >= 0.8 * (held[f, 1] + held[f, 0]) and tail(held[f, 1], held[f, 1] + held[f, 0]) < 1e-6}
+    assert set(model.terms) <= good and all(any(f.lstrip("=").startswith(t.lstrip("=")) or t.lstrip("=").startswith(f.lstrip("=")) for t in model.terms) for f in good)
+    hits = Counter()
+    for text, label in sample:
+        hits.update((t, k, label) for t, k in model.hits(text))
+    for (t, kind), w in model.weights.items():
+        a, b = toxicity.PRIOR[kind]
+        assert w == pytest.approx((hits[t, kind, 1] + a) / (hits[t, kind, 1] + hits[t, kind, 0] + a + b))
+    for r in toxicity.score(df, model).collect():
+        clean = 1 - model.base
+        for (t, kind), n in model.hits(texts[r["doc_id"]]).items():
+            clean *= (1 - max(0, 2 * model.weights[t, kind] - 1)) ** (1 + math.log2(n)) if (t, kind) in model.weights else (1 - max(0, 2 * toxicity._weight(kind, 0, 0) - 1)) ** (1 + math.log2(n))
+        assert r["score"] == pytest.approx(1 - clean) and r["predicted"] == int(r["score"] >= 0.7)
+    odd = docs.withColumns({"predicted": F.lit("x"), "label": F.lit(1)})
+    told = toxicity.score(odd, model)
+    assert told.count() == docs.count() and told.where("score is null or predicted not in (0, 1) or label <> 1").count() == 0
+    long = spark.createDataFrame([(1, "plain words " * 300_000 + "nitwit"), (2, "y" * 2_500_000)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(long, model).collect()} == {1: 1, 2: 0}
+    assert toxicity.fit(df.where("false"), spark.createDataFrame([], "doc_id bigint, toxic int")).terms == []
 
 
 def test_toxicity_learns_and_tells_quotation(spark, empty):
@@ -263,12 +313,14 @@ def test_toxicity_learns_and_tells_quotation(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
-def test_toxicity_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf, recall", [("sf0.01", 0.7), ("sf0.1", 0.9)])
+def test_toxicity_on_held_out_rows(spark, sf, recall):
+    """With 33 toxic rows to learn from (sf0.01), stems that one or two of them hold can't be told from chance."""
+    sf = f"/root/testdata/{sf}"
     found = registry.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     n = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
-    assert n.get((0, 1), 0) <= 2
-    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.7
+    assert n.get((0, 1), 0) <= 0.02 * n[0, 0]
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= recall
 
 
 def test_digests_of_chat_query(spark):
