@@ -2,85 +2,105 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import clip, hash_normal, percentile_rank, phi
 
-EPS = 0.01
+EPS, TINY = 0.01, 1e-12
+#: Groups with fewer values aren't winsorised.
+WINSORISED = 5
+
+
+def _beside(df: DataFrame, group: list[str], **stats: Column) -> DataFrame:
+    """df with statistics of its groups: one aggregation with partial sums, joined back, instead of windows over whole groups."""
+    key = [f"_{c}" for c in group]
+    own = df.groupBy(*group).agg(*[x.alias(name) for name, x in stats.items()]).toDF(*key, *stats)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, key, strict=True)])
+    return df.join(own, same).drop(*key)
+
+
+def _rescaled(x: Column, low: Column, high: Column) -> Column:
+    """From EPS to 1; constant groups, and groups without values, 0.5 in every row."""
+    return F.when(F.coalesce(high - low, F.lit(0.0)) < TINY, 0.5).otherwise(EPS + (1 - EPS) * (x - low) / (high - low))
+
+
+def _winsorised(df: DataFrame, x: str, group: list[str], p: float) -> DataFrame:
+    """df with _v: x between the p and 1 - p quantiles of groups of five values or more."""
+    bounds = F.percentile(x, F.array(F.lit(p), F.lit(1 - p)))
+    df = _beside(df, group, _q=bounds, _n=F.count(x))
+    inside = F.greatest(F.element_at("_q", 1), F.least(F.element_at("_q", 2), F.col(x)))
+    df = df.withColumn("_v", F.when(F.col(x).isNotNull(), F.when((F.col("_n") >= WINSORISED) & F.lit(p > 0), inside).otherwise(F.col(x))))
+    return df.drop("_q", "_n")
 
 
-def _scaled(x: Column, low: Column, high: Column) -> Column:
-    return F.when(high > low, (x - low) / (high - low)).otherwise(0.5)
+def rank_score(df: DataFrame, x: str, group: list[str], out: str, direction: int = 1) -> DataFrame:
+    """Average-tie percentile rank of the oriented value, from EPS to 1."""
+    return df.withColumn(out, EPS + (1 - EPS) * percentile_rank(direction * F.col(x), [F.col(g) for g in group]))
 
 
-def bounds(x: Column, group: list[Column], p: float) -> tuple[Column, Column]:
-    w = Window.partitionBy(*group)
-    return F.percentile(x, F.lit(p)).over(w), F.percentile(x, F.lit(1 - p)).over(w)
+def winsor_z(df: DataFrame, x: str, group: list[str], out: str, p: float = 0.05, direction: int = 1) -> DataFrame:
+    """Winsorised and oriented z (population deviation), clipped at 3, rescaled in the group."""
+    df = _beside(_winsorised(df, x, group, p), group, _m=F.avg("_v"), _s=F.stddev_pop("_v"), _a=F.min("_v"), _b=F.max("_v"))
+    z = lambda v: clip(direction * F.when(F.col("_s") > TINY, (F.col(v) - F.col("_m")) / F.col("_s")).otherwise(F.col(v) * 0.0), -3.0, 3.0)
+    low, high = ("_a", "_b") if direction > 0 else ("_b", "_a")
+    return df.withColumn(out, _rescaled(z("_v"), z(low), z(high))).drop("_v", "_m", "_s", "_a", "_b")
 
 
-def rank_score(df: DataFrame, x: str, group: list[str], out: str) -> DataFrame:
-    return df.withColumn(out, percentile_rank(F.col(x), [F.col(g) for g in group]))
+def min_max(df: DataFrame, x: str, group: list[str], out: str, p: float = 0.05, direction: int = 1) -> DataFrame:
+    """Winsorised and oriented value, rescaled between the group's own least and largest."""
+    df = _beside(_winsorised(df, x, group, p), group, _a=F.min(direction * F.col("_v")), _b=F.max(direction * F.col("_v")))
+    return df.withColumn(out, _rescaled(direction * F.col("_v"), F.col("_a"), F.col("_b"))).drop("_v", "_a", "_b")
 
 
-def winsor_z(df: DataFrame, x: str, group: list[str], out: str, p: float = 0.05) -> DataFrame:
-    """Winsorised z (population deviation), scaled to 0..1 in the group; constant groups 0.5."""
-    g = [F.col(c) for c in group]
-    w = Window.partitionBy(*g)
-    low, high = bounds(F.col(x), g, p)
-    df = df.withColumn("_lo", low).withColumn("_hi", high)
-    v = F.when(F.col(x).isNotNull(), F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(x))))
-    df = df.withColumn("_v", v).withColumn("_m", F.avg("_v").over(w)).withColumn("_s", F.stddev_pop("_v").over(w))
-    df = df.withColumn("_z", F.when(F.col("_s") > 0, (F.col("_v") - F.col("_m")) / F.col("_s")))
-    df = df.withColumn("_a", F.min("_z").over(w)).withColumn("_b", F.max("_z").over(w))
-    return df.withColumn(out, _scaled(F.col("_z"), F.col("_a"), F.col("_b"))).drop("_lo", "_hi", "_v", "_m", "_s", "_z", "_a", "_b")
+def median_mad(df: DataFrame, x: str, group: list[str], out: str, direction: int = 1) -> DataFrame:
+    """Oriented robust z by median and median deviation, clipped at 3, rescaled in the group."""
+    df = _beside(df, group, _m=F.median(x), _a=F.min(x), _b=F.max(x))
+    df = _beside(df.withColumn("_d", F.abs(F.col(x) - F.col("_m"))), group, _mad=F.median("_d"))
+    z = lambda v: clip(direction * F.when(F.col("_mad") > TINY, (F.col(v) - F.col("_m")) / (1.4826 * F.col("_mad"))).otherwise(F.col(v) * 0.0), -3.0, 3.0)
+    low, high = ("_a", "_b") if direction > 0 else ("_b", "_a")
+    return df.withColumn(out, _rescaled(z(x), z(low), z(high))).drop("_m", "_a", "_b", "_d", "_mad")
 
 
-def min_max(df: DataFrame, x: str, group: list[str], out: str, p: float = 0.05) -> DataFrame:
-    """Winsorised value on the scale of the group's own least and largest."""
-    g = [F.col(c) for c in group]
-    w = Window.partitionBy(*g)
-    low, high = bounds(F.col(x), g, p)
-    df = df.withColumn("_lo", low).withColumn("_hi", high)
-    df = df.withColumn("_v", F.when(F.col(x).isNotNull(), F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(x)))))
-    df = df.withColumn("_a", F.min("_v").over(w)).withColumn("_b", F.max("_v").over(w))
-    return df.withColumn(out, _scaled(F.col("_v"), F.col("_a"), F.col("_b"))).drop("_lo", "_hi", "_v", "_a", "_b")
+def phi_z(df: DataFrame, x: str, group: list[str], out: str, p: float = 0.05) -> DataFrame:
+    """The normal distribution function of the winsorised z score, between 0.01 and 1; constant groups 0.5."""
+    df = _beside(_winsorised(df, x, group, p), group, _m=F.avg("_v"), _s=F.stddev_pop("_v"))
+    z = F.when(F.col("_s") > 0, (F.col("_v") - F.col("_m")) / F.col("_s"))
+    return df.withColumn(out, F.coalesce(clip(phi(z), EPS, 1.0), F.lit(0.5))).drop("_v", "_m", "_s")
 
 
-def median_mad(df: DataFrame, x: str, group: list[str], out: str) -> DataFrame:
-    """Robust z by median and median deviation, clipped at 3, scaled to 0..1."""
-    w = Window.partitionBy(*[F.col(c) for c in group])
-    df = df.withColumn("_m", F.median(x).over(w)).withColumn("_d", F.abs(F.col(x) - F.col("_m")))
-    df = df.withColumn("_mad", F.median("_d").over(w))
-    z = clip((F.col(x) - F.col("_m")) / (F.lit(1.4826) * F.col("_mad")), -3.0, 3.0)
-    return df.withColumn(out, F.when(F.col("_mad") > 0, (z + 3.0) / 6.0).otherwise(0.5)).drop("_m", "_d", "_mad")
+NORMALISERS = {"rank": rank_score, "winsor-z": winsor_z, "min-max": min_max, "median-mad": median_mad}
 
 
-def phi_z(df: DataFrame, x: str, group: list[str], out: str) -> DataFrame:
-    """The normal distribution function of the z score, between 0.01 and 1; single rows 0.5."""
-    w = Window.partitionBy(*[F.col(c) for c in group])
-    df = df.withColumn("_m", F.avg(x).over(w)).withColumn("_s", F.stddev_pop(x).over(w))
-    z = F.when(F.col("_s") > 0, (F.col(x) - F.col("_m")) / F.col("_s"))
-    return df.withColumn(out, F.coalesce(clip(phi(z), EPS, 1.0), F.lit(0.5))).drop("_m", "_s")
+def _shares(df: DataFrame, x: str) -> Column:
+    """x over its sum; equal parts where the sum is (nearly) nothing or not a number.  df has a row a metric."""
+    every = Window.partitionBy()
+    bad = F.max((F.col(x).isNull() | F.isnan(x)).cast("int")).over(every) == 1
+    total = F.sum(x).over(every)
+    return F.when(bad | (total <= TINY), F.lit(1.0) / F.count(F.lit(1)).over(every)).otherwise(F.col(x) / total)
 
 
 def entropy_weights(long: DataFrame) -> DataFrame:
-    """metric, weight from (metric, score): the more unequal a metric, the more it weighs."""
-    n = Window.partitionBy("metric")
-    p = F.greatest("score", F.lit(EPS)) / F.sum(F.greatest("score", F.lit(EPS))).over(n)
-    shares = long.where("score is not null").select("metric", p.alias("p"))
-    e = shares.groupBy("metric").agg((F.lit(1.0) + F.sum(F.col("p") * F.log("p")) / F.log(F.count(F.lit(1)))).alias("d"))
-    return e.select("metric", (F.col("d") / F.sum("d").over(Window.partitionBy())).alias("weight"))
+    """metric, weight from (metric, score) with a row for every company, missing scores too: the more unequal a metric, the more it weighs."""
+    sums = long.groupBy("metric").agg(F.sum("score").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    share = F.when(F.col("score") > 0, F.col("score") / F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(1.0))
+    p = F.when(share > 0, share).otherwise(F.lit(TINY))
+    cells = long.join(F.broadcast(sums), "metric").select("metric", "_rows", p.alias("p"))  # a row a metric
+    e = cells.groupBy("metric").agg((1.0 + F.sum(F.col("p") * F.log("p")) / F.log(F.greatest(F.first("_rows"), F.lit(2)))).alias("d"))
+    return e.select("metric", _shares(e, "d").alias("weight"))
 
 
 def critic_weights(wide: DataFrame, metrics: list[str]) -> DataFrame:
-    """metric, weight by deviation times disagreement: sd_i * sum_j (1 - r_ij)."""
-    cells = [
-        (F.stddev_pop(a) * sum((F.lit(1.0) - F.corr(a, b) for b in metrics if b != a), F.lit(0.0))).alias(a) for a in metrics
-    ]
+    """metric, weight by deviation times disagreement: sd_i * sum_j (1 - r_ij) over the rows that have both;
+    a correlation that isn't a number counts as 0, and a single metric weighs 1."""
+    corr = lambda a, b: F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0))
+    own = lambda a: 1.0 - F.when(F.stddev_pop(a) > 0, 1.0).otherwise(0.0)
+    cells = [(F.stddev_pop(a) * sum((1.0 - corr(a, b) for b in metrics if b != a), own(a))).alias(a) for a in metrics]
     row = wide.agg(*cells)
     long = row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*metrics))).alias("metric", "c"))
-    return long.select("metric", (F.col("c") / F.sum("c").over(Window.partitionBy())).alias("weight"))
+    return long.select("metric", _shares(long, "c").alias("weight"))
 
 
 def noisy(df: DataFrame, x: Column, sd: Column, confidence: Column, *key: Column) -> Column:
@@ -106,12 +126,11 @@ def main_effects(draws: DataFrame, factors: list[str], value: str) -> DataFrame:
     """factor, first_order: the share of the variance of value between the levels of a factor.
 
     One pass: all factors are grouped by one GROUPING SETS aggregation."""
-    sets = ", ".join(f"({f})" for f in factors) + ", ()"
-    draws.createOrReplaceTempView("_effects")
-    spark = draws.sparkSession
-    which = "case " + " ".join(f"when grouping({f}) = 0 then '{f}'" for f in factors) + " else '' end"
-    grouped = spark.sql(
-        f"select {which} as factor, avg({value}) as m, count(*) as n, var_pop({value}) as v from _effects group by grouping sets ({sets})"
+    which = F.lit("")
+    for f in factors:
+        which = F.when(F.grouping(f) == 0, f).otherwise(which)
+    grouped = draws.groupingSets([*[[F.col(f)] for f in factors], []], *map(F.col, factors)).agg(
+        which.alias("factor"), F.avg(value).alias("m"), F.count(F.lit(1)).alias("n"), F.var_pop(value).alias("v")
     )
     total = grouped.where("factor = ''").select(F.col("m").alias("mean"), F.col("v").alias("total"), F.col("n").alias("all"))
     within = grouped.where("factor <> ''").crossJoin(F.broadcast(total))  # one row

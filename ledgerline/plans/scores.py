@@ -71,31 +71,40 @@ def scaled_sql(z: str) -> str:
     return f"case when max({z}) over w > min({z}) over w then ({z} - min({z}) over w) / (max({z}) over w - min({z}) over w) else 0.5 end"
 
 
-WINSOR = "v as (select key, sector, case when bal is not null then greatest(quantile_cont(bal, 0.05) over w, least(quantile_cont(bal, 0.95) over w, bal)) end v from iss window w as (partition by sector))"
+def rescaled_sql(z: str) -> str:
+    return f"case when coalesce(max({z}) over w - min({z}) over w, 0) < 1e-12 then 0.5 else 0.01 + 0.99 * ({z} - min({z}) over w) / (max({z}) over w - min({z}) over w) end"
 
 
-@query("q09_winsor_z", f"with {ISSUERS}, {WINSOR}, z as (select key, sector, (v - avg(v) over w) / nullif(stddev_pop(v) over w, 0) z from v window w as (partition by sector)) select key, round({scaled_sql('z')}, 6) score from z window w as (partition by sector)")
+def clip_sql(z: str) -> str:
+    return f"case when {z} is not null then greatest(-3.0, least(3.0, {z})) end"
+
+
+WINSOR = "v as (select key, sector, case when bal is not null and count(bal) over w >= 5 then greatest(quantile_cont(bal, 0.05) over w, least(quantile_cont(bal, 0.95) over w, bal)) else bal end v from iss window w as (partition by sector))"
+Z_SQL = "z as (select key, sector, case when stddev_pop(v) over w > 1e-12 then (v - avg(v) over w) / stddev_pop(v) over w else v * 0 end z from v window w as (partition by sector))"
+
+
+@query("q09_winsor_z", f"with {ISSUERS}, {WINSOR}, {Z_SQL}, c as (select key, sector, {clip_sql('z')} z from z) select key, round({rescaled_sql('z')}, 6) score from c window w as (partition by sector)")
 def q09(t: Tables) -> DataFrame:
     return scoring.winsor_z(issuers(t), "bal", ["sector"], "score").select("key", r("score").alias("score"))
 
 
-@query("q10_minmax", f"with {ISSUERS}, {WINSOR} select key, round({scaled_sql('v')}, 6) score from v window w as (partition by sector)")
+@query("q10_minmax", f"with {ISSUERS}, {WINSOR} select key, round({rescaled_sql('v')}, 6) score from v window w as (partition by sector)")
 def q10(t: Tables) -> DataFrame:
     return scoring.min_max(issuers(t), "bal", ["sector"], "score").select("key", r("score").alias("score"))
 
 
-@query(
-    "q11_median_mad",
-    f"""with {ISSUERS}, m as (select *, median(bal) over (partition by sector) m from iss), d as (select *, median(abs(bal - m)) over (partition by sector) mad from m)
- select key, round(case when mad > 0 then (case when bal is not null then greatest(-3, least(3, (bal - m) / (1.4826 * mad))) end + 3) / 6 else 0.5 end, 6) score from d""",
-)
+ROBUST = f"""m as (select *, median(bal) over (partition by sector) m from iss), d as (select *, median(abs(bal - m)) over (partition by sector) mad from m),
+ rz as (select key, sector, {clip_sql('case when mad > 1e-12 then (bal - m) / (1.4826 * mad) else bal * 0 end')} z from d)"""
+
+
+@query("q11_median_mad", f"with {ISSUERS}, {ROBUST} select key, round({rescaled_sql('z')}, 6) score from rz window w as (partition by sector)")
 def q11(t: Tables) -> DataFrame:
     return scoring.median_mad(issuers(t), "bal", ["sector"], "score").select("key", r("score").alias("score"))
 
 
 @query(
     "q12_phi_z",
-    f"""with {ISSUERS}, s as (select key, (bal - avg(bal) over (partition by sector)) / nullif(stddev_pop(bal) over (partition by sector), 0) z from iss),
+    f"""with {ISSUERS}, {WINSOR}, s as (select key, (v - avg(v) over w) / nullif(stddev_pop(v) over w, 0) z from v window w as (partition by sector)),
  p as (select key, case when z >= 0 then 1 - u else u end p from (select *, 0.3989422804014327 * exp(-z * z / 2) * (t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) u from (select *, 1 / (1 + 0.2316419 * abs(z)) t from s)))
  select key, round(coalesce(case when p is not null then greatest(0.01, least(1, p)) end, 0.5), 6) score from p""",
 )
@@ -103,6 +112,20 @@ def q12(t: Tables) -> DataFrame:
     return scoring.phi_z(issuers(t), "bal", ["sector"], "score").select("key", r("score").alias("score"))
 
 
+LOWER = f"""(select key, 'rank' normaliser, 0.01 + 0.99 * ({pct_sql('bal', 'sector')}) score from (select key, sector, -bal bal from iss) union all select key, 'winsor-z', {rescaled_sql('z')} from (select key, sector, {clip_sql('-z')} z from z) window w as (partition by sector)
+ union all select key, 'min-max', {rescaled_sql('v')} from (select key, sector, -v v from v) window w as (partition by sector) union all select key, 'median-mad', {rescaled_sql('z')} from (select key, sector, -z z from rz) window w as (partition by sector))"""
+
+
+@query("q97_lower_is_better", f"with {ISSUERS}, {WINSOR}, {Z_SQL}, {ROBUST} select key, normaliser, round(score, 6) score from {LOWER}")
+def q97(t: Tables) -> DataFrame:
+    """All registered normalisers with less being better."""
+    out = None
+    for name, normalise in scoring.NORMALISERS.items():
+        df = normalise(issuers(t), "bal", ["sector"], "score", direction=-1).select("key", F.lit(name).alias("normaliser"), r("score").alias("score"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 METRICS = ["bal", "spend", "orders"]
 SCORED = f"{WIDE}, scored as (select key, sector, {', '.join(f'{pct_sql(m, chr(115) + "ector")} {m}' for m in METRICS)} from wide)"
 
@@ -114,9 +137,9 @@ def scored(t: Tables) -> DataFrame:
 
 @query(
     "q13_entropy_weights",
-    f"""with {SCORED}, l as (select m metric, greatest(s, 0.01) s from (select unnest(['bal', 'spend', 'orders']) m, unnest([bal, spend, orders]) s from scored) where s is not null),
- p as (select metric, s / sum(s) over (partition by metric) p from l), e as (select metric, 1 + sum(p * ln(p)) / ln(count(*)) d from p group by 1)
- select metric, round(d / sum(d) over (), 6) weight from e""",
+    f"""with {SCORED}, l as (select key, unnest(['bal', 'spend', 'orders']) metric, unnest([bal, spend, orders]) s from scored),
+ p as (select metric, case when s / sum(s) over (partition by metric) > 0 then s / sum(s) over (partition by metric) else 1e-12 end p from l), e as (select metric, 1 + sum(p * ln(p)) / ln(greatest(count(*), 2)) d from p group by 1)
+ select metric, round(case when sum(d) over () <= 1e-12 then 1.0 / count(*) over () else d / sum(d) over () end, 6) weight from e""",
 )
 def q13(t: Tables) -> DataFrame:
     long = scored(t).unpivot(["key"], METRICS, "metric", "score").select("metric", "score")
@@ -125,14 +148,11 @@ def q13(t: Tables) -> DataFrame:
 
 @query(
     "q14_critic_weights",
-    f"""with {SCORED}, f as (select {', '.join(f'coalesce({m}, avg({m}) over ()) {m}' for m in METRICS)} from scored),
- c as (select 'bal' metric, stddev_pop(bal) * (2 - corr(bal, spend) - corr(bal, orders)) c from f union all select 'spend', stddev_pop(spend) * (2 - corr(spend, bal) - corr(spend, orders)) from f
- union all select 'orders', stddev_pop(orders) * (2 - corr(orders, bal) - corr(orders, spend)) from f) select metric, round(c / sum(c) over (), 6) weight from c""",
+    f"""with {SCORED}, c as (select 'bal' metric, stddev_pop(bal) * (2 - coalesce(corr(bal, spend), 0) - coalesce(corr(bal, orders), 0)) c from scored union all select 'spend', stddev_pop(spend) * (2 - coalesce(corr(spend, bal), 0) - coalesce(corr(spend, orders), 0)) from scored
+ union all select 'orders', stddev_pop(orders) * (2 - coalesce(corr(orders, bal), 0) - coalesce(corr(orders, spend), 0)) from scored) select metric, round(c / sum(c) over (), 6) weight from c""",
 )
 def q14(t: Tables) -> DataFrame:
-    means = scored(t).agg(*[F.avg(m).alias(f"_{m}") for m in METRICS])
-    filled = scored(t).crossJoin(F.broadcast(means)).select(*[F.coalesce(m, f"_{m}").alias(m) for m in METRICS])  # one row of means
-    return scoring.critic_weights(filled, METRICS).select("metric", r("weight").alias("weight"))
+    return scoring.critic_weights(scored(t), METRICS).select("metric", r("weight").alias("weight"))
 
 
 FIXED = {"bal": 0.5, "spend": 0.3, "orders": 0.2}
@@ -275,13 +295,32 @@ def q78(t: Tables) -> DataFrame:
     return s.select(r(between / (between + F.col("within")), 8).alias("r2"))
 
 
+AXIS = ["winsor", "minmax", "rank"]
+AXIS_SQL = f"""{WIDE}, long as (select key, sector, unnest(['bal', 'spend', 'orders']) metric, unnest([bal, spend, orders]) x from wide), dev as (select metric, stddev_pop(x) sd from long group by 1),
+ noised as (select key, sector, metric, draw, round(x + sd * (0.05 + 0.35 * 0.5) * sqrt(-2 * ln({uniform_sql('20260912', 'draw', 'key', 'metric', "'a'")})) * cos(2 * pi() * {uniform_sql('20260912', 'draw', 'key', 'metric', "'b'")}), 6) x
+ from long join dev using (metric) cross join range(20) g(draw) where x is not null),
+ av as (select *, case when count(x) over w >= 5 then greatest(quantile_cont(x, 0.05) over w, least(quantile_cont(x, 0.95) over w, x)) else x end v from noised window w as (partition by metric, draw, sector)),
+ az as (select *, case when stddev_pop(v) over w > 1e-12 then (v - avg(v) over w) / stddev_pop(v) over w else v * 0 end z from av window w as (partition by metric, draw, sector)),
+ an as (select key, draw, unnest(['winsor', 'minmax', 'rank']) normaliser, unnest([{rescaled_sql('c')}, {rescaled_sql('v')}, 0.01 + 0.99 * ({pct_sql('x', 'metric, draw, sector')})]) s from (select *, {clip_sql('z')} c from az) window w as (partition by metric, draw, sector)),
+ am as (select key, draw, normaliser, round(avg(s), 9) score from an group by 1, 2, 3), ap as (select key, draw, normaliser, 100 * {pct_sql('score', 'draw, normaliser')} pct from am)"""
+
+
 @query(
-    "q81_common_noise_cross",
-    f"""with {DRAWS} select key, round(median(pct), 4) median, round(quantile_cont(pct, 0.1), 4) p10, round(quantile_cont(pct, 0.9), 4) p90, 'rank' as method from pct group by key""",
+    "q81_axis_bands",
+    f"with {AXIS_SQL} select key, count(*) runs, round(median(pct), 4) median, round(quantile_cont(pct, 0.1), 4) p10, round(quantile_cont(pct, 0.9), 4) p90 from ap group by 1",
 )
 def q81(t: Tables) -> DataFrame:
-    b = scoring.bands(draws(t), ["key"], "pct")
-    return b.select("key", r("p50", 4).alias("median"), r("p10", 4).alias("p10"), r("p90", 4).alias("p90"), F.lit("rank").alias("method"))
+    """Bands of an axis: three normalisers by 20 draws of the same noise, the mean over the axis's metrics, percentiles over all."""
+    long = wide(t).unpivot(["key", "sector"], METRICS, "metric", "x")
+    dev = long.groupBy("metric").agg(F.stddev_pop("x").alias("sd"))
+    df = long.where("x is not null").join(F.broadcast(dev), "metric").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))))
+    df = df.withColumn("x", F.round(scoring.noisy(df, F.col("x"), F.col("sd"), F.lit(0.5), F.lit(20260912), F.col("draw"), F.col("key"), F.col("metric")), 6))
+    group = ["metric", "draw", "sector"]
+    df = scoring.rank_score(scoring.min_max(scoring.winsor_z(df, "x", group, "winsor"), "x", group, "minmax"), "x", group, "rank")
+    means = df.groupBy("key", "draw").agg(*[F.round(F.avg(m), 9).alias(m) for m in AXIS]).unpivot(["key", "draw"], AXIS, "normaliser", "score")
+    pct = means.withColumn("pct", 100 * percentile_rank(F.col("score"), [F.col("draw"), F.col("normaliser")]))
+    b = scoring.bands(pct, ["key"], "pct").join(pct.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("runs")), F.col("key") == F.col("_key"))
+    return b.select("key", "runs", r("p50", 4).alias("median"), r("p10", 4).alias("p10"), r("p90", 4).alias("p90"))
 
 
 PROFILES = {"equal": (1 / 3, 1 / 3, 1 / 3), "wealth": (0.6, 0.2, 0.2), "volume": (0.2, 0.6, 0.2), "activity": (0.2, 0.2, 0.6)}
@@ -323,16 +362,6 @@ def q64(t: Tables) -> DataFrame:
     return bins.join(counts, "b", "left").select((F.col("b") * 1000).alias("bin_lo"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(
-    "q91_draw_matrix_long",
-    f"""with {DRAWS}, f as (select draw, case when draw % 2 = 0 then 'even' else 'odd' end parity, 'rank' as normaliser from (select distinct draw from pct))
- select draw, key, round(pct, 4) percentile, parity, normaliser from pct join f using (draw) where key <= 50""",
-)
-def q91(t: Tables) -> DataFrame:
-    """The first 50 keys only, as its SQL says; all of them are q94_draw_matrix_whole."""
-    return draw_matrix(t).where("key <= 50")
-
-
 def draw_matrix(t: Tables) -> DataFrame:
     """Every key and draw with its percentile and the draw's factors."""
     factors = t.spark.range(40).select(
