@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ramp
-from ledgerline.operators import identity, ranking, stats
+from ledgerline.operators import flags, identity, ranking, stats
 from ledgerline.operators.dedupe import keep_first
 
 from .base import Tables, query, r
@@ -14,18 +16,20 @@ from .facts import KINDS
 
 EVIDENCE = {"click": ("engagement", 0.5), "view": ("engagement", 0.3), "purchase": ("commerce", 1.0), "signup": ("identity", 0.8), "error": ("quality", 0.4)}
 EVIDENCE_SQL = "ev as (select * from (values " + ", ".join(f"('{k}', '{f}', {w}::double)" for k, (f, w) in EVIDENCE.items()) + ") e(event_type, family, weight))"
-LEVELS = f"""{EVIDENCE_SQL}, fam as (select user_id, family, max(weight) w from events join ev using (event_type) where value > 60 group by 1, 2),
- lvl as (select user_id, round(sum(w), 6) score, count(*) families, max(w) >= 0.8 anchor, case when max(w) >= 0.8 and count(*) >= 2 and sum(w) >= 1.5 then 'strong' when sum(w) >= 1.0 then 'partial' else 'limited' end as level from fam group by 1)"""
+LEVELS = f"""{EVIDENCE_SQL}, fam as (select user_id, family, max(case when value > 60 then weight end) w from events join ev using (event_type) group by 1, 2),
+ sums as (select user_id, round(coalesce(sum(w), 0), 6) score, count(w) families, coalesce(max(w) >= 0.8, false) anchor from fam group by 1),
+ lvl as (select *, case when score <= 0 then 'none' when anchor and families >= 2 and score >= 1.5 then 'strong' when anchor or score >= 1.0 then 'partial' else 'thin' end as level from sums)"""
 
 
 def levels(t: Tables) -> DataFrame:
-    """user_id, score, families, anchor, level: the best weight of each family of evidence counts once."""
+    """user_id, score, families, anchor, level: the best weight of each family of evidence counts once; an anchor alone is partial."""
     rows = F.array(*[F.struct(F.lit(k).alias("event_type"), F.lit(f).alias("family"), F.lit(w).alias("weight")) for k, (f, w) in EVIDENCE.items()])
     dim = t.spark.range(1).select(F.inline(rows))
-    fam = t.events.where("value > 60").join(F.broadcast(dim), "event_type").groupBy("user_id", "family").agg(F.max("weight").alias("w"))
-    g = fam.groupBy("user_id").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("families"), (F.max("w") >= 0.8).alias("anchor"))
-    level = F.when(F.col("anchor") & (F.col("families") >= 2) & (F.col("s") >= 1.5), "strong").when(F.col("s") >= 1.0, "partial").otherwise("limited")
-    return g.select("user_id", r("s").alias("score"), "families", "anchor", level.alias("level"))
+    fam = t.events.join(F.broadcast(dim), "event_type").groupBy("user_id", "family").agg(F.max(F.when(F.col("value") > 60, F.col("weight"))).alias("w"))
+    g = fam.groupBy("user_id").agg(r(F.coalesce(F.sum("w"), F.lit(0.0))).alias("score"), F.count("w").alias("families"), F.coalesce(F.max("w") >= 0.8, F.lit(False)).alias("anchor"))
+    strong = F.col("anchor") & (F.col("families") >= 2) & (F.col("score") >= 1.5)
+    level = F.when(F.col("score") <= 0, "none").when(strong, "strong").when(F.col("anchor") | (F.col("score") >= 1.0), "partial").otherwise("thin")
+    return g.select("user_id", "score", "families", "anchor", level.alias("level"))
 
 
 @query("q31_evidence_levels", f"with {LEVELS} select * from lvl")
@@ -184,13 +188,61 @@ def q45(t: Tables) -> DataFrame:
     )
 
 
+#: Findings of the documents, with decisions and advice that follow from their ids.
+FLAGGED = """flagged as (select doc_id, case when toxic = 1 then 'error' when quality = 0 then 'review' end severity, doc_id % 4 = 0 ranking_relevant, n_chars * 1000.0 impact, doc_id % 13 = 0 failed,
+ case doc_id % 5 when 0 then 'unclear' when 1 then 'implausible' else 'plausible' end verdict, case when doc_id % 17 <> 0 then (doc_id % 11) / 10.0 end::double confidence, doc_id % 3 = 0 escalated,
+ case doc_id % 7 when 0 then 'suppress' when 1 then 'correct' else 'Keep ' end as action, doc_id % 6 = 0 needs_human, case doc_id % 23 when 0 then ' Error' when 1 then 'keep' when 2 then 'suppress' when 3 then 'OK' when 4 then 'odd' end decision from documents left join labels using (doc_id))"""
+
+
+def flagged(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    choice = lambda m, cases, other=None: reduce(lambda acc, kv: F.when(d % m == kv[0], kv[1]).otherwise(acc), cases.items(), F.lit(other))
+    return t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id", "left").select(
+        "doc_id", F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "review").alias("severity"), (d % 4 == 0).alias("ranking_relevant"),
+        (F.col("n_chars") * 1000.0).alias("impact"), (d % 13 == 0).alias("failed"), choice(5, {0: "unclear", 1: "implausible"}, "plausible").alias("verdict"),
+        F.when(d % 17 != 0, (d % 11) / 10).alias("confidence"), (d % 3 == 0).alias("escalated"), choice(7, {0: "suppress", 1: "correct"}, "Keep ").alias("action"),
+        (d % 6 == 0).alias("needs_human"), choice(23, {0: " Error", 1: "keep", 2: "suppress", 3: "OK", 4: "odd"}).alias("decision"),
+    )
+
+
+ROUTED = f"""{FLAGGED}, routed as (select *, case when failed then 'human' when verdict = 'unclear' or coalesce(confidence, 0) < 0.6 then case when escalated then 'human' else 'escalation' end
+ when coalesce(severity = 'error', false) and verdict = 'plausible' then 'human' when trim(action) in ('suppress', 'correct') and (ranking_relevant or impact >= 1000000) then 'human' when needs_human and coalesce(confidence, 0) < 0.85 then 'human' else 'automatic' end route from flagged)"""
+
+
 @query(
     "q46_status_resolution",
-    """select doc_id, case when quality = 1 then 'ok' when toxic = 1 then 'error' when quality = 0 then 'review' when n_chars < 100 then 'review' else 'ok' end status from documents left join labels using (doc_id)""",
+    f"""with {ROUTED} select doc_id, route, case when lower(trim(decision)) in ('error', 'suppress', 'correct') then 'error' when lower(trim(decision)) in ('ok', 'keep', 'plausible') then 'ok'
+ when route = 'automatic' then case when lower(trim(action)) = 'keep' and verdict = 'plausible' then 'ok' else 'review' end else coalesce(severity, 'review') end status from routed""",
 )
 def q46(t: Tables) -> DataFrame:
-    status = F.when(F.col("quality") == 1, "ok").when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "review").when(F.col("n_chars") < 100, "review").otherwise("ok")
-    return t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id", "left").select("doc_id", status.alias("status"))
+    df = flagged(t)
+    flag = {c: F.col(c) for c in ("severity", "ranking_relevant", "impact")}
+    advice = {c: F.col(c) for c in ("failed", "verdict", "confidence", "escalated", "action", "needs_human")}
+    df = df.withColumn("route", flags.route(flag, advice))
+    return df.select("doc_id", "route", flags.status(*[F.col(c) for c in ("decision", "route", "action", "verdict", "severity")]).alias("status"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(
+    "q98_statuses_on_facts",
+    """with f as (select o_custkey ticker, o_orderpriority metric, year(o_orderdate)::bigint as year, round(sum(o_totalprice), 2) as value from orders group by 1, 2, 3),
+ g as (select doc_id flag_id, doc_id % 150 + 1 ticker, case when doc_id % 10 = 0 then '*' else list_extract(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], (doc_id % 5 + 1)::int) end metric, case when doc_id % 3 <> 0 then 1992 + doc_id % 7 end as year,
+  case when toxic = 1 then 2 when quality = 0 then 1 else 0 end rank, 'R' || (doc_id % 4) as rule from labels),
+ j as (select f.*, rank, rule, row_number() over (partition by f.ticker, f.metric, f.year order by rank desc nulls last, flag_id desc) i from f left join g on g.ticker = f.ticker and (g.metric = '*' or (g.metric = f.metric and (g.year is null or g.year = f.year))))
+ select ticker, metric, year, value, case rank when 2 then 'error' when 1 then 'review' else 'ok' end quality_status, coalesce(rule, '') quality_rule, case when rule is null then '' else 'note ' || rule end quality_note from j where i = 1""",
+)
+def q98(t: Tables) -> DataFrame:
+    facts = t.orders.groupBy(F.col("o_custkey").alias("ticker"), F.col("o_orderpriority").alias("metric"), F.year("o_orderdate").cast("bigint").alias("year")).agg(r(F.sum("o_totalprice"), 2).alias("value"))
+    d = F.col("doc_id")
+    metric = F.when(d % 10 == 0, "*").otherwise(F.element_at(F.array(*map(F.lit, PRIORITIES)), (d % 5 + 1).cast("int")))
+    rule = F.concat(F.lit("R"), (d % 4).cast("string"))
+    found = t.labels.select(
+        d.alias("flag_id"), (d % 150 + 1).alias("ticker"), metric.alias("metric"), F.when(d % 3 != 0, 1992 + d % 7).alias("year"),
+        F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 0, "review").otherwise("ok").alias("status"), rule.alias("rule"), F.concat(F.lit("note "), rule).alias("note"),
+    )
+    return flags.apply_statuses(facts, found)
 
 
 @query(
@@ -232,32 +284,63 @@ def q48(t: Tables) -> DataFrame:
     return rows.select("suppkey", F.inline(identity.parse_owners(F.col("raw")))).select("suppkey", "name", r("share").alias("share"))
 
 
+NORM = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\([^)]*\)', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\b({'|'.join(identity.SUFFIXES)})\b', ' ', 'g'), '\s+', ' ', 'g'))"
+RAW_NAME = "case when c_custkey % 9 = 0 then 'The Holdings Co.' else c_name || ' (' || (c_custkey % 7) || ' %) American Partners, Inc.' end"
+
+
 @query(
     "q49_normalize_names",
-    r"select c_custkey as key, trim(regexp_replace(regexp_replace(regexp_replace(lower(c_name || ' Holdings, Inc.'), '[^a-z0-9 ]', ' ', 'g'), '\b(" + "|".join(identity.SUFFIXES) + r")\b', ' ', 'g'), ' +', ' ', 'g')) norm from customer",
+    f"""with n as (select c_custkey as key, {RAW_NAME} as raw from customer), k as (select *, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') w from n)
+ select key, {NORM('raw')} norm, array_to_string(case when len(list_filter(w, lambda x: x not in ({', '.join(repr(x) for x in identity.LEGAL)}))) > 0 then list_filter(w, lambda x: x not in ({', '.join(repr(x) for x in identity.LEGAL)})) else w end, ' ') tokens from k""",
 )
 def q49(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("key"), identity.normalize_name(F.concat("c_name", F.lit(" Holdings, Inc."))).alias("norm"))
+    raw = F.when(F.col("c_custkey") % 9 == 0, "The Holdings Co.").otherwise(F.concat("c_name", F.lit(" ("), (F.col("c_custkey") % 7).cast("string"), F.lit(" %) American Partners, Inc.")))
+    return t.customer.select(F.col("c_custkey").alias("key"), identity.normalize_name(raw).alias("norm"), identity.normalize_tokens(raw).alias("tokens"))
 
 
-OVERRIDES = [("steel", "STL"), ("brass ring", "BRS"), ("copper", "CPR"), ("tin", "TIN")]
+@query(
+    "q99_roles_and_targets",
+    r"""with r as (select s_suppkey, case s_suppkey % 4 when 0 then s_name || ' (Owner)|' || n_name || ' (Operator )' when 1 then s_name when 2 then s_name || ' (A) (Owner/Operator)| |' else 'x (' || n_name end raw,
+  case s_suppkey % 3 when 0 then 'We will reduce absolute scope 1 and 2 GHG emissions ' || (s_suppkey % 120) || '% by ' || (2025 + s_suppkey % 20) || ' from a 2030 base year' when 1 then 'Reduce emissions ' || (s_suppkey % 50 + 1) || '.5 % by 2040 from a ' || (2015 + s_suppkey % 9) || ' base  year.' else n_name end said from supplier join nation on n_nationkey = s_nationkey),
+ p as (select s_suppkey, trim(x) x, i from (select s_suppkey, unnest(string_split(raw, '|')) x, generate_subscripts(string_split(raw, '|'), 1) i from r) where trim(x) <> ''),
+ o as (select s_suppkey, string_agg(case when regexp_matches(x, '^.*\([^(]*\)$') then trim(regexp_extract(x, '^(.*)\(([^(]*)\)$', 1)) || ':' || lower(trim(regexp_extract(x, '^(.*)\(([^(]*)\)$', 2))) else x || ':unknown' end, ';' order by i) owners from p group by 1),
+ t as (select s_suppkey, try_cast(nullif(regexp_extract(said, '(?i)emissions\s+([\d.]+)\s*%\s+by\s+(\d{4})\s+from\s+a\s+(\d{4})\s+base\s*year', 1), '') as double) pct, try_cast(nullif(regexp_extract(said, '(?i)by\s+(\d{4})\s+from\s+a\s+(\d{4})', 1), '') as int) ty, try_cast(nullif(regexp_extract(said, '(?i)by\s+(\d{4})\s+from\s+a\s+(\d{4})', 2), '') as int) b from r)
+ select s_suppkey suppkey, owners, case when ty > b and pct > 0 and pct < 100 then round(ln(1 - pct / 100) / (ty - b), 9) end rate, case when ty > b and pct > 0 and pct < 100 then b end base_year, case when ty > b and pct > 0 and pct < 100 then ty end target_year from t left join o using (s_suppkey)""",
+)
+def q99(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.col("s_name")
+    raw = F.when(k % 4 == 0, F.concat(name, F.lit(" (Owner)|"), "n_name", F.lit(" (Operator )"))).when(k % 4 == 1, name).when(k % 4 == 2, F.concat(name, F.lit(" (A) (Owner/Operator)| |"))).otherwise(F.concat(F.lit("x ("), "n_name"))
+    first = F.concat(F.lit("We will reduce absolute scope 1 and 2 GHG emissions "), (k % 120).cast("string"), F.lit("% by "), (2025 + k % 20).cast("string"), F.lit(" from a 2030 base year"))
+    second = F.concat(F.lit("Reduce emissions "), (k % 50 + 1).cast("string"), F.lit(".5 % by 2040 from a "), (2015 + k % 9).cast("string"), F.lit(" base  year."))
+    said = F.when(k % 3 == 0, first).when(k % 3 == 1, second).otherwise(F.col("n_name"))
+    df = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select(k.alias("suppkey"), identity.split_owner_operator(raw).alias("o"), identity.parse_target(said).alias("t"))
+    return df.select("suppkey", F.array_join(F.transform("o", lambda x: F.concat(x["name"], F.lit(":"), x["role"])), ";").alias("owners"), r("t.rate", 9).alias("rate"), "t.base_year", "t.target_year")
+
+
+#: Companies and overrides of the cascade's query, as normal forms.
+COMPANIES = [("steel", "STL"), ("large ring", "LRG"), ("polished copper", "PCP")]
+OVERRIDES = [("small brass", "SMB"), ("small", "SML"), ("tin", "TIN"), ("red ring", "RED")]
+CASCADE_NAMES = "select p_name || case p_partkey % 4 when 0 then ' Energy' when 1 then ' Inc.' when 2 then '' else ' (50%) Works' end as name from part union all select 'Holdings Inc' union all select 'steel energy' union all select 'tinsel' union all select 'polished coper'"
 
 
 @query(
     "q50_prefix_cascade",
-    "with o as (select * from (values " + ", ".join(f"({i}, '{p}', '{k}')" for i, (p, k) in enumerate(OVERRIDES)) + """) o(ordinal, prefix, ticker)), n as (select distinct p_name as name from part)
- select name, case when m.ticker is not null then m.ticker when length(name) > 12 then upper(substr(name, 1, 3)) end ticker, case when m.ticker is not null then 'override' when length(name) > 12 then 'prefix' else 'none' end as method, case when m.ticker is not null then 0.95 when length(name) > 12 then 0.9 else 0.0 end::double conf
- from n left join (select name, arg_min(ticker, ordinal) ticker from n join o on starts_with(name, prefix) group by 1) m using (name)""",
+    "with c as (select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in COMPANIES) + ") c(ckey, ticker)), o as (select * from (values " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(OVERRIDES))
+    + f""") o(ordinal, okey, ticker)), n as (select distinct name, {NORM('name')} as key from ({CASCADE_NAMES})),
+ m as (select name, key, (select ticker from c where ckey = key) a, (select ticker from o where okey = key) b, (select arg_min(ticker, ordinal) from o where key = okey or starts_with(key, okey || ' ')) d,
+  (select ticker from c where key <> ckey and starts_with(key, ckey || ' ') and substr(key, length(ckey) + 2) in ({', '.join(repr(x) for x in identity.GENERIC_TAIL)})) e,
+  case when key = 'polished coper' then 'PCP' end f from n)
+ select name, key, coalesce(a, b, d, e, f) ticker, case when key = '' then 'empty' when a is not null then 'exact' when b is not null then 'override' when d is not null then 'override-prefix' when e is not null then 'parent-prefix' when f is not null then 'fuzzy' else 'unmatched' end as method,
+  round(case when key = '' then 0.0 when a is not null then 1.0 when b is not null then 0.95 when d is not null then 0.9 when e is not null then 0.85 when f is not null then 28.0 / 29 else 0.0 end, 6)::double confidence from m""",
 )
 def q50(t: Tables) -> DataFrame:
-    name = F.col("name")
-    found = F.coalesce(*[F.when(name.startswith(p), F.lit(k)) for p, k in OVERRIDES])
-    df = t.part.select(F.col("p_name").alias("name")).distinct().withColumn("m", found)
-    has, long = F.col("m").isNotNull(), F.length("name") > 12
-    return df.select(
-        "name", F.coalesce("m", F.when(long, F.upper(F.substring("name", 1, 3)))).alias("ticker"),
-        F.when(has, "override").when(long, "prefix").otherwise("none").alias("method"), F.when(has, 0.95).when(long, 0.9).otherwise(0.0).alias("conf"),
-    )
+    p = F.col("p_partkey") % 4
+    names = t.part.select(F.concat("p_name", F.when(p == 0, " Energy").when(p == 1, " Inc.").when(p == 2, "").otherwise(" (50%) Works")).alias("name"))
+    names = names.union(t.spark.range(1).select(F.explode(F.array(*map(F.lit, ["Holdings Inc", "steel energy", "tinsel", "polished coper"])))))
+    rows = lambda items: t.spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("key"), F.lit(v).alias("ticker")) for i, (k, v) in enumerate(items)])))
+    found = identity.resolve(names, rows(COMPANIES), rows(OVERRIDES))
+    return found.select("name", "key", "ticker", "method", r("confidence").alias("confidence"))
 
 
 @query("q51_fuzzy_token_sort")
