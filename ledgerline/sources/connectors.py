@@ -16,11 +16,18 @@ from .files import archive, number, workbook
 from .tables import header_name, register
 
 #: Units.
-SHORT_TON, POUND_KG, GRAMS_A_POUND = 0.90718474, 0.453592, 453.592
+SHORT_TON, GRAMS_A_POUND = 0.90718474, 453.592
 #: Sectors that emit directly, and the code of biogenic gas.
 DIRECT_SECTORS, BIOGENIC = (2, 3, 4, 5, 6, 7, 8, 14, 15), 8
 
 
+#: Concepts of revenue, the first that a company year has wins.
+REVENUE_CONCEPTS = [
+    "RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "RevenueFromContractWithCustomerIncludingAssessedTax", "SalesRevenueNet",
+    "RevenuesNetOfInterestExpense",
+]
+
+
 def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """A CSV file as text columns, whatever its own types look like."""
     return spark.read.options(header=True, inferSchema=False, mode="PERMISSIVE", **options).csv(path)
@@ -48,15 +55,20 @@ def facilities(spark: SparkSession, path: str) -> DataFrame:
 
 @register("facility_emissions")
 def facility_emissions(spark: SparkSession, path: str) -> DataFrame:
-    """facility_id, year, scope1_t, biogenic_t, supplied_t in one pass over distinct rows."""
+    """facility_id, year, scope1_t, biogenic_t, supplied_t in one pass over distinct rows: of facility years that emit
+    directly other gas than biogenic (only these have a biogenic amount) or supply."""
     raw = _lower(_csv(spark, path))
     df = raw.select(*[number(c, "bigint") for c in ("facility_id", "year", "sector_id", "subsector_id", "gas_id")], number("co2e_emission"))
     df = keep_first(df, ["facility_id", "year", "sector_id", "subsector_id", "gas_id"], [F.desc_nulls_last("co2e_emission")])
-    direct, biogenic = F.col("sector_id").isin(*DIRECT_SECTORS), F.col("gas_id") == BIOGENIC
+    direct, biogenic = F.coalesce(F.col("sector_id").isin(*DIRECT_SECTORS), F.lit(False)), F.coalesce(F.col("gas_id") == BIOGENIC, F.lit(False))
     part = lambda where: F.coalesce(F.sum(F.when(where, F.col("co2e_emission"))), F.lit(0.0))
-    return df.groupBy("facility_id", "year").agg(
-        part(direct & ~biogenic).alias("scope1_t"), part(direct & biogenic).alias("biogenic_t"), part(~direct).alias("supplied_t")
+    rows = lambda where: F.count(F.when(where, 1))
+    sums = df.groupBy("facility_id", "year").agg(
+        part(direct & ~biogenic).alias("scope1_t"), part(direct & biogenic).alias("biogenic_t"), part(~direct).alias("supplied_t"),
+        rows(direct & ~biogenic).alias("emits"), rows(~direct).alias("supplies"),
     )
+    told = sums.where("emits > 0 or supplies > 0").withColumn("biogenic_t", F.when(F.col("emits") > 0, F.col("biogenic_t")).otherwise(0.0))
+    return told.drop("emits", "supplies")
 
 
 @register("unit_emissions")
@@ -78,21 +90,24 @@ def unit_facilities(spark: SparkSession, path: str) -> DataFrame:
 
 @register("power_plants")
 def power_plants(spark: SparkSession, path: str) -> DataFrame:
-    """A workbook's sheet PLNT..., one row above the header; the year stands in the file's name."""
+    """A metric workbook's sheet PLNT..., one row above the header; the year stands in the file's name."""
     codes = {"ORISPL": "oris_code", "PNAME": "plant_name", "PSTATABB": "state", "OPRNAME": "operator_name", "UTLSRVNM": "utility_name", "PLPRMFL": "primary_fuel",
              "PLNGENAN": "net_generation_mwh", "PLCO2AN": "co2_t", "PLCO2RTA": "co2_kg_per_mwh", "NAMEPCAP": "capacity_mw"}
     raw = workbook(spark, path, "PLNT", list(codes), skip=1)
     df = raw.select(*[F.col(k).alias(v) for k, v in codes.items()], F.regexp_extract("file", r"(20\d\d)", 1).cast("int").alias("year"))
     numbers = {c: number(c) for c in ("net_generation_mwh", "co2_t", "co2_kg_per_mwh", "capacity_mw")}
-    df = df.withColumns({"oris_code": number("oris_code", "bigint"), **numbers}).where("net_generation_mwh is not null")
-    return df.withColumns({"co2_t": F.col("co2_t") * SHORT_TON, "co2_kg_per_mwh": F.col("co2_kg_per_mwh") * POUND_KG})
+    return df.withColumns({"oris_code": number("oris_code", "bigint"), **numbers}).where("net_generation_mwh is not null")
 
 
 @register("plant_fuel")
 def plant_fuel(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of JSON; only the totals over fuels and movers; a missing state is a group of its own."""
-    raw = spark.read.schema("plantCode bigint, period int, state string, fuel2002 string, primeMover string, generation double").json(path)
-    return raw.where("fuel2002 = 'ALL' and primeMover = 'ALL'").groupBy("plantCode", "period", "state").agg(F.sum("generation").alias("generation_mwh"))
+    """Pages of JSON; only the totals over fuels and movers (in either case); a missing state or name is a group of its own."""
+    fields = "plantCode bigint, plantName string, period string, state string, fuel2002 string, primeMover string, generation string, `total-consumption-btu` string"
+    raw = spark.read.schema(fields).json(path).where("upper(fuel2002) = 'ALL' and upper(primeMover) = 'ALL'")
+    amount = lambda c: F.coalesce(F.sum(F.expr(f"try_cast(`{c}` as double)")), F.lit(0.0))
+    return raw.groupBy("plantCode", "plantName", "state", F.expr("try_cast(period as int)").alias("year")).agg(
+        amount("generation").alias("generation_mwh"), amount("total-consumption-btu").alias("consumption_mmbtu")
+    )
 
 
 @register("plant_generation")
@@ -110,12 +125,19 @@ def plant_crosswalk(spark: SparkSession, path: str) -> DataFrame:
 
 @register("releases")
 def releases(spark: SparkSession, path: str) -> DataFrame:
-    """Chemical releases: headers like "12. FOO BAR" become foo_bar; grams to pounds where the unit says so."""
+    """Chemical releases with all their columns: headers like "12. FOO BAR/BAZ" become foo_bar_baz; the year is the release's, in the file's name."""
     raw = _csv(spark, path, encoding="ISO-8859-1")
-    df = _optional(raw.toDF(*[header_name(c) for c in raw.columns]), ["standard_parent_co_name", "frs_id", "total_releases", "unit_of_measure", "carcinogen"])
-    df = df.withColumns({"total_releases": number("total_releases"), "frs_id": number("frs_id", "bigint")})
-    grams = F.lower("unit_of_measure") == "grams"
-    return df.withColumn("total_releases", F.when(grams, F.col("total_releases") / GRAMS_A_POUND).otherwise(F.col("total_releases"))).drop("unit_of_measure")
+    df = raw.toDF(*[header_name(c) for c in raw.columns])
+    year = F.regexp_extract(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1), r"(20\d\d)", 1)
+    own = F.expr("try_cast(trim(`year`) as int)") if "year" in df.columns else F.lit(None).cast("int")
+    df = df.withColumn("year", F.coalesce(F.nullif(year, F.lit("")).cast("int"), own))
+    numbers = [c for c in ("total_releases", "on-site_release_total", "off-site_release_total") if c in df.columns]
+    return df.withColumns({c: number(c) for c in numbers} | ({"frs_id": number("frs_id", "bigint")} if "frs_id" in df.columns else {}))
+
+
+def in_pounds(amount: Column, unit: Column) -> Column:
+    """Amounts of a release in pounds: grams where the unit says so are converted, here and not in the scan."""
+    return F.when(F.lower(F.trim(unit)) == "grams", amount / GRAMS_A_POUND).otherwise(amount)
 
 
 INJURIES = ["total_deaths", "total_dafw_cases", "total_djtr_cases", "total_other_cases", "total_injuries", "total_hours_worked", "annual_average_employees"]
@@ -123,11 +145,13 @@ INJURIES = ["total_deaths", "total_dafw_cases", "total_djtr_cases", "total_other
 
 @register("injuries")
 def injuries(spark: SparkSession, path: str) -> DataFrame:
-    """Archives of yearly releases; rate of serious cases a 200,000 hours."""
-    names = ["establishment_name", "company_name", "state", "naics_code", "industry_description", "size", *INJURIES, "year_filing_for"]
+    """Archives of yearly releases (the year of a release stands in its name, else that of the filing counts); rate of
+    serious cases a 200,000 hours, where a missing count is none."""
+    names = ["establishment_name", "company_name", "one", "state", "naics_code", "industry_description", "size", *INJURIES, "year_filing_for"]
     df = archive(spark, path, r"\.csv$", names)
-    df = df.withColumns({c: number(c) for c in INJURIES} | {"year": number("year_filing_for", "int")})
-    cases = F.col("total_dafw_cases") + F.col("total_djtr_cases")
+    released = F.nullif(F.regexp_extract(F.regexp_extract("file", r"([^/]*)$", 1), r"(20\d\d)", 1), F.lit("")).cast("int")
+    df = df.withColumns({c: number(c) for c in INJURIES}).withColumn("year", F.coalesce(released, F.expr("try_cast(trim(year_filing_for) as int)")))
+    cases = F.coalesce("total_dafw_cases", F.lit(0.0)) + F.coalesce("total_djtr_cases", F.lit(0.0))
     return df.withColumn("dart_rate", safe_div(cases * 200_000, positive(F.col("total_hours_worked")))).drop("file")
 
 
@@ -142,8 +166,8 @@ def enforcement(spark: SparkSession, path: str) -> DataFrame:
 
 @register("wage_cases")
 def wage_cases(spark: SparkSession, path: str) -> DataFrame:
-    numbers = ["case_violtn_cnt", "cmp_assd", "ee_violtd_cnt", "bw_atp_amt", "ee_atp_cnt"]
-    df = archive(spark, path, r"\.csv$", ["case_id", "trade_nm", "legal_name", "st_cd", "naic_cd", *numbers, "findings_end_date"]).drop("file")
+    numbers = ["case_violtn_cnt", "cmp_assd", "ee_violtd_cnt", "bw_atp_amt", "ee_atp_cnt", "flsa_cl_violtn_cnt", "flsa_cl_minor_cnt"]
+    df = archive(spark, path, r"\.csv$", ["case_id", "trade_nm", "legal_name", "st_cd", "naic_cd", *numbers, "findings_end_date", "flsa_repeat_violator"]).drop("file")
     year = F.year(F.to_date(F.expr("try_to_timestamp(findings_end_date)")))
     return df.withColumns({c: number(c) for c in numbers}).where(year.between(2022, 2024))
 
@@ -151,10 +175,9 @@ def wage_cases(spark: SparkSession, path: str) -> DataFrame:
 @register("revenue")
 def revenue(spark: SparkSession, path: str) -> DataFrame:
     """Frames of several concepts (JSON): the first concept in a stated order wins a company year."""
-    order = ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet", "RevenuesNetOfInterestExpense", "OperatingRevenues"]
     frames = spark.read.schema("tag string, ccp string, data array<struct<cik:bigint,entityName:string,val:double,`end`:string>>").json(path)
     rows = frames.select("tag", F.regexp_extract("ccp", r"(\d{4})", 1).cast("int").alias("year"), F.inline("data"))
-    rows = rows.withColumn("prio", F.array_position(F.array(*map(F.lit, order)), F.col("tag"))).where("prio > 0")
+    rows = rows.withColumn("prio", F.array_position(F.array(*map(F.lit, REVENUE_CONCEPTS)), F.col("tag"))).where("prio > 0")
     best = keep_first(rows, ["cik", "year"], [F.col("prio"), F.desc("end"), F.desc("val")])
     return best.select("cik", F.col("entityName").alias("entity"), "year", (F.col("val") / 1e6).alias("revenue_musd"), F.col("tag").alias("concept"))
 
@@ -162,20 +185,29 @@ def revenue(spark: SparkSession, path: str) -> DataFrame:
 @register("targets")
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """A workbook of climate targets: years out of texts, flags by what the status says."""
-    names = ["company_name", "isin", "lei", "sector", "location", "near_term_status", "near_term_target_year", "long_term_status", "net_zero_status", "net_zero_year", "reason"]
+    names = ["company_name", "isin", "lei", "sector", "location", "near_term_status", "near_term_target_classification", "near_term_target_year", "long_term_status", "net_zero_status", "net_zero_year", "reason"]
     df = workbook(spark, path, "", names, rename=lambda x: x.strip().lower().replace(" ", "_").replace("-", "_")).drop("file")
     year = lambda c: F.nullif(F.regexp_extract(c, r"(\d{4})", 1), F.lit("")).cast("int").alias(c)
-    says = lambda word: F.coalesce(F.lower("near_term_status").contains(word), F.lit(False))
+    says = lambda c, word: F.coalesce(F.lower(c).contains(word), F.lit(False))
+    removed = says("near_term_status", "removed") | says("net_zero_status", "removed")
     return df.withColumns(
-        {"near_term_year": year("near_term_target_year"), "net_zero_year": year("net_zero_year"), "commitment_removed": says("removed"), "has_validated_target": says("targets set")}
-    ).drop("near_term_target_year")
+        {"near_term_year": year("near_term_target_year"), "net_zero_year": year("net_zero_year"), "commitment_removed": removed, "has_validated_target": says("near_term_status", "targets set")}
+    ).withColumnsRenamed({"near_term_target_classification": "near_term_class", "sector": "sbti_sector"}).drop("near_term_target_year")
+
+
+#: The headers of the ratings file and the names of its columns here.
+RATINGS = {
+    "esgScore.tot": "esg_risk_total", "esgScore.env": "esg_risk_env", "esgScore.soc": "esg_risk_soc", "esgScore.gov": "esg_risk_gov",
+    "esgRank.tot": "esg_percentile", "esgRating": "esg_rating_label", "asOf": "as_of", "Market.Cap": "market_cap_usd",
+}
 
 
 @register("ratings")
 def ratings(spark: SparkSession, path: str) -> DataFrame:
-    df = _lower(_csv(spark, path)).withColumn("ticker", _ticker("symbol"))
+    df = _csv(spark, path).withColumnsRenamed(RATINGS)
+    df = _optional(df, ["ticker", "company", "sector", *RATINGS.values()])
     numbers = {c: number(c) for c in ("esg_risk_total", "esg_risk_env", "esg_risk_soc", "esg_risk_gov", "esg_percentile", "market_cap_usd")}
-    return _optional(df, ["ticker", "company", "sector", *numbers]).withColumns(numbers).where("esg_risk_total is not null")
+    return df.withColumn("ticker", _ticker("ticker")).withColumns(numbers).where("esg_risk_total is not null")
 
 
 @register("hard_variables")
@@ -187,10 +219,15 @@ def hard_variables(spark: SparkSession, path: str) -> DataFrame:
 @register("benchmark_scores")
 def benchmark_scores(spark: SparkSession, path: str) -> DataFrame:
     """A nested document: one row a ticker of every company that was assessed."""
-    score = "struct<tpq:double,ctt:double,act_grade:string,social:double,nature:double,just_transition:double>"
-    raw = spark.read.schema(f"retrieved_at string, companies array<struct<name:string,tickers:array<string>,assessment:{score}>>").option("multiLine", True).json(path)
-    rows = raw.select("retrieved_at", F.inline("companies")).where("assessment is not null")
-    return rows.select(F.explode("tickers").alias("ticker"), F.col("name").alias("wba_name"), "assessment.*", "retrieved_at")
+    score = "struct<tpq:double,ctt:double,act_grade:string,social:double,nature:double,just_transition:double,source:struct<url:string,retrieved_at:string>>"
+    company = f"struct<wba:struct<name:string>,match_method:string,tickers:array<string>,assessment:{score}>"
+    raw = spark.read.schema(f"companies array<{company}>").option("multiLine", True).json(path)
+    rows = raw.select(F.inline("companies")).where("assessment is not null")
+    grades = [f"assessment.{c}" for c in ("tpq", "ctt", "act_grade", "social", "nature", "just_transition")]
+    return rows.select(
+        F.explode("tickers").alias("ticker"), F.col("wba.name").alias("wba_name"), "match_method", *grades,
+        F.col("assessment.source.url").alias("profile_url"), F.col("assessment.source.retrieved_at").alias("retrieved_at"),
+    ).withColumn("ticker", F.replace("ticker", F.lit("."), F.lit("-")))
 
 
 @register("yearly_emissions")

@@ -21,7 +21,7 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def workbook_rows(data: bytes, sheet: str) -> Iterator[list[str | None]]:
-    """Rows of the first sheet whose name begins with `sheet`."""
+    """Rows of the first sheet whose name begins with `sheet`, in either case."""
     book = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
@@ -29,7 +29,7 @@ def workbook_rows(data: bytes, sheet: str) -> Iterator[list[str | None]]:
             shared.append("".join(t.text or "" for t in item.iter(f"{MAIN}t")))
     links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")
-    target = next(links[x.get(LINK)] for x in sheets if x.get("name").startswith(sheet))
+    target = next(links[x.get(LINK)] for x in sheets if x.get("name").upper().startswith(sheet.upper()))
     for row in ElementTree.fromstring(book.read("xl/" + target.removeprefix("/xl/"))).iter(f"{MAIN}row"):
         cells: list[str | None] = []
         for c in row:

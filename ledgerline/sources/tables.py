@@ -52,10 +52,8 @@ def text_columns(spark: SparkSession, path: str, names: list[str], header: bool
 
 
 def header_name(raw: str) -> str:
-    """"12. FOO BAR " -> "foo_bar"."""
-    head, _, tail = raw.strip().partition(". ")
-    name = tail if head.isdigit() and tail else raw
-    return name.strip().lower().replace(" ", "_")
+    """"12. FOO BAR/BAZ " -> "foo_bar_baz"."""
+    return raw.split(". ", 1)[-1].strip().lower().replace(" ", "_").replace("/", "_")
 
 
 @register("issuers")

@@ -40,21 +40,21 @@ def lines(*rows):
 
 CASES = {
     "facilities": ("f.csv", "FACILITY_ID,YEAR,FACILITY_NAME\n1,2020,B\n1,2020,A\n2,x,C\n", ("facility_id", "year", "facility_name"), [(1, 2020, "A"), (2, None, "C")]),
-    "facility_emissions": ("e.csv", "facility_id,year,sector_id,subsector_id,gas_id,co2e_emission\n1,2020,3,1,1,10\n1,2020,3,1,1,10\n1,2020,3,1,8,4\n1,2020,10,1,1,7\n", ("facility_id", "scope1_t", "biogenic_t", "supplied_t"), [(1, 10.0, 4.0, 7.0)]),
+    "facility_emissions": ("e.csv", "facility_id,year,sector_id,subsector_id,gas_id,co2e_emission\n1,2020,3,1,1,10\n1,2020,3,1,1,10\n1,2020,3,1,8,4\n1,2020,10,1,1,7\n2,2020,3,1,8,9\n3,2020,10,1,1,2\n3,2020,3,1,8,5\n", ("facility_id", "scope1_t", "biogenic_t", "supplied_t"), [(1, 10.0, 4.0, 7.0), (3, 0.0, 0.0, 2.0)]),
     "unit_emissions": ("u.json", lines({"facilityId": 1, "year": 2020, "facilityName": "A", "unitId": "x", "co2Mass": 1.0}, {"facilityId": 1, "year": 2020, "facilityName": "A", "unitId": "y", "co2Mass": 1.0}), ("facilityId", "co2_t", "n_units"), [(1, 1.81436948, 2)]),
     "unit_facilities": ("u.json", lines({"facilityId": 1, "year": 2020, "facilityName": "B"}, {"facilityId": 1, "year": 2020, "facilityName": "A"}), ("facilityId", "facilityName"), [(1, "A")]),
-    "power_plants": ("egrid2022.xlsx", sheet([["title"], ["ORISPL", "PNAME", "PLNGENAN", "PLCO2AN"], [7, "North", 100.5, 2], [8, "South", None, 3]], "PLNT22"), ("oris_code", "plant_name", "net_generation_mwh", "year"), [(7, "North", 100.5, 2022)]),
-    "plant_fuel": ("p.json", lines({"plantCode": 1, "period": 2020, "fuel2002": "ALL", "primeMover": "ALL", "generation": 2.0}, {"plantCode": 1, "period": 2020, "fuel2002": "COL", "primeMover": "ALL", "generation": 2.0}), ("plantCode", "state", "generation_mwh"), [(1, None, 2.0)]),
+    "power_plants": ("egrid2022.xlsx", sheet([["title"], ["ORISPL", "PNAME", "PLNGENAN", "PLCO2AN"], [7, "North", 100.5, 2], [8, "South", None, 3]], "plnt22"), ("oris_code", "plant_name", "net_generation_mwh", "co2_t", "year"), [(7, "North", 100.5, 2.0, 2022)]),
+    "plant_fuel": ("p.json", lines({"plantCode": 1, "period": 2020, "plantName": "N", "fuel2002": "all", "primeMover": "ALL", "generation": 2.0, "total-consumption-btu": "5"}, {"plantCode": 1, "period": 2020, "fuel2002": "COL", "primeMover": "ALL", "generation": 2.0}), ("plantCode", "plantName", "state", "year", "generation_mwh", "consumption_mmbtu"), [(1, "N", None, 2020, 2.0, 5.0)]),
     "plant_crosswalk": ("x.csv", "EPA_FACILITY_ID,EIA_PLANT_ID\n1,2\n1,2\n3,\n", ("epa_id", "eia_id"), [(1, 2)]),
-    "releases": ("r.csv", "1. YEAR,12. TOTAL RELEASES,13. UNIT OF MEASURE,14. CARCINOGEN\n2023,453.592,Grams,NO\n2023,5,Pounds,YES\n", ("total_releases", "carcinogen"), [(1.0, "NO"), (5.0, "YES")]),
-    "injuries": ("i.zip", archived({"a.csv": "Company_Name,total_dafw_cases,total_djtr_cases,total_hours_worked,year_filing_for\nX,1,1,200000,2023\n", "b.CSV": "company_name,total_dafw_cases,total_djtr_cases,total_hours_worked,year_filing_for\nY,1,1,0,2024\n", "no.txt": "z"}), ("company_name", "year", "dart_rate"), [("X", 2023, 2.0), ("Y", 2024, None)]),
+    "releases": ("2023_us.csv", "1. YEAR,12. TOTAL RELEASES,13. UNIT OF MEASURE,14. CARCINOGEN,15. ELEMENTAL METAL/METAL\n2022,453.592,Grams,NO,a\n2022,5,Pounds,YES,b\n", ("year", "total_releases", "unit_of_measure", "carcinogen", "elemental_metal_metal"), [(2023, 453.592, "Grams", "NO", "a"), (2023, 5.0, "Pounds", "YES", "b")]),
+    "injuries": ("ITA_2025.zip", archived({"a.csv": "Company_Name,total_dafw_cases,total_djtr_cases,total_hours_worked,year_filing_for\nX,1,1,200000,2023\n", "b.CSV": "company_name,total_dafw_cases,total_djtr_cases,total_hours_worked,year_filing_for\nY,1,1,0,2024\nZ,2,,200000,2024\n", "no.txt": "z"}), ("company_name", "year", "dart_rate"), [("X", 2025, 2.0), ("Y", 2025, None), ("Z", 2025, 2.0)]),
     "enforcement": ("e.zip", archived({"f.csv": "REGISTRY_ID,FAC_TOTAL_PENALTIES,FAC_3YR_COMPLIANCE_HISTORY\n11,-,VS__V_______V\n"}), ("registry_id", "fac_total_penalties", "bad_quarters"), [(11, None, 3)]),
-    "wage_cases": ("w.zip", archived({"w.csv": "case_id,cmp_assd,findings_end_date\n1,5,2023-01-02\n2,5,2019-01-02\n3,5,odd\n"}), ("case_id", "cmp_assd"), [("1", 5.0)]),
-    "revenue": ("v.json", lines({"tag": "SalesRevenueNet", "ccp": "CY2020", "data": [{"cik": 1, "entityName": "A", "val": 5e6, "end": "2020-12-31"}]}, {"tag": "Revenues", "ccp": "CY2020", "data": [{"cik": 1, "entityName": "A", "val": 6e6, "end": "2020-12-31"}]}), ("cik", "year", "revenue_musd", "concept"), [(1, 2020, 6.0, "Revenues")]),
-    "targets": ("t.xlsx", sheet([["Company Name", "Near term - status", "near_term_status", "near_term_target_year", "net_zero_year"], ["A", "", "Targets Set", "FY2030", "by 2050"], ["B", "", "Commitment removed", None, None]], "Targets"), ("company_name", "near_term_year", "net_zero_year", "commitment_removed", "has_validated_target"), [("A", 2030, 2050, False, True), ("B", None, None, True, False)]),
-    "ratings": ("s.csv", "Symbol,Company,ESG_Risk_Total\nBRK.B,Berk,12.5\nX,Y,\n", ("ticker", "esg_risk_total"), [("BRK-B", 12.5)]),
+    "wage_cases": ("w.zip", archived({"w.csv": "case_id,cmp_assd,findings_end_date,FLSA_CL_MINOR_CNT,flsa_repeat_violator\n1,5,2023-01-02,3,R\n2,5,2019-01-02\n3,5,odd\n"}), ("case_id", "cmp_assd", "flsa_cl_minor_cnt", "flsa_repeat_violator"), [("1", 5.0, 3.0, "R")]),
+    "revenue": ("v.json", lines({"tag": "SalesRevenueNet", "ccp": "CY2020", "data": [{"cik": 1, "entityName": "A", "val": 5e6, "end": "2020-12-31"}]}, {"tag": "Revenues", "ccp": "CY2020", "data": [{"cik": 1, "entityName": "A", "val": 9e6, "end": "2020-12-31"}, {"cik": 2, "entityName": "B", "val": 3e6, "end": "2020-12-31"}]}, {"tag": "RevenueFromContractWithCustomerExcludingAssessedTax", "ccp": "CY2020", "data": [{"cik": 1, "entityName": "A", "val": 6e6, "end": "2020-12-31"}]}, {"tag": "OperatingRevenues", "ccp": "CY2020", "data": [{"cik": 3, "entityName": "C", "val": 1e6, "end": "2020-12-31"}]}), ("cik", "year", "revenue_musd", "concept"), [(1, 2020, 6.0, "RevenueFromContractWithCustomerExcludingAssessedTax"), (2, 2020, 3.0, "Revenues")]),
+    "targets": ("t.xlsx", sheet([["Company Name", "Near term - status", "near_term_status", "near_term_target_year", "net_zero_year", "net_zero_status", "near_term_target_classification"], ["A", "", "Targets Set", "FY2030", "by 2050", "Removed", "1.5C"], ["B", "", "Commitment removed", None, None, None, None]], "Targets"), ("company_name", "near_term_class", "near_term_year", "net_zero_year", "commitment_removed", "has_validated_target"), [("A", "1.5C", 2030, 2050, True, True), ("B", None, None, None, True, False)]),
+    "ratings": ("s.csv", "ticker,company,sector,esgScore.tot,esgRating,Market.Cap\nBRK.B,Berk,F,12.5,Low,7\nX,Y,Z,,,\n", ("ticker", "esg_risk_total", "esg_rating_label", "market_cap_usd", "as_of"), [("BRK-B", 12.5, "Low", 7.0, None)]),
     "hard_variables": ("h.csv", "ticker,a\n BF.B , 1 \n", ("ticker", "a"), [("BF-B", "1")]),
-    "benchmark_scores": ("b.json", json.dumps({"retrieved_at": "d", "companies": [{"name": "A", "tickers": ["X", "Y"], "assessment": {"tpq": 3.0}}, {"name": "B", "tickers": ["Z"]}]}), ("ticker", "wba_name", "tpq"), [("X", "A", 3.0), ("Y", "A", 3.0)]),
+    "benchmark_scores": ("b.json", json.dumps({"companies": [{"wba": {"name": "A"}, "match_method": "m", "tickers": ["X.A", "Y"], "assessment": {"tpq": 3.0, "source": {"url": "u", "retrieved_at": "d"}}}, {"wba": {"name": "B"}, "tickers": ["Z"]}]}), ("ticker", "wba_name", "match_method", "tpq", "profile_url", "retrieved_at"), [("X-A", "A", "m", 3.0, "u", "d"), ("Y", "A", "m", 3.0, "u", "d")]),
     "yearly_emissions": ("y.xlsx", sheet([["t"], [""], ["x"], ["Facility Id", "Facility Name", "2020 Total reported direct emissions", "2021 Total reported direct emissions"], [5, "N", 10, 0]], "Direct Emitters"), ("facility_id", "year", "direct_t"), [(5, 2020, 10.0)]),
     "parent_links": ("l.csv", "GHGRP FACILITY ID,PARENT COMPANY NAME,parent co. percent ownership,REPORTING YEAR\n1, A ,150,2020\n1,B,,2020\n", ("parent_name_raw", "parent_share_pct"), [("A", 100.0), ("B", 100.0)]),
     "latest_revenue": ("q.csv", "ticker,revenue_ttm_busd\nA.B,1.5\n", ("ticker", "revenue_usd"), [("A-B", 1.5e9)]),
