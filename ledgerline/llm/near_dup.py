@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, numbered, stored
+from .common import free, most_frequent, numbered, stored
 from .components import components
 from .textscan import LOWER, SPACED, grams, mix, raw, slices, word_hashes, word_spans
 
@@ -192,7 +192,7 @@ def _frequent(n: int):
 def common_members(rows: DataFrame, n: int) -> np.ndarray:
     """The (at most COMMON) members that most documents hold, sorted; a hint that no result depends on."""
     found = rows.select("text").mapInArrow(_frequent(n), "member long, n long").groupBy("member").agg(F.sum("n").alias("n"))
-    top = found.where(F.col("n") >= 4 * OFTEN).orderBy(F.desc("n"), "member").limit(COMMON)
+    top = most_frequent(stored(found.where(F.col("n") >= 4 * OFTEN), "near-frequent"), "n", COMMON)
     return np.sort(np.array([r["member"] for r in top.select("member").collect()], np.int64).view(np.uint64))
 
 

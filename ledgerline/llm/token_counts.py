@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, numbered, stored
+from .common import free, most_frequent, numbered, stored
 from .textscan import slices
 from .tokens import encoder
 
@@ -116,7 +116,7 @@ def count(docs: DataFrame, path: str, limit: int = 512, frequent: int = FREQUENT
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c not in (*OWN, "text")]
     words = stored(vocabulary(docs, path), "pretokens")
-    top = words.where(F.octet_length("pretoken") <= LONG).orderBy(F.desc("times"), "pretoken").limit(frequent)
+    top = most_frequent(words.where(F.octet_length("pretoken") <= LONG), "times", frequent)
     table = spark.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top.select("pretoken", "pieces").collect()})
     all_known = words.count() == len(table.value)
     number, known, rare, row, more = (free(c, docs.columns) for c in ("_number", "_known", "_rare", "_row", "_more"))

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerline.llm import near_dup, suffix_dedup
+from ledgerline.llm import common, near_dup, suffix_dedup
 
 from .test_corpus_operators import removed
 
@@ -66,3 +67,32 @@ def test_distinct_keeps_rows_that_share_an_id_or_have_none(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in near_dup.distinct(df).collect()))
     assert kept == sorted([(False, 3, one), (False, 7, two), (True, 0, three), (True, 0, four), (False, 5, five)])
+
+
+def test_most_frequent_rows_are_whole_classes_within_the_bound(spark):
+    df = spark.createDataFrame([(i, 1000 if i < 5 else 100 if i < 12 else i % 3) for i in range(200)], "k bigint, n bigint")
+    kept = lambda most: sorted(r["k"] for r in common.most_frequent(df, "n", most).collect())
+    assert kept(4) == [] and kept(5) == kept(11) == list(range(5)) and kept(12) == list(range(12))
+    assert len(kept(1000)) == 12 + sum(i % 3 > 0 for i in range(12, 200)) and kept(0) == []
+
+
+def test_rows_of_files_keep_their_numbers_however_they_are_split(spark, tmp_path):
+    spark.range(0, 5000, 1, 7).withColumn("_path", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).where("id % 3 <> 1").select("id", "_path")
+    one = dict(common.numbered(df, "number").select("id", "number").collect())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        assert dict(common.numbered(df, "number").select("id", "number").collect()) == one
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(set(one.values())) == len(one) == df.count()
+    other = common.numbered(df.groupBy("id").count(), "number")
+    assert dict(other.select("id", "number").collect()) == dict(other.select("id", "number").collect())
+
+
+def test_running_sums_of_long_arrays(spark):
+    xs = [list(range(1000)), [], [5], None]
+    df = spark.createDataFrame([(x,) for x in xs], "x array<bigint>")
+    got = [r["s"] for r in df.select(common.sums_before(F.col("x")).alias("s")).collect()]
+    assert got == [[sum(range(i)) for i in range(1000)], [], [0], []]
