@@ -103,3 +103,22 @@ def test_stream_of_events(spark, tmp_path):
     q.stop()
     assert spark.table("hours").agg(F.sum("n")).first()[0] == batch.count()
     assert events.latest_values(batch).count() == batch.select("user_id", "event_type").distinct().count()
+
+
+def test_owner_windows(spark):
+    rules = spark.createDataFrame([("talen", "VST", None, None), ("westrock", "SW", 2024, None), ("exelon", "EXC", None, 2021)], "key string, ticker string, since int, until int")
+    rows = [("talen", "VST", 2020), ("talen", "X", 2020), ("westrock", "SW", 2023), ("westrock", "SW", 2024), ("exelon", "EXC", 2021), ("exelon", "EXC", 2022), ("exelon", "EXC", None), ("other", "SW", 1)]
+    kept = identity.owner_valid(rules, spark.createDataFrame(rows, "key string, ticker string, year int"))
+    assert set(values(kept, "key", "ticker", "year")) == {rows[1], rows[3], rows[4], rows[6], rows[7]}
+
+
+def test_single_names_resolve_by_the_first_step_that_fits(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    lookup = frame([("sempra", "SRE"), ("steel dynamics", "STLD"), ("southern", "SO")], "key string, ticker string")
+    overrides = frame([(0, "kla", "KLAC"), (1, "florida power light", "NEE")], "ordinal int, key string, ticker string")
+    names = ["Sempra Energy", "Southern California Gas Co", "KLA Services", "Klamath", "Dynamics Steel, Inc.", "US Steel Corp", "The Co.", "Florida Power & Light Company", "Southern Company"]
+    got = {r["name"]: (r["ticker"], r["method"]) for r in identity.resolve(frame([(n,) for n in names], "name string"), lookup, overrides).collect()}
+    assert got == {
+        "Sempra Energy": ("SRE", "parent-prefix"), "Southern California Gas Co": (None, "unmatched"), "KLA Services": ("KLAC", "override-prefix"), "Klamath": (None, "unmatched"),
+        "Dynamics Steel, Inc.": ("STLD", "fuzzy"), "US Steel Corp": (None, "unmatched"), "The Co.": (None, "empty"), "Florida Power & Light Company": ("NEE", "override"), "Southern Company": ("SO", "exact"),
+    }
