@@ -16,8 +16,9 @@ similarity of at least `percent` / 100 are linked, and none of these links is lo
    trees (or one with itself) are walked together from the roots: a pair of nodes goes
    on only if the bits that both hold, and the larger sizes, can reach the overlap
    that the smaller sizes need.  At the leaves the bits are the members themselves and
-   the overlap is exact.  A cluster of more than 4096 documents is cut into chunks, and
-   every pair of chunks is a task of its own, so that no cluster is one task's load.
+   the overlap is exact.  A cluster of more than 512 different sets is cut into chunks (up
+   to eight of 512 to 4096 sets, then as many of 4096 as it takes), and every pair of
+   chunks is a task of its own, so that no cluster is one task's load.
    Of sets that are equal (by 128-bit digests) one stands for all: a cluster's copies
    are collapsed, map-side first, before its texts are dealt to tasks.
 3. Each task reports a spanning forest and numbers of links, not pairs; components of
@@ -46,8 +47,8 @@ from .textscan import LOWER, SPACED, grams, mix, raw, slices, word_hashes, word_
 FAN, DEALS = 16, 12
 #: Members counted at once; documents of these that hold a frequent one; frequent ones kept (8 bytes each).
 MEMBERS, OFTEN, COMMON = 1 << 20, 4, 100_000
-#: Documents and characters of a chunk, about.
-CHUNK, CHARS = 4096, 16 << 20
+#: Documents and characters of a chunk, about; chunks that a smaller cluster is spread over, of at least CHUNK / SPREAD.
+CHUNK, CHARS, SPREAD = 4096, 16 << 20, 8
 #: Keys of a batch.
 KEYS = 400_000
 U = np.uint64
@@ -431,7 +432,8 @@ def classes(docs: DataFrame, sets: DataFrame, n: int = 3, percent: int = 90, chu
     reps = stored(reps, "near-heads")
     # Chunks of large clusters: every pair of chunks (i <= j) is a task.
     sized = reps.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
-    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHARS)).cast("int")
+    spread = F.least(F.lit(SPREAD), F.ceil(SPREAD * F.col("n") / chunk))
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), spread, F.ceil(F.col("bytes") / CHARS)).cast("int")
     sized = stored(sized.select("cluster", chunks.alias("chunks")), "near-sizes")
     placed = reps.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("low"), F.col("chunks")).cast("int")).drop("bytes")
     text = rows.join(placed, rows["doc_id"] == placed["rep"])
