@@ -446,10 +446,10 @@ def classes(docs: DataFrame, sets: DataFrame, n: int = 3, percent: int = 90, chu
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "doc_id")
     found = stored(dealt.mapInArrow(_blocks(n, percent), "id long, root long, links long"), "near-links")
     # An id with several sets ties the ids that stand for these together.
-    several = members.groupBy("doc_id").agg(F.collect_set(F.struct(*group)).alias("sets")).where(F.size("sets") > 1)
-    several = several.select("doc_id", F.explode("sets").alias("s")).select("doc_id", "s.*").join(reps, group)
-    tied = several.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
-    tied = tied.select("a", F.explode("reps").alias("b")).where("a <> b")
+    own = F.struct(*group)
+    several = members.groupBy("doc_id").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("doc_id")
+    held = members.join(several, "doc_id").join(reps, group).select("doc_id", "rep").distinct()
+    tied = held.groupBy("doc_id").agg(F.min("rep").alias("a")).join(held, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
     joined = components(found.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).union(tied), "near-classes")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     heads = reps.join(joined, F.col("rep") == F.col("vertex"), "left").join(counts, F.col("rep") == F.col("id"), "left").select(
