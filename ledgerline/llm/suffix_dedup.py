@@ -45,7 +45,7 @@ from .textscan import _power_tables, mix, raw, rolling, slices, window_min
 
 GRAM = 32
 #: Bytes of surroundings that are sorted at once; above SPILL bytes a queue goes to files.
-SHARD, SPILL = 4 << 20, 1 << 28
+SHARD, SPILL = 2 << 20, 1 << 28
 #: Anchors in more rows than HOT are split, their windows in so many classes.
 HOT, CLASSES = 4096, 8
 U = np.uint64
