@@ -89,5 +89,31 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 """
 
 
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Every round by a full search: the least of (distance, entry) over all entries of a part's codebook."""
+    book, steps = "book0", []
+    for k in range(rounds + 1):
+        steps.append(f"""given{k} as (select id, p, x, min(struct_pack(d := d, e := e)) best from (
+  select c.id, c.p, c.x, e, list_sum(list_transform(range(1, len(c.x) + 1), lambda i: (c.x[i] - b.x[i]) * (c.x[i] - b.x[i])))::bigint d
+  from cut c join {book} b on b.p = c.p) group by 1, 2, 3)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} as (select b.p, b.e, coalesce(m.x, b.x) x from {book} b left join (
+  select p, e, list(mean order by i) x from (select p, best.e e, i, floor(sum(x[i])::double / count(*))::bigint mean
+    from (select *, unnest(range(1, len(x) + 1)) i from given{k}) group by 1, 2, 3) group by 1, 2) m on m.p = b.p and m.e = b.e)""")
+            book = f"book{k + 1}"
+    return f"""with clean as (
+  select row_number() over (order by vec_id) id, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cut as (select id, vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] x from clean, range({parts}) r(p)),
+book0 as (select p, e, x from (select p, row_number() over (partition by p order by vec_id) - 1 e, x from cut) where e < {entries}),
+{", ".join(steps)},
+said as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) sha from {book}),
+coded as (select id, string_agg(printf('%02x', best.e), '' order by p) code, sum(best.d)::bigint error from given{rounds} group by 1)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, sha codebooks_sha256 from clean join coded using (id), said"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op3_quality_rules": quality(), "op6_chat_format": chat(), "op9_secret_scan": secrets()}
+    return {
+        "op1_decontaminate": DECONTAMINATE, "op3_quality_rules": quality(), "op6_chat_format": chat(), "op9_secret_scan": secrets(),
+        "op13_vector_codes": vector_codes(),
+    }

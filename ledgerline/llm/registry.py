@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oracles import oracle_sql  # noqa: F401  (the entry reads it here)
-from . import chat_format, decontaminate, mixing, near_dup, quality_rules, secret_scan, suffix_dedup, token_counts, token_output, toxicity
+from . import (
+    alignment, chat_format, decontaminate, mixing, near_dup, packing, quality_rules, secret_scan, suffix_dedup, token_counts, token_output, toxicity,
+    vector_codes,
+)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +101,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -110,4 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_mixing": op10_mixing,
+        "op11_alignment": op11_alignment,
+        "op12_packing": op12_packing,
+        "op13_vector_codes": op13_vector_codes,
     }

@@ -43,9 +43,9 @@ class Pieces(dict):
 
 
 class Encoder:
-    """piece: what is kept of a pre-token's ids (their number, their bytes, ...)."""
+    """piece: what is kept of a pre-token's ids (their number, their bytes, ...); plain: special strings in texts are plain text."""
 
-    def __init__(self, path: str, piece: Callable[[list[int]], object]):
+    def __init__(self, path: str, piece: Callable[[list[int]], object], plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.cut, self.known = None, Pieces(piece)
         if path.endswith(".model"):
@@ -53,27 +53,30 @@ class Encoder:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.whole = lambda texts: model.encode(texts, num_threads=1)
+            self.vocabulary = lambda: {model.id_to_piece(i): i for i in range(model.get_piece_size())}
             return
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        tokenizer.encode_special_tokens = plain
+        self.vocabulary = tokenizer.get_vocab
         self.whole = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         pre, model = said.get("pre_tokenizer") or {}, said["model"]
-        plain = (
+        byte_level = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and said.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
         )
-        added = said.get("added_tokens") or ()
-        if plain and not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
+        added = () if plain else said.get("added_tokens") or ()
+        if byte_level and not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
             special = [re.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"]))]
             self.cut = re.compile("|".join([*special, UNSURE]))
             self.special = re.compile("|".join(special) or r"(?!)")
             self.library = tokenizer.pre_tokenizer.pre_tokenize_str
-            letters, tokenize = _byte_letters(), tokenizer.model.tokenize
+            letters, tokenize = byte_letters(), tokenizer.model.tokenize
             self.known = Pieces(lambda word: piece([x.id for x in tokenize(word.encode().decode("latin-1").translate(letters))]))
 
     def pretokens(self, text: str) -> list[str] | None:
@@ -103,7 +106,7 @@ class Encoder:
 
 
 @cache
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """How byte-level vocabularies write bytes: visible Latin-1 characters stand for
     themselves, the other bytes, in order, for characters from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -112,9 +115,9 @@ def _byte_letters() -> dict[int, int]:
 
 
 @cache
-def encoder(path: str, kind: str) -> Encoder:
-    """One for each worker process; kind: counts or ids (as little-endian bytes)."""
+def encoder(path: str, kind: str, plain: bool = False) -> Encoder:
+    """One for each worker process; kind: counts, ids (as little-endian bytes) or lists (of ids)."""
     import array
 
-    piece = len if kind == "counts" else lambda ids: array.array("I", ids).tobytes()
-    return Encoder(path, piece)
+    piece = {"counts": len, "ids": lambda ids: array.array("I", ids).tobytes(), "lists": list}[kind]
+    return Encoder(path, piece, plain)
