@@ -1,14 +1,26 @@
-"""Ranks over a whole table, without sending it through one task.
+"""Ranks over a whole table or inside groups of any size, without sending a table or a large group through one task.
 
-Values are dealt to 64 ranges between approximate quantiles (one row, broadcast); ranks
-run inside a range and are moved on by the sizes of the ranges before (64 rows)."""
+Values are dealt to ranges between approximate quantiles; ranks run inside a range and are moved on by the
+sizes of the ranges before.
+
+Inside groups, that is done for the groups of more than LARGE rows only, which are found by one count: each has a
+sketch of its different values, stored, so that every step sees the same ranges.  Ranks follow from counts of
+different values, so ties need no order, and rows meet their value's rank: values that more than LARGE rows share
+are broadcast (there are at most rows / LARGE), the others joined.  Smaller groups are ranked by windows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import percentile_rank
+from ledgerline.sources.shared import stored
+
 RANGES = 64
+#: Rows of a group that one task ranks at most; ranges of a larger one.
+LARGE, GROUP_RANGES = 500_000, 256
 
 
 def _ranged(df: DataFrame, x: str) -> DataFrame:
@@ -49,3 +61,103 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
         ranks = value_ranks(given, c).select(F.col(c).alias("_value"), F.col("rank").alias("_rank"))
         df = df.join(ranks, F.col(c) == F.col("_value"), "left").withColumn(c, F.col("_rank")).drop("_value", "_rank")
     return df
+
+
+def _same(group: list[str], keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(group, keys, strict=True)], F.lit(True))
+
+
+def _keyed(df: DataFrame, group: list[str], *kept: str) -> tuple[DataFrame, list[str]]:
+    """df with its group columns under names that clash with none, and these names."""
+    keys = [f"_key_{c}" for c in group]
+    return df.select(*[F.col(c).alias(k) for c, k in zip(group, keys, strict=True)], *kept), keys
+
+
+def large_groups(df: DataFrame, group: list[str], large: int) -> DataFrame | None:
+    """The groups of more than so many rows, stored; None if there is none."""
+    counts = stored(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > large), "large-groups")
+    return counts.drop("_rows") if counts.count() else None
+
+
+def ranged_values(df: DataFrame, x: str, group: list[str], ranges: int = GROUP_RANGES) -> DataFrame:
+    """group, x, _n (rows), _range: the different values of every group, in ranges of about as many values."""
+    values = df.where(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = values.groupBy(*group).agg(F.percentile_approx(x, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000)).alias("_cuts"))
+    cuts, keys = _keyed(stored(cuts, "rank-cuts"), group, "_cuts")
+    # One row for each large group: at most rows / LARGE.
+    placed = values.join(F.broadcast(cuts), _same(group, keys))
+    return placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts", *keys)
+
+
+def _ranked_values(df: DataFrame, x: str, group: list[str], ranges: int) -> DataFrame:
+    """group, x, _n, _rank (mean rank of the value) and _size (values of the group): one row a different value."""
+    ranged = ranged_values(df, x, group, ranges)
+    inside = Window.partitionBy(*group, "_range").orderBy(x)
+    own = ranged.groupBy(*group, "_range").agg(F.sum("_n").alias("_own"))
+    whole = Window.partitionBy(*group)  # as many rows as ranges
+    before = F.sum("_own").over(whole.orderBy("_range")) - F.col("_own")
+    own = own.select(*group, "_range", before.alias("_before"), F.sum("_own").over(whole).alias("_size"))
+    own, keys = _keyed(own.withColumnRenamed("_range", "_of"), group, "_of", "_before", "_size")
+    ranked = ranged.withColumn("_to", F.sum("_n").over(inside)).join(own, _same(group, keys) & (F.col("_range") == F.col("_of")))
+    return ranked.select(*group, x, "_n", (F.col("_before") + F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)).alias("_rank"), "_size")
+
+
+def _attached(df: DataFrame, x: str, group: list[str], large: int, ranges: int) -> DataFrame:
+    """df with _n, _rank and _size of its values; rows without a value have none."""
+    ranked = stored(_ranked_values(df, x, group, ranges), "ranked-values")
+    ranked, keys = _keyed(ranked.withColumnRenamed(x, "_value"), group, "_value", "_n", "_rank", "_size")
+    same = _same(group, keys) & (F.col(x) == F.col("_value"))
+    hot = ranked.where(F.col("_n") > large)
+    out = ["_n", "_rank", "_size"]
+    if not hot.limit(1).count():
+        return df.join(ranked, same, "left").select(*df.columns, *out)
+    common = df.join(F.broadcast(hot), same).select(*df.columns, *out)
+    rest = df.join(F.broadcast(hot.select(*keys, "_value")), same, "left_anti").join(ranked.where(F.col("_n") <= large), same, "left")
+    return common.unionByName(rest.select(*df.columns, *out))
+
+
+def _parted(df: DataFrame, group: list[str], sized_by: DataFrame | None, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of small groups, and rows of large ones, if there are any."""
+    found = large_groups(sized_by if sized_by is not None else df, group, large)
+    if found is None:
+        return df, None
+    found, keys = _keyed(found, group)
+    same = _same(group, keys)
+    return df.join(F.broadcast(found), same, "left_anti"), df.join(F.broadcast(found), same, "left_semi")
+
+
+def percentile_ranks(
+    df: DataFrame, columns: dict[str, str], group: list[str], sized_by: DataFrame | None = None, large: int | None = None, ranges: int = GROUP_RANGES
+) -> DataFrame:
+    """df with the average-tie rank over the number of values, 0 to 1, of columns (x: name of its rank) inside groups.
+
+    sized_by: a table with at least as many rows in every group that is cheaper to count."""
+    large = LARGE if large is None else large
+    small, big = _parted(df, group, sized_by, large)
+    out = small.select("*", *[percentile_rank(F.col(x), [F.col(g) for g in group]).alias(name) for x, name in columns.items()])
+    if big is None:
+        return out
+    for x, name in columns.items():
+        big = _attached(big, x, group, large, ranges).withColumn(name, F.col("_rank") / F.col("_size")).drop("_n", "_rank", "_size")
+    return out.unionByName(big)
+
+
+def group_row_numbers(
+    df: DataFrame, x: str, tie: str, group: list[str], out: str, descending: bool = False, sized_by: DataFrame | None = None,
+    large: int | None = None, ranges: int = GROUP_RANGES,
+) -> DataFrame:
+    """df (its rows where x isn't missing) with their place in their group's order of x, then tie (different in equal x), from 1."""
+    large = LARGE if large is None else large
+    small, big = _parted(df.where(F.col(x).isNotNull()), group, sized_by, large)
+    order = Window.partitionBy(*group).orderBy(F.desc(x) if descending else F.col(x), tie)
+    numbered = small.withColumn(out, F.row_number().over(order))
+    if big is None:
+        return numbered
+    placed = _attached(big, x, group, large, ranges)
+    half = (F.col("_n") - 1) / 2
+    first = F.col("_size") - (F.col("_rank") + half) if descending else F.col("_rank") - half - 1
+    before, place = f"_before_{out}", f"_place_{out}"
+    placed = placed.withColumn(before, first).drop("_n", "_rank", "_size")
+    # Equal values of a group are ordered by tie, by ranges of it where they are many.
+    placed = group_row_numbers(placed, tie, tie, [*group, x], place, large=large, ranges=ranges) if tie != x else placed.withColumn(place, F.lit(1))
+    return numbered.unionByName(placed.withColumn(out, (F.col(before) + F.col(place)).cast("int")).drop(before, place))

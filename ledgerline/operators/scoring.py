@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import clip, hash_normal, percentile_rank, phi
+from ledgerline.functions.columns import clip, hash_normal, phi
+from ledgerline.operators.ranking import percentile_ranks
 
 EPS, TINY = 0.01, 1e-12
 #: Groups with fewer values aren't winsorised.
@@ -38,7 +39,8 @@ def _winsorised(df: DataFrame, x: str, group: list[str], p: float) -> DataFrame:
 
 def rank_score(df: DataFrame, x: str, group: list[str], out: str, direction: int = 1) -> DataFrame:
     """Average-tie percentile rank of the oriented value, from EPS to 1."""
-    return df.withColumn(out, EPS + (1 - EPS) * percentile_rank(direction * F.col(x), [F.col(g) for g in group]))
+    ranked = percentile_ranks(df.withColumn("_oriented", direction * F.col(x)), {"_oriented": "_pct"}, group)
+    return ranked.withColumn(out, EPS + (1 - EPS) * F.col("_pct")).drop("_oriented", "_pct")
 
 
 def winsor_z(df: DataFrame, x: str, group: list[str], out: str, p: float = 0.05, direction: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import percentile_rank, weighted_mean
+from ledgerline.functions.columns import weighted_mean
 from ledgerline.operators import methods, ranking, scoring
 
 from .base import Tables, query, r
@@ -39,7 +39,8 @@ def wide(t: Tables) -> DataFrame:
 
 @query("q06_avg_pct_rank", f"with {ISSUERS} select key, sub peer, round({pct_sql('bal', 'sub')}, 6) pct from iss")
 def q06(t: Tables) -> DataFrame:
-    return issuers(t).select("key", F.col("sub").alias("peer"), r(percentile_rank(F.col("bal"), [F.col("sub")])).alias("pct"))
+    ranked = ranking.percentile_ranks(issuers(t), {"bal": "pct"}, ["sub"])
+    return ranked.select("key", F.col("sub").alias("peer"), r("pct").alias("pct"))
 
 
 @query(
@@ -131,8 +132,8 @@ SCORED = f"{WIDE}, scored as (select key, sector, {', '.join(f'{pct_sql(m, chr(1
 
 
 def scored(t: Tables) -> DataFrame:
-    df = wide(t)
-    return df.select("key", "sector", *[percentile_rank(F.col(m), [F.col("sector")]).alias(m) for m in METRICS])
+    ranked = ranking.percentile_ranks(wide(t).select("key", "sector", *METRICS), {m: f"{m}_pct" for m in METRICS}, ["sector"], sized_by=issuers(t))
+    return ranked.select("key", "sector", *[F.col(f"{m}_pct").alias(m) for m in METRICS])
 
 
 @query(
@@ -174,7 +175,8 @@ def q16(t: Tables) -> DataFrame:
 def q17(t: Tables) -> DataFrame:
     score = weighted_mean([F.col(m) for m in FIXED], [F.lit(w) for w in FIXED.values()])
     df = scored(t).select("key", F.col("sector").alias("peer"), F.round(score, 9).alias("score"))
-    return df.select("key", "peer", r("score").alias("score"), r(100 * percentile_rank(F.col("score"), [F.col("peer")]), 4).alias("percentile"))
+    df = ranking.percentile_ranks(df, {"score": "pct"}, ["peer"], sized_by=issuers(t).select(F.col("sector").alias("peer")))
+    return df.select("key", "peer", r("score").alias("score"), r(100 * F.col("pct"), 4).alias("percentile"))
 
 
 def uniform_sql(*key: str) -> str:
@@ -185,12 +187,19 @@ DRAWS = f"""{ISSUERS}, drawn as (select key, sector, draw, round(bal + sd * (0.0
  from (select *, stddev_pop(bal) over (partition by sector) sd from iss where bal is not null) cross join range(40) g(draw))), pct as (select key, sector, draw, 100 * {pct_sql('x', 'sector, draw')} pct from drawn)"""
 
 
+def drawn(t: Tables, n: int = 40) -> DataFrame:
+    """Issuers with a balance, as often as there are draws."""
+    return issuers(t).where("bal is not null").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+
+
 def draws(t: Tables, n: int = 40) -> DataFrame:
     """key, sector, draw, pct: percentile among the sector under n noise draws."""
-    base = issuers(t).where("bal is not null").withColumn("sd", F.stddev_pop("bal").over(Window.partitionBy("sector")))
-    base = base.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    # One row a sector.
+    spread = issuers(t).groupBy("sector").agg(F.stddev_pop("bal").alias("sd"))
+    base = drawn(t, n).join(F.broadcast(spread), "sector")
     x = F.round(scoring.noisy(base, F.col("bal"), F.col("sd"), F.lit(0.5), F.lit(20260912), F.col("draw"), F.col("key")), 6)
-    return base.withColumn("x", x).select("key", "sector", "draw", (100 * percentile_rank(F.col("x"), [F.col("sector"), F.col("draw")])).alias("pct"))
+    ranked = ranking.percentile_ranks(base.select("key", "sector", "draw", x.alias("x")), {"x": "pct"}, ["sector", "draw"], sized_by=base)
+    return ranked.select("key", "sector", "draw", (100 * F.col("pct")).alias("pct"))
 
 
 @query(
@@ -224,14 +233,15 @@ def q19(t: Tables) -> DataFrame:
  select key, floor(round(a, 6))::bigint p05, floor(round(c, 6))::bigint p50, floor(round(e, 6))::bigint p95, round(d - b, 4) iqr, round(1 - (d - b) / max(e) over (), 6) stability from b""",
 )
 def q20(t: Tables) -> DataFrame:
-    w = Window.partitionBy("draw").orderBy(F.round("pct", 9).desc(), "key")
     q = F.percentile("rk", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    b = draws(t).withColumn("rk", F.row_number().over(w)).groupBy("key").agg(q.alias("q"))
+    df = draws(t).select("key", "draw", F.round("pct", 9).alias("pct"))
+    b = ranking.group_row_numbers(df, "pct", "key", ["draw"], "rk", descending=True, sized_by=drawn(t)).groupBy("key").agg(q.alias("q"))
     at = lambda i: F.element_at("q", i)
     iqr = at(4) - at(2)
+    b = b.crossJoin(F.broadcast(b.agg(F.max(at(5)).alias("most"))))  # one row
     return b.select(
         "key", F.floor(r(at(1))).alias("p05"), F.floor(r(at(3))).alias("p50"), F.floor(r(at(5))).alias("p95"), r(iqr, 4).alias("iqr"),
-        r(1 - iqr / F.max(at(5)).over(Window.partitionBy())).alias("stability"),
+        r(1 - iqr / F.col("most")).alias("stability"),
     )
 
 
@@ -240,7 +250,8 @@ def design(t: Tables) -> DataFrame:
     long = wide(t).unpivot(["key", "sector", "sub"], METRICS, "metric", "x")
     levels = long.withColumn("peers", F.explode(F.array(F.lit("sector"), F.lit("sub"))))
     levels = levels.withColumn("peer", F.when(F.col("peers") == "sector", F.col("sector")).otherwise(F.col("sub")))
-    return levels.withColumn("pct", 100 * percentile_rank(F.col("x"), [F.col("metric"), F.col("peers"), F.col("peer")])).where("pct is not null")
+    ranked = ranking.percentile_ranks(levels, {"x": "pct"}, ["metric", "peers", "peer"])
+    return ranked.withColumn("pct", 100 * F.col("pct")).where("pct is not null")
 
 
 DESIGN = f"""{WIDE}, long as (select key, sector, sub, unnest(['bal', 'spend', 'orders']) metric, unnest([bal, spend, orders]) x from wide),
@@ -318,7 +329,8 @@ def q81(t: Tables) -> DataFrame:
     group = ["metric", "draw", "sector"]
     df = scoring.rank_score(scoring.min_max(scoring.winsor_z(df, "x", group, "winsor"), "x", group, "minmax"), "x", group, "rank")
     means = df.groupBy("key", "draw").agg(*[F.round(F.avg(m), 9).alias(m) for m in AXIS]).unpivot(["key", "draw"], AXIS, "normaliser", "score")
-    pct = means.withColumn("pct", 100 * percentile_rank(F.col("score"), [F.col("draw"), F.col("normaliser")]))
+    sized = issuers(t).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("draw")).select("draw", F.explode(F.array(*map(F.lit, AXIS))).alias("normaliser"))
+    pct = ranking.percentile_ranks(means, {"score": "pct"}, ["draw", "normaliser"], sized_by=sized).withColumn("pct", 100 * F.col("pct"))
     b = scoring.bands(pct, ["key"], "pct").join(pct.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("runs")), F.col("key") == F.col("_key"))
     return b.select("key", "runs", r("p50", 4).alias("median"), r("p10", 4).alias("p10"), r("p90", 4).alias("p90"))
 
@@ -335,7 +347,8 @@ def q82(t: Tables) -> DataFrame:
     df = scored(t).withColumn("p", profile)
     score = F.round(weighted_mean([F.col(m) for m in METRICS], [F.col(f"p.w_{m}") for m in METRICS]), 9)
     df = df.select(F.col("p.profile").alias("profile"), "key", score.alias("score"))
-    return df.select("profile", "key", r("score").alias("score"), r(100 * percentile_rank(F.col("score"), [F.col("profile")]), 4).alias("percentile"))
+    df = ranking.percentile_ranks(df, {"score": "pct"}, ["profile"], sized_by=issuers(t).select(profile.alias("p")).select("p.profile"))
+    return df.select("profile", "key", r("score").alias("score"), r(100 * F.col("pct"), 4).alias("percentile"))
 
 
 @query(
@@ -397,9 +410,10 @@ def grid(t: Tables, n: int = 4) -> DataFrame:
     df = long.where("x is not null").join(F.broadcast(dev), "metric").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     df = df.withColumn("x", F.round(scoring.noisy(df, F.col("x"), F.col("sd"), F.lit(0.5), F.lit(20260912), F.col("draw"), F.col("key"), F.col("metric")), 6))
     df = df.withColumn("peers", F.explode(F.array(F.lit("sector"), F.lit("sub")))).withColumn("peer", F.when(F.col("peers") == "sector", F.col("sector")).otherwise(F.col("sub")))
-    group = [F.col(c) for c in ("metric", "draw", "peers", "peer")]
-    w = Window.partitionBy(*group)
-    df = df.withColumn("ranked", percentile_rank(F.col("x"), group)).withColumn("low", F.min("x").over(w)).withColumn("high", F.max("x").over(w))
+    group = ["metric", "draw", "peers", "peer"]
+    # One row for each group, by partial sums.
+    bounds = df.groupBy(*group).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    df = ranking.percentile_ranks(df, {"x": "ranked"}, group).join(F.broadcast(bounds), group)
     scaled = F.when(F.col("high") > F.col("low"), (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)
     pair = lambda a, b, x, y, name: F.inline(F.array(F.struct(F.lit(a).alias(name), x.alias("v")), F.struct(F.lit(b).alias(name), y.alias("v"))))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIXED.items() for x in kv]), F.col("metric"))
@@ -408,7 +422,8 @@ def grid(t: Tables, n: int = 4) -> DataFrame:
         (F.sum(F.col("wt") * F.col("v")) / F.sum("wt")).alias("a"), F.exp(F.sum(F.col("wt") * F.log(F.greatest("v", F.lit(1e-6)))) / F.sum("wt")).alias("g")
     )
     scores = means.select("key", "draw", "peers", "normaliser", pair("arith", "geo", F.round("a", 9), F.round("g", 9), "aggregation"))
-    return scores.select("key", *GRID, (100 * percentile_rank(F.col("v"), [F.col(c) for c in GRID])).alias("pct"))
+    ranked = ranking.percentile_ranks(scores, {"v": "pct"}, GRID)
+    return ranked.select("key", *GRID, (100 * F.col("pct")).alias("pct"))
 
 
 @query(
