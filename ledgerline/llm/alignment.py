@@ -4,10 +4,9 @@ Two tokenizers cut the same bytes; the places where tokens of both end cut these
 ids.  A group's ids decide the byte ranges of its tokens, hence its links (pairs of an A and a B token whose
 ranges overlap), so everything about links is worked out once for each different group:
 
-1. Every text is read once.  It is parted before spaces that follow a character which surely isn't white space:
-   there both tokenizers start anew (no pre-token of A holds a space behind such a character, and no piece
-   of B holds one inside), so a part is encoded and grouped once in a worker and its groups are interned.  What is
-   stored of a document are its different groups and their frequencies.
+1. Every text is read once.  It is parted between pre-tokens of A wherever no piece of B holds the two characters
+   that meet there: no merge of either tokenizer crosses such a border, so a part is encoded and grouped once in
+   a worker and its groups are interned.  What is stored of a document are its different groups and their frequencies.
 2. An id pair's count, of documents, is the sum over tasks of the documents whose groups hold it; a document is
    whole in one row, so its pairs are told apart in place, each group's links being expanded once.
 3. The dictionary has each different group of the corpus once.  Its links are expanded, meet the pairs' counts
@@ -37,19 +36,20 @@ from pyspark.sql import types as T
 
 from .common import free, most_frequent, numbered, stored
 from .textscan import slices
-from .tokens import MOST, Pieces, byte_letters, encoder
+from .tokens import Pieces, byte_letters, encoder
 
 OWN = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 #: Groups that are broadcast, and their longest text (some 20 MB in all).
 FREQUENT, LONG = 200_000, 64
-#: Parts of texts above these characters aren't kept.
-KEPT = 256
+#: Parts of texts above these characters aren't kept; the kept ones are forgotten at this number.
+KEPT, PARTS = 256, 200_000
 #: Id pairs that a task holds before it tells their counts.
 HELD = 400_000
 #: How pieces of B write a space.
 SPACE = "▁"
-#: A border: a space behind a character that all libraries know as no white space.
-BORDER = re.compile("(?<=[^\\s᠎​▁﻿])(?= )")
+
+#: A text that a tokenizer which normalises texts would change.
+PROBE = "\n ﬁ  ½ x "
 
 
 class Sizes:
@@ -63,9 +63,16 @@ class Sizes:
         pieces = encoder(b, "lists").vocabulary()
         byte = {p: bytes([int(p[3:5], 16)]) for p in pieces if re.fullmatch("<0x[0-9A-F]{2}>", p)}
         self.b = {i: byte.get(p, p.replace(SPACE, " ").encode()) for p, i in pieces.items()}
+        self.long_a, self.long_b = ({i: len(x) for i, x in side.items()} for side in (self.a, self.b))
+        #: Groups of one token each.
+        self.alone = Pieces(lambda pair: f"{pair[0]}|{pair[1]}")
         self.space = pieces.get(SPACE)
-        #: Whether no piece holds a space behind another character, so that B starts anew at borders.
-        self.parted = self.space is not None and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        #: Characters that meet inside some piece, so that B may merge them.
+        self.meeting = {p[k : k + 2] for p in (p.replace(SPACE, " ") for p in pieces if p not in byte) for k in range(len(p) - 1)}
+        # Parts can be told apart if B takes texts as they are and has the end of a line as a byte of its own.
+        whole = encoder(b, "lists").whole([PROBE])[0]
+        line = pieces.get("<0x0A>")
+        self.parted = b"".join(map(self.b.__getitem__, whole)) == b" " + PROBE.encode() and whole[:2] == [self.space, line]
 
 
 @cache
@@ -75,13 +82,15 @@ def sizes(a: str, b: str) -> Sizes:
 
 def _cut(a: list[int], b: list[int], known: Sizes) -> list[str]:
     """The groups of two rows of ids over the same bytes, each as a1,a2|b1."""
+    if len(a) == len(b) and [known.long_a[x] for x in a] == [known.long_b[x] for x in b]:
+        return list(map(known.alone.__getitem__, zip(a, b, strict=True)))
     out, i, j, at_a, at_b, first_a, first_b = [], 0, 0, 0, 0, 0, 0
     while i < len(a) or j < len(b):
         if at_a <= at_b and i < len(a):
-            at_a += len(known.a[a[i]])
+            at_a += known.long_a[a[i]]
             i += 1
         else:
-            at_b += len(known.b[b[j]])
+            at_b += known.long_b[b[j]]
             j += 1
         if at_a == at_b:
             out.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
@@ -117,22 +126,33 @@ class Aligner:
     def split(self, text: str) -> list[str]:
         """Parts of space + text."""
         text = " " + text
-        return BORDER.split(text) if self.known.parted else [text]
+        words = self.a.parted(text)[0] if self.known.parted else [text]
+        if len(words) < 2:
+            return [text]
+        out, held, meeting = [], words[0], self.known.meeting
+        for word in words[1:]:
+            if held[-1] + word[0] in meeting:
+                held += word
+            else:
+                out.append(held)
+                held = word
+        out.append(held)
+        return out
+
+    def _b(self, parts: list[str]) -> Iterator[list[int]]:
+        """B ids of parts: a leading space is the one that B adds; other parts are encoded behind the end of a line."""
+        for part, ids in zip(parts, self.b.whole([p[1:] if p[0] == " " else "\n" + p for p in parts]), strict=True):
+            yield ids[2:] if part[0] != " " else ids if part != " " else [self.known.space]
 
-    def _ids(self, part: str) -> list[int]:
-        words = self.a.pretokens(part)
-        if words is None:
-            return self.a.whole([part])[0]
+    def _a(self, part: str) -> list[int]:
         pieces = self.a.pieces()
-        return [x for w in words for x in pieces[w]]
+        return [x for w in self.a.parted(part)[0] for x in pieces[w]] if self.a.cut else self.a.whole([part])[0]
 
     def learn(self, parts: list[str]) -> dict[str, tuple | None]:
         """What is known of parts: (A ids, B ids, text of groups, groups), None where token bytes differ from the part."""
         out = {}
-        for part, b in zip(parts, self.b.whole([p[1:] for p in parts]), strict=True):
-            if part == " ":  # the end of a text; alone, B knows no text here
-                b = [self.known.space]
-            a, raw = self._ids(part), part.encode()
+        for part, b in zip(parts, self._b(parts), strict=True):
+            a, raw = self._a(part), part.encode()
             if b"".join(map(self.known.a.__getitem__, a)) != raw or b"".join(map(self.known.b.__getitem__, b)) != raw:
                 out[part] = None
                 continue
@@ -142,9 +162,9 @@ class Aligner:
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, Counter]]:
         """n_a, n_b, n_groups, groups_sha256 and the frequencies of groups, of every text."""
-        if len(self.parts) > MOST or len(self.groups) > MOST:
-            self.parts.clear()
-            self.groups.clear()
+        if len(self.parts) > PARTS:
+            for kept in (self.parts, self.groups, self.known.alone):
+                kept.clear()
         split = [self.split(t) if t else [] for t in texts]
         new = self.learn(list({p for parts in split for p in parts if p not in self.parts}))
         self.parts.update((p, x) for p, x in new.items() if len(p) <= KEPT)
@@ -212,7 +232,7 @@ def _pair_documents(a: str, b: str):
                 found.update(set().union(*map(pairs.__getitem__, groups.as_py())))
                 if len(found) > HELD:
                     yield told()
-                if len(pairs) > MOST:
+                if len(pairs) > PARTS:
                     pairs.clear()
         if found:
             yield told()
