@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.similar import best_matches
+from ledgerline.sources.shared import stored
+
 #: Legal forms and generic words of company names.
 SUFFIXES = [
     "incorporated", "inc", "corporation", "corp", "company", "companies", "co", "limited", "ltd", "llc", "lllp", "llp", "lp", "plc", "holdings", "holding",
@@ -86,7 +85,7 @@ def resolve(names: DataFrame, lookup: DataFrame, overrides: DataFrame, cutoff: f
 
     lookup: key (normal form), ticker; overrides: ordinal, key, ticker.  Prefixes end at word boundaries: all word prefixes of a
     name are equi-joined, so no pair is compared that doesn't share one."""
-    keyed = names.select("name").distinct().withColumn("key", normalize_name(F.col("name")))
+    keyed = stored(names.select("name").distinct().withColumn("key", normalize_name(F.col("name"))), "names")
     keys = keyed.where("key <> ''").select("key").distinct()
     tokens = F.split("key", " ")
     n = F.size(tokens)
@@ -100,7 +99,7 @@ def resolve(names: DataFrame, lookup: DataFrame, overrides: DataFrame, cutoff: f
     tail = F.element_at(tokens, -1)
     heads = keys.where((n > 1) & tail.isin(*GENERIC_TAIL)).select("key", F.array_join(F.slice(tokens, F.lit(1), n - 1), " ").alias("head"))
     by_head = heads.join(company.select(F.col("key").alias("head"), F.col("ticker").alias("parent")), "head").select("key", "parent")
-    found = keys.join(exact, "key", "left").join(by_override, "key", "left").join(by_head, "key", "left")
+    found = stored(keys.join(exact, "key", "left").join(by_override, "key", "left").join(by_head, "key", "left"), "name-steps")
     open_ = found.where("exact is null and override is null and prefix is null and parent is null")
     near = best_matches(open_.select(F.col("key").alias("name")), company.select(F.col("key").alias("name")), cutoff)
     near = near.join(company.withColumnRenamed("key", "match"), "match").select(F.col("name").alias("key"), F.col("ticker").alias("similar"), "score")
@@ -115,75 +114,39 @@ def resolve(names: DataFrame, lookup: DataFrame, overrides: DataFrame, cutoff: f
     )
 
 
+#: Fixed value: how an owner's share is written.
+SHARE = r"\(([\d.]+)\s*%\)"
+
+
 def parse_owners(raw: Column) -> Column:
-    """"Alpha (60%); Beta" -> [(Alpha, 0.6), (Beta, 0.4)]: named shares, the rest in equal parts;
-    shares above 1.01 in all are scaled to 1."""
-    parts = F.filter(F.transform(F.split(raw, ";"), lambda p: F.trim(p)), lambda p: p != "")
-    share = lambda p: F.expr("1.0") * F.nullif(F.regexp_extract(p, r"\((\d+(?:\.\d+)?)\s*%\)", 1), F.lit("")).cast("double") / 100
-    owners = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(p, r"\(.*?\)", "")).alias("name"), share(p).alias("share")))
-    named = F.aggregate(owners, F.lit(0.0), lambda a, x: a + F.coalesce(x["share"], F.lit(0.0)))
+    """"Alpha (US) (60%); Beta Corp." -> [(Alpha (US), 0.6), (Beta Corp, 0.4)]: only shares in parentheses are taken off a name,
+    blanks, commas and full stops at its ends as well, and parts without a name go.  Named shares stay, the others get equal
+    parts of the rest; shares above 1.01 in all are scaled to 1."""
+    ends = lambda x: F.regexp_replace(F.regexp_replace(x, "^[ ,.]+", ""), "[ ,.]+$", "")
+    share = lambda p: F.nullif(F.regexp_extract(p, SHARE, 1), F.lit("")).try_cast("double") / 100
+    parts = F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), lambda p: F.struct(ends(F.regexp_replace(p, SHARE, "")).alias("name"), share(p).alias("share")))
+    owners = F.filter(parts, lambda x: x["name"] != "")
+    sum_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.coalesce(x["share"], F.lit(0.0)))
     open_ = F.size(F.filter(owners, lambda x: x["share"].isNull()))
-    rest = F.when(open_ > 0, F.greatest(F.lit(0.0), 1.0 - named) / open_)
-    scale = F.when(named > 1.01, 1.0 / named).otherwise(F.lit(1.0))
-    return F.transform(owners, lambda x: F.struct(x["name"], (F.coalesce(x["share"], rest) * scale).alias("share")))
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    """100 * 2 * LCS / (length a + length b) of the names with sorted tokens."""
-    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = left + 1 if x == y else max(row[j], row[j - 1])
-            left = keep
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def could_reach(a: str, b: str, cutoff: float) -> bool:
-    """False if the letters that both have are too few for the cutoff."""
-    both = sum((Counter(a) & Counter(b)).values())
-    return not a and not b or 200.0 * both >= cutoff * (len(a) + len(b))
-
-
-#: Choices of one length are dealt to so many tasks.
-SALTS = 16
-
-
-def _sorted_tokens(name: Column) -> Column:
-    """Tokens in order, joined by single blanks: blank as Python's split() has it."""
-    tokens = F.split(name, r"(?U)[\s\x1c-\x1f]+")
-    return F.array_join(F.array_sort(F.filter(tokens, lambda x: x != "")), " ")
-
-
-def best_matches(names: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
-    """name, match, score: the most similar choice with at least the cutoff, the first of equals.
-
-    Names and choices meet as sorted tokens, each distinct form once.  Blocks are lengths: the common
-    part is at most the shorter form, so the cutoff bounds the lengths that a match can have."""
-    named = names.select("name", _sorted_tokens(F.col("name")).alias("form")).where("form is not null").distinct()
-    left = named.select("form").distinct()
-    right = choices.select("name", _sorted_tokens(F.col("name")).alias("other")).where("other is not null").groupBy("other").agg(F.min("name").alias("choice"))
-    n, k = F.length("form"), F.length("other")
-    if cutoff > 0:
-        least = cutoff / (200.0 - cutoff)  # of the shorter length over the longer, for scores of the cutoff
-        low, high = F.greatest(F.lit(0), F.floor(n * least) - 1), F.ceil(n / least) + 1
-        left, right = left.withColumn("size", F.explode(F.sequence(low.cast("int"), high.cast("int")))), right.withColumn("size", k)
-    else:
-        left, right = left.withColumn("size", F.lit(0)), right.withColumn("size", F.lit(0))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = right.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int"))
-    pairs = left.join(right, ["size", "salt"]).select("form", "other", "choice")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [token_sort_ratio(a, b) if could_reach(a, b, cutoff) else -1.0 for a, b in zip(batch["form"], batch["other"], strict=True)]
-            batch["score"] = pd.Series(found, index=batch.index, dtype="float64")
-            yield batch[(batch["score"] >= cutoff) & (batch["score"] >= 0)][["form", "choice", "score"]]
-
-    scored = pairs.mapInPandas(score, "form string, choice string, score double")
-    best = scored.groupBy("form").agg(F.min_by("choice", F.struct(-F.col("score"), F.col("choice"))).alias("match"), F.max("score").alias("score"))
-    return named.join(best, "form").select("name", "match", "score")
+    rest = F.when(open_ > 0, F.greatest(F.lit(0.0), 1.0 - sum_of(owners)) / open_)
+    whole = F.transform(owners, lambda x: F.struct(x["name"], F.coalesce(x["share"], rest).alias("share")))
+    total = sum_of(whole)
+    return F.transform(whole, lambda x: F.struct(x["name"], F.when(total > 1.01, x["share"] / total).otherwise(x["share"]).alias("share")))
+
+
+#: How an owner was found, the surest first.
+METHODS = ["exact", "override", "override-prefix", "parent-prefix", "fuzzy"]
+
+
+def ownership(facilities: DataFrame, lookup: DataFrame, overrides: DataFrame, rules: DataFrame, cutoff: float = 92.0) -> DataFrame:
+    """facility, year, ticker, share, confidence, method from facilities (facility, year, owner: raw text): owners are parsed
+    and resolved, pairs outside the windows of rules (see owner_valid) go, and those of one ticker are one row with
+    the sum of shares (1 at most), the least confidence and the method of the first owner in the text."""
+    rows = facilities.select("facility", "year", F.posexplode(parse_owners(F.col("owner"))).alias("place", "o")).select("facility", "year", "place", "o.*")
+    rows = stored(rows, "owners")
+    found = resolve(rows.select("name"), lookup, overrides, cutoff).where("ticker is not null")
+    rows = rows.join(found, "name").select("facility", "year", "place", "key", "ticker", "share", "method", "confidence")
+    valid = owner_valid(rules, rows)
+    return valid.groupBy("facility", "year", "ticker").agg(
+        F.least(F.sum("share"), F.lit(1.0)).alias("share"), F.min("confidence").alias("confidence"), F.min_by("method", "place").alias("method")
+    )

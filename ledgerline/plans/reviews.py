@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import ramp
-from ledgerline.operators import flags, identity, ranking, stats
+from ledgerline.operators import flags, identity, ranking, similar, stats
 from ledgerline.operators.dedupe import keep_first
 
 from .base import Tables, query, r
@@ -268,20 +268,30 @@ def q47(t: Tables) -> DataFrame:
     return out
 
 
-@query(
-    "q48_parse_owners",
-    """with s as (select s_suppkey, s_name || ' (' || (10 + s_suppkey % 80) || '%); ' || n_name || case when s_suppkey % 3 = 0 then '; Third Party' else '' end raw from supplier join nation on n_nationkey = s_nationkey),
- p as (select s_suppkey, trim(x) x, len(list_filter(string_split(raw, ';'), lambda y: regexp_matches(y, '%')))::bigint named_n, len(string_split(raw, ';')) n from s, unnest(string_split(raw, ';')) u(x)),
- q as (select *, try_cast(nullif(regexp_extract(x, '\\((\\d+)%\\)', 1), '') as double) / 100 sh from p)
- select s_suppkey suppkey, trim(regexp_replace(x, '\\(.*?\\)', '')) as name, round(coalesce(sh, (1 - sum(coalesce(sh, 0)) over (partition by s_suppkey)) / (n - named_n)), 6) share from q""",
-)
+#: Owner texts with parentheses in names, parts without a name, shares above one in all, misspellings and empty texts.
+OWNER_RAW = """case s_suppkey % 7 when 0 then n_name || ' (US) (' || (40 + s_suppkey % 30) || '%); Beta Corp.' when 1 then '(50%); ' || n_name || ' Inc., ;' when 2 then n_name || ' Energy (80 %); ' || n_name || ' Services (40.5%)'
+ when 3 then 'Beta Works; ' || n_name || '; Third Party (A)' when 4 then n_name || 'x (100%)' when 5 then ' ; , .;(25%)' else n_name || '; Beta (30%);' || n_name || ' Group (20%)' end"""
+PARSED = r"""parts as (select id, i, regexp_replace(regexp_replace(x, '\(([\d.]+)\s*%\)', '', 'g'), '^[ ,.]+|[ ,.]+$', '', 'g') as name, try_cast(nullif(regexp_extract(x, '\(([\d.]+)\s*%\)', 1), '') as double) / 100 sh
+  from (select id, unnest(string_split(raw, ';')) x, generate_subscripts(string_split(raw, ';'), 1) i from raws)),
+ filled as (select *, coalesce(sh, greatest(0.0, 1 - sum(coalesce(sh, 0)) over (partition by id)) / count(*) filter (sh is null) over (partition by id)) s0 from parts where name <> ''),
+ owners as (select id, i, name, case when sum(s0) over (partition by id) > 1.01 then s0 / sum(s0) over (partition by id) else s0 end share from filled)"""
+
+
+def owner_texts(t: Tables) -> DataFrame:
+    """suppkey and the raw owner text of every supplier."""
+    k, n, lit = F.col("s_suppkey"), F.col("n_name"), F.lit
+    texts = [
+        F.concat(n, lit(" (US) ("), (40 + k % 30).cast("string"), lit("%); Beta Corp.")), F.concat(lit("(50%); "), n, lit(" Inc., ;")),
+        F.concat(n, lit(" Energy (80 %); "), n, lit(" Services (40.5%)")), F.concat(lit("Beta Works; "), n, lit("; Third Party (A)")),
+        F.concat(n, lit("x (100%)")), lit(" ; , .;(25%)"), F.concat(n, lit("; Beta (30%);"), n, lit(" Group (20%)")),
+    ]
+    named = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey"))
+    return named.select(k.alias("suppkey"), F.element_at(F.array(*texts), (k % len(texts) + 1).cast("int")).alias("raw"))
+
+
+@query("q48_parse_owners", f"with raws as (select s_suppkey id, {OWNER_RAW} raw from supplier join nation on n_nationkey = s_nationkey), {PARSED} select id suppkey, name, round(share, 6) share from owners")
 def q48(t: Tables) -> DataFrame:
-    raw = F.concat(
-        F.col("s_name"), F.lit(" ("), (10 + F.col("s_suppkey") % 80).cast("string"), F.lit("%); "), F.col("n_name"),
-        F.when(F.col("s_suppkey") % 3 == 0, "; Third Party").otherwise(""),
-    )
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("suppkey"), raw.alias("raw"))
-    return rows.select("suppkey", F.inline(identity.parse_owners(F.col("raw")))).select("suppkey", "name", r("share").alias("share"))
+    return owner_texts(t).select("suppkey", F.inline(identity.parse_owners(F.col("raw")))).select("suppkey", "name", r("share").alias("share"))
 
 
 NORM = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\([^)]*\)', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\b({'|'.join(identity.SUFFIXES)})\b', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -343,11 +353,42 @@ def q50(t: Tables) -> DataFrame:
     return found.select("name", "key", "ticker", "method", r("confidence").alias("confidence"))
 
 
+#: Overrides and windows of the ownership query: (key, ticker), (key, ticker, since, until).
+OWNER_OVERRIDES = [("beta", "BET"), ("nation 11", "ELV")]
+OWNER_RULES = [("beta", "BET", 1994, 1996), ("nation 3", "N3", None, None), ("nation 7", "N7", None, 1995), ("nation 9 energy", "N9", 1997, None)]
+
+
+@query(
+    "q103_ownership",
+    f"""with raws as (select s_suppkey id, {OWNER_RAW} raw from supplier join nation on n_nationkey = s_nationkey), {PARSED},
+ facility_years as (select distinct l_suppkey facility, year(l_shipdate)::bigint as year from lineitem),
+ c as (select {NORM('n_name')} ckey, 'N' || n_nationkey ticker from nation), o as (select * from (values """ + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(OWNER_OVERRIDES)) + """) o(ordinal, okey, ticker)),
+ ru as (select * from (values """ + ", ".join(f"('{k}', '{v}', {a or 'null'}, {b or 'null'})" for k, v, a, b in OWNER_RULES) + f""") ru(rkey, ticker, since, until)),
+ keyed as (select distinct name, {NORM('name')} as key from owners),
+ m as (select name, key, (select ticker from c where ckey = key) a, (select ticker from o where okey = key) b, (select arg_min(ticker, ordinal) from o where starts_with(key, okey || ' ')) d,
+  (select ticker from c where starts_with(key, ckey || ' ') and substr(key, length(ckey) + 2) in ({', '.join(repr(x) for x in identity.GENERIC_TAIL)})) e, (select ticker from c where ckey || 'x' = key) f from keyed),
+ v as (select name, key, coalesce(a, b, d, e, f) ticker, case when a is not null then 'exact' when b is not null then 'override' when d is not null then 'override-prefix' when e is not null then 'parent-prefix' else 'fuzzy' end as method,
+  case when a is not null then 1.0 when b is not null then 0.95 when d is not null then 0.9 when e is not null then 0.85 else 2.0 * (length(key) - 1) / (2 * length(key) - 1) end::double conf from m where coalesce(a, b, d, e, f) is not null),
+ rows as (select facility, year, i, v.ticker, share, method, conf from facility_years join owners on id = facility join v using (name) left join ru on rkey = key and ru.ticker = v.ticker
+  where rkey is null or ((since is not null or until is not null) and coalesce(year >= since, true) and coalesce(year <= until, true)))
+ select facility, year, ticker, round(least(sum(share), 1.0), 6) share, round(min(conf), 6) confidence, arg_min(method, i) as method from rows group by 1, 2, 3""",
+)
+def q103(t: Tables) -> DataFrame:
+    """From raw owner texts to shares by facility, year and ticker."""
+    rows = lambda items, schema: t.spark.createDataFrame(items, schema)
+    years = t.lineitem.select(F.col("l_suppkey").alias("facility"), F.year("l_shipdate").cast("bigint").alias("year")).distinct()
+    facilities = years.join(owner_texts(t).select(F.col("suppkey").alias("facility"), F.col("raw").alias("owner")), "facility")
+    lookup = t.nation.select(identity.normalize_name(F.col("n_name")).alias("key"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("ticker"))
+    overrides = rows([(i, k, v) for i, (k, v) in enumerate(OWNER_OVERRIDES)], "ordinal int, key string, ticker string")
+    found = identity.ownership(facilities, lookup, overrides, rows(OWNER_RULES, "key string, ticker string, since int, until int"))
+    return found.select("facility", "year", "ticker", r("share").alias("share"), r("confidence").alias("confidence"), "method")
+
+
 @query("q51_fuzzy_token_sort")
 def q51(t: Tables) -> DataFrame:
     names = t.part.select(F.col("p_name").alias("name")).distinct()
     shuffled = names.select(F.array_join(F.reverse(F.split("name", " ")), " ").alias("name"))
-    return identity.best_matches(shuffled, names, 70.0).select("name", "match", r("score", 4).alias("score"))
+    return similar.best_matches(shuffled, names, 70.0).select("name", "match", r("score", 4).alias("score"))
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import columns
-from ledgerline.operators import identity, panel, scoring, stats
+from ledgerline.operators import identity, panel, scoring, similar, stats
 from ledgerline.sources import tables
 from ledgerline.streaming import events
 
@@ -55,14 +55,16 @@ def test_hash_noise_is_standard_normal_and_repeats(spark):
 
 
 def test_owner_lists(spark):
-    df = spark.createDataFrame([("Alpha (60%); Beta",), ("A (80%); B (80%)",), ("Solo",), ("",)], "raw string")
+    texts = ["Alpha (60%); Beta", "A (80%); B (80%)", "Solo", "", None, "Alpha (US) (60%); Beta Corp.", "(50%); Gamma", " ; , .;(25%)", "A (50.5 %); B; C.,"]
+    df = spark.createDataFrame([(x,) for x in texts], "raw string")
     got = [[(o["name"], round(o["share"], 6)) for o in x] for (x,) in values(df.select(identity.parse_owners(F.col("raw")).alias("o")), "o")]
-    assert got == [[("Alpha", 0.6), ("Beta", 0.4)], [("A", 0.5), ("B", 0.5)], [("Solo", 1.0)], []]
+    assert got == [[("Alpha", 0.6), ("Beta", 0.4)], [("A", 0.5), ("B", 0.5)], [("Solo", 1.0)], [], [],
+                   [("Alpha (US)", 0.6), ("Beta Corp", 0.4)], [("Gamma", 1.0)], [], [("A", 0.505), ("B", 0.2475), ("C", 0.2475)]]
 
 
 def test_token_sort_ratio():
-    assert identity.token_sort_ratio("steel north", "north steel") == 100.0
-    assert identity.token_sort_ratio("abc", "xyz") == 0.0
+    assert similar.token_sort_ratio("steel north", "north steel") == 100.0
+    assert similar.token_sort_ratio("abc", "xyz") == 0.0
 
 
 def test_portfolio_keeps_its_constraints():

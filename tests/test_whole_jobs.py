@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ledgerline.operators import identity, methods, scoring, stats
+from ledgerline.operators import methods, scoring, similar, stats
 from ledgerline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -33,10 +33,10 @@ def test_best_matches_meet_in_any_order_of_tokens(spark):
     for cutoff in (0.0, 40.0, 70.0, 92.0, 100.0):
         want = {}
         for n in names:
-            score, choice = min((-identity.token_sort_ratio(n, c), c) for c in choices)
+            score, choice = min((-similar.token_sort_ratio(n, c), c) for c in choices)
             if -score >= cutoff:
                 want[n] = (choice, -score)
-        got = {n: (m, s) for n, m, s in identity.best_matches(frame(names), frame(choices), cutoff).select("name", "match", "score").collect()}
+        got = {n: (m, s) for n, m, s in similar.best_matches(frame(names), frame(choices), cutoff).select("name", "match", "score").collect()}
         assert got == want
 
 
