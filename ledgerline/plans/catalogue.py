@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import facts, filings, panels, reviews, scores  # noqa: F401  (they register their queries)
+from . import facts, filings, panels, quality, reviews, scores  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL, Tables
 
 
