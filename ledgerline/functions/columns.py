@@ -42,6 +42,12 @@ def percentile_rank(x: Column, group_columns: list[Column]) -> Column:
     return average_rank(x, group, group_columns) / F.count(x).over(group)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over the rows that have both; missing where a side is constant."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def hash_uniform(*key: Column) -> Column:
     """A uniform number in (0, 1) that follows from the key alone: 52 bits of md5."""
     digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in key]))

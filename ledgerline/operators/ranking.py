@@ -161,3 +161,42 @@ def group_row_numbers(
     # Equal values of a group are ordered by tie, by ranges of it where they are many.
     placed = group_row_numbers(placed, tie, tie, [*group, x], place, large=large, ranges=ranges) if tie != x else placed.withColumn(place, F.lit(1))
     return numbered.unionByName(placed.withColumn(out, (F.col(before) + F.col(place)).cast("int")).drop(before, place))
+
+
+def cuts_of(df: DataFrame, x: str, ranges: int = RANGES) -> list[float]:
+    """Bounds of ranges of about as many rows each: so many numbers reach the driver."""
+    found = df.agg(F.percentile_approx(x, F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000)).alias("c")).first()["c"]
+    return sorted({float(c) for c in found or []})
+
+
+def range_of(x: str, cuts: list[float]) -> Column:
+    """How many cuts are below x, by a binary search written out."""
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(x) <= cuts[mid], among(low, mid)).otherwise(among(mid + 1, high))
+
+    return among(0, len(cuts))
+
+
+def offsets(df: DataFrame, group: list[str], n: Column) -> DataFrame:
+    """group, _range, _before, _total: how much n is in a group's ranges before one, and in all; a group has as many rows as ranges."""
+    own = df.groupBy(*group, "_range").agg(F.sum(n).alias("_own"))
+    whole = Window.partitionBy(*group)
+    return own.select(*group, "_range", (F.sum("_own").over(whole.orderBy("_range")) - F.col("_own")).alias("_before"), "_own", F.sum("_own").over(whole).alias("_total"))
+
+
+def group_medians(df: DataFrame, x: str, group: list[str], out: str, cuts: list[float] | None = None) -> DataFrame:
+    """group and the exact median of x, by selection: counts of ranges tell which hold the middle values, and only these are ordered.
+
+    For few groups of any size (their offsets, one row a range, are broadcast)."""
+    df = df.where(F.col(x).isNotNull())
+    df = df.withColumn("_range", range_of(x, cuts_of(df, x) if cuts is None else cuts))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_own"))
+    middle = stored(offsets(df, group, F.lit(1)).where(holds(low) | holds(high)), "median-ranges")
+    rows = df.join(F.broadcast(middle), [*group, "_range"])
+    at = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_range").orderBy(x)) - 1
+    return rows.withColumn("_at", at).where((F.col("_at") == low) | (F.col("_at") == high)).groupBy(*group).agg(F.avg(x).alias(out))

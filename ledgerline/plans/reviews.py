@@ -433,6 +433,69 @@ def q58(t: Tables) -> DataFrame:
     return stats.permutation_p(df, "c_custkey", "c_acctbal", "side", 50, 11).select(r("stat", 4).alias("stat"), r("p").alias("p"))
 
 
+CUTS = "(u > exp(-1))::int + (u > 2 * exp(-1))::int + (u > 2.5 * exp(-1))::int + (u > (2.5 + 1.0 / 6) * exp(-1))::int + (u > (2.5 + 1.0 / 6 + 1.0 / 24) * exp(-1))::int"
+ROUNDED = "select o_custkey k, round(sum(o_totalprice), -4) x, round(max(o_totalprice), -3) y from orders group by 1"
+
+
+@query(
+    "q107_bootstrap_spearman",
+    f"""with b as ({ROUNDED}), d as (select rep, x, y, {U('17', 'rep', 'k')} u from b cross join range(1, 501) g(rep)), w as (select * from (select rep, x, y, {CUTS} w from d) where w > 0),
+ k as (select rep, w, sum(w) over (partition by rep order by x) - (sum(w) over (partition by rep, x) - 1) / 2.0 a, sum(w) over (partition by rep order by y) - (sum(w) over (partition by rep, y) - 1) / 2.0 b from w),
+ s as (select rep, sum(w) n, (sum(w * a * b) - sum(w * a) * sum(w * b) / sum(w)) / sqrt((sum(w * a * a) - sum(w * a) ** 2 / sum(w)) * (sum(w * b * b) - sum(w * b) ** 2 / sum(w))) rho from k group by 1)
+ select count(*) replicates, round(quantile_cont(rho, 0.025), 6) low, round(median(rho), 6) mid, round(quantile_cont(rho, 0.975), 6) high from s where n > 20""",
+)
+def q107(t: Tables) -> DataFrame:
+    """The 95 % interval of Spearman's rho of a customer's total and largest order, from 500 replicates."""
+    rows = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), -4).alias("x"), F.round(F.max("o_totalprice"), -3).alias("y"))
+    rho = stats.bootstrap_spearman(rows, "k", "x", "y", 500, 17).where("rho is not null")
+    q = F.percentile("rho", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return rho.agg(F.count(F.lit(1)).alias("replicates"), q.alias("q")).select("replicates", *[r(F.element_at("q", i + 1)).alias(n) for i, n in enumerate(("low", "mid", "high"))])
+
+
+@query(
+    "q108_permutation_median",
+    f"""with b as (select c_custkey k, c_acctbal x, c_mktsegment = 'BUILDING' s from customer), t as (select count(*) filter (s) n1, count(*) n, median(x) filter (s) - median(x) filter (not s) d from b),
+ o as (select rep, x, row_number() over (partition by rep order by {U('13', 'rep', 'k')}, k) as i from b cross join range(1, 1001) g(rep)), p as (select rep, median(x) filter (i <= n1) - median(x) filter (i > n1) d from o, t group by 1)
+ select round(t.d, 4) diff, round((select avg((round(abs(p.d), 9) >= round(abs(t.d), 9))::double) from p), 6) p, n1, n - n1 n0 from t""",
+)
+def q108(t: Tables) -> DataFrame:
+    """Whether one segment's median balance differs, by 1000 relabellings."""
+    df = t.customer.select("c_custkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("side"))
+    return stats.permutation_median(df, "c_custkey", "c_acctbal", "side", 1000, 13).select(r("diff", 4).alias("diff"), r("p").alias("p"), "n1", "n0")
+
+
+GATE_STEP = """select metric, m + 1, a, b, x, front, mirrored, c3, d3, h * d2 * c2 * d3 * c3 from (select *, 1 / (1 + odd * d2) d3, 1 + odd / c2 c3 from (select *, 1 / (1 + even * d) d2, 1 + even / c c2 from (
+  select *, m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m)) even, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m)) odd from f where m <= 60)))"""
+
+
+@query(
+    "q109_correlation_gate",
+    f"""with recursive w as (select c_custkey k, case when c_acctbal > 0 then c_acctbal end balance, sum(o_totalprice) spend, nullif(count(o_orderkey), 0)::double orders, max(o_totalprice) largest, min(o_totalprice) smallest, max(case when o_orderpriority = '1-URGENT' then o_totalprice end) urgent,
+   case when c_custkey % 100 = 3 then c_acctbal end rare from customer left join orders on o_custkey = c_custkey group by c_custkey, c_acctbal),
+ l as (select k, unnest(['balance', 'spend', 'orders', 'largest', 'smallest', 'urgent', 'rare']) metric, unnest([balance, spend, orders, largest, smallest, urgent, rare]) v from w), names as (select distinct metric from l where v is not null),
+ p as (select l.metric, l.v, ref.v rv from l join l ref on ref.k = l.k and ref.metric = 'spend' and ref.v is not null where l.v is not null),
+ k as (select metric, rank() over (partition by metric order by v) + (count(*) over (partition by metric, v) - 1) / 2.0 a, rank() over (partition by metric order by rv) + (count(*) over (partition by metric, rv) - 1) / 2.0 b from p),
+ s as (select names.metric, count(a) n, case when names.metric = 'spend' then 1.0 when count(a) >= 20 then corr(a, b) end rho from names left join k using (metric) group by 1),
+ z as (select metric, (n - 2) / 2.0 a0, 0.5 b0, (n - 2) / (n - 2 + rho * rho * (n - 2) / ((1 - rho) * (1 + rho))) x0 from s where rho is not null and abs(rho) < 1),
+ y as (select *, x0 >= (a0 + 1) / (a0 + b0 + 2) mirrored, exp(lgamma(a0 + b0) - lgamma(a0) - lgamma(b0) + a0 * ln(x0) + b0 * ln(1 - x0)) front from z),
+ g as (select metric, case when mirrored then b0 else a0 end::double a, case when mirrored then a0 else b0 end::double b, case when mirrored then 1 - x0 else x0 end x, front, mirrored from y),
+ f as (select metric, 1 m, a, b, x, front, mirrored, 1.0::double c, 1 / (1 - (a + b) * x / (a + 1)) d, 1 / (1 - (a + b) * x / (a + 1)) h from g union all {GATE_STEP}),
+ e as (select metric, case when mirrored then 1 - front * h / a else front * h / a end p from f where m = 61)
+ select metric, n, round(rho, 6) rho, round(case when metric = 'spend' or abs(rho) >= 1 then 0.0 else p end, 6) p, case when metric = 'spend' then 'reference' when abs(rho) > 0.3 then 'side axis' else 'ok' end gate from s left join e using (metric)""",
+)
+def q109(t: Tables) -> DataFrame:
+    """Every metric of a customer against what the customer spent."""
+    price = F.col("o_totalprice")
+    w = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey", "c_acctbal").agg(
+        F.sum(price).alias("spend"), F.nullif(F.count("o_orderkey"), F.lit(0)).cast("double").alias("orders"), F.max(price).alias("largest"), F.min(price).alias("smallest"),
+        F.max(F.when(F.col("o_orderpriority") == "1-URGENT", price)).alias("urgent"),
+    )
+    bal = F.col("c_acctbal")
+    w = w.withColumn("balance", F.when(bal > 0, bal)).withColumn("rare", F.when(F.col("c_custkey") % 100 == 3, bal)).withColumnRenamed("c_custkey", "key")
+    long = w.unpivot(["key"], ["balance", "spend", "orders", "largest", "smallest", "urgent", "rare"], "metric", "value")
+    return stats.correlation_gate(long, "spend").select("metric", "n", r("rho").alias("rho"), r("p").alias("p"), "gate")
+
+
 @query(
     "q59_mann_whitney",
     """with b as (select round(o_totalprice, -2) x, (o_orderpriority like '1%')::int a from orders), c as (select x, sum(a)::double a, count(*)::double n from b group by 1), k as (select *, coalesce(sum(n) over (order by x rows between unbounded preceding and 1 preceding), 0) + (n + 1) / 2 rk from c),
