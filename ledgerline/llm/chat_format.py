@@ -130,26 +130,60 @@ def canonical(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     return df.select(conv_id, turns.alias("turns"))
 
 
+def _layout(v: Column) -> Column:
+    """The field paths of a JSON row as far as mappings know them, in order: name, or name[].part for arrays of objects.
+
+    Fields that no mapping knows and further fields of messages don't take part; an empty array stands for any messages."""
+    names = sorted({p for m in MAPPINGS if not m.rows for p in m.field_paths})
+    seen = []
+    for path in names:
+        array, _, part = path.partition("[].")
+        if part:
+            items = F.try_variant_get(v, f"$.{array}", "array<variant>")
+            has = F.coalesce(F.forall(items, lambda x: F.try_variant_get(x, f"$.{part}", "variant").isNotNull()), F.lit(False))  # noqa: B023
+        else:
+            has = F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+        seen.append(F.when(has, F.lit(path)))
+    return F.array_compact(F.array(*seen))
+
+
+def layouts(df: DataFrame, column: str) -> DataFrame:
+    """df with layout: the fingerprint of the mapping that a JSON row selects; null for rows that no mapping fits.
+
+    Of the mappings whose fields a row has, that with the most fields is taken, as select_mapping() does for a table."""
+    known = sorted((m for m in MAPPINGS if not m.rows), key=lambda m: -len(m.field_paths))
+    there = F.col("_layout")
+    chosen = F.coalesce(*[F.when(F.forall(F.array(*map(F.lit, m.field_paths)), lambda p: F.array_contains(there, p)), F.lit(fingerprint(list(m.field_paths)))) for m in known])
+    seen = df.withColumn("_layout", _layout(F.try_parse_json(F.col(column))))
+    return seen.withColumn("layout", chosen).drop("_layout")
+
+
 def canonical_json(df: DataFrame, column: str, conv_id: str = "conv_id") -> DataFrame:
-    """As canonical(), for JSON rows whose layouts differ: the paths of each row's
-    own schema are hashed.  Rows that no mapping fits get null turns."""
+    """conv_id, turns and layout of JSON rows whose layouts differ: the paths of each row's own fields select its mapping.
+
+    Fields that no mapping knows are ignored; null texts and roles are empty ones; a layout of messages without any is a
+    conversation without turns.  Rows that no mapping fits keep null turns and a null layout, for unmatched() to count."""
+    seen = layouts(df.select(conv_id, column), column)
     v = F.try_parse_json(F.col(column))
-    shape = F.regexp_replace(F.schema_of_variant(v), r": (?!ARRAY|OBJECT)[A-Z0-9(), ]*[A-Z0-9)]", "")
-    key = F.xxhash64(shape)
     turns = F.lit(None).cast(TURNS)
     for m in MAPPINGS:
         if m.rows:
             continue
         if m.messages:
             array, role, text = m.messages
-            seen = f"OBJECT<{array}: ARRAY<OBJECT<{', '.join(sorted((role, text)))}>>>"
-            items = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            got = _from_messages(items, m)
+            items = F.try_variant_get(v, f"$.{array}", "array<variant>")
+            names = m.roles
+            said = lambda x, part: F.try_variant_get(x, f"$.{part}", "string")
+            got = F.transform(items, lambda x: _turn(_role(said(x, role), names), said(x, text)))  # noqa: B023
         else:
-            seen = f"OBJECT<{', '.join(sorted(p for _, p in m.turns))}>"
             got = F.array(*[_turn(F.lit(r), F.try_variant_get(v, f"$.{p}", "string")) for r, p in m.turns])
-        turns = F.when(key == F.xxhash64(F.lit(seen)), got).otherwise(turns)
-    return df.select(conv_id, turns.alias("turns"))
+        turns = F.when(F.col("layout") == fingerprint(list(m.field_paths)), got).otherwise(turns)
+    return seen.select(conv_id, turns.alias("turns"), "layout")
+
+
+def unmatched(canonical_rows: DataFrame) -> DataFrame:
+    """How many rows of canonical_json() no mapping fits, and how many there are: rows, unmatched."""
+    return canonical_rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("turns").isNull()).alias("unmatched"))
 
 
 def _escape(text: Column, escapes=ESCAPES) -> Column:

@@ -335,3 +335,42 @@ def test_digests_of_chat_query(spark):
         said = "".join(t for r, t in turns if r == "assistant")
         assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[k]["n_turns"], got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(turns), len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_layouts_of_rows_that_differ(spark):
+    """Unknown fields are ignored, empty messages are a conversation, what no mapping fits is counted."""
+    say = lambda *turns: [{"role": a, "content": b} for a, b in turns]
+    lines = {
+        1: {"prompt": "p", "response": "r", "id": 7}, 2: {"messages": []}, 3: {"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "x": {"y": 1}},
+        4: {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": None}]}, 5: {"instruction": "i", "input": "", "output": "o", "more": [1]},
+        6: {"odd": 1}, 7: {"messages": [{"role": "user"}]}, 8: {"prompt": "p", "system": "s", "response": "r"}, 9: {"messages": say(("user", "x"))[:1], "prompt": "only"}, 10: {"prompt": 5, "completion": True},
+    }
+    rows = [(k, json.dumps(v)) for k, v in lines.items()] + [(11, None), (12, "{"), (13, "[]")]
+    df = spark.createDataFrame(rows, "conv_id bigint, line string")
+    got = chat_format.canonical_json(df, "line")
+    turns = {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] if r["turns"] is not None else None for r in got.collect()}
+    assert turns == {
+        1: [("user", "p"), ("assistant", "r")], 2: [], 3: [("user", "a"), ("assistant", "b")], 4: [("user", "a"), ("assistant", "")], 5: [("user", "i"), ("user", ""), ("assistant", "o")],
+        6: None, 7: None, 8: [("system", "s"), ("user", "p"), ("assistant", "r")], 9: [("user", "x")], 10: [("user", "5"), ("assistant", "true")], 11: None, 12: None, 13: None,
+    }
+    assert chat_format.unmatched(got).first().asDict() == {"rows": 13, "unmatched": 5}
+    told = {r["conv_id"]: r["formatted"] for r in chat_format.formatted(got.where("turns is not null")).collect()}
+    assert told[2] == "" and len(told) == 8
+
+
+def test_mixed_layouts_of_whole_conversations(spark):
+    """The table's conversations as prompts, instructions, messages and senders give what its rows give."""
+    rows = spark.read.parquet(f"{SF}/conversations.parquet")
+    direct = chat_format.canonical(rows)
+    t = F.col("turns")
+    pair = (F.size(t) == 2) & (t[0]["role"] == "user") & (t[1]["role"] == "assistant")
+    messages = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), F.lit(1).alias("weight"))).alias("messages"), F.lit("web").alias("origin")))
+    senders = F.to_json(F.struct(F.transform(t, lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations")))
+    prompt = F.to_json(F.struct(t[0]["text"].alias("prompt"), t[1]["text"].alias("response"), F.lit(3).alias("score")))
+    instruction = F.to_json(F.struct(t[0]["text"].alias("instruction"), t[1]["text"].alias("output")))
+    k = F.col("conv_id") % 2
+    line = F.when(pair & (k == 0), prompt).when(pair, instruction).when(k == 0, messages).otherwise(senders)
+    mixed = chat_format.canonical_json(direct.select("conv_id", line.alias("line")), "line")
+    assert mixed.select("layout").distinct().count() >= 2 and chat_format.unmatched(mixed).first()["unmatched"] == 0
+    keep = lambda df: {r["conv_id"]: [tuple(x) for x in r["turns"]] for r in chat_format.parsed(chat_format.formatted(df)).collect()}
+    assert keep(mixed) == keep(direct)
