@@ -5,7 +5,10 @@ smallest hash of their id) is read once for the lexicon: of every word start and
 whole word (of words over 64 letters: the whole only) the toxic and other rows that
 hold it are counted, those that toxic rows hold beyond chance (binomial tail under
 1e-6, four in five rows toxic) are kept, all of them, and of a chain of word starts
-that the same rows hold the longest stands for all.  A second reading of the sample counts how often exact hits,
+that the same rows hold the longest stands for all.  Inflected forms that are too rare each are pooled
+by their stem: a start of five letters counts as a feature of its own in texts that begin two words with it.
+The toxic rows without a hit are then read again, against all others: among these few a rarer term
+stands out, at the same bound.  A last reading of the sample counts how often exact hits,
 misspelled hits and quoted hits of each term stand in toxic and other rows; from
 these counts follow the terms' weights.  Nothing but texts and their labels is
 used.
@@ -47,6 +50,10 @@ ROWS = 12_000
 #: Letters of words that have starts; words around a hit; letters of whole words and of word starts that may be misspelled.
 STARTS, WINDOW, WHOLE, START = 64, 6, 5, 6
 CHANCE, PURITY = 1e-6, 0.8
+#: Readings of the sample for terms; each but the first looks at what the terms so far don't explain.
+ROUNDS = 4
+#: Letters of a stem that counts only where a text begins several words with it, and how many.
+STEM, REPEAT = 5, 2
 #: Subsets of the automaton that a worker holds.
 SUBSETS = 200_000
 #: Weights before anything is counted (as toxic and other rows): exact, misspelled, misspelled word start, quoted.
@@ -60,31 +67,38 @@ MARKS = "\"'“”„«»‘’"
 
 
 def _word_starts(text: str) -> set[str]:
-    """Whole words as "=word", and their starts of 3 letters or more."""
-    found = set()
-    for w in set(WORD.findall(text.lower())):
+    """Whole words as "=word", their starts of 3 letters or more, and starts of STEM letters or more that REPEAT words have as "+start"."""
+    found, begun = set(), Counter()
+    for w, n in Counter(WORD.findall(text.lower())).items():
         found.add("=" + w)
         if len(w) <= STARTS:
-            found.update(w[:k] for k in range(3, len(w)))
+            begun.update({w[:k]: n for k in range(3, len(w))})
+    found.update(begun)
+    found.update("+" + w for w, n in begun.items() if n >= REPEAT and len(w) >= STEM)
     return found
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        toxic, other = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else other).update(_word_starts(text or ""))
-        names = [w for w in toxic]  # what no toxic row holds can't be a term; its other rows don't matter
-        rest = [w for w in other if w not in toxic]
-        everything = names + rest
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(everything, pa.string()),
-                pa.array([toxic[w] for w in everything], pa.int64()),
-                pa.array([other[w] for w in everything], pa.int64()),
-            ],
-            names=["term", "toxic", "other"],
-        )
+def _count_features(model):
+    """Rows (term, toxic, other) over the rows that the model so far doesn't explain: toxic ones without a hit, and all others.
+    An empty term counts the rows themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, other = Counter(), Counter()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not label or not model.value.terms or not model.value.hits(text or ""):
+                    (toxic if label else other).update(_word_starts(text or "") | {""})
+            everything = list(toxic | other)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(everything, pa.string()),
+                    pa.array([toxic[w] for w in everything], pa.int64()),
+                    pa.array([other[w] for w in everything], pa.int64()),
+                ],
+                names=["term", "toxic", "other"],
+            )
+
+    return run
 
 
 def _log_tail(k: int, n: int, p: float) -> float:
@@ -109,7 +123,21 @@ def _beyond_chance(rate: float):
 
 
 def choose_terms(counts: list[tuple[str, int, int]]) -> list[str]:
-    """Terms ("=word" or a word start) from the features (feature, toxic rows, other rows) beyond chance."""
+    """Terms ("=word", a word start, or "+start" for a stem that must be repeated) from the features beyond chance.
+
+    Forms of a stem that are too rare to be told from chance are told by the stem, which pools them."""
+    single = _longest([x for x in counts if x[0][0] != "+"])
+    rows = {w: t for w, t, _ in counts}
+
+    def told(stem: str) -> bool:
+        """Whether a term of its own stands in nearly all rows of a stem."""
+        own = (t for t in single if t.lstrip("=").startswith(stem) or (t[0] != "=" and stem.startswith(t)))
+        return any(rows[t] >= 0.97 * rows["+" + stem] for t in own)
+
+    return single + ["+" + w for w in _longest([(w[1:], t, o) for w, t, o in counts if w[0] == "+"]) if not told(w)]
+
+
+def _longest(counts: list[tuple[str, int, int]]) -> list[str]:
     good = {w: (t, o) for w, t, o in counts}
     children: dict[str, list[str]] = {}
     for w in good:
@@ -140,12 +168,12 @@ class Automaton:
         self.words: list[int | None] = [None]  # the term that ends here as a whole word
         self.starts: list[int | None] = [None]  # ... as a word start
         self.may_err: list[bool] = [False]  # some term through this node allows an edit
-        self.errs = [len(t) > WHOLE if t[0] == "=" else len(t) >= START for t in terms]
+        self.errs = [len(t) > WHOLE if t[0] == "=" else len(t) >= START and t[0] != "+" for t in terms]
         self.is_start = [t[0] != "=" for t in terms]
         for number, term in enumerate(terms):
             node = 0
             self.may_err[0] |= self.errs[number]
-            for c in term.lstrip("="):
+            for c in term.lstrip("=+"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
@@ -254,7 +282,9 @@ class Model:
                     misspelled = "near_start" if self.automaton.is_start[term] else "near"
                     kind = "quoted" if self._quoted(low, words, spans, i) else misspelled if edits else "exact"
                     found[term, kind] += 1
-        return found
+        stems = {term for term, _ in found if self.terms[term][0] == "+"}
+        alone = {t for t in stems if sum(n for (term, _), n in found.items() if term == t) < REPEAT}
+        return Counter({key: n for key, n in found.items() if key[0] not in alone}) if alone else found
 
     @staticmethod
     def _quoted(low: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
@@ -328,14 +358,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """The lexicon and its weights; what reaches the driver is bounded by the sample."""
     spark = docs.sparkSession
     chosen = stored(sample(docs, labels, rows), "toxicity-sample").repartition(max(4, spark.sparkContext.defaultParallelism))
-    size = {bool(r["label"]): r["count"] for r in chosen.groupBy("label").count().collect()}
-    toxic, other = size.get(True, 0), size.get(False, 0)
-    features = chosen.mapInArrow(_count_features, "term string, toxic long, other long")
-    features = features.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    likely = features.where((F.col("toxic") >= 3) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("other"))))
-    rate = min(0.999, toxic / max(1, toxic + other))
-    best = likely.mapInArrow(_beyond_chance(rate), likely.schema).collect() if toxic else []
-    model = Model(choose_terms(sorted(tuple(r) for r in best)))
+    terms: list[str] = []
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(Model(terms))
+        features = chosen.mapInArrow(_count_features(shared), "term string, toxic long, other long")
+        features = stored(features.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxicity-features")
+        rows = features.where("term = ''").first()
+        toxic, other = (rows["toxic"], rows["other"]) if rows else (0, 0)
+        likely = features.where((F.col("term") != "") & (F.col("toxic") >= 3) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("other"))))
+        rate = min(0.999, toxic / max(1, toxic + other))
+        best = likely.mapInArrow(_beyond_chance(rate), likely.schema).collect() if toxic else []
+        more = [t for t in choose_terms(sorted(tuple(r) for r in best)) if t not in terms]
+        if not more:
+            break
+        terms += more
+    terms.sort(key=lambda t: t[0] == "+")  # a term of its own is preferred to a stem
+    model = Model(terms)
     counted = chosen.mapInArrow(_count_hits(spark.sparkContext.broadcast(model)), "term long, kind string, toxic long, other long")
     for r in counted.groupBy("term", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect():
         if r["term"] < 0:

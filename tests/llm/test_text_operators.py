@@ -292,6 +292,33 @@ def test_lexicon_weights_and_scores_are_those_of_counts(spark, docs):
     assert toxicity.fit(df.where("false"), spark.createDataFrame([], "doc_id bigint, toxic int")).terms == []
 
 
+def test_rare_forms_are_pooled_by_their_stem(spark):
+    """Endings differ from row to row, so only the stem, twice in a text, is beyond chance; once, it says nothing."""
+    rng = random.Random(6)
+    word = lambda n, letters="abdegiklmnoprstu": "".join(rng.choice(letters) for _ in range(n))
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 12 == 0
+        said = [word(rng.randint(3, 9)) for _ in range(30)] + (["zwixxa" + word(3), "zwixxa" + word(4)] if toxic else ["zwixxa" + word(3)] if i % 5 == 0 else [])
+        rng.shuffle(said)
+        rows.append((i, " ".join(said)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert [t for t in model.terms if t.startswith("+")] == ["+zwixxa"]
+    assert model.score("plain zwixxaabc text zwixxaooo") >= 0.7 > 0.3 > model.score("plain zwixxaabc text")
+
+
+def test_recall_on_held_out_documents(spark):
+    """Of whole tables: sf0.01 holds 18 toxic rows outside the sample, two of them without any toxic word."""
+    for sf, least in (("sf0.01", 0.8), ("sf0.1", 0.9)):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+        held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+        told = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where(held)
+        n = {(r["toxic"], r["predicted"]): r["count"] for r in told.groupBy("toxic", "predicted").count().collect()}
+        assert n[1, 1] >= least * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * (n[0, 0] + n.get((0, 1), 0))
+
+
 def test_toxicity_learns_and_tells_quotation(spark, empty):
     rng = random.Random(4)
     plain = ["".join(rng.choice("lmnoprst") for _ in range(6)) for _ in range(400)]
