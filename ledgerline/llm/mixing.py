@@ -213,6 +213,7 @@ def rounded(
 ) -> DataFrame:
     """sizes (doc_id, source, size and any other narrow columns) with source_size, target, copies and taken."""
     names = sizes.columns
+    sizes = stored(sizes, "mix-sizes")  # texts are read once
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     by_source = ordered(by_source)
     n_sources, n = by_source.agg(F.count(F.lit(1)), F.sum("docs")).first()
@@ -229,7 +230,6 @@ def rounded(
         *names, "source_size", "target", F.floor(rate).alias("copies"), (rate - F.floor(rate)).alias("_p"),
         F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_chunks)).alias("_node"), F.coalesce(last, F.lit(False)).alias("_last"),
     )
-    rated = stored(rated, "mix-rated")
     done, level, todo, waiting = [], 0, rated.where(~F.col("_last")), rated.where("_last")
     rest = [c for c in names if c not in ("doc_id", "source", "size")]
     key = ["_node", "source"]
