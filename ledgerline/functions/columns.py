@@ -48,6 +48,26 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def principal_loadings(matrix: Column, squarings: int = 40) -> Column:
+    """Absolute loadings of the first principal component of a covariance matrix (array of rows), scaled to the sum 1.
+
+    Power iteration by repeated squaring: the largest eigenvalue outgrows all others, and every row points along its
+    vector; the row with the largest diagonal is taken.  A matrix of noughts gives noughts."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def squared(m: Column) -> Column:
+        # Symmetric: a cell of the product is that of two rows.
+        product = F.transform(m, lambda a: F.transform(m, lambda b: dot(a, b)))
+        largest = F.array_max(F.transform(F.flatten(product), lambda x: F.abs(x)))
+        return F.transform(product, lambda row: F.transform(row, lambda x: F.coalesce(F.try_divide(x, largest), F.lit(0.0))))
+
+    power = F.aggregate(F.sequence(F.lit(1), F.lit(squarings)), matrix, lambda m, _: squared(m))
+    rows = F.transform(power, lambda row, k: F.struct(F.get(row, k).alias("diagonal"), row.alias("row")))
+    load = F.transform(F.array_max(rows)["row"], lambda x: F.abs(x))
+    total = F.aggregate(load, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(load, lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))
+
+
 def hash_uniform(*key: Column) -> Column:
     """A uniform number in (0, 1) that follows from the key alone: 52 bits of md5."""
     digest = F.md5(F.concat_ws("|", *[k.cast("string") for k in key]))

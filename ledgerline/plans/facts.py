@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import safe_div
 from ledgerline.operators.dedupe import keep_first
+from ledgerline.sources import paged
+from ledgerline.sources.shared import shared_folder
 
 from .base import Tables, query, r
 
@@ -191,9 +195,63 @@ def q55(t: Tables) -> DataFrame:
     return w.join(other, "p_type").where("a < b").groupBy(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).agg(r(F.sum(F.least("w", "v"))).alias("overlap"))
 
 
-@query("q56_pab_path", "select i, round(100 * pow(0.93, i), 6) as value from range(16) s(i)")
+@query(
+    "q56_pab_path",
+    """with y as (select l_suppkey suppkey, min(year(l_shipdate))::bigint base_year from lineitem group by 1), b as (select l_suppkey suppkey, base_year, sum(l_quantity) base from lineitem join y on suppkey = l_suppkey and year(l_shipdate) = base_year group by 1, 2)
+ select suppkey, base_year + i as year, round(base * pow(0.93, i), 4) allowed from b cross join range(16) s(i)""",
+)
 def q56(t: Tables) -> DataFrame:
-    return t.spark.range(16).select(F.col("id").alias("i"), r(100 * F.pow(F.lit(0.93), F.col("id"))).alias("value"))
+    """The path from every issuer's own base year that falls by 7 % a year."""
+    yearly = t.lineitem.groupBy(F.col("l_suppkey").alias("suppkey"), F.year("l_shipdate").cast("bigint").alias("year")).agg(F.sum("l_quantity").alias("q"))
+    base = yearly.groupBy("suppkey").agg(F.min("year").alias("base_year"), F.min_by("q", "year").alias("base"))
+    steps = base.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
+    return steps.select("suppkey", (F.col("base_year") + F.col("i")).alias("year"), r(F.col("base") * F.pow(F.lit(0.93), F.col("i")), 4).alias("allowed"))
+
+
+@query("q112_paged_source", "select c_custkey, c_name, c_nationkey, round(c_acctbal, 4) c_acctbal from customer")
+def q112(t: Tables) -> DataFrame:
+    """The table of customers through a paged interface: written as pages, read back a page a task."""
+    rows = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    path = f"{shared_folder(t.spark)}/pages-{uuid.uuid4().hex}"
+    paged.write_pages(rows, "c_custkey", path, 1000)
+    schema = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double"
+    return paged.read_pages(t.spark, path, schema, 1000, ["c_custkey", "c_name"]).withColumn("c_acctbal", r("c_acctbal", 4))
+
+
+DOCUMENT = """yr as (select o_custkey k, year(o_orderdate)::bigint as year, o_orderpriority metric, sum(o_totalprice) v, count(*) n from orders group by 1, 2, 3),
+ axes as (select k, metric, max(v) best, sum(n) n from yr group by 1, 2),
+ rows as (select c_custkey k, 0 kind, '' a, 0 b, '"name":"' || c_name || '","segment":"' || c_mktsegment || '"' body from customer
+  union all select k, 1, metric, 0, '{"axis":"' || metric || '","best":"' || round(best, 2)::decimal(30,2) || '","n":' || n || '}' from axes
+  union all select k, 2, metric, year, '{"metric":"' || metric || '","year":' || year || ',"value":"' || round(v, 2)::decimal(30,2) || '","status":"' || case when n = 1 then 'reported' else 'aggregated' end || '"}' from yr
+  union all select k, 3, metric, 0, '{"lever":"' || metric || '","gain":"' || round(best * 0.1, 2)::decimal(30,2) || '"}' from axes where n >= 2)"""
+
+
+@query(
+    "q113_firm_documents",
+    f"""with {DOCUMENT}, j as (select k, max(body) filter (kind = 0) head, string_agg(body, ',' order by a) filter (kind = 1) axes, string_agg(body, ',' order by a, b) filter (kind = 2) ledger, string_agg(body, ',' order by a) filter (kind = 3) levers from rows group by 1)
+ select k as key, '{{' || head || ',"axes":[' || coalesce(axes, '') || '],"ledger":[' || coalesce(ledger, '') || '],"levers":[' || coalesce(levers, '') || ']}}' as document from j where head is not null""",
+)
+def q113(t: Tables) -> DataFrame:
+    """One document a firm: axes, ledger and levers are tagged rows of one union, grouped once into nested arrays, and written once."""
+    yearly = t.orders.groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").cast("long").alias("year"), F.col("o_orderpriority").alias("metric")).agg(
+        F.sum("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n")
+    )
+    axes = yearly.groupBy("k", "metric").agg(F.max("v").alias("best"), F.sum("n").alias("n"))
+    money = lambda x: F.round(x, 2).cast("decimal(30,2)").cast("string")
+    kinds = {"head": "struct<name:string,segment:string>", "axis": "struct<axis:string,best:string,n:bigint>", "entry": "struct<metric:string,year:bigint,value:string,status:string>", "lever": "struct<lever:string,gain:string>"}
+
+    def tagged(df: DataFrame, key: str, kind: str, *fields) -> DataFrame:
+        made = {k: F.struct(*fields) if k == kind else F.lit(None).cast(kinds[k]) for k in kinds}
+        return df.select(F.col(key).alias("key"), *[x.alias(k) for k, x in made.items()])
+
+    status = F.when(F.col("n") == 1, "reported").otherwise("aggregated")
+    rows = tagged(t.customer, "c_custkey", "head", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    rows = rows.unionByName(tagged(axes, "k", "axis", F.col("metric").alias("axis"), money(F.col("best")).alias("best"), "n"))
+    rows = rows.unionByName(tagged(yearly, "k", "entry", "metric", "year", money(F.col("v")).alias("value"), status.alias("status")))
+    rows = rows.unionByName(tagged(axes.where("n >= 2"), "k", "lever", F.col("metric").alias("lever"), money(F.col("best") * 0.1).alias("gain")))
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    one = rows.groupBy("key").agg(F.max("head").alias("head"), listed("axis").alias("axes"), listed("entry").alias("ledger"), listed("lever").alias("levers")).where("head is not null")
+    return one.select("key", F.to_json(F.struct("head.name", "head.segment", "axes", "ledger", "levers")).alias("document"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import weighted_mean
+from ledgerline.functions.columns import principal_loadings, weighted_mean
 from ledgerline.operators import methods, ranking, scoring
 
 from .base import Tables, query, r
@@ -212,21 +212,6 @@ def q18(t: Tables) -> DataFrame:
     return b.select("key", *[r(c, 4).alias(c) for c in ("p10", "p50", "p90", "width")], r("top_share").alias("top_share"), r("bottom_share").alias("bottom_share"))
 
 
-FACTORS = {"normaliser": ["rank", "winsor", "minmax"], "weighting": ["equal", "entropy", "critic", "expert"], "aggregation": ["arith", "geo"], "imputation": ["peer", "global"], "peers": ["sector", "sub"], "winsor": ["0", "1", "5"]}
-
-
-@query(
-    "q19_factorial_config_space",
-    "select row_number() over (order by " + ", ".join(FACTORS) + ") - 1 config_id, " + ", ".join(FACTORS) + " from " + " cross join ".join(f"(select unnest({v}) {k})" for k, v in FACTORS.items()),
-)
-def q19(t: Tables) -> DataFrame:
-    df = t.spark.range(1)
-    for name, levels in FACTORS.items():
-        df = df.withColumn(name, F.explode(F.array(*map(F.lit, levels))))
-    # The design's own size: a few hundred rows, whatever the data.
-    return df.select((F.row_number().over(Window.orderBy(*FACTORS)) - 1).cast("bigint").alias("config_id"), *FACTORS)
-
-
 @query(
     "q20_rank_bands",
     f"""with {DRAWS}, k as (select key, draw, row_number() over (partition by draw order by round(pct, 9) desc, key) as rk from pct), b as (select key, quantile_cont(rk, 0.05) a, quantile_cont(rk, 0.25) b, quantile_cont(rk, 0.5) c, quantile_cont(rk, 0.75) d, quantile_cont(rk, 0.95) e from k group by 1)
@@ -441,6 +426,104 @@ def q95(t: Tables) -> DataFrame:
     return found.select("factor", *[r(c, 8).alias(c) for c in ("first_order", "total", "share")])
 
 
+DESIGNED = ["imputation", "normaliser", "aggregation", "peers", "draw"]
+DESIGNED_SQL = f"""{WIDE}, long as (select key, sector, sub, unnest(['bal', 'spend', 'orders']) metric, unnest([bal, spend, orders]) x from wide), dev as (select metric, stddev_pop(x) sd from long group by 1),
+ noised as (select key, sector, sub, metric, draw, round(x + sd * (0.05 + 0.35 * 0.5) * sqrt(-2 * ln({uniform_sql('20260912', 'draw', 'key', 'metric', "'a'")})) * cos(2 * pi() * {uniform_sql('20260912', 'draw', 'key', 'metric', "'b'")}), 6) x from long join dev using (metric) cross join range(2) g(draw)),
+ levels as (select *, case when peers = 'sector' then sector else sub end peer from noised cross join (select unnest(['sector', 'sub']) peers)),
+ meds as (select *, median(x) over (partition by metric, draw, peers, peer) by_peer, median(x) over (partition by metric, draw, peers) by_all from levels),
+ filled as (select key, metric, draw, peers, peer, unnest(['drop', 'global', 'peer']) imputation, unnest([coalesce(x, by_peer), coalesce(x, by_all), coalesce(x, by_peer)]) x from meds),
+ valued as (select *, {pct_sql('x', 'metric, draw, peers, peer, imputation')} ranked, {scaled_sql('x')} scaled from filled where x is not null window w as (partition by metric, draw, peers, peer, imputation)),
+ normed as (select key, draw, peers, imputation, metric, case metric when 'bal' then 0.5 when 'spend' then 0.3 else 0.2 end::double wt, unnest(['rank', 'minmax']) normaliser, unnest([ranked, scaled]) v from valued),
+ means as (select key, draw, peers, imputation, normaliser, sum(wt * v) / sum(wt) a, exp(sum(wt * ln(greatest(v, 1e-6))) / sum(wt)) g from normed group by 1, 2, 3, 4, 5),
+ scores as (select key, draw, peers, imputation, normaliser, unnest(['arith', 'geo']) aggregation, unnest([round(a, 9), round(g, 9)]) score from means), designed as (select *, 100 * {pct_sql('score', 'draw, peers, imputation, normaliser, aggregation')} pct from scores)"""
+
+
+def designed(t: Tables, n: int = 2) -> DataFrame:
+    """key, DESIGNED and pct: percentiles of all customers under methods that also fill missing metrics: by the median of the peers
+    (as does drop, which leaves a filled cell neutral) or by that of all, of the same draw.  Both medians come from one aggregation."""
+    long = wide(t).unpivot(["key", "sector", "sub"], METRICS, "metric", "x")
+    dev = long.groupBy("metric").agg(F.stddev_pop("x").alias("sd"))
+    df = long.join(F.broadcast(dev), "metric").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    df = df.withColumn("x", F.round(scoring.noisy(df, F.col("x"), F.col("sd"), F.lit(0.5), F.lit(20260912), F.col("draw"), F.col("key"), F.col("metric")), 6))
+    df = df.withColumn("peers", F.explode(F.array(F.lit("sector"), F.lit("sub")))).withColumn("peer", F.when(F.col("peers") == "sector", F.col("sector")).otherwise(F.col("sub")))
+    medians = df.rollup("metric", "draw", "peers", "peer").agg(F.median("x").alias("m"), F.grouping_id().alias("level"))
+    # One row for each metric, draw and peer group.
+    cell = ["metric", "draw", "peers"]
+    by_peer = F.broadcast(medians.where("level = 0").select(*cell, "peer", F.col("m").alias("by_peer")))
+    by_all = F.broadcast(medians.where("level = 1").select(*cell, F.col("m").alias("by_all")))
+    fills = F.array(*[F.struct(F.lit(name).alias("imputation"), F.coalesce("x", fill).alias("x")) for name, fill in (("drop", "by_peer"), ("global", "by_all"), ("peer", "by_peer"))])
+    df = df.join(by_peer, [*cell, "peer"]).join(by_all, cell).select("key", *cell, "peer", F.inline(fills)).where("x is not null")
+    group = ["metric", "draw", "peers", "peer", "imputation"]
+    bounds = df.groupBy(*group).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    df = ranking.percentile_ranks(df, {"x": "ranked"}, group).join(F.broadcast(bounds), group)
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)
+    pair = lambda a, b, x, y, name: F.inline(F.array(F.struct(F.lit(a).alias(name), x.alias("v")), F.struct(F.lit(b).alias(name), y.alias("v"))))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIXED.items() for x in kv]), F.col("metric"))
+    own = ["key", "draw", "peers", "imputation"]
+    normed = df.select(*own, weight.alias("wt"), pair("rank", "minmax", F.col("ranked"), scaled, "normaliser"))
+    means = normed.groupBy(*own, "normaliser").agg(
+        (F.sum(F.col("wt") * F.col("v")) / F.sum("wt")).alias("a"), F.exp(F.sum(F.col("wt") * F.log(F.greatest("v", F.lit(1e-6)))) / F.sum("wt")).alias("g")
+    )
+    scores = means.select(*own, "normaliser", pair("arith", "geo", F.round("a", 9), F.round("g", 9), "aggregation"))
+    ranked = ranking.percentile_ranks(scores, {"v": "pct"}, DESIGNED)
+    return ranked.select("key", *DESIGNED, (100 * F.col("pct")).alias("pct"))
+
+
+SPACE = DESIGNED[:-1]
+
+
+@query(
+    "q19_factorial_config_space",
+    f"with {DESIGNED_SQL}, m as (select {', '.join(SPACE)}, key, round(avg(pct), 6) pct from designed group by all), f as (select {', '.join(SPACE)}, count(*) n, arg_max(key, (pct, -key)) top_key, max(pct) top_pct from m group by all)"
+    f" select row_number() over (order by {', '.join(SPACE)}) - 1 config_id, {', '.join(SPACE)}, n, top_key, top_pct from f",
+)
+def q19(t: Tables) -> DataFrame:
+    """Every configuration of the design with the customers that it scores and its best one, over the draws."""
+    means = designed(t).groupBy(*SPACE, "key").agg(r(F.avg("pct")).alias("pct"))
+    found = means.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n"), F.max_by("key", F.struct("pct", -F.col("key"))).alias("top_key"), F.max("pct").alias("top_pct"))
+    # The design's own size: a few dozen rows, whatever the data.
+    return found.select((F.row_number().over(Window.orderBy(*SPACE)) - 1).cast("bigint").alias("config_id"), *SPACE, "n", "top_key", "top_pct")
+
+
+@query(
+    "q110_imputation_effects",
+    f"with {DESIGNED_SQL}, c as (select *, pct - avg(pct) over (partition by key) y, count(*) over (partition by key) n from designed), "
+    + ", ".join(
+        f"{name}_{f} as (select sum(s) e from (select sum(y) * sum(y) / count(*) / max(n) s from c group by {', '.join(['key', *by])}))"
+        for f in DESIGNED for name, by in (("one", [f]), ("rest", [x for x in DESIGNED if x != f]))
+    )
+    + ", tot as (select sum(y * y / n) v from c), e as (" + " union all ".join(f"select '{f}' factor, greatest(0, least(1, one_{f}.e / v)) f1, greatest(0, least(1, 1 - rest_{f}.e / v)) total from one_{f}, rest_{f}, tot" for f in DESIGNED)
+    + ") select factor, round(f1, 8) first_order, round(total, 8) total, round(f1 / sum(f1) over (), 8) share from e",
+)
+def q110(t: Tables) -> DataFrame:
+    found = scoring.factorial_effects(designed(t), "key", DESIGNED, "pct")
+    return found.select("factor", *[r(c, 8).alias(c) for c in ("first_order", "total", "share")])
+
+
+PCA_CELLS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+PCA_SQL = ", ".join(f"covar_pop({METRICS[i]}, {METRICS[j]}) m{i}{j}" for i, j in PCA_CELLS)
+PCA_STEP = ", ".join(" + ".join(f"m{min(i, k)}{max(i, k)} * m{min(k, j)}{max(k, j)}" for k in range(3)) + f" p{i}{j}" for i, j in PCA_CELLS)
+PCA_LARGEST = "greatest(" + ", ".join(f"abs(p{i}{j})" for i, j in PCA_CELLS) + ")"
+
+
+@query(
+    "q111_principal_weights",
+    f"""with recursive {SCORED}, filled as (select sector, {', '.join(f'coalesce({m}, avg({m}) over (partition by sector)) {m}' for m in METRICS)} from scored), s as (select sector, 0 i, {PCA_SQL} from filled group by 1),
+ it as (select * from s union all select sector, i + 1, {', '.join(f'p{i}{j} / {PCA_LARGEST}' for i, j in PCA_CELLS)} from (select sector, i, {PCA_STEP} from it where i < 40)),
+ v as (select sector, case when m00 >= m11 and m00 >= m22 then [m00, m01, m02] when m11 >= m22 then [m01, m11, m12] else [m02, m12, m22] end v from it where i = 40)
+ select sector, unnest(['bal', 'spend', 'orders']) metric, round(unnest(list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y))))), 6) weight from v""",
+)
+def q111(t: Tables) -> DataFrame:
+    """Weights of a sector's scored metrics by their first principal component: one aggregation of covariances, the rest on columns."""
+    rows = scored(t)
+    means = rows.groupBy("sector").agg(*[F.avg(m).alias(f"_{m}") for m in METRICS])
+    filled = rows.join(F.broadcast(means), "sector").select("sector", *[F.coalesce(m, f"_{m}").alias(m) for m in METRICS])  # a row a sector
+    cov = filled.groupBy("sector").agg(*[F.covar_pop(METRICS[i], METRICS[j]).alias(f"m{i}{j}") for i, j in PCA_CELLS])
+    matrix = F.array(*[F.array(*[F.col(f"m{min(i, j)}{max(i, j)}") for j in range(3)]) for i in range(3)])
+    loads = principal_loadings(matrix)
+    return cov.select("sector", F.inline(F.arrays_zip(F.array(*map(F.lit, METRICS)).alias("metric"), loads.alias("weight")))).toDF("sector", "metric", "weight").withColumn("weight", r("weight"))
+
+
 @query("q96_method_bands")
 def q96(t: Tables) -> DataFrame:
     """Bands of drawn methods with noise, of methods alone and of noise alone."""

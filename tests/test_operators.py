@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import projections
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def test_portfolio_keeps_its_constraints():
     n = 60
     base = rng.dirichlet(np.ones(n) * 5)
     carbon, group = rng.gamma(0.5, 10, n), rng.integers(0, 4, n)
-    w = stats.low_carbon_weights(base, carbon, group, rng.normal(size=n) * 0.001, 0.06, strength=1.0)
+    w = projections.low_carbon_weights(base, carbon, group, rng.normal(size=n) * 0.001, 0.06, strength=1.0)
     assert w.sum() == pytest.approx(1, abs=1e-6) and w.min() >= -1e-9 and w.max() <= 0.06 + 1e-9
     assert w @ carbon <= 0.5 * (base @ carbon) + 1e-6
     for g in range(4):

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import projections
 import pytest
 
 from ledgerline.operators import methods, scoring, similar, stats
@@ -50,7 +51,7 @@ def test_fuzzy_query_finds_every_reversed_name(spark):
 def test_portfolio_of_a_table_is_that_of_the_projections(spark, cap):
     rng = np.random.default_rng(3)
     base, carbon, group = rng.dirichlet(np.ones(60) * 5), rng.gamma(0.5, 1, 60), rng.integers(0, 4, 60)
-    want = stats.low_carbon_weights(base, carbon, group, np.zeros(60), cap)
+    want = projections.low_carbon_weights(base, carbon, group, np.zeros(60), cap)
     rows = [(i, float(b), float(c), int(g)) for i, (b, c, g) in enumerate(zip(base, carbon, group))]
     df = stats.low_carbon_portfolio(spark.createDataFrame(rows, "id int, benchmark double, carbon double, group int"), cap)
     got = np.array([w for _, w in sorted((x["id"], x["weight"]) for x in df.collect())])
@@ -134,7 +135,7 @@ def test_drawn_methods_are_those_of_the_definitions(spark):
     drawn = methods.sample_draws(spark, 30, 5, metrics)
     found = methods.percentiles(df, metrics, drawn, 5).toPandas()
     sampled = [d for d in drawn.collect() if d["kind"] == "method"]
-    for name, levels in methods.CHOICES.items():
+    for name, levels in methods.choices().items():
         assert {d[name] for d in sampled} == set(levels)
     assert {d["dropped"] for d in sampled} == {None, *metrics}
     for d in sampled:
