@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import positive, safe_div
 from ledgerline.operators.dedupe import keep_first
 
-from .files import archive, number, workbook
+from .files import archive, binary_sheets, binary_workbook, number, workbook
 from .tables import header_name, register
 
 #: Units.
@@ -140,12 +140,13 @@ def in_pounds(amount: Column, unit: Column) -> Column:
     return F.when(F.lower(F.trim(unit)) == "grams", amount / GRAMS_A_POUND).otherwise(amount)
 
 
-INJURIES = ["total_deaths", "total_dafw_cases", "total_djtr_cases", "total_other_cases", "total_injuries", "total_hours_worked", "annual_average_employees"]
+#: The numbers of a report, in the source's order.
+INJURIES = ["annual_average_employees", "total_hours_worked", "total_deaths", "total_dafw_cases", "total_djtr_cases", "total_other_cases", "total_injuries"]
 
 
 @register("injuries")
 def injuries(spark: SparkSession, path: str) -> DataFrame:
-    """Archives of yearly releases (the year of a release stands in its name, else that of the filing counts); rate of
+    """Yearly releases, archives or plain CSV files (the year of a release stands in its name, else that of the filing counts); rate of
     serious cases a 200,000 hours, where a missing count is none."""
     names = ["establishment_name", "company_name", "one", "state", "naics_code", "industry_description", "size", *INJURIES, "year_filing_for"]
     df = archive(spark, path, r"\.csv$", names)
@@ -157,8 +158,9 @@ def injuries(spark: SparkSession, path: str) -> DataFrame:
 
 @register("enforcement")
 def enforcement(spark: SparkSession, path: str) -> DataFrame:
+    # The columns that are kept, in the source's order.
     numbers = ["fac_total_penalties", "fac_penalty_count", "fac_inspection_count", "fac_qtrs_in_nc"]
-    names = ["registry_id", "fac_name", "fac_state", "fac_naics_codes", *numbers, "fac_compliance_status", "fac_3yr_compliance_history"]
+    names = ["registry_id", "fac_name", "fac_state", "fac_naics_codes", *numbers, "fac_compliance_status", "fac_date_last_penalty", "caa_qtrs_in_nc", "cwa_qtrs_in_nc", "rcra_qtrs_in_nc", "fac_3yr_compliance_history"]
     df = archive(spark, path, r"\.csv$", names).drop("file")
     bad = F.regexp_count(F.substring("fac_3yr_compliance_history", 1, 12), F.lit("[VS]"))
     return df.withColumns({c: number(c) for c in numbers} | {"registry_id": number("registry_id", "bigint"), "bad_quarters": bad})
@@ -172,6 +174,40 @@ def wage_cases(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: number(c) for c in numbers}).where(year.between(2022, 2024))
 
 
+@register("parent_links_binary")
+def parent_links_binary(spark: SparkSession, path: str) -> DataFrame:
+    """Owners of facilities from a binary workbook with a sheet a year (2010 to 2030; those that a file lacks are skipped)."""
+    names = ["GHGRP FACILITY ID", "PARENT COMPANY NAME", "PARENT CO. PERCENT OWNERSHIP"]
+    # Every sheet is a year: its rows are told by the sheet's name, so each file is unpacked once.
+    raw = binary_sheets(spark, path, r"^20\d\d$", names, rename=lambda x: x.strip().upper())
+    share = F.coalesce(F.expr("try_cast(trim(`PARENT CO. PERCENT OWNERSHIP`) as double)"), F.lit(100.0))
+    return raw.select(
+        F.expr("try_cast(trim(`GHGRP FACILITY ID`) as bigint)").alias("facility_id"), F.trim("PARENT COMPANY NAME").alias("parent_name_raw"),
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), share)).alias("parent_share_pct"), F.col("sheet").cast("int").alias("reporting_year"),
+    ).where("facility_id is not null and parent_name_raw is not null")
+
+
+def _positive(df: DataFrame) -> DataFrame:
+    """Rows of a facility and a year with a positive amount."""
+    df = df.withColumns({"facility_id": F.expr("try_cast(try_cast(trim(facility_id) as double) as bigint)"), "reporting_year": F.expr("try_cast(try_cast(trim(reporting_year) as double) as int)"), "co2_tonnes": number("co2_tonnes")})
+    return df.where("facility_id is not null and reporting_year is not null and co2_tonnes > 0").drop("file")
+
+
+@register("facility_fuel")
+def facility_fuel(spark: SparkSession, path: str) -> DataFrame:
+    """Sheet FUEL_DATA of a binary workbook, by position: headers change from release to release, places don't."""
+    places = {"facility_id": 0, "reporting_year": 6, "fuel_general": 10, "fuel_specific": 11, "co2_tonnes": -1}
+    return _positive(binary_workbook(spark, path, "FUEL_DATA", places, skip=6))
+
+
+@register("facility_units")
+def facility_units(spark: SparkSession, path: str) -> DataFrame:
+    """Sheet UNIT_DATA of a binary workbook, by position, with is_cems: whether the amount was measured continuously."""
+    places = {"facility_id": 0, "reporting_year": 6, "method": 11, "co2_tonnes": 13}
+    df = _positive(binary_workbook(spark, path, "UNIT_DATA", places, skip=6))
+    return df.withColumn("is_cems", F.coalesce(F.col("method").rlike("(?i)Tier4|CEMS|P75"), F.lit(False)))
+
+
 @register("revenue")
 def revenue(spark: SparkSession, path: str) -> DataFrame:
     """Frames of several concepts (JSON): the first concept in a stated order wins a company year."""

@@ -2,6 +2,7 @@
 
 import io
 import json
+import struct
 import zipfile
 
 import pytest
@@ -26,6 +27,62 @@ def sheet(rows, name):
     return out.getvalue()
 
 
+def record(number, body):
+    """A record of a binary workbook: its number in one or two bytes, its size in groups of seven bits."""
+    head = bytes([number]) if number < 0x80 else bytes([number & 0xFF, number >> 8])
+    size, n = b"", len(body)
+    while True:
+        size += bytes([n & 0x7F | (0x80 if n > 0x7F else 0)])
+        n >>= 7
+        if not n:
+            return head + size + body
+
+
+def wide(text):
+    return struct.pack("<I", len(text)) + text.encode("utf-16-le")
+
+
+def binary(sheets):
+    """A binary workbook: numbers as doubles, small numbers or hundredths, texts shared or in place, blanks, rows left out (None)."""
+    shared, parts = [], {}
+    for k, (name, rows) in enumerate(sheets.items(), 1):
+        body = record(129, b"") + record(145, b"")
+        for r, row in enumerate(rows):
+            if row is None:
+                continue
+            body += record(0, struct.pack("<I", r) + bytes(13))
+            for c, v in enumerate(row):
+                cell = struct.pack("<I", c) + bytes(4)
+                if v is None:
+                    body += record(1, cell) if c % 2 else b""
+                elif isinstance(v, bool):
+                    body += record(4, cell + bytes([v]))
+                elif isinstance(v, int):
+                    body += record(2, cell + struct.pack("<I", (v << 2 | 2) & 0xFFFFFFFF))
+                elif isinstance(v, float):
+                    body += record(2, cell + struct.pack("<I", (round(v * 100) << 2 | 3) & 0xFFFFFFFF)) if v * 100 == int(v * 100) and abs(v) < 1e6 else record(5 if c % 2 else 9, cell + struct.pack("<d", v))
+                elif c % 3 == 0:
+                    body += record(6, cell + wide(v))
+                else:
+                    shared.append(v)
+                    body += record(7, cell + struct.pack("<I", len(shared) - 1))
+        parts[f"xl/worksheets/sheet{k}.bin"] = body + record(146, b"") + record(130, b"")
+    book = record(131, b"") + b"".join(record(156, struct.pack("<II", 0, k) + wide(f"rId{k}") + wide(name)) for k, name in enumerate(sheets, 1)) + record(132, b"")
+    links = "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.bin"/>' for k in range(1, len(sheets) + 1))
+    strings = record(159, struct.pack("<II", len(shared), len(shared))) + b"".join(record(19, b"\0" + wide(x)) for x in shared) + record(160, b"")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.bin", book)
+        z.writestr("xl/_rels/workbook.bin.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        z.writestr("xl/sharedStrings.bin", strings)
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+UNITS = [None, ["title"], None, None, None, None]
+
+
 def archived(members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -57,6 +114,9 @@ CASES = {
     "benchmark_scores": ("b.json", json.dumps({"companies": [{"wba": {"name": "A"}, "match_method": "m", "tickers": ["X.A", "Y"], "assessment": {"tpq": 3.0, "source": {"url": "u", "retrieved_at": "d"}}}, {"wba": {"name": "B"}, "tickers": ["Z"]}]}), ("ticker", "wba_name", "match_method", "tpq", "profile_url", "retrieved_at"), [("X-A", "A", "m", 3.0, "u", "d"), ("Y", "A", "m", 3.0, "u", "d")]),
     "yearly_emissions": ("y.xlsx", sheet([["t"], [""], ["x"], ["Facility Id", "Facility Name", "2020 Total reported direct emissions", "2021 Total reported direct emissions"], [5, "N", 10, 0]], "Direct Emitters"), ("facility_id", "year", "direct_t"), [(5, 2020, 10.0)]),
     "parent_links": ("l.csv", "GHGRP FACILITY ID,PARENT COMPANY NAME,parent co. percent ownership,REPORTING YEAR\n1, A ,150,2020\n1,B,,2020\n", ("parent_name_raw", "parent_share_pct"), [("A", 100.0), ("B", 100.0)]),
+    "parent_links_binary": ("p.xlsb", binary({"2022": [["GHGRP Facility ID", " Parent Company Name", "Parent Co. Percent Ownership"], [1001, " Äon AG ", 150], [1002, "B", None], ["x", "C", 5], [1003, None, 5]], "notes": [["a"]], "2023": [["GHGRP FACILITY ID", "PARENT COMPANY NAME", "PARENT CO. PERCENT OWNERSHIP"], [1001, "B", 33.25]], "2024": [["other"], [1]]}), ("facility_id", "parent_name_raw", "parent_share_pct", "reporting_year"), [(1001, "Äon AG", 100.0, 2022), (1002, "B", 100.0, 2022), (1001, "B", 33.25, 2023)]),
+    "facility_fuel": ("u.xlsb", binary({"UNIT_DATA": [["z"]], "Fuel_Data": [*UNITS, [f"h{k}" for k in range(14)], [5, *[None] * 5, 2022, None, None, None, "Coal", "Lignite", True, 12.5], [6, *[None] * 5, 2022, None, None, None, "Gas", None, None, 0], [7.0, *[None] * 5, "2021", None, None, None, "Oil", "x", None, 123456789.125]]}), ("facility_id", "reporting_year", "fuel_general", "fuel_specific", "co2_tonnes"), [(5, 2022, "Coal", "Lignite", 12.5), (7, 2021, "Oil", "x", 123456789.125)]),
+    "facility_units": ("u.xlsb", binary({"UNIT_DATA": [*UNITS, [f"h{k}" for k in range(16)], [5, *[None] * 5, 2022, *[None] * 4, "Tier4", None, 3], [5, *[None] * 5, 2022, *[None] * 4, None, None, 4.5], [5, *[None] * 5, None, *[None] * 4, "P75", None, 4.5]]}), ("facility_id", "method", "co2_tonnes", "is_cems"), [(5, "Tier4", 3.0, True), (5, None, 4.5, False)]),
     "latest_revenue": ("q.csv", "ticker,revenue_ttm_busd\nA.B,1.5\n", ("ticker", "revenue_usd"), [("A-B", 1.5e9)]),
 }
 
@@ -73,6 +133,16 @@ def test_connector(spark, tmp_path, name):
         assert a == pytest.approx(b)
 
 
+def test_plain_releases_and_odd_bytes(spark, tmp_path):
+    """A release that is a CSV file, not an archive, and bytes that aren't UTF-8."""
+    (tmp_path / "ITA_2025_v2.csv").write_bytes(b"Company_Name,total_dafw_cases,total_djtr_cases,total_hours_worked,year_filing_for\nCaf\xe9,1,1,200000,2025\n")
+    assert [(r["company_name"], r["year"], r["dart_rate"]) for r in tables.get("injuries")(spark, str(tmp_path / "ITA_2025_v2.csv")).collect()] == [("Caf\ufffd", 2025, 2.0)]
+    (tmp_path / "w.zip").write_bytes(archived({"w.csv": b"case_id,trade_nm,findings_end_date\n1,Caf\xe9,2023-01-02\n"}))
+    assert [r["trade_nm"] for r in tables.get("wage_cases")(spark, str(tmp_path / "w.zip")).collect()] == ["Caf\ufffd"]
+    (tmp_path / "e.zip").write_bytes(archived({"f.csv": "REGISTRY_ID,CAA_QTRS_IN_NC,FAC_DATE_LAST_PENALTY\n11,3,01/02/2024\n"}))
+    assert [(r["caa_qtrs_in_nc"], r["fac_date_last_penalty"], r["rcra_qtrs_in_nc"]) for r in tables.get("enforcement")(spark, str(tmp_path / "e.zip")).collect()] == [("3", "01/02/2024", None)]
+
+
 def test_other_connectors(spark, tmp_path):
     spark.sql("select 1L plant_id, timestamp '2020-05-01' report_date, 3.0D net_generation_mwh union all select 1L, timestamp '2020-06-01', 2.0D union all select 2L, timestamp '2020-06-01', -1.0D").write.parquet(str(tmp_path / "g"))
     assert [tuple(r) for r in tables.get("plant_generation")(spark, str(tmp_path / "g")).collect()] == [(1, 2020, 5.0)]
