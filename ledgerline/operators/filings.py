@@ -71,6 +71,32 @@ def best_flow(found: DataFrame, tags: list[str], largest: bool = False) -> DataF
     return found.where(prio > 0).groupBy("cik").agg(best.alias("b")).select("cik", "b.*")
 
 
+def best_flows(found: DataFrame, wanted: dict[str, list[str]], largest: tuple[str, ...] = ()) -> DataFrame:
+    """cik and for every name its best flow's ttm, among its tags as in best_flow(): all in one grouping."""
+    columns = []
+    for name, tags in wanted.items():
+        prio = F.array_position(F.array(*map(F.lit, tags)), F.col("tag"))
+        tie = F.abs("ttm") if name in largest else -prio.cast("double")
+        order = F.struct(F.col("ttm_end"), F.col("method") != "annualised YTD", F.coalesce("fy_end", F.lit(-1_000_000)), tie, -prio)
+        columns.append(F.max_by("ttm", F.when(prio > 0, order)).alias(name))
+    return found.groupBy("cik").agg(*columns)
+
+
+def instant_maps(facts: DataFrame, tags: list[str]) -> DataFrame:
+    """cik and for every tag a map of dates to the latest filed value, empty without any: all in one grouping."""
+    rows = facts.where(F.col("start").isNull() & F.col("tag").isin(*tags))
+    rows = keep_first(rows, ["cik", "tag", "end"], [F.desc("filed"), F.col("form"), F.col("val")])
+    return rows.groupBy("cik").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("tag") == t, F.struct("end", "val")))).alias(t) for t in tags])
+
+
+def first_there(maps: list[Column]) -> Column:
+    """The first map that isn't empty: a taxonomy's own tag before another's."""
+    out = maps[-1]
+    for m in reversed(maps[:-1]):
+        out = F.when(F.size(m) > 0, m).otherwise(out)
+    return out
+
+
 def annual_series(facts: DataFrame, tags: list[str], years: int = HISTORY) -> DataFrame:
     """cik and series, array<struct<end, val>> of the last fiscal years: of an end the first tag, of ends closer than 300 days the newer."""
     prio = F.array_position(F.array(*map(F.lit, tags)), F.col("tag"))
@@ -121,8 +147,9 @@ def mean_of(parts: list[Column]) -> Column:
 
 
 def viability(df: DataFrame) -> DataFrame:
-    """df with cash_generation, shock_absorption, debt_service, index, weakest and level, from series and dna (arrays of end and
-    val), assets (map), assets_now, ocf, cash, due, interest, and excluded (a reason, or missing)."""
+    """df with the row of a member: scores, index, weakest, level, and what they follow from, from series and dna (arrays of end and
+    val), assets (map), assets_now, ocf, cash, due, interest, revenue, operating, costs, depreciation, labor (trailing years), and
+    excluded (a level, or missing) with its note.  Excluded members have no scores and nothing that follows from them."""
     n = F.size("series")
     positive = F.size(F.filter("series", lambda x: x["val"] > 0))
     dna = F.map_from_entries("dna")
@@ -141,6 +168,8 @@ def viability(df: DataFrame) -> DataFrame:
     df = df.withColumns({"interest_share": interest, "due_ratio": ratio})
     df = df.withColumn("debt_service", mean_of([ramp(F.col("interest_share"), *RAMPS["interest"]), ramp(F.when(F.col("due_ratio").isNotNull(), F.least("due_ratio", F.lit(10.0))), *RAMPS["due"])]))
     names = ["cash_generation", "shock_absorption", "debt_service"]
+    ok = F.col("excluded").isNull()
+    df = df.withColumns({c: F.when(ok, F.col(c)) for c in names})
     there = F.array_compact(F.array(*names))
     enough = F.size(there) >= 2
     index = F.round(100 * F.exp(F.aggregate(there, F.lit(0.0), lambda a, x: a + F.log(F.greatest(x, F.lit(FLOOR)))) / F.size(there)), 1)
@@ -149,9 +178,22 @@ def viability(df: DataFrame) -> DataFrame:
     level = F.lit("at risk")
     for bound, name in reversed(LEVELS):
         level = F.when(least >= bound, name).otherwise(level)
-    ok = F.col("excluded").isNull()
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in names]))
+    notes = F.array_compact(F.array(
+        F.when(n < LEAST_YEARS, F.format_string("only %d fiscal year(s) of history", n)),
+        F.when(enough & (F.size(missing) > 0), F.concat(F.lit("missing: "), F.array_join(missing, ", "))),
+    ))
+    shown = lambda x: F.when(ok, x)
+    billions = lambda x: shown(F.round(x / 1e9, 2))
+    spent = F.coalesce(F.col("revenue") - F.col("operating"), F.col("costs")) - F.coalesce("depreciation", F.lit(0.0))
+    positive_now = F.when(recent == 1.0, "yes").when(recent == 0.5, "partly").when(recent == 0.0, "no")
     return df.withColumns({
         "index_value": F.when(ok & enough, index), "weakest": F.when(ok & enough, weakest), "level": F.when(~ok, F.col("excluded")).when(enough, level).otherwise("not assessable"),
-        "record": F.format_string("%d/%d", F.col("positive_years"), F.col("years")),
-        "due_text": F.when(F.col("due_ratio") == float("inf"), "inf").when(F.col("due_ratio").isNotNull(), F.format_string("%.2f", F.round("due_ratio", 2))),
+        "record": shown(F.format_string("%d/%d", F.col("positive_years"), F.col("years"))),
+        "due_text": shown(F.when(F.col("due_ratio") == float("inf"), "inf").when(F.col("due_ratio").isNotNull(), F.format_string("%.2f", F.round("due_ratio", 2)))),
+        "covers": shown(F.when(F.size(paired) > 0, F.format_string("%d/%d", covered, F.size(paired)))), "positive_now": shown(positive_now),
+        "worst_pct": shown(F.round(100 * F.col("worst.share"), 1)), "worst_end": shown(F.col("worst.end")), "ocf_bn": billions(F.col("ocf")), "shock_bn": billions(F.col("shock")),
+        "cash_bn": billions(F.col("cash")), "coverage": shown(F.round(F.when(F.col("shock") < 0, F.col("cash") / -F.col("shock")), 2)), "interest_pct": shown(F.round(100 * F.col("interest_share"), 1)),
+        "due_bn": billions(F.col("due")), "cash_months": shown(F.round(F.when(spent > 0, F.col("cash") / (spent / 12)), 1)), "labor_bn": billions(F.col("labor")),
+        "notes": F.when(ok, F.array_join(notes, "; ")).otherwise(F.coalesce("excluded_note", F.lit(""))),
     })
