@@ -223,7 +223,7 @@ DOCUMENT = """yr as (select o_custkey k, year(o_orderdate)::bigint as year, o_or
  rows as (select c_custkey k, 0 kind, '' a, 0 b, '"name":"' || c_name || '","segment":"' || c_mktsegment || '"' body from customer
   union all select k, 1, metric, 0, '{"axis":"' || metric || '","best":"' || round(best, 2)::decimal(30,2) || '","n":' || n || '}' from axes
   union all select k, 2, metric, year, '{"metric":"' || metric || '","year":' || year || ',"value":"' || round(v, 2)::decimal(30,2) || '","status":"' || case when n = 1 then 'reported' else 'aggregated' end || '"}' from yr
-  union all select k, 3, metric, 0, '{"lever":"' || metric || '","gain":"' || round(best * 0.1, 2)::decimal(30,2) || '"}' from axes where n >= 2)"""
+  union all select k, 3, metric, 0, '{"lever":"' || metric || '","gain":"' || round(best * 100)::bigint // 10 || '"}' from axes where n >= 2)"""
 
 
 @query(
@@ -248,7 +248,7 @@ def q113(t: Tables) -> DataFrame:
     rows = tagged(t.customer, "c_custkey", "head", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     rows = rows.unionByName(tagged(axes, "k", "axis", F.col("metric").alias("axis"), money(F.col("best")).alias("best"), "n"))
     rows = rows.unionByName(tagged(yearly, "k", "entry", "metric", "year", money(F.col("v")).alias("value"), status.alias("status")))
-    rows = rows.unionByName(tagged(axes.where("n >= 2"), "k", "lever", F.col("metric").alias("lever"), money(F.col("best") * 0.1).alias("gain")))
+    rows = rows.unionByName(tagged(axes.where("n >= 2"), "k", "lever", F.col("metric").alias("lever"), F.expr("cast(cast(round(best * 100) as bigint) div 10 as string)").alias("gain")))
     listed = lambda c: F.array_sort(F.collect_list(c))
     one = rows.groupBy("key").agg(F.max("head").alias("head"), listed("axis").alias("axes"), listed("entry").alias("ledger"), listed("lever").alias("levers")).where("head is not null")
     return one.select("key", F.to_json(F.struct("head.name", "head.segment", "axes", "ledger", "levers")).alias("document"))

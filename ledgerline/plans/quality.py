@@ -59,9 +59,9 @@ def standard_rules() -> list[Rule]:
             ), "scope1_t", col("scope1"), "The mapping is not valid in this year", company_year, {"facilities": text(col("facilities")), "since": text(col("since")), "until": text(col("until"))}, col("scope1"), col("ranked"),
         ),
         Rule(
-            "F09_implausible_hours", "company", "review", (col("hours") < 500) | (col("hours") > 3500) | (col("implausible") > 0.3), "osha_hours", col("all_hours"),
-            F.concat(F.lit("Median of hours "), fixed(col("hours"), 0)),
-            {"hours": F.median(hours), "implausible": F.avg(((hours < 200) | (hours > 4000)).cast("double")), "all_hours": F.sum(price), "reports": F.count(F.lit(1))},
+            "F09_implausible_hours", "company", "review", (col("hours") < 50_000) | (col("hours") > 350_000) | (col("implausible") > 0.3), "osha_hours", col("all_hours"),
+            F.concat(F.lit("Median of hours "), fixed(col("hours") / 100, 0)),
+            {"hours": F.median(price), "implausible": F.avg(((hours < 200) | (hours > 4000)).cast("double")), "all_hours": F.sum(price), "reports": F.count(F.lit(1))},
             {"reports": text(col("reports")), "median_hours_per_employee": fixed(col("hours")), "implausible_share": fixed(col("implausible"))},
         ),
         Rule(
@@ -111,7 +111,7 @@ RULES_SQL = f"""with iss as (select c_custkey ticker, c_mktsegment sector, c_acc
  win as (select c_custkey ticker, case when c_custkey % 25 = 0 then 1997 end since, case when c_custkey % 25 = 1 then 1999 end until from customer where c_custkey % 25 < 3),
  cy0 as (select o_custkey ticker, year(o_orderdate)::bigint as year, coalesce(sum(o_totalprice) filter (o_orderstatus = 'F'), 0) scope1, coalesce(sum(o_totalprice) filter (o_orderstatus = 'P'), 0) supplied, count(*) facilities, list_sort(list(distinct o_orderpriority)) types, count(*) filter (o_orderstatus = 'O') exported from orders group by 1, 2),
  cy as (select c.*, lag(scope1) over w prev, string_agg(year || ':' || {DEC('scope1')}, ',') over (partition by c.ticker order by year rows between unbounded preceding and unbounded following) history, ranked, since, until, win.ticker is not null ruled from cy0 c left join iss using (ticker) left join win on win.ticker = c.ticker window w as (partition by c.ticker order by year)),
- co as (select o_custkey ticker, sum(month(o_orderdate))::double qtr, count(distinct o_orderpriority) sites, count(distinct o_orderstatus) plants, sum(o_totalprice) mwh, median(o_totalprice / 100) hpe, avg((o_totalprice / 100 < 200 or o_totalprice / 100 > 4000)::double) implausible, count(*) reports, count(*) filter (o_orderstatus <> 'F') trade_only from orders group by 1),
+ co as (select o_custkey ticker, sum(month(o_orderdate))::double qtr, count(distinct o_orderpriority) sites, count(distinct o_orderstatus) plants, sum(o_totalprice) mwh, median(o_totalprice) hpe, avg((o_totalprice / 100 < 200 or o_totalprice / 100 > 4000)::double) implausible, count(*) reports, count(*) filter (o_orderstatus <> 'F') trade_only from orders group by 1),
  coi as (select * from co left join iss using (ticker)),
  cls as (select case when c_custkey % 10 < 3 then c_custkey - c_custkey % 10 else c_custkey end cik, list_sort(list(c_custkey::varchar)) classes, list_sort(list(c_custkey::varchar) filter (c_custkey in (select o_custkey from orders))) included from customer group by 1),
  la as (select user_id ticker, event_type metric, arg_max(1000 / value, (ts, event_id)) as value, arg_max(year(ts), (ts, event_id)) as year from events where value > 0 group by 1, 2),
@@ -123,7 +123,7 @@ RULES_SQL = f"""with iss as (select c_custkey ticker, c_mktsegment sector, c_acc
  union all select 'F04_impossible_quarters', 'error', ticker::varchar, 'quarters', null, qtr, 0, false, 'facilities=' || sites || ';quarters=' || {DEC('qtr')} from coi where qtr > 12 * sites
  union all select 'F06_plant_attribution', 'review', ticker::varchar, 'egrid_mwh', null, mwh, 0, false, 'mwh=' || {DEC('mwh')} || ';plants=' || plants || ';sector=' || sector from coi where plants <= 2 and mwh >= 1e6 and sector <> 'BUILDING'
  union all select 'F08_temporal_attribution', 'error', ticker::varchar, 'scope1_t', year, scope1, scope1, ranked, 'facilities=' || facilities || ';since=' || coalesce(since::varchar, '') || ';until=' || coalesce(until::varchar, '') from cy where ruled and scope1 > 0 and ((since is null and until is null) or coalesce(year < since, false) or coalesce(year > until, false))
- union all select 'F09_implausible_hours', 'review', ticker::varchar, 'osha_hours', null, mwh, 0, false, 'implausible_share=' || {DEC('implausible')} || ';median_hours_per_employee=' || {DEC('hpe')} || ';reports=' || reports from coi where hpe < 500 or hpe > 3500 or implausible > 0.3
+ union all select 'F09_implausible_hours', 'review', ticker::varchar, 'osha_hours', null, mwh, 0, false, 'implausible_share=' || {DEC('implausible')} || ';median_hours_per_employee=' || {DEC('hpe')} || ';reports=' || reports from coi where hpe < 50000 or hpe > 350000 or implausible > 0.3
  union all select 'F10_trade_names', 'review', ticker::varchar, 'whd_cases', null, reports, 0, false, 'backwages_usd=' || {DEC('mwh')} || ';cases=' || reports || ';trade_name_only=' || trade_only from coi where reports >= 5 and trade_only / reports >= 0.5
  union all select 'F12_contradiction', 'error', doc_id::varchar, 'sbti_commitment_removed', null, 1.0, 0, false, 'rule=commitment removed' from labels group by doc_id having max(quality) = 1 and max(toxic) = 1
  union all select 'P01_sector_extreme', 'review', ticker::varchar, metric, year, value, 0, false, 'max=' || {DEC('most')} || ';median=' || {DEC('med')} || ';n=' || n || ';p90=' || {DEC('p90')} || ';sector=' || sector from ex where z > 3.5)
