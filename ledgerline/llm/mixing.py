@@ -64,6 +64,7 @@ def targets(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     k = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(k, F.lit(len(weights))) + 1).cast("int")).cast("double")
     df = df.join(F.broadcast(before), "range").select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap"))
+    df = stored(df, "mix-weights")
     level, n_open = 0.0, -1
     while True:
         above = F.col("cap") <= F.lit(level) * F.col("weight")
@@ -219,6 +220,7 @@ def rounded(
     n_sources, n = by_source.agg(F.count(F.lit(1)), F.sum("docs")).first()
     goal = targets(by_source, weights, share, most).withColumnRenamed("source", "_source")
     goal = goal.join(_reserve(sizes).withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    goal = stored(goal, "mix-goals")  # a row a source
     joined = sizes.join(F.broadcast(goal) if n_sources <= 100_000 else goal, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size")))
     rate = F.when(F.col("size") > 0, F.coalesce(rate, F.lit(0.0))).otherwise(F.lit(0.0))
