@@ -8,7 +8,7 @@ from ledgerline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 #: A product with one row (totals, means), or a matrix over a dimension.
-ONE_ROW = {"q07_ordinal_pct", "q43_lagged_staleness", "q44_spearman_matrix", "q59_mann_whitney", "q93_leave_one_out", "q14_critic_weights", "q21_anova_effects", "q58_permutation", "q75_group_transform_impute"}
+ONE_ROW = {"q07_ordinal_pct", "q20_rank_bands", "q106_repair_cases", "q43_lagged_staleness", "q44_spearman_matrix", "q59_mann_whitney", "q93_leave_one_out", "q14_critic_weights", "q21_anova_effects", "q58_permutation", "q75_group_transform_impute"}
 
 
 def plan(df):

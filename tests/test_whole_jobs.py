@@ -116,6 +116,8 @@ def by_hand(wide, metrics, d):
         w = 1 + (p * np.log(p)).sum() / np.log(len(full))
     elif d["weighting"] == "critic":
         w = full.std(ddof=0) * (1 - full.corr().fillna(0)).sum()
+    elif d["weighting"] == "principal":
+        w = pd.Series(np.abs(np.linalg.eigh(np.atleast_2d(np.cov(full[used].T, bias=True)))[1][:, -1]), used)
     else:
         w = pd.Series(1.0, used)
     w = w / w.sum()
