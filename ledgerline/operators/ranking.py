@@ -75,8 +75,8 @@ def _keyed(df: DataFrame, group: list[str], *kept: str) -> tuple[DataFrame, list
 
 def large_groups(df: DataFrame, group: list[str], large: int) -> DataFrame | None:
     """The groups of more than so many rows, stored; None if there is none."""
-    counts = stored(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > large), "large-groups")
-    return counts.drop("_rows") if counts.count() else None
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > large)
+    return stored(counts.drop("_rows"), "large-groups") if not counts.isEmpty() else None
 
 
 def ranged_values(df: DataFrame, x: str, group: list[str], ranges: int = GROUP_RANGES) -> DataFrame:
