@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import safe_div
 from ledgerline.operators.dedupe import keep_first
-from ledgerline.sources import paged
+from ledgerline.sources import connectors, paged, tables  # noqa: F401  (connectors register their scans)
 from ledgerline.sources.shared import shared_folder
 
 from .base import Tables, query, r
@@ -208,6 +208,56 @@ def q56(t: Tables) -> DataFrame:
     return steps.select("suppkey", (F.col("base_year") + F.col("i")).alias("year"), r(F.col("base") * F.pow(F.lit(0.93), F.col("i")), 4).alias("allowed"))
 
 
+def scanned(t: Tables, rows: DataFrame, name: str, kind: str) -> DataFrame:
+    """What the scan of a source gives for rows that are written as its files."""
+    path = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    (rows.write.csv(path, header=True) if kind == "csv" else rows.write.json(path))
+    return tables.get(name)(t.spark, path)
+
+
+@query(
+    "q114_scan_facilities",
+    """with f as (select o_custkey facility_id, year(o_orderdate)::int as year, o_orderpriority facility_name, o_orderstatus state from orders)
+ select facility_id, year, facility_name, state from f qualify row_number() over (partition by facility_id, year order by facility_name, state) = 1""",
+)
+def q114(t: Tables) -> DataFrame:
+    """Orders as the facilities' CSV files: one row a facility and year, whichever rows repeat."""
+    rows = t.orders.select(
+        F.col("o_custkey").alias("FACILITY_ID"), F.year("o_orderdate").alias("YEAR"), F.col("o_orderpriority").alias("FACILITY_NAME"), F.col("o_orderstatus").alias("STATE")
+    )
+    return scanned(t, rows, "facilities", "csv").select("facility_id", "year", "facility_name", "state")
+
+
+@query(
+    "q115_scan_facility_emissions",
+    """with d as (select l_suppkey facility_id, year(l_shipdate)::bigint as year, l_linenumber + 3 sector, l_partkey % 5 sub, case when l_returnflag = 'A' then 8 else 1 end gas, max(l_quantity) q from lineitem group by 1, 2, 3, 4, 5),
+ s as (select facility_id, year, sum(q) filter (sector <= 8 and gas <> 8) a, sum(q) filter (sector <= 8 and gas = 8) b, sum(q) filter (sector > 8) c from d group by 1, 2)
+ select facility_id, year, round(coalesce(a, 0), 4) scope1_t, round(case when a is not null then coalesce(b, 0) else 0 end, 4) biogenic_t, round(coalesce(c, 0), 4) supplied_t from s where a is not null or c is not null""",
+)
+def q115(t: Tables) -> DataFrame:
+    """Lines as the emissions' CSV files: distinct rows, direct sectors without and with biogenic gas, suppliers."""
+    rows = t.lineitem.select(
+        F.col("l_suppkey").alias("facility_id"), F.year("l_shipdate").alias("year"), (F.col("l_linenumber") + 3).alias("sector_id"), (F.col("l_partkey") % 5).alias("subsector_id"),
+        F.when(F.col("l_returnflag") == "A", 8).otherwise(1).alias("gas_id"), F.col("l_quantity").alias("co2e_emission"),
+    )
+    found = scanned(t, rows, "facility_emissions", "csv")
+    return found.select("facility_id", "year", *[r(c, 4).alias(c) for c in ("scope1_t", "biogenic_t", "supplied_t")])
+
+
+@query(
+    "q116_scan_unit_emissions",
+    """select o_custkey facility_id, year(o_orderdate)::bigint as year, min(o_orderpriority) facility_name, round(sum(o_totalprice) * 0.90718474, 3) co2_t, round(sum(o_totalprice) / 2, 3) gross_load_mwh, count(distinct o_orderstatus) n_units from orders group by 1, 2""",
+)
+def q116(t: Tables) -> DataFrame:
+    """Orders as the units' JSON files: facility years in tonnes with their units counted."""
+    rows = t.orders.select(
+        F.col("o_custkey").alias("facilityId"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("facilityName"), F.lit("XX").alias("stateCode"),
+        F.col("o_orderstatus").alias("unitId"), F.col("o_totalprice").alias("co2Mass"), (F.col("o_totalprice") / 2).alias("grossLoad"),
+    )
+    found = scanned(t, rows, "unit_emissions", "json")
+    return found.select(F.col("facilityId").alias("facility_id"), "year", "facility_name", r("co2_t", 3).alias("co2_t"), r("gross_load_mwh", 3).alias("gross_load_mwh"), "n_units")
+
+
 @query("q112_paged_source", "select c_custkey, c_name, c_nationkey, round(c_acctbal, 4) c_acctbal from customer")
 def q112(t: Tables) -> DataFrame:
     """The table of customers through a paged interface: written as pages, read back a page a task."""
