@@ -22,6 +22,7 @@ def _sum_if(condition, x):
 
 
 def standard_rules() -> list[Rule]:
+    """The rules' names, severities, thresholds and the names of their evidence."""
     status, price = col("o_orderstatus"), col("o_totalprice")
     company_year = {
         "scope1": _sum_if(status == "F", price), "supplied": _sum_if(status == "P", price), "facilities": F.count(F.lit(1)),
@@ -183,6 +184,7 @@ def reviewed(t: Tables) -> DataFrame:
 
 
 def standard_constraints() -> list[constraints.Constraint]:
+    """What the checks of a snapshot are called."""
     c, near = constraints, lambda a, b: F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
     catalogued = col("cat_metric").isNotNull()
     return [
@@ -279,7 +281,7 @@ def q105(t: Tables) -> DataFrame:
     return constraints.report(checked_tables(t), standard_constraints())
 
 
-#: Repairs of named cases: topic, ticker (none: all), what must hold of the observations, and what is found.
+#: Repairs of named cases (fixed values: the topics): topic, ticker (none: all), what must hold of the observations, and what is found.
 REPAIRS = [
     ("Zero instead of missing", 4, "count(*) filter (where metric = '1-URGENT' and year = 1997) = 0", "count(*) filter (where metric = '1-URGENT' and year = 1997)"),
     ("Program does not measure", 5, "count(*) filter (where metric = '2-HIGH') = 0", "count(*) filter (where metric = '2-HIGH')"),

@@ -91,6 +91,7 @@ def unit_facilities(spark: SparkSession, path: str) -> DataFrame:
 @register("power_plants")
 def power_plants(spark: SparkSession, path: str) -> DataFrame:
     """A metric workbook's sheet PLNT..., one row above the header; the year stands in the file's name."""
+    # The workbook's codes and what they are called here, in the source's order.
     codes = {"ORISPL": "oris_code", "PNAME": "plant_name", "PSTATABB": "state", "OPRNAME": "operator_name", "UTLSRVNM": "utility_name", "PLPRMFL": "primary_fuel",
              "PLNGENAN": "net_generation_mwh", "PLCO2AN": "co2_t", "PLCO2RTA": "co2_kg_per_mwh", "NAMEPCAP": "capacity_mw"}
     raw = workbook(spark, path, "PLNT", list(codes), skip=1)
@@ -166,11 +167,18 @@ def enforcement(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: number(c) for c in numbers} | {"registry_id": number("registry_id", "bigint"), "bad_quarters": bad})
 
 
+#: The columns of cases that are kept, in the source's order.
+CASES = [
+    "case_id", "trade_nm", "legal_name", "st_cd", "naic_cd", "case_violtn_cnt", "cmp_assd", "ee_violtd_cnt", "bw_atp_amt", "ee_atp_cnt", "findings_end_date", "flsa_repeat_violator",
+    "flsa_cl_violtn_cnt", "flsa_cl_minor_cnt",
+]
+
+
 @register("wage_cases")
 def wage_cases(spark: SparkSession, path: str) -> DataFrame:
-    numbers = ["case_violtn_cnt", "cmp_assd", "ee_violtd_cnt", "bw_atp_amt", "ee_atp_cnt", "flsa_cl_violtn_cnt", "flsa_cl_minor_cnt"]
-    df = archive(spark, path, r"\.csv$", ["case_id", "trade_nm", "legal_name", "st_cd", "naic_cd", *numbers, "findings_end_date", "flsa_repeat_violator"]).drop("file")
+    df = archive(spark, path, r"\.csv$", CASES).drop("file")
     year = F.year(F.to_date(F.expr("try_to_timestamp(findings_end_date)")))
+    numbers = [c for c in CASES if c.endswith(("_cnt", "_amt", "_assd"))]
     return df.withColumns({c: number(c) for c in numbers}).where(year.between(2022, 2024))
 
 
@@ -221,7 +229,8 @@ def revenue(spark: SparkSession, path: str) -> DataFrame:
 @register("targets")
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """A workbook of climate targets: years out of texts, flags by what the status says."""
-    names = ["company_name", "isin", "lei", "sector", "location", "near_term_status", "near_term_target_classification", "near_term_target_year", "long_term_status", "net_zero_status", "net_zero_year", "reason"]
+    # The columns that are kept, in the source's order.
+    names = ["company_name", "isin", "lei", "sector", "location", "near_term_status", "near_term_target_classification", "near_term_target_year", "long_term_status", "net_zero_status", "net_zero_year"]
     df = workbook(spark, path, "", names, rename=lambda x: x.strip().lower().replace(" ", "_").replace("-", "_")).drop("file")
     year = lambda c: F.nullif(F.regexp_extract(c, r"(\d{4})", 1), F.lit("")).cast("int").alias(c)
     says = lambda c, word: F.coalesce(F.lower(c).contains(word), F.lit(False))
