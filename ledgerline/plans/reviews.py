@@ -154,38 +154,38 @@ def q42(t: Tables) -> DataFrame:
  union all select 'large on few', 'review', l_suppkey::varchar, round(sum(l_quantity), 4) from lineitem group by l_suppkey having count(distinct l_partkey) <= 100 and sum(l_quantity) >= 1000""",
 )
 def q45(t: Tables) -> DataFrame:
-    rule = lambda df, name, severity, key, value: df.select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), key.alias("key"), value.alias("value"))
-    w = Window.partitionBy("event_type")
+    """One pass over the lines by order, one by supplier, one joined to their orders; a row's findings are an array."""
+    finding = lambda name, severity, key, value: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    rule = lambda df, *x: df.select(F.inline(F.array(finding(*x))))
     z = t.events.where("value > 0").withColumn("l", F.log10("value"))
-    z = z.withColumn("m", F.median("l").over(w))
-    z = z.withColumn("dev", F.abs(F.col("l") - F.col("m"))).withColumn("mad", F.median("dev").over(w))
-    extreme = z.where(F.col("dev") / (1.4826 * F.greatest(F.col("mad"), F.lit(1e-9))) > 3.5)
-    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).cast("double").alias("n")).where("n > 2")
+    mid = z.groupBy("event_type").agg(F.median("l").alias("m"))  # a row a type
+    z = z.join(F.broadcast(mid), "event_type").withColumn("dev", F.abs(F.col("l") - F.col("m")))
+    spread = z.groupBy(F.col("event_type").alias("_type")).agg(F.median("dev").alias("mad"))
+    extreme = z.join(F.broadcast(spread), F.col("event_type") == F.col("_type")).where(F.col("dev") / (1.4826 * F.greatest(F.col("mad"), F.lit(1e-9))) > 3.5)
+    orders = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"), F.size(F.collect_set("l_suppkey")).alias("k"))  # an order's lines are few
+    counted = F.transform(F.array_distinct("lines"), lambda x: F.struct(x.alias("line"), F.size(F.filter("lines", lambda y: y == x)).alias("n")))
+    twice = F.transform(F.filter(counted, lambda c: c["n"] > 2), lambda c: finding("duplicate line", "error", F.concat_ws("/", "l_orderkey", c["line"]), c["n"]))
+    many = F.when(F.size("lines") > 7 * F.col("k"), F.array(finding("impossible count", "error", F.col("l_orderkey"), F.size("lines"))))
+    found = orders.select(F.inline(F.concat(twice, F.coalesce(many, F.slice(twice, 1, 0)))))
+    by_owner = t.lineitem.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"), F.countDistinct("l_partkey").alias("parts"), F.sum("l_quantity").alias("q")
+    )
+    owner = F.array_compact(F.array(
+        F.when((F.col("n") >= 5) & (F.col("returned") >= 0.4), finding("one-sided cases", "review", F.col("l_suppkey"), r("returned", 4))),
+        F.when((F.col("parts") <= 100) & (F.col("q") >= 1000), finding("large on few", "review", F.col("l_suppkey"), r("q", 4))),
+    ))
     early = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).where("l_shipdate < o_orderdate - interval 2000 days")
-    one = F.lit(1.0)
-    flags = t.labels.where("quality = 1 and toxic = 1")
-    counts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("k")).where("n > 7 * k")
     late = t.events.where((F.col("event_type") == "signup") & (F.col("ts") >= F.lit("2024-01-28").cast("timestamp")))
     outside = F.avg((~F.col("o_totalprice").between(20000, 480000)).cast("double"))
     rates = t.orders.groupBy("o_custkey").agg(F.median("o_totalprice").alias("m"), outside.alias("out")).where("m < 100000 or m > 400000 or out > 0.3")
-    by_owner = t.lineitem.groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("returned"), F.countDistinct("l_partkey").alias("parts"), F.sum("l_quantity").alias("q")
-    )
-    key = lambda c: F.col(c).cast("string")
-    more = (
-        rule(flags, "contradicting flags", "review", key("doc_id"), one)
-        .unionByName(rule(counts, "impossible count", "error", key("l_orderkey"), F.col("n").cast("double")))
-        .unionByName(rule(late, "outside window", "review", key("event_id"), r("value", 4)))
-        .unionByName(rule(rates, "implausible rate", "review", key("o_custkey"), r("m", 4)))
-        .unionByName(rule(by_owner.where("n >= 5 and returned >= 0.4"), "one-sided cases", "review", key("l_suppkey"), r("returned", 4)))
-        .unionByName(rule(by_owner.where("parts <= 100 and q >= 1000"), "large on few", "review", key("l_suppkey"), r("q", 4)))
-    )
-    return more.unionByName(
-        rule(extreme, "extreme", "review", F.col("event_id").cast("string"), r("value", 4))
-        .unionByName(rule(lines, "duplicate line", "error", F.concat_ws("/", "l_orderkey", "l_linenumber"), F.col("n")))
-        .unionByName(rule(early, "ship before order", "error", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), r("l_quantity", 4)))
-        .unionByName(rule(t.customer.where("c_acctbal <= 0"), "zero balance", "review", F.col("c_custkey").cast("string"), r("c_acctbal", 4)))
-    )
+    parts = [
+        found, by_owner.select(F.inline(owner)), rule(extreme, "extreme", "review", F.col("event_id"), r("value", 4)),
+        rule(early, "ship before order", "error", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), r("l_quantity", 4)),
+        rule(t.customer.where("c_acctbal <= 0"), "zero balance", "review", F.col("c_custkey"), r("c_acctbal", 4)),
+        rule(t.labels.where("quality = 1 and toxic = 1"), "contradicting flags", "review", F.col("doc_id"), F.lit(1.0)),
+        rule(late, "outside window", "review", F.col("event_id"), r("value", 4)), rule(rates, "implausible rate", "review", F.col("o_custkey"), r("m", 4)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: Findings of the documents, with decisions and advice that follow from their ids.
