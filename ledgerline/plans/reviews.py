@@ -587,10 +587,10 @@ def q90(t: Tables) -> DataFrame:
 )
 def q92(t: Tables) -> DataFrame:
     """What a tercile of the peers asks for, and which flags speak against a series."""
-    w = Window.partitionBy("sector")
     v = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
     b = t.customer.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("sector"), v.alias("v"))
-    b = b.select("key", "v", F.percentile("v", F.lit(0.333)).over(w).alias("lo"), F.percentile("v", F.lit(0.667)).over(w).alias("hi"), F.count("v").over(w).alias("n"))
+    bounds = b.groupBy("sector").agg(F.percentile("v", F.lit(0.333)).alias("lo"), F.percentile("v", F.lit(0.667)).alias("hi"), F.count("v").alias("n"))
+    b = b.join(F.broadcast(bounds), "sector", "left").select("key", "v", "lo", "hi", "n")  # a row a sector
     g = t.events.groupBy(F.col("user_id").alias("key")).agg(F.countDistinct("event_type").alias("kinds"), F.max("value").alias("top"), F.min("value").alias("bottom"))
     change = F.format_string("%+.1f%%", F.round(100 * (F.col("hi") / F.col("v") - 1), 1))
     flags = F.array_compact(F.array(F.when(F.col("kinds") < 3, "few kinds"), F.when(F.col("top") > 150, "high peak"), F.when(F.col("bottom") < 0.5, "near zero")))

@@ -342,9 +342,9 @@ def q82(t: Tables) -> DataFrame:
  select key, round(coalesce(bal, gm, am), 4) value, round(case when bal is null then greatest(coalesce(sd, 0), 1e-6) else 1e-6 end, 6) se, bal is null imputed from m, g""",
 )
 def q75(t: Tables) -> DataFrame:
-    w = Window.partitionBy("sub")
     whole = issuers(t).agg(F.median("bal").alias("am"))
-    df = issuers(t).withColumn("gm", F.median("bal").over(w)).withColumn("sd", F.stddev_samp("bal").over(w)).crossJoin(F.broadcast(whole))  # one row
+    by_sub = issuers(t).groupBy("sub").agg(F.median("bal").alias("gm"), F.stddev_samp("bal").alias("sd"))  # a row a sub-sector
+    df = issuers(t).join(F.broadcast(by_sub), "sub").crossJoin(F.broadcast(whole))  # one row
     missing = F.col("bal").isNull()
     se = F.when(missing, F.greatest(F.coalesce("sd", F.lit(0.0)), F.lit(1e-6))).otherwise(1e-6)
     return df.select("key", r(F.coalesce("bal", "gm", "am"), 4).alias("value"), r(se).alias("se"), missing.alias("imputed"))
