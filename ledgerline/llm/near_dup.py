@@ -9,8 +9,8 @@ similarity of at least `percent` / 100 are linked, and none of these links is lo
    which a document is known (a document is in the class of its own size and in those of
    the smaller partners it may have; keys_of() says how empty parts and members that are
    common in the corpus are kept out of the keys).  A key that several documents of one batch share
-   leaves the task once; edges to the least document of each key follow from a window,
-   and their components are clusters outside of which no link exists.
+   leaves the task once, packed with others of its bucket; edges to the least document of
+   each key follow where a bucket's keys meet, and their components are clusters outside of which no link exists.
 2. Signature trees.  A cluster's members that two sets share get one bit each.  Sets
    are leaves; nodes of 16 hold the OR of their bitmaps and the range of sizes.  Two
    trees (or one with itself) are walked together from the roots: a pair of nodes goes
@@ -37,6 +37,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ FAN, DEALS = 16, 12
 MEMBERS, OFTEN, COMMON = 1 << 20, 4, 100_000
 #: Documents and characters of a chunk, about; chunks that a smaller cluster is spread over, of at least CHUNK / SPREAD.
 CHUNK, CHARS, SPREAD = 4096, 16 << 20, 8
-#: Keys of a batch.
-KEYS = 400_000
+#: Keys of a batch; buckets that keys are dealt to.
+KEYS, BUCKETS = 1 << 20, 1 << 12
 U = np.uint64
 
 
@@ -197,25 +198,79 @@ def common_members(rows: DataFrame, n: int) -> np.ndarray:
     return np.sort(np.array([r["member"] for r in top.select("member").collect()], np.int64).view(np.uint64))
 
 
+def packed(key: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, owners) of sorted keys: 12 bits of a key are its bucket's number, 48 more are told, byte by byte of all (so that
+    bytes that agree compress).  Fewer bits than keys have can only make a cluster larger: links are verified on the sets."""
+    buckets = (key >> U(52)).astype(np.int64)
+    rest = ((key >> U(4)) & U((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
+    owners = owner.view(np.uint8).reshape(-1, 8)
+    cut = np.flatnonzero(np.diff(buckets, prepend=-1))
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+        yield int(buckets[i]), rest[i:j].T.tobytes(), owners[i:j].T.tobytes()
+
+
+def unpacked(keys: bytes, owners: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(owners) // 8
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :6] = np.frombuffer(keys, np.uint8).reshape(6, n).T
+    owner = np.ascontiguousarray(np.frombuffer(owners, np.uint8).reshape(8, n).T)
+    return key.view(np.uint64).ravel(), owner.view(np.int64).ravel()
+
+
+def _led(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, their owners, which are a key's first, and the least owner of every row's key."""
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    return key, owner, first, owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
+
+
+def _pairs(leader: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    found = np.unique(np.stack([leader, owner])[:, leader != owner], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, keys, owners, a, b) arrive sorted by bucket: edges (a, b) from the least owner of each key to its others, and
+    those that the batches found."""
+    now, held = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            _, owner, first, leader = _led(*map(np.concatenate, zip(*held, strict=True)))
+            yield _pairs(leader[~first], owner[~first])
+        held.clear()
+
+    for batch in batches:
+        inside = batch.filter(pa.compute.is_valid(batch.column(3)))
+        yield pa.RecordBatch.from_arrays([inside.column(3), inside.column(4)], names=["a", "b"])
+        for bucket, keys, owners in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2)], strict=True):
+            if bucket != now:
+                yield from close()
+                now = bucket
+            if keys:
+                held.append(unpacked(keys, owners))
+    yield from close()
+
+
 def _keys(n: int, percent: int, common):
-    """Rows (key, a, b): b is null for a document's key, else a and b share a key in this batch."""
+    """Rows (bucket, keys, owners, a, b): the different keys of a batch by bucket, and edges between documents that share one in it."""
 
     def told(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
-        key = np.concatenate(keys).view(np.int64)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        leader = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        inside = sorted({p for p in zip(leader[~first].tolist(), owner[~first].tolist(), strict=True) if p[0] != p[1]})
-        a, b = [p[0] for p in inside], [p[1] for p in inside]
+        key, owner, first, leader = _led(np.concatenate(keys), owner)
+        inside = _pairs(leader[~first], owner[~first])
+        rows = list(packed(key[first], owner[first]))
+        none = lambda size, kind: pa.nulls(size, kind)
+        there = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+        m, e = len(rows), inside.num_rows
+        spread = pa.array((inside.column(1).to_numpy() % BUCKETS).astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([pa.array(key[first]), pa.array(b, pa.int64())]),
-                pa.concat_arrays([pa.array(owner[first]), pa.array(a, pa.int64())]),
-                pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(b, pa.int64())]),
+                pa.concat_arrays([there[0], spread]), pa.concat_arrays([there[1], none(e, pa.binary())]), pa.concat_arrays([there[2], none(e, pa.binary())]),
+                pa.concat_arrays([none(m, pa.int64()), inside.column(0)]), pa.concat_arrays([none(m, pa.int64()), inside.column(1)]),
             ],
-            names=["key", "a", "b"],
+            names=["bucket", "keys", "owners", "a", "b"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,10 +475,9 @@ def classes(docs: DataFrame, sets: DataFrame, n: int = 3, percent: int = 90, chu
     spark = docs.sparkSession
     rows = _rows(docs).where("doc_id is not null")
     common = spark.sparkContext.broadcast(common_members(rows, n))
-    keyed = rows.mapInArrow(_keys(n, percent, common), "key long, a long, b long")
-    least = F.expr("case when b is null then min(case when b is null then a end) over (partition by key, b is null) else a end")
-    edges = keyed.select("a", "b", least.alias("least"), F.coalesce("b", "a").alias("other"))
-    edges = edges.where("least <> other").select(F.col("least").alias("a"), F.col("other").alias("b")).distinct()
+    keyed = rows.mapInArrow(_keys(n, percent, common), "bucket int, keys binary, owners binary, a long, b long")
+    # A bucket is a 4096th of all keys: its task sorts these.
+    edges = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_edges, "a long, b long").distinct()
     clusters = components(edges, "near-clusters").withColumnRenamed("component", "cluster")
     # Of equal sets the one with the least id stands for all.
     members = stored(clusters.join(sets, F.col("vertex") == F.col("doc_id")).select("cluster", "low", "high", "doc_id", "bytes"), "near-members")

@@ -305,3 +305,26 @@ def test_pipeline(spark, tmp_path):
     ran = corpus_pipeline.run(spark, source)
     assert sorted(map(tuple, ran.collect())) == sorted(map(tuple, passed[5].collect()))
     assert ran.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_packed_keys_are_small_and_whole():
+    """Fourteen bytes a key before compression (a row of three longs before: 24 and a null), and every edge is found from them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerline.llm import near_dup
+
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
+    owner = rng.integers(0, 1 << 60, 5000)
+    rows = list(near_dup.packed(key, owner))
+    assert sum(len(k) + len(o) for _, k, o in rows) == 14 * 5000
+    back = [near_dup.unpacked(k, o) for _, k, o in rows]
+    assert (np.concatenate([o for _, o in back]) == owner).all()
+    assert (np.concatenate([k for k, _ in back]) == (key >> np.uint64(4)) & np.uint64((1 << 48) - 1)).all()
+    other = list(near_dup.packed(key[::2], owner[::2] + 1))
+    both = sorted([(*r, None, None) for r in [*rows, *other]] + [(7, None, None, 1, 2)], key=lambda r: r[0])
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*both), kinds, strict=True)], names=["bucket", "keys", "owners", "a", "b"])
+    found = {p for e in near_dup._edges(iter([batch.slice(0, 900), batch.slice(900)])) for p in zip(*[c.to_pylist() for c in e.columns])}
+    assert found == {(int(o), int(o) + 1) for o in owner[::2]} | {(1, 2)}
