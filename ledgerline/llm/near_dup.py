@@ -51,13 +51,15 @@ MEMBERS, OFTEN, COMMON = 1 << 20, 4, 100_000
 #: Documents and characters of a chunk, about; chunks that a smaller cluster is spread over, of at least CHUNK / SPREAD.
 CHUNK, CHARS, SPREAD = 4096, 16 << 20, 8
 #: Keys of a batch; buckets that keys are dealt to.
-KEYS, BUCKETS = 1 << 20, 1 << 12
+KEYS, BUCKETS = 1 << 18, 1 << 12
+#: Bytes of text that are hashed at once: some 70 bytes of memory for each.
+PIECE = 1 << 18
 U = np.uint64
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct hashes of its n-grams)."""
-    for i, j, data, offsets in slices(column):
+    for i, j, data, offsets in slices(column, PIECE):
         data = LOWER[data]
         starts, ends, row = word_spans(data, offsets, SPACED)
         hashes = word_hashes(data, starts, ends)
@@ -244,12 +246,13 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inside = batch.filter(pa.compute.is_valid(batch.column(3)))
         yield pa.RecordBatch.from_arrays([inside.column(3), inside.column(4)], names=["a", "b"])
-        for bucket, keys, owners in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2)], strict=True):
+        # Row by row: a list of all would hold the batch's bytes a second time.
+        for bucket, keys, owners in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             if bucket != now:
                 yield from close()
                 now = bucket
-            if keys:
-                held.append(unpacked(keys, owners))
+            if keys.is_valid:
+                held.append(unpacked(keys.as_py(), owners.as_py()))
     yield from close()
 
 
@@ -258,7 +261,10 @@ def _keys(n: int, percent: int, common):
 
     def told(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
-        key, owner, first, leader = _led(np.concatenate(keys), owner)
+        key = np.concatenate(keys)
+        keys.clear()
+        owners.clear()
+        key, owner, first, leader = _led(key, owner)
         inside = _pairs(leader[~first], owner[~first])
         rows = list(packed(key[first], owner[first]))
         none = lambda size, kind: pa.nulls(size, kind)
@@ -284,13 +290,17 @@ def _keys(n: int, percent: int, common):
                     held += len(keys[-1])
                     if held >= KEYS:
                         yield told(keys, owners)
-                        keys, owners, held = [], [], 0
+                        held = 0
         if keys:
             yield told(keys, owners)
 
     return run
 
 
+#: Words of bitmaps that are compared at once.
+TOGETHER = 1 << 19
+
+
 class Tree:
     """Leaves are sets as bitmaps over shared members; levels[0] are the leaves."""
 
@@ -321,7 +331,7 @@ def linked(x: Tree, y: Tree, percent: int, same: bool) -> Iterator[tuple[np.ndar
         (xb, xl, xh), (yb, yl, yh) = level(x, k), level(y, k)
         ok = (100 * xh[a] >= percent * yl[b]) & (100 * yh[b] >= percent * xl[a])
         a, b = a[ok], b[ok]
-        step = max(1, (1 << 22) // max(1, xb.shape[1]))
+        step = max(1, TOGETHER // max(1, xb.shape[1]))
         most = np.concatenate(
             [np.bitwise_count(xb[a[i : i + step]] & yb[b[i : i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), step)]
             or [np.zeros(0, np.int64)]
@@ -365,8 +375,8 @@ def _forest(n_leaves: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weigh
     return np.array([root(i) for i in range(n_leaves)], np.int64), links
 
 
-#: Bytes of bitmaps that a task holds at once.
-BITMAPS = 128 << 20
+#: Bytes of bitmaps, and members, that a task holds at once.
+BITMAPS, HELD = 32 << 20, 1 << 20
 
 
 def join_block(sets: list[np.ndarray], owners: list[int], copies: list[int], side: np.ndarray, percent: int) -> Iterator[dict[str, np.ndarray]]:
@@ -377,6 +387,9 @@ def join_block(sets: list[np.ndarray], owners: list[int], copies: list[int], sid
     sets, owners, copies, side = [sets[k] for k in order], [owners[k] for k in order], [copies[k] for k in order], side[order]
     split = int((side == 0).sum())
     two = split < len(sets)
+    if sum(len(x) for x in sets) > HELD and len(sets) > 2:
+        yield from _halves(sets, owners, copies, two, split, percent)
+        return
     # one bit for every member that two sets hold
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -406,7 +419,7 @@ def join_block(sets: list[np.ndarray], owners: list[int], copies: list[int], sid
 
 
 def _halves(sets, owners, copies, two, split, percent) -> Iterator[dict[str, np.ndarray]]:
-    """The same block in smaller ones, whose bitmaps are shorter."""
+    """The same block in smaller ones, whose members are fewer and bitmaps shorter."""
 
     def part(first: range, second: range) -> Iterator[dict[str, np.ndarray]]:
         both = [*first, *second]

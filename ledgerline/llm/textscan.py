@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE, POWERS = 1 << 21, 1 << 18
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)  # odd
 
@@ -83,7 +83,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE)
+        size = -(-n // POWERS) * POWERS
         _powers[:] = [np.full(size, x, np.uint64) for x in (_BASE, U(pow(int(_BASE), -1, 2**64)))]
         for table in _powers:
             table[0] = 1
