@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored_alone as stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

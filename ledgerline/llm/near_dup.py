@@ -18,7 +18,9 @@ similarity of at least `percent` / 100 are linked, and none of these links is lo
    that the smaller sizes need.  At the leaves the bits are the members themselves and
    the overlap is exact.  A cluster of more than 512 different sets is cut into chunks (up
    to eight of 512 to 4096 sets, then as many of 4096 as it takes), and every pair of
-   chunks is a task of its own, so that no cluster is one task's load.
+   chunks is a task of its own, so that no cluster is one task's load.  A text is dealt
+   once for each chunk of its cluster; what that takes beyond the corpus's own bytes is
+   dealt in further rounds, whose shuffles are deleted before the next one.
    Of sets that are equal (by 128-bit digests) one stands for all: a cluster's copies
    are collapsed, map-side first, before its texts are dealt to tasks.
 3. Each task reports a spanning forest and numbers of links, not pairs; components of
@@ -41,7 +43,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, most_frequent, numbered, stored
+from .common import free, most_frequent, numbered
+from .common import stored_alone as stored
 from .components import components
 from .textscan import LOWER, SPACED, grams, mix, raw, slices, word_hashes, word_spans
 
@@ -50,6 +53,8 @@ FAN, DEALS = 16, 12
 MEMBERS, OFTEN, COMMON = 1 << 20, 4, 100_000
 #: Documents and characters of a chunk, about; chunks that a smaller cluster is spread over, of at least CHUNK / SPREAD.
 CHUNK, CHARS, SPREAD = 4096, 16 << 20, 8
+#: Bytes of text that a round deals at least.
+ROUND = 1 << 30
 #: Keys of a batch; buckets that keys are dealt to.
 KEYS, BUCKETS = 1 << 18, 1 << 12
 #: Bytes of text that are hashed at once: some 70 bytes of memory for each.
@@ -483,6 +488,12 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
     return stored(_rows(docs).mapInArrow(_digests(n), "doc_id long, n_shingles long, low long, high long, bytes long"), "near-sets")
 
 
+def _rounds(reps: DataFrame, sized: DataFrame, sets: DataFrame) -> int:
+    """How many times the corpus's bytes (or ROUND) are dealt: a text goes to as many tasks as its cluster has chunks."""
+    dealt = reps.join(sized, "cluster").agg(F.sum(F.col("bytes") * F.col("chunks"))).first()[0] or 0
+    return max(1, -(-dealt // max(ROUND, sets.agg(F.sum("bytes")).first()[0] or 0)))
+
+
 def classes(docs: DataFrame, sets: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
     """doc_id, component_id and n_links of the documents that are linked with another; sets are those of measured()."""
     spark = docs.sparkSession
@@ -503,15 +514,23 @@ def classes(docs: DataFrame, sets: DataFrame, n: int = 3, percent: int = 90, chu
     chunks = F.greatest(F.ceil(F.col("n") / chunk), spread, F.ceil(F.col("bytes") / CHARS)).cast("int")
     sized = stored(sized.select("cluster", chunks.alias("chunks")), "near-sizes")
     placed = reps.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("low"), F.col("chunks")).cast("int")).drop("bytes")
-    text = rows.join(placed, rows["doc_id"] == placed["rep"])
+    text = rows.join(placed, rows["doc_id"] == placed["rep"]).select("doc_id", "text", *group, "copies", "chunks", "own")
     tasks = F.expr(
         "transform(sequence(0, chunks - 1), k -> struct(least(own, k) as i, greatest(own, k) as j, cast(own > k as int) as side))"
     )
-    dealt = text.select("doc_id", "text", *group, "copies", F.explode(tasks).alias("t")).select(
-        "cluster", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "doc_id", F.col("t.side").alias("side"), "text", "low", "high", "copies"
-    )
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "doc_id")
-    found = stored(dealt.mapInArrow(_blocks(n, percent), "id long, root long, links long"), "near-links")
+    rounds = _rounds(reps, sized, sets)
+    if rounds > 1:
+        text = stored(text, "near-texts")
+    found = None
+    for k in range(rounds):
+        dealt = text.select("doc_id", "text", *group, "copies", F.explode(tasks).alias("t")).select(
+            "cluster", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "doc_id", F.col("t.side").alias("side"), "text", "low", "high", "copies"
+        )
+        if rounds > 1:
+            dealt = dealt.where(F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(rounds)) == k)
+        dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side", "doc_id")
+        links = stored(dealt.mapInArrow(_blocks(n, percent), "id long, root long, links long"), "near-links")
+        found = links if found is None else found.union(links)
     # An id with several sets ties the ids that stand for these together.
     own = F.struct(*group)
     several = members.groupBy("doc_id").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("doc_id")
