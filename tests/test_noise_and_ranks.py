@@ -31,3 +31,14 @@ def test_a_rank_is_one_window(spark):
     df = spark.range(100).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).alias("g"))
     plan = ranking.percentile_ranks(df, {"x": "p"}, ["g"])._jdf.queryExecution().optimizedPlan().toString()
     assert sum(line.lstrip(" +-:").startswith("Window ") for line in plan.splitlines()) == 1
+
+
+def test_bounds_are_joined_once_for_both_scores(spark):
+    from ledgerline.operators import scoring
+
+    df = spark.range(400).select("id", (F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 101).cast("double")).alias("x"))
+    both = scoring.winsor_scores(df, "x", ["g"], "z", "m")
+    apart = scoring.min_max(scoring.winsor_z(df, "x", ["g"], "z"), "x", ["g"], "m")
+    assert sorted(both.select("id", "z", "m").collect()) == sorted(apart.select("id", "z", "m").collect())
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert 2 * joins(both) == joins(apart)
